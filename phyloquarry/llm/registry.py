@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "decontamination", "sharding", "token_counts")
+MODULES = ("bpe", "decontamination", "language_id", "sharding", "token_counts")
 
 
 def registered() -> dict:
