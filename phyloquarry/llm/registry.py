@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "decontamination", "knn_join", "language_id", "sharding", "token_counts")
+MODULES = ("bpe", "decontamination", "jaccard_join", "knn_join", "language_id", "sharding", "token_counts")
 
 
 def registered() -> dict:
