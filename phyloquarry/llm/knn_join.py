@@ -24,6 +24,8 @@ TOP, SCALE = 5, 256
 #: Queries a cell is meant to have, pivots at least and at most, queries in a set, rows of a block, rows a salt.
 PER_CELL, LEAST_PIVOTS, MOST_PIVOTS = 256, 8, 256
 QUERY_SET, BLOCK, PER_SALT = 512, 4096, 20_000
+#: Rows that share an id for which the bound makes allowance; with more, nothing is pruned.
+MOST_OWN = 100
 
 
 def usable(vector: Column) -> Column:
@@ -99,8 +101,11 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
     wanted = min(max(ceil(asked_sizes.n / PER_CELL), LEAST_PIVOTS), MOST_PIVOTS)
     picked = asked.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(wanted).collect()  # at most MOST_PIVOTS vectors
     pivots = np.unique(matrix(pa.array([r.v for r in picked], pa.list_(pa.float64())), dims), axis=0)
-    radii, _, _ = summaries(asked, pivots, dims, None, k + 1)
-    data_radii, norms, reach = summaries(rows, pivots, dims, np.maximum(radii, 0), k + 1)
+    own = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n  # a query's own rows don't count
+    radii, _, _ = summaries(asked, pivots, dims, None, 1)
+    data_radii, norms, reach = summaries(rows, pivots, dims, np.maximum(radii, 0), k + min(own, MOST_OWN))
+    if own > MOST_OWN:
+        reach[:] = -np.inf
     lengths = np.linalg.norm(pivots, axis=1)
     cell_high = pivots @ pivots.T + lengths[:, None] * data_radii[None] + radii[:, None] * norms[None] + 1e-3
     needed = (radii[:, None] >= 0) & (data_radii[None] >= 0) & (cell_high >= reach[:, None])
@@ -127,10 +132,10 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
             cell = nearest(x, pivots)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "cell", "q"])
 
-    own = asked.mapInArrow(placed, "id bigint, cell int, q binary")
-    in_cell = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    own = own.join(in_cell, "cell").withColumn("set", F.pmod(F.xxhash64("id", "q"), F.ceil(F.col("n") / QUERY_SET)))
-    sets = own.groupBy("cell", "set").agg(F.collect_list("id").alias("qids"), F.collect_list("q").alias("q"))
+    set_of = asked.mapInArrow(placed, "id bigint, cell int, q binary")
+    in_cell = set_of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    set_of = set_of.join(in_cell, "cell").withColumn("set", F.pmod(F.xxhash64("id", "q"), F.ceil(F.col("n") / QUERY_SET)))
+    sets = set_of.groupBy("cell", "set").agg(F.collect_list("id").alias("qids"), F.collect_list("q").alias("q"))
     sets = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def solve(batches):

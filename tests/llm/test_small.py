@@ -1,0 +1,391 @@
+"""Small tables: nulls, empty and long texts, ties, repeated rows, clashing names, empty tables; brute force."""
+
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from phyloquarry.llm import bpe, context_tree, decontamination, jaccard_join, knn_join, language_id, phrase_dedup, pii, sharding, token_counts
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(seed, n, vocabulary=400):
+    draw = random.Random(seed)
+    return " ".join(f"w{draw.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = words(1, 120)
+    near = base.split()
+    near[60] = "changed"
+    passage = words(7, 60)
+    out = [
+        (0, base, "en", "a"),
+        (1, base, "en", "a"),
+        (2, " ".join(near), "en", "a"),
+        (3, words(2, 40) + " " + passage + " " + words(3, 30), "de", "a"),
+        (4, passage, "de", None),
+        (5, None, None, "b"),
+        (6, "", "en", "b"),
+        (7, "  \n\t ", "en", "b"),
+        (8, "short", "en", "b"),
+        (9, "short", "en", None),
+        (10, "x" * 20_000, "en", "a"),
+        (11, words(5, 3000), "de", "a"),
+        (11, words(5, 3000), "de", "a"),
+        (12, "Ünïcode größer 日本 😀 " + words(6, 70), None, "a"),
+        (13, "call +1 (212) 555-0199 or a.b@example.com, 4111 1111 1111 1111", "en", "c"),
+    ]
+    return [(*r, len(r[1] or "")) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    extra = spark.createDataFrame(rows, DOCS).withColumn("n_tokens", F.lit("mine")).withColumn("score", F.lit(1))
+    return extra.withColumn("id", F.lit("x")).withColumn("shard", F.lit("y")).withColumn("row", F.lit(3)).withColumn("word", F.lit("z"))
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def plain(text):
+    return text or ""
+
+
+# sharding
+
+
+def test_shards(docs, none, rows):
+    got = sharding.stratified_shards(docs.drop("shard"), 4).collect()
+    assert len(got) == len(rows)
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(4)}
+    assert all(v == list(range(len(v))) for v in by.values())
+    sizes = [len(v) for v in by.values()]
+    assert max(sizes) - min(sizes) <= 1
+    assert sharding.stratified_shards(none.drop("shard"), 4).count() == 0
+
+
+def test_shards_keep_the_mixture(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
+    got = sharding.stratified_shards(many, 16).groupBy("shard", "source").count().collect()
+    total = Counter()
+    for r in got:
+        total[r.source] += r["count"]
+    assert all(abs(r["count"] - total[r.source] / 16) <= 1 for r in got)
+    seeds = [{r.doc_id: r.shard for r in sharding.stratified_shards(many, 16, seed=s).collect()} for s in ("a", "a", "b")]
+    assert seeds[0] == seeds[1] != seeds[2]
+
+
+# pseudonyms
+
+
+def test_pseudonyms(docs, none, rows, spark):
+    found = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    assert set(docs.columns) <= set(pii.pseudonymise(docs).columns)
+    private = found[13]
+    assert private.n_private == 3 and "555-0199" not in private.text and "a.b@" not in private.text and "4111 1111" not in private.text
+    assert all(found[i].text == t and found[i].n_private == 0 for i, t, *_ in rows if i != 13)
+    assert pii.pseudonymise(none).count() == 0
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    texts = ["card 4111111111111111", "again 4111-1111-1111-1111 x", "no card 4111111111111112", "1999-12-31", "31.12.1999", "1.2.3.4", "999.1.1.1", "123-45-6789", "2021-02-30"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(enumerate(texts), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    card = got[0].split()[1]
+    digits = [int(c) for c in card]
+    assert len(card) == 16 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+    assert got[1].split()[1].replace("-", "") == card
+    assert got[2] == texts[2] and got[6] == texts[6] and got[8] == texts[8]
+    assert got[3].split("-") == got[4].split(".")[::-1]
+    assert all(0 <= int(x) <= 255 for x in got[5].split("."))
+
+
+def test_feistel_is_a_permutation(spark):
+    n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
+    out = n.select(pii.permuted(F.col("x"), "k", "t").alias("y"), pii.permuted(F.col("x"), "other", "t").alias("z"))
+    assert out.agg(F.count_distinct("y").alias("n")).first().n == 1000
+    assert out.where("y = z").count() < 20
+
+
+# phrases
+
+
+def removed_brute(rows, w=50):
+    first, texts = {}, [(i, plain(t).encode().split()) for i, t in rows]
+    for i, x in texts:
+        if i is not None:
+            for a in range(len(x) - w + 1):
+                k = tuple(x[a : a + w])
+                first[k] = min(first.get(k, i), i)
+    out = []
+    for i, x in texts:
+        gone = set()
+        if i is not None:
+            for a in range(len(x) - w + 1):
+                if first[tuple(x[a : a + w])] < i:
+                    gone |= set(range(a, a + w))
+        out.append((i, len(x), len(gone), b" ".join(t for k, t in enumerate(x) if k not in gone).decode()))
+    return out
+
+
+def test_phrases(docs, none, rows, spark):
+    found = phrase_dedup.remove_repeats(docs)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect())
+    assert got == sorted(removed_brute([r[:2] for r in rows]))
+    assert phrase_dedup.remove_repeats(none).count() == 0
+
+
+def test_phrases_with_repeats_inside(spark):
+    loop = "a b c d e f g " * 40
+    data = [(1, loop), (2, loop + "tail"), (3, words(8, 200)), (4, words(9, 20) + " " + " ".join(words(8, 200).split()[20:90])), (5, None), (None, loop)]
+    got = phrase_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=key) == sorted(removed_brute(data), key=key)
+
+
+# language model
+
+
+def test_context_tree(docs, none, rows):
+    train = F.col("doc_id") % 3 != 0
+    got = {(r.doc_id, r.n_tokens): r for r in context_tree.context_tree_scores(docs, train).collect()}
+    counts = Counter(w for i, t, *_ in rows if i % 3 for w in context_tree.tokens(plain(t).encode()))
+    n, v = sum(counts.values()), len(counts)
+    for i, t, *_ in rows:
+        own = context_tree.tokens(plain(t).encode())
+        r = got[i, len(own)]
+        assert r.train_tokens == n and r.n_known == sum(counts[w] > 0 for w in own)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        assert r.score < 0
+    assert context_tree.context_tree_scores(none, train).count() == 0
+    untaught = context_tree.context_tree_scores(docs, F.lit(False)).where("doc_id = 8").first()
+    assert untaught.score == pytest.approx(-8 * (len("short") + 2) * math.log10(2))
+
+
+def test_context_tree_against_direct_mixture():
+    """One tree of all depths, evaluated node by node."""
+    text = [b"aba", b"ab", b"bab", context_tree.END]
+    grams, word = context_tree.word_grams(text)
+    counts = np.array([3, 2, 1, 4])[word]
+    keys, inverse = np.unique(grams, return_inverse=True)
+    n = np.bincount(inverse, counts).astype(int)
+    _, p = context_tree.evaluate(keys, n, 0)
+
+    def stats(depth, key):
+        z = o = 0
+        for g, c in zip(keys, n, strict=True):
+            k, b = context_tree.choices(np.array([g]), depth)
+            for j in range(8):
+                if k[j, 0] == key:
+                    z, o = z + c * (b[j, 0] == 0), o + c * (b[j, 0] == 1)
+        return z, o
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+
+    def weight(depth, key):
+        z, o = stats(depth, key)
+        if depth == context_tree.DEPTH:
+            return kt(z, o)
+        kids = {int(k) for g in keys for k in context_tree.choices(np.array([g]), depth + 1)[0][:, 0] if (int(k) >> 8 & ((1 << 8 * depth) - 1)) << 8 | int(k) & 255 == 0 or ((int(k) >> 8 & ((1 << 8 * depth) - 1)) << 8 | int(k) & 255) == key}
+        kids = {k for k in kids if ((k >> 8 & ((1 << 8 * depth) - 1)) << 8 | k & 255) == key}
+        return math.log(0.5) + np.logaddexp(kt(z, o), sum(weight(depth + 1, k) for k in kids))
+
+    for i in (0, len(keys) // 2, len(keys) - 1):
+        for j in (0, 5, 7):
+            q = 0.5
+            for depth in range(context_tree.DEPTH, -1, -1):
+                k, b = context_tree.choices(keys[i : i + 1], depth)
+                z, o = stats(depth, k[j, 0])
+                own = ((o if b[j, 0] else z) + 0.5) / (z + o + 1)
+                leaf = 1.0 if depth == context_tree.DEPTH else math.exp(math.log(0.5) + kt(z, o) - weight(depth, int(k[j, 0])))
+                q = leaf * own + (1 - leaf) * q
+            assert p[j, i] == pytest.approx(q)
+
+
+def test_score_join_is_the_broadcast(docs, monkeypatch):
+    wide = {r.doc_id: r.score for r in context_tree.context_tree_scores(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(context_tree, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(context_tree, "FREQUENT", 3)
+    assert {r.doc_id: r.score for r in context_tree.context_tree_scores(docs, F.lit(True)).collect()} == pytest.approx(wide)
+
+
+# tokens
+
+
+HARD = ["", "  ", "<|endoftext|>", "a<|startoftext|> b<|endoftext|>c", "ÉCOLE Σας ΟΔΟΣ", "İstanbul", "it's we'll 'S", "éà", "x\x1cy z\x1d", "　a​b\x85c", "1234 ½ Ⅷ", "a" * 3000, "日本語 😀😀", "\x00a\x7f", "don't-stop...!!!", "a <| b"]
+
+
+def test_tokens(spark, docs, none, rows):
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path(bpe.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    texts = [plain(r[1]) for r in rows] + HARD
+    table = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    encoded = {r.doc_id: r for r in bpe.bpe_encode(table, path).collect()}
+    counted = {r.doc_id: r for r in token_counts.token_counts(table, path).collect()}
+    digest = {r.doc_id: r for r in bpe.digests(bpe.bpe_encode(table, path)).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encoded[i].token_ids, "<u4").tolist() == ids
+        assert encoded[i].decoded == library.decode(ids, skip_special_tokens=False)
+        assert (counted[i].n_tokens, counted[i].n_bytes) == (len(ids), len(t.encode()))
+        assert digest[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert bpe.bpe_encode(docs, path).count() == token_counts.token_counts(docs, path).count() == len(rows)
+    assert bpe.bpe_encode(docs, path).where("doc_id = 5").first().decoded == ""
+    assert bpe.bpe_encode(none, path).count() == token_counts.token_counts(none, path).count() == 0
+
+
+def test_whole_tokens_are_proven():
+    model = bpe.Bpe(bpe.tokenizer_source(bpe.public_path(bpe.TOKENIZER)))
+    whole = token_counts.whole_tokens(model)
+    assert "the" in whole and len(whole) > 30_000
+    assert all(len(model.merge(w)) == 1 for w in list(whole)[:500])
+
+
+# near duplicates
+
+
+def brute_classes(rows):
+    sets = {}
+    for i, t in rows:
+        w = plain(t).encode().split()
+        if w and i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    links, parent = Counter(), {i: i for i in sets}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (root(i), links[i]) for i in ids}
+
+
+def test_near_duplicates(spark, docs, none, rows):
+    base = words(20, 150).split()
+    draw = random.Random(3)
+    group = [(i, " ".join(w if draw.random() > 0.006 else f"v{draw.randrange(999)}" for w in base)) for i in range(100, 160)]
+    data = [r[:2] for r in rows if r[0] != 11] + group + [(None, "null id text")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = brute_classes(data)
+    assert {i: x for i, x in got.items() if i in want} == want
+    assert got[5] == (5, 0) and got[6] == (6, 0) and got[7] == (7, 0) and got[None] == (None, 0)
+    twice = jaccard_join.near_duplicates(docs).where("doc_id = 11").collect()
+    assert [(r.class_id, r.n_links) for r in twice] == [(11, 1)] * 2
+    assert jaccard_join.near_duplicates(none).count() == 0
+
+
+def test_blocks_do_not_change_the_links(spark, monkeypatch):
+    base = words(21, 150).split()
+    draw = random.Random(4)
+    data = [(i, " ".join(w if draw.random() > 0.006 else f"v{draw.randrange(999)}" for w in base)) for i in range(40)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute_classes(data)
+
+
+def test_pruning_keeps_similar_pairs():
+    from math import comb
+
+    for n, m in jaccard_join.least_matches().items():
+        lost = sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(m))
+        assert lost < 1e-4 and m > 0
+
+
+# language
+
+
+def test_language(spark, docs, none):
+    data = [(i, " ".join(random.Random(i).choice(["the", "and", "with", "house"] if i % 2 else ["der", "und", "mit", "größe"]) for _ in range(20)), "en" if i % 2 else "de") for i in range(400)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit(table.where("doc_id % 4 <> 2"))
+    held = language_id.identify(table.where("doc_id % 4 = 2"), model)
+    assert held.where("lang = lang_pred").count() == held.count() == 100
+    found = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert all((found[i].lang_pred, found[i].score) == ("und", 0.0) for i in (5, 6, 7))
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("de", "en", "und") for r in found.values())
+    assert found[8].n_tokens == "mine"
+    assert language_id.identify(none, model).count() == 0
+    blank = language_id.fit(none)
+    assert language_id.identify(docs, blank).where("lang_pred <> 'und'").count() == 0
+
+
+# decontamination
+
+
+def hits_brute(docs, items, w=10):
+    def cut(t):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in plain(t))
+        return "".join(c if ord(c) > 127 or c.isdigit() or "a" <= c <= "z" else " " for c in low).split(" ")
+
+    windows = {}
+    for i, t in items:
+        x = [y for y in cut(t) if y]
+        for a in range(max(1, len(x) - w + 1) if x else 0):
+            windows.setdefault(tuple(x[a : a + w]), set()).add(str(i))
+    out = {}
+    for i, t in docs:
+        x = [y for y in cut(t) if y]
+        hit, named = set(), set()
+        for k, who in windows.items():
+            for a in range(len(x) - len(k) + 1):
+                if tuple(x[a : a + len(k)]) == k:
+                    hit |= set(range(a, a + len(k)))
+                    named |= who
+        out[i] = (len(x), len(hit), sorted(named))
+    return out
+
+
+@pytest.mark.parametrize("few", [decontamination.BROADCAST_SHINGLES, 0])
+def test_decontamination(spark, few, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", few)
+    long = words(30, 40)
+    items = [(1, long), (2, "One, two"), (3, "rare"), (4, None), (5, ""), (6, "a b c"), (7, long.upper())]
+    docs = [(1, words(31, 20) + " " + long + " x"), (2, "zero one\0two three"), (3, "RARE! a-b,c a b c"), (4, None), (5, ""), (6, " ".join(long.split()[3:14])), (7, " ".join(long.split()[3:12])), (8, "größe " * 30)]
+    got = decontamination.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in got} == hits_brute(docs, items)
+    assert all(r.contaminated == (r.n_hit > 0) and r.n_items == len(r.item_ids) for r in got)
+
+
+def test_decontamination_of_nothing(spark, docs, none):
+    items = spark.createDataFrame([(1, "short")], "item_id long, text string")
+    assert decontamination.decontamination(none, items).count() == 0
+    assert decontamination.decontamination(docs, items.where("false")).where("contaminated").count() == 0
+    assert decontamination.decontamination(docs, items).where("contaminated").count() == 2
+
+
+# nearest neighbours
+
+
+def test_knn(spark):
+    rng = np.random.default_rng(0)
+    data = [(i, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(400)]
+    hot = data[7][1]
+    data += [(i, hot) for i in range(400, 600)]
+    data += [(600, None), (650, [None] * 8), (700, [float("nan")] * 8), (None, hot), (50, data[50][1]), (750, [0.5])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in knn_join.knn_join(table.where("vec_id % 50 = 0"), table).collect())
+    fine = [(i, np.floor(256 * np.pad(np.array(v, np.float64), (0, 8 - len(v)))).astype(int)) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, v in {i: v for i, v in fine if i % 50 == 0}.items():
+        best = sorted((-int(v @ x), i) for i, x in fine if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert knn_join.knn_join(table.where("false"), table).count() == 0
+    assert knn_join.knn_join(table.where("vec_id = 50"), table.where("vec_id = 50")).count() == 0
