@@ -1,6 +1,7 @@
 import pytest
 from oracle import same
 
+from phyloquarry.plans import model_catalog  # noqa: F401
 from phyloquarry.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
