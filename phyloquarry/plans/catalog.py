@@ -354,7 +354,7 @@ def a26_discrete_mode(gt):
     return summaries.discrete_mode(gt, ["site"], "genotype").withColumn("mode_share", r6("mode_share"))
 
 
-@query("gt_trace", "WITH c AS (SELECT site, genotype, count(*) AS n FROM gt_trace GROUP BY site, genotype), r AS (SELECT *, n / sum(n) OVER (PARTITION BY site) AS s FROM c) SELECT site, string_agg(genotype, ',' ORDER BY genotype) AS value_set, string_agg(printf('%.4f', s), ',' ORDER BY genotype) AS share_set FROM r GROUP BY site")
+@query("gt_trace", "WITH c AS (SELECT site, genotype, count(*) AS n FROM gt_trace GROUP BY site, genotype), r AS (SELECT *, n / sum(n) OVER (PARTITION BY site) AS s FROM c) SELECT site, string_agg(genotype, ',' ORDER BY genotype) AS value_set, string_agg(printf('%.4f', round(s + 1e-12, 4)), ',' ORDER BY genotype) AS share_set FROM r GROUP BY site")
 def a27_frequency_set(gt):
     return summaries.frequency_set(gt, ["site"], "genotype")
 
