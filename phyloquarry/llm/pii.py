@@ -47,6 +47,11 @@ def whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: a lambda over one element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def draw(key: str, kind: str, turn: Column, half: Column) -> Column:
     """128 hexadecimal digits from the keyed round function."""
     return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), turn.cast("string"), F.lit("|"), half.cast("string")), 512)
@@ -73,7 +78,7 @@ def permuted(value: Column, key: str, kind: str) -> Column:
     """The Feistel permutation of strings with the same pattern of classes."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1, F.length(value)).alias("r"))
-    turn = lambda s, i: F.struct(s["r"].alias("l"), shifted(s["l"], draw(key, kind, i, s["r"])).alias("r"))
+    turn = lambda s, i: F.struct(s["r"].alias("l"), let(draw(key, kind, i, s["r"]), lambda x: shifted(s["l"], x)).alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
@@ -89,10 +94,14 @@ def digits(value: Column) -> Column:
 
 
 def refilled(shape: Column, new_digits: Column) -> Column:
-    """``shape`` with its digits replaced in order."""
-    place = lambda i: F.length(digits(F.substr(shape, F.lit(1), i)))
-    one = lambda i: F.when(F.substr(shape, i, F.lit(1)).between("0", "9"), F.substr(new_digits, place(i), F.lit(1))).otherwise(F.substr(shape, i, F.lit(1)))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
+    """``shape`` (digits, blanks, dots, hyphens, brackets, plus) with its digits replaced in order."""
+
+    def fill(new: Column) -> Column:
+        place = lambda i: F.length(F.translate(F.substr(shape, F.lit(1), i), "+ .()-", ""))
+        one = lambda i: F.when(F.substr(shape, i, F.lit(1)).between("0", "9"), F.substr(new, place(i), F.lit(1))).otherwise(F.substr(shape, i, F.lit(1)))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
+
+    return let(new_digits, fill)
 
 
 def luhn_sum(body: Column) -> Column:
@@ -122,34 +131,31 @@ def possible_ssn(d: Column) -> Column:
 
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a candidate, or the candidate itself if it is not valid."""
-    d = digits(value)
-    body = F.substr(d, F.lit(1), F.length(d) - 1)
-    new_body = permuted(body, key, "card")
-    card = F.when(check_digit(body) == F.substr(d, F.length(d), F.lit(1)), refilled(value, F.concat(new_body, check_digit(new_body)))).otherwise(value)
+    with_check = lambda body: F.concat(body, check_digit(body))
+    new_card = lambda d: let(F.substr(d, F.lit(1), F.length(d) - 1), lambda body: F.when(with_check(body) == d, refilled(value, let(permuted(body, key, "card"), with_check))).otherwise(value))
+    card = let(digits(value), new_card)
     prefix = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
     national = F.substr(value, F.length(prefix) + 1, F.length(value))
-    phone = F.concat(prefix, refilled(national, permuted(digits(national), key, "phone")))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(d, key, "ssn"), lambda x, _: F.when(possible_ssn(x), x).otherwise(permuted(x, key, "ssn")))
-    ssn = F.when(possible_ssn(d), refilled(value, walked)).otherwise(value)
-    o = octets(value)
+    phone = F.concat(prefix, let(national, lambda x: refilled(x, let(digits(x), lambda y: permuted(y, key, "phone")))))
+    walk = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(d, key, "ssn"), lambda x, _: F.when(possible_ssn(x), x).otherwise(permuted(x, key, "ssn")))
+    ssn = let(digits(value), lambda d: F.when(possible_ssn(d), refilled(value, walk(d))).otherwise(value))
     to_ip = lambda p: F.concat_ws(".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256)
-    ip = F.when(F.forall(o, lambda x: x <= 255), to_ip(permuted_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip"))).otherwise(value)
+    new_ip = lambda o: F.when(F.forall(o, lambda x: x <= 255), let(permuted_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip"), to_ip)).otherwise(value)
+    ip = let(octets(value), new_ip)
 
     def date(pattern: str) -> Column:
-        day = F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        p = permuted_pair(F.floor(day / DAYS), day % DAYS, WEEKS, DAYS, key, "date")
-        moved = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS + p["r"]).cast("int")), pattern)
-        return F.when(day.between(0, WEEKS * DAYS - 1), moved)
+        moved = lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS + p["r"]).cast("int")), pattern)
+        new_day = lambda day: F.when(day.between(0, WEEKS * DAYS - 1), let(permuted_pair(F.floor(day / DAYS), day % DAYS, WEEKS, DAYS, key, "date"), moved))
+        return let(F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date")), new_day)
 
     at = F.instr(value, "@")
-    email = F.concat(permuted(F.substr(value, F.lit(1), at - 1), key, "email"), F.substr(value, at, F.length(value)))
-    secret = F.regexp_extract(value, r"[A-Za-z0-9+/_-]{12,}$", 0)
-    lead = F.substr(value, F.lit(1), F.length(value) - F.length(secret))
-    access = F.concat(F.substring(value, 1, 4), permuted(F.substr(value, F.lit(5), F.lit(16)), key, "access"))
+    email = F.concat(let(F.substr(value, F.lit(1), at - 1), lambda x: permuted(x, key, "email")), F.substr(value, at, F.length(value)))
+    secret = let(F.regexp_extract(value, r"[A-Za-z0-9+/_-]{12,}$", 0), lambda x: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(x)), permuted(x, key, "secret")))
+    access = F.concat(F.substring(value, 1, 4), let(F.substr(value, F.lit(5), F.lit(16)), lambda x: permuted(x, key, "access")))
     return (
         F.when(at > 0, email)
         .when(value.rlike(whole(ACCESS_KEY)), access)
-        .when(value.rlike("[=:]"), F.concat(lead, permuted(secret, key, "secret")))
+        .when(value.rlike("[=:]"), secret)
         .when(value.rlike(whole(IP)), ip)
         .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.coalesce(date("yyyy-MM-dd"), value))
         .when(value.rlike(r"^\d{4}/\d{2}/\d{2}$"), F.coalesce(date("yyyy/MM/dd"), value))
@@ -169,7 +175,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     none.
     """
     text = F.col(text_col)
-    maybe = text.rlike(r"[0-9@]|AKIA|ASIA|assw|ecret|oken|[Kk]ey")
+    maybe = text.rlike("[0-9@=:]") | text.contains("AKIA") | text.contains("ASIA")
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     names = [c for c in docs.columns if c != "n_private"]
     step = docs.select(*names, found.alias("_found")).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
