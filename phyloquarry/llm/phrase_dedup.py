@@ -17,6 +17,7 @@ entry in each automaton. Each group is handled by partial aggregation, never gat
 
 from __future__ import annotations
 
+from itertools import compress
 from math import ceil
 
 import ahocorasick
@@ -44,6 +45,14 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``known``, by binary search."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 class Windows:
     """Anchors and windows of a string column, with windows over two rows ruled out."""
 
@@ -74,7 +83,7 @@ class Windows:
     def located(self, recurring: np.ndarray) -> np.ndarray:
         """Where the automaton of the recurring phrases found here matches, as a flag for each phrase position."""
         flags = np.zeros(len(self.phrases), bool)
-        mine = np.flatnonzero(np.isin(self.phrases, recurring))
+        mine = np.flatnonzero(among(self.phrases, recurring))
         if not len(mine):
             return flags
         _, first = np.unique(self.phrases[mine], return_index=True)
@@ -82,12 +91,14 @@ class Windows:
         for i in mine[first]:
             automaton.add_word(f" {self.words.text(i, self.phrase).decode('latin-1')} ")
         automaton.make_automaton()
-        for a, b in zip(self.words.row[:-1], self.words.row[1:], strict=True):
+        row = self.words.row.tolist()
+        for i, (a, b) in enumerate(zip(row[:-1], row[1:], strict=True)):
             if b - a < self.phrase:
                 continue
-            sizes = self.words.end[a:b] - self.words.start[a:b] + 1
-            ends = np.fromiter((e for e, _ in automaton.iter(f" {self.words.text(a, b - a).decode('latin-1')} ")), np.int64)
-            if len(ends):
+            line = b" ".join(self.words.of_row(i)).decode("latin-1")
+            ends = [e for e, _ in automaton.iter(f" {line} ")]
+            if ends:
+                sizes = self.words.end[a:b] - self.words.start[a:b] + 1
                 flags[a + np.searchsorted(np.cumsum(sizes), ends) + 1 - self.phrase] = True
         return flags
 
@@ -176,18 +187,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows_of.setdefault(x, []).append(i)
             place = [row[i] + a for x, a in zip(owned.column("id").to_pylist(), owned.column("at").to_pylist(), strict=True) for i in rows_of.get(x, ()) if a + window <= row[i + 1] - row[i]]
             place = np.array(place, np.int64)
-            at = at[~np.isin(keyed(found.row_of[at], high, low), keyed(found.row_of[place], *found.hashes(place)))]
+            at = at[~among(keyed(found.row_of[at], high, low), keyed(found.row_of[place], *found.hashes(place)))]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone[:-1]) > 0
         kept = []
-        for a, b in zip(row[:-1], row[1:], strict=True):
-            if gone[a:b].any():
-                stay = np.flatnonzero(~gone[a:b]) + a
-                kept.append(b" ".join([bytes(words.raw[words.start[i] : words.end[i]]) for i in stay]).decode())
-            else:
-                kept.append(words.text(a, b - a).decode())
         removed = np.concatenate(([0], np.cumsum(gone)))
+        for i, (a, b) in enumerate(zip(row[:-1], row[1:], strict=True)):
+            stay = words.of_row(i)
+            if removed[b] > removed[a]:
+                stay = compress(stay, (~gone[a:b]).tolist())
+            kept.append(b" ".join(stay).decode())
         return pa.Table.from_arrays([ids, pa.array(np.diff(row).astype(np.int64)), pa.array(removed[row[1:]] - removed[row[:-1]]), pa.array(kept, pa.string())], schema=shape)
 
     side = routed.select("shard", "anchor", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("int").alias("at"))

@@ -62,6 +62,7 @@ class Words:
 
     def __init__(self, column: pa.Array) -> None:
         self.raw, self.offsets = bytes_of(column)
+        self.plain = self.raw.tobytes()
         size = len(self.raw)
         black = ~WHITE[self.raw]
         first, last = np.ones(size, bool), np.ones(size, bool)
@@ -91,9 +92,13 @@ class Words:
         np.cumsum(self.hash * up[:count], out=total[1:])
         return mix((total[n:] - total[:-n]) * down[: count - n + 1])
 
+    def of_row(self, i: int) -> list[bytes]:
+        """The words of a row."""
+        return self.plain[self.offsets[i] : self.offsets[i + 1]].split()
+
     def text(self, i: int, n: int) -> bytes:
-        """Words i .. i+n-1, joined by one space."""
-        return b" ".join(bytes(self.raw[a:b]) for a, b in zip(self.start[i : i + n], self.end[i : i + n], strict=True))
+        """Words i .. i+n-1 of one row, joined by one space."""
+        return b" ".join(self.plain[self.start[i] : self.end[i + n - 1]].split())
 
 
 def parts(batch: pa.RecordBatch, text: int, most: int = 2_000_000):
