@@ -23,9 +23,9 @@ from .common import table
 TOKENIZER = "word_bpe_49k.json"
 END = "</w>"
 #: Chunks kept by a worker, at most; longer chunks are not kept.
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 64
+KEPT_CHUNKS, KEPT_CHARS = 300_000, 64
 #: Texts' characters encoded at a time.
-STRIDE = 4_000_000
+STRIDE = 2_000_000
 
 WHITE = regex.compile(r"[\t-\r \x85\p{Z}]+")
 ODD_WHITE = regex.compile("[\x1c-\x1f]")

@@ -7,8 +7,6 @@ from a running sum over word hashes in the same way.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,21 +18,24 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)
 
 
-@lru_cache(8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below ``size``."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, b, U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U))
-    return out[0], out[1]
+#: Powers of each base that a worker keeps, and the most it keeps of one.
+KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+MOST_KEPT = 1 << 21
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = 1 << max(size - 1, 1).bit_length()
-    a, b = _powers(base, max(up, 1 << 16))
-    return a[:size], b[:size]
+    """base**i and base**-i for i below ``size``."""
+    held = KEPT.get(base)
+    if held is None or len(held[0]) < size:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(size, 1 << 16), b, U)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=U))
+        held = out[0], out[1]
+        if size <= MOST_KEPT:
+            KEPT[base] = held
+    return held[0][:size], held[1][:size]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ class Words:
         return b" ".join(self.plain[self.start[i] : self.end[i + n - 1]].split())
 
 
-def parts(batch: pa.RecordBatch, text: int, most: int = 2_000_000):
+def parts(batch: pa.RecordBatch, text: int, most: int = 600_000):
     """Slices of a batch whose texts have about ``most`` bytes at most (a longer text is a slice of its own)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     group = np.cumsum(sizes) // most if len(sizes) else sizes
