@@ -2,16 +2,15 @@
 
 A text is its tokens: words with A-Z lowered, each written as its bytes and a space, then one end symbol (0xFF,
 which UTF-8 never uses). Each byte is decomposed into eight binary choices, and each choice is predicted in
-contexts of 0 to DEPTH preceding bytes of the word (its beginning counts as spaces, so a word's code length does
-not depend on its neighbours). Every context holds a Krichevsky-Trofimov estimate; the estimates of all depths
-are mixed by the weights of the context tree, P = (own + product of the children) / 2.
-
-The work follows the vocabulary, not the running text: words are counted over all texts (partial counts in each
-task, summed by a shuffle), counts of (context, byte) come from the word counts, and the tree is evaluated from
-the deepest contexts up, in groups that share the last two context bytes; the two top depths have at most 65,536
-contexts' choices and are finished on the driver. Every distinct word then gets its code length once. In the
-texts, the FREQUENT most frequent words are scored from a broadcast table of that fixed size and all others by a
-join on the word.
+contexts of 0 to DEPTH preceding bytes of the text, those of previous words included; before a text there are
+spaces. Every context holds a Krichevsky-Trofimov estimate; the estimates of all depths are mixed by the weights
+of the context tree, P = (own + product of the children) / 2.
+
+Counts of (context, byte) come from the running text (sorted and summed in each task, then by a shuffle), and the
+tree is evaluated from the deepest contexts up, in groups that share the last two context bytes; the two top depths
+have at most 65,536 contexts' choices and are finished on the driver. Every text is then scored byte by byte from
+the table of (context, byte), broadcast or, beyond BROADCAST_GRAMS, joined. For the unigram base words are counted
+as well; the FREQUENT most frequent ones are looked up in a broadcast table, all others by a join.
 """
 
 from __future__ import annotations
@@ -29,7 +28,9 @@ from .common import table, written
 DEPTH = 5
 END = b"\xff"
 #: Words broadcast; (context, byte) pairs broadcast at most, beyond which they are joined; words a task counts before it hands them on.
-FREQUENT, BROADCAST_GRAMS, HELD = 200_000, 2_000_000, 400_000
+FREQUENT, BROADCAST_GRAMS, HELD = 200_000, 8_000_000, 400_000
+#: Bytes turned into grams at once; (context, byte) pairs a task gathers before it sums them; texts it holds as objects.
+CHUNK, GATHERED, TEXTS = 1 << 19, 1_000_000, 500
 
 HALF = np.log(0.5)
 
@@ -46,18 +47,54 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
 
 
+def packed(stream: bytes) -> np.ndarray:
+    """Each byte of ``stream`` after the first DEPTH with the DEPTH bytes before it."""
+    raw = np.frombuffer(stream, np.uint8)
+    grams = raw[: len(raw) - DEPTH].astype(np.int64)
+    for k in range(1, DEPTH + 1):
+        grams <<= 8
+        grams |= raw[k : len(raw) - DEPTH + k]
+    return grams
+
+
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, word): the packed DEPTH context bytes and symbol of each step, and the word it belongs to."""
+    """(grams, word): the packed DEPTH context bytes and symbol of each step of one text, and the word it belongs to."""
+    steps = [len(w) + (w != END) for w in words]
+    stream = b" " * DEPTH + b"".join([w if w == END else w + b" " for w in words])
+    return packed(stream), np.repeat(np.arange(len(words)), steps)
+
+
+def running_grams(texts: list[bytes | None]):
+    """(grams, text) of a run of texts in pieces of about CHUNK bytes; a long text goes on in the next piece."""
     pad = b" " * DEPTH
-    steps = np.array([len(w) + (w != END) for w in words], np.int64)
-    raw = np.frombuffer(b"".join([pad + w + b" " for w in words]), np.uint8).astype(np.int64)
-    begins = np.concatenate(([0], np.cumsum([DEPTH + len(w) + 1 for w in words])[:-1])).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), steps)
-    at = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + begins[word] + DEPTH
-    grams = np.zeros(len(at), np.int64)
-    for k in range(DEPTH, -1, -1):
-        grams = grams << 8 | raw[at - k]
-    return grams, word
+    held: list[bytes] = []
+    owners: list[tuple[int, int, int]] = []  # text, its steps, steps to skip: those from one text to the next
+    size = 0
+
+    def piece():
+        text, steps, skip = np.array(owners, np.int64).T
+        use = np.repeat(np.tile([False, True], len(text)), np.stack([skip, steps], 1).ravel())[DEPTH:]
+        return packed(b"".join(held))[use], np.repeat(text, steps)
+
+    for k, text in enumerate(texts):
+        stream = pad + b" ".join(tokens(text or b""))
+        for i in range(DEPTH, len(stream), CHUNK):
+            part = stream[i - DEPTH : i + CHUNK]
+            held.append(part)
+            owners.append((k, len(part) - DEPTH, DEPTH))
+            size += len(part)
+            if size >= CHUNK:
+                yield piece()
+                held, owners, size = [], [], 0
+    if held:
+        yield piece()
+
+
+def slices(batches):
+    """Record batches of TEXTS rows at most."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(i, TEXTS)
 
 
 def choices(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,17 +209,39 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gram_scores(words: DataFrame) -> DataFrame:
-    """(gram, bits10): log10 probability of each (context, byte) of ``words`` (word, n)."""
+def gram_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
+    """(gram, n): every distinct (context, byte) of all texts with its count in the training texts."""
 
-    def count(batches):
-        for batch in batches:
-            grams, word = word_grams(batch.column(0).to_pylist())
-            n = np.asarray(batch.column(1), np.float64)[word]
-            keys, inverse = np.unique(grams, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(inverse, n, len(keys)).astype(np.int64))], ["gram", "n"])
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
-    grams = words.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    def rows(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
+
+    def task(batches):
+        held, size = [], 0
+        for batch in slices(batches):
+            trains = np.asarray(batch.column(1).to_pylist(), np.int64)
+            for grams, text in running_grams(batch.column(0).to_pylist()):
+                keys, n = np.unique(grams << 1 | trains[text], return_counts=True)
+                held.append((keys >> 1, n * (keys & 1)))
+                size += len(keys)
+                if size > GATHERED:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > GATHERED // 2:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(*summed(held))
+
+    each = docs.select(F.col(text_col).cast("string").cast("binary"), train).mapInArrow(task, "gram bigint, n bigint")
+    return each.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """(gram, bits10): log10 probability of each (context, byte) of ``grams`` (gram, n)."""
     last_two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     tree = written(grams.groupBy(last_two.alias("last_two")).applyInPandas(lambda frame: subtree(frame), "gram bigint, p binary, key bigint, zeros double, ones double, mixed double"))
     upper = tree.where("key is not null").groupBy((F.shiftright("key", 8).bitwiseAND(F.lit(255)) * 256 + F.col("key").bitwiseAND(F.lit(255))).alias("key"))
@@ -197,31 +256,20 @@ def gram_scores(words: DataFrame) -> DataFrame:
     return written(tree.where("gram is not null").select("gram", "p").mapInArrow(finish, "gram bigint, bits10 double"))
 
 
-def word_scores(words: DataFrame, scores: DataFrame) -> DataFrame:
-    """``words`` with ``score``, the log10 probability of each: from a broadcast table if it is small, else by a join."""
-    if scores.count() <= BROADCAST_GRAMS:
-        rows = scores.toArrow()
-        keys, values = np.asarray(rows["gram"], np.int64), np.asarray(rows["bits10"], np.float64)
-        order = np.argsort(keys)
-        shared = words.sparkSession.sparkContext.broadcast((keys[order], values[order]))
-
-        def add(batches):
-            for batch in batches:
-                keys, values = shared.value
-                grams, word = word_grams(batch.column(0).to_pylist())
-                total = np.bincount(word, values[np.searchsorted(keys, grams)], batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], ["word", "n", "score"])
-
-        return words.mapInArrow(add, "word binary, n bigint, score double")
+def joined_scores(numbered: DataFrame, scores: DataFrame) -> DataFrame:
+    """(row, s): the log10 probability of each text by a join on its (context, byte) pairs, counted in each text first."""
 
     def spread(batches):
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            grams, word = word_grams(own)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column(0).take(pa.array(word)), batch.column(1).take(pa.array(word))], ["gram", "word", "n"])
+        for batch in slices(batches):
+            for grams, text in running_grams(batch.column(1).to_pylist()):
+                order = np.lexsort((grams, text))
+                grams, text = grams[order], text[order]
+                first = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (text[1:] != text[:-1]))))
+                n = np.diff(np.append(first, len(grams)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[first])), pa.array(grams[first]), pa.array(n)], ["row", "gram", "n"])
 
-    long = words.mapInArrow(spread, "gram bigint, word binary, n bigint")
-    return long.join(scores, "gram").groupBy("word", "n").agg(F.sum("bits10").alias("score"))
+    long = numbered.select("row", "text").mapInArrow(spread, "row bigint, gram bigint, n bigint")
+    return long.join(scores, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("bits10")).alias("s"))
 
 
 def context_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,25 +280,43 @@ def context_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id",
     columns are not carried.
     """
     spark = docs.sparkSession
-    words = written(word_counts(docs, text_col, F.coalesce(train, F.lit(False))))
+    trains = F.coalesce(train, F.lit(False))
+    words = written(word_counts(docs, text_col, trains))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     base = F.log10((F.col("n") + 1) / F.lit(float(total.n + total.v + 1)))
-    scored = written(word_scores(words, gram_scores(words)).select("word", (F.col("n") > 0).alias("known"), base.alias("base"), "score", "n"))
-    top = scored.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "known", "base", "score").toArrow()
-    shared = spark.sparkContext.broadcast({w: (k, b, s) for w, k, b, s in zip(*(top[c].to_pylist() for c in ("word", "known", "base", "score")), strict=True)})
+    known = words.select("word", (F.col("n") > 0).alias("known"), base.alias("base"), "n")
+    top = known.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "known", "base").toArrow()
+    shared = spark.sparkContext.broadcast({w: (k, b) for w, k, b in zip(*(top[c].to_pylist() for c in ("word", "known", "base")), strict=True)})
+    scores = gram_scores(gram_counts(docs, text_col, trains))
+    joins = scores.count() > BROADCAST_GRAMS
+    table_of = None
+    if not joins:
+        rows = scores.toArrow()
+        keys, values = np.asarray(rows["gram"], np.int64), np.asarray(rows["bits10"], np.float64)
+        order = np.argsort(keys)
+        table_of = spark.sparkContext.broadcast((keys[order], values[order]))
+
+    def text_scores(texts: list) -> list[float]:
+        out = np.zeros(len(texts))
+        if table_of is not None:
+            keys, values = table_of.value
+            for grams, text in running_grams(texts):
+                distinct, inverse = np.unique(grams, return_inverse=True)
+                out += np.bincount(text, values[np.searchsorted(keys, distinct)][inverse], len(texts))
+        return out.tolist()
 
     def task(batches):
         frequent = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = batch.column(1).to_pylist()
+            for row, text, score in zip(batch.column(0).to_pylist(), texts, text_scores(texts), strict=True):
                 found = tokens(text or b"")
-                known, base, score = 0, 0.0, 0.0
+                known, base = 0, 0.0
                 for word, n in Counter(found).items():
                     if hit := frequent.get(word):
                         known += n * hit[0]
                         base += n * hit[1]
-                        score += n * hit[2]
                     else:
                         for column, x in zip(out, (row, word, n, 0, 0, 0.0, 0.0), strict=True):
                             column.append(x)
@@ -260,11 +326,14 @@ def context_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id",
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "word", "n", "known", "size", "base", "score"])
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").cast("binary"), F.col(id_col).alias("id"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(id_col).alias("id"))
+    if joins:
+        numbered = written(numbered)  # both readers see the same row numbers
     parts = written(numbered.mapInArrow(with_id(task), f"row bigint, word binary, n bigint, known bigint, size bigint, base double, score double, id {docs.schema[id_col].dataType.simpleString()}"))
-    rare = parts.where("word is not null").select("row", "word", "n").join(scored.select("word", "known", F.col("base").alias("b"), F.col("score").alias("s")), "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("known").cast("long")).alias("k"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum(F.col("n") * F.col("s")).alias("s"))
+    rare = parts.where("word is not null").select("row", "word", "n").join(known.select("word", "known", F.col("base").alias("b")), "word")
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("known").cast("long")).alias("k"), F.sum(F.col("n") * F.col("b")).alias("b"))
     whole = parts.where("word is null").join(rare, "row", "left")
+    whole = whole.join(joined_scores(numbered, scores), "row") if joins else whole.withColumn("s", F.lit(0.0))
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return whole.select(
         F.col("id").alias(id_col),
@@ -281,7 +350,7 @@ def with_id(task):
     """``task`` with the id (third input column) of each text appended to its rows."""
 
     def carried(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = dict(zip(batch.column(0).to_pylist(), range(batch.num_rows), strict=True))
             for out in task([batch]):
                 at = pa.array([ids[r] for r in out.column(0).to_pylist()], pa.int64())

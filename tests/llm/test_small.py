@@ -211,6 +211,21 @@ def test_context_tree_against_direct_mixture():
             assert p[j, i] == pytest.approx(q)
 
 
+def test_contexts_cross_words(spark, monkeypatch):
+    """Contexts are the running text's last bytes, in whole texts and in texts cut into pieces alike."""
+    own = context_tree.tokens(b"ab c a bc")
+    stream = b" " * context_tree.DEPTH + b"ab c a bc " + context_tree.END
+    plainly = [int.from_bytes(stream[i : i + context_tree.DEPTH + 1]) for i in range(len(stream) - context_tree.DEPTH)]
+    assert context_tree.word_grams(own)[0].tolist() == plainly
+    monkeypatch.setattr(context_tree, "CHUNK", 2)
+    grams, text = (np.concatenate(x) for x in zip(*context_tree.running_grams([b"ab c a bc", None, b"ab c a bc"]), strict=True))
+    assert grams.tolist() == [*plainly, plainly[0] >> 8 << 8 | 255, *plainly] and text.tolist() == [0] * len(plainly) + [1] + [2] * len(plainly)
+    pairs = [(k, "a b c d " * 50) for k in range(20)] + [(100, "a b c d a b c d"), (101, "d b a c c a d b")]
+    found = context_tree.context_tree_scores(spark.createDataFrame(pairs, "doc_id long, text string"), F.col("doc_id") < 20)
+    scores = {r.doc_id: r.score for r in found.collect()}
+    assert scores[100] > scores[101] + 5
+
+
 def test_score_join_is_the_broadcast(docs, monkeypatch):
     wide = {r.doc_id: r.score for r in context_tree.context_tree_scores(docs, F.lit(True)).collect()}
     monkeypatch.setattr(context_tree, "BROADCAST_GRAMS", 0)
