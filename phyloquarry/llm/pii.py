@@ -30,7 +30,7 @@ ROUNDS = 8
 #: Candidates by kind, in order of preference where several begin at one place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-ASSIGNED = r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{12,200}"
+ASSIGNED = r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{12,}+"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 ISO_DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\w/-])"
 DAY_DATE = r"(?<![\w/.-])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])"
@@ -64,14 +64,13 @@ def number(digest: Column, modulus: int) -> Column:
 def shifted(half: Column, digest: Column) -> Column:
     """Each ASCII letter or digit of ``half`` moved within its class by three hexadecimal digits of the digest."""
 
-    def one(i: Column) -> Column:
-        c = F.substr(half, i, F.lit(1))
-        step = F.conv(F.substr(digest, (i - 1) % 42 * 3 + 1, F.lit(3)), 16, 10).cast("int")
+    def one(c: Column, i: Column) -> Column:
+        step = F.conv(F.substr(digest, i % 42 * 3 + 1, F.lit(3)), 16, 10).cast("int")
         code = F.ascii(c)
         moved = lambda first, size: F.char(F.lit(first) + (code - first + step) % size)
         return F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 122), moved(97, 26)).when(code.between(65, 90), moved(65, 26)).otherwise(c)
 
-    return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")).otherwise(half)
+    return F.when(F.length(half) > 0, F.array_join(F.transform(F.split(half, ""), one), "")).otherwise(half)
 
 
 def permuted(value: Column, key: str, kind: str) -> Column:

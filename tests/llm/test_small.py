@@ -151,6 +151,19 @@ def test_phrases_with_repeats_inside(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=key) == sorted(removed_brute(data), key=key)
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    draw = random.Random(4)
+    value = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(5000))
+    texts = [f"token={value} end", f"token: '{value[:201]}' end", f"again Secret = {value}"]
+    first, short, again = pii.pseudonymise(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_private for r in (first, short, again)] == [1, 1, 1]
+    new = first.text.removeprefix("token=").removesuffix(" end")
+    assert len(new) == 5000 and again.text == f"again Secret = {new}"
+    assert not any(value[i : i + 12] in r.text for r in (first, short, again) for i in range(len(value) - 11))
+    kind = lambda c: (c.isdigit(), c.islower(), c.isupper(), c in "+/" and c)
+    assert [kind(c) for c in new] == [kind(c) for c in value]
+
+
 # language model
 
 
