@@ -1,7 +1,7 @@
 """Trees as adjacency tables: order, clades, consensus, intervals.
 
-A tree is rows (tree, node, parent, height). Descendants come from joining each node with its ancestors, level by
-level: as many joins as the tree is deep, over all trees at once.
+A tree is rows (tree, node, parent, height). Descendants come from joining each node with its ancestors, whose
+distance doubles with each join: as many joins as the depth has binary digits, over all trees at once.
 """
 
 from __future__ import annotations
@@ -10,28 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(tree, node, ancestor, steps) pairs, each node being its own ancestor in 0 steps."""
-    edges = nodes.where("parent IS NOT NULL").select("tree", F.col("node").alias("ancestor"), F.col("parent"))
-    level = nodes.select("tree", "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
-    out = level
-    depth = max_depth(nodes, most)
-    for step in range(1, depth + 1):
-        level = level.join(edges, ["tree", "ancestor"]).select("tree", "node", F.col("parent").alias("ancestor"), F.lit(step).alias("steps"))
-        out = out.unionByName(level)
-    return out
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed now, its lineage cut: in the checkpoint folder, or in executors where there is none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
 
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(tree, node, ancestor, steps) pairs, each node being its own ancestor in 0 steps; an error if there is a cycle.
 
-def max_depth(nodes: DataFrame, most: int = 64) -> int:
-    """Levels below the root, found by climbing all trees at once; only edges are kept, and only meanwhile."""
-    edges = nodes.where("parent IS NOT NULL").select("tree", F.col("node").alias("at"), F.col("parent").alias("up")).cache()
-    climb = edges.select("tree", F.col("up").alias("at")).distinct()
-    depth = 0
-    while depth < most and climb.take(1):
-        depth += 1
-        climb = climb.join(edges, ["tree", "at"]).select("tree", F.col("up").alias("at")).distinct()
-    edges.unpersist()
-    return depth
+    ``jump`` leads from nodes to their ancestors 1, 2, 4, ... steps up, until nobody has one.
+    """
+    out = kept(nodes.select("tree", "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")))
+    jump = kept(nodes.where("parent IS NOT NULL").select("tree", F.col("node").alias("ancestor"), F.col("parent").alias("up")))
+    most = out.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    far = 1
+    while jump.take(1):
+        if far > most:
+            raise ValueError("a tree has a cycle")
+        higher = out.join(jump, ["tree", "ancestor"]).select("tree", "node", F.col("up").alias("ancestor"), (F.col("steps") + far).alias("steps"))
+        out = kept(out.unionByName(higher))
+        jump = kept(jump.join(jump.select("tree", F.col("ancestor").alias("up"), F.col("up").alias("top")), ["tree", "up"]).select("tree", "ancestor", F.col("top").alias("up")))
+        far *= 2
+    return out
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
