@@ -7,14 +7,18 @@ work is spread over patterns and no shuffle follows the one that gathers a patte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Assignments handed on at once.
+ROWS = 10_000
+
 #: Relative rates between genotypes, by row; the diagonal is left out.
 RATES = {
     4: [[1, 0, 0], [1 / 6, 1 / 6, 1 / 3], [0, 1 / 3, 2 / 3], [0, 1 / 3, 1 / 3]],
@@ -137,8 +141,8 @@ def sum_product(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray]) -> n
     return partial[tree.root]
 
 
-def max_sum(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0, most: int = 64) -> list[tuple[float, list[tuple[int, ...]]]]:
-    """For each pattern the best log likelihood and all assignments of genotypes to nodes that reach it (``most`` at most)."""
+def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0) -> Iterator[tuple[float, Iterator[tuple[int, ...]]]]:
+    """For each pattern the best log likelihood and, one at a time, all assignments of genotypes to nodes that reach it."""
     with np.errstate(divide="ignore"):
         log_p = [np.log(m) for m in matrices]
     best = {i: leaves[i] for i in range(tree.n_tips)}
@@ -151,16 +155,34 @@ def max_sum(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_sta
             ties[c] = both >= top[..., None] - 1e-12
             total = total + top
         best[node] = total
-    out = []
+    down, todo = [], [tree.root]
+    while todo:
+        down.append(todo.pop())
+        todo += reversed(tree.children(down[-1]))
+
+    def walk(k: int) -> Iterator[tuple[int, ...]]:
+        """Every choice at a node goes on to at least one below, so nothing but the path is held."""
+        state = [root_state] * len(tree.parent)
+        choices = [iter([root_state])]
+        while choices:
+            node = down[len(choices) - 1]
+            if (g := next(choices[-1], None)) is None:
+                choices.pop()
+                continue
+            state[node] = g
+            if len(choices) == len(down):
+                yield tuple(state)
+            else:
+                below = down[len(choices)]
+                choices.append(iter(np.flatnonzero(ties[below][k, state[tree.parent[below]]]).tolist()))
+
     for k in range(leaves.shape[1]):
+        yield float(best[tree.root][k, root_state]), walk(k)
 
-        def below(node: int, state: int, k: int = k) -> list[dict[int, int]]:
-            options = [[s for g in np.flatnonzero(ties[c][k, state]) for s in below(c, int(g))] for c in tree.children(node)]
-            return [{node: state} | {i: g for part in parts for i, g in part.items()} for parts in product(*options)][:most]
 
-        found = below(tree.root, root_state)
-        out.append((float(best[tree.root][k, root_state]), [tuple(a[i] for i in range(len(tree.parent))) for a in found]))
-    return out
+def max_sum(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0, most: int | None = None) -> list[tuple[float, list[tuple[int, ...]]]]:
+    """``tied_assignments`` as lists, of all ties or the first ``most``."""
+    return [(score, list(islice(found, most))) for score, found in tied_assignments(leaves, tree, matrices, root_state)]
 
 
 def gathered(partials: DataFrame) -> DataFrame:
@@ -192,8 +214,9 @@ def best_assignments(partials: DataFrame, tree: Tree, matrices: list[np.ndarray]
     def batchwise(frames):
         for frame in frames:
             leaves = np.stack(frame["leaves"]).astype(float).reshape(len(frame), tree.n_tips, states).transpose(1, 0, 2)
-            rows = [(p, s, ",".join(map(str, a))) for p, (s, found) in zip(frame["pattern"], max_sum(leaves, tree, matrices), strict=True) for a in found]
-            yield pd.DataFrame(rows, columns=["pattern", "log_likelihood", "assignment"])
+            rows = ((p, s, ",".join(map(str, a))) for p, (s, found) in zip(frame["pattern"], tied_assignments(leaves, tree, matrices), strict=True) for a in found)
+            while part := list(islice(rows, ROWS)):
+                yield pd.DataFrame(part, columns=["pattern", "log_likelihood", "assignment"])
 
     kind = partials.schema["pattern"].dataType.simpleString()
     return gathered(partials).mapInPandas(batchwise, f"pattern {kind}, log_likelihood double, assignment string")

@@ -74,3 +74,12 @@ def test_dataframe_form(spark):
         assert found[p] == pytest.approx(brute(lik[p], lambda s: np.logaddexp.reduce(list(s.values()))))
     best = lk.best_assignments(df, TREE, matrices())
     assert best.select(F.count_distinct("pattern").alias("n")).first().n == 5
+
+
+def test_best_assignments_has_every_tie(spark, monkeypatch):
+    monkeypatch.setattr(lk, "ROWS", 50)
+    even = [np.full((4, 4), 0.25) for _ in TREE.parent]
+    df = spark.createDataFrame([(0, c, [0.0] * 4) for c in range(4)], "pattern long, cell long, lik array<double>")
+    found = [r.assignment for r in lk.best_assignments(df, TREE, even).collect()]
+    free = len(TREE.parent) - 1
+    assert len(found) == len(set(found)) == 4**free > 64
