@@ -475,22 +475,45 @@ def _leaf_likelihoods(r):
 SMALL_TREE = likelihood.Tree(parent=(4, 4, 5, 5, 6, 6, 7, -1), length=(0.3, 0.3, 0.2, 0.2, 0.4, 0.5, 0.7, 0.0), n_tips=4)
 
 
-def _small_matrices():
+def cell_tree(n: int) -> likelihood.Tree:
+    """A binary tree with a trunk over ``n`` cells: neighbours are joined until one node is left."""
+    level, parent = list(range(n)), {}
+    while len(level) > 1:
+        first = n + len(set(parent.values()))
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        above = [first + i if len(p) == 2 else p[0] for i, p in enumerate(pairs)]
+        parent |= {c: up for up, p in zip(above, pairs, strict=True) if len(p) == 2 for c in p}
+        level = above
+    top = n + len(set(parent.values()))
+    parent |= {level[0]: top, top: -1}
+    return likelihood.Tree(tuple(parent[i] for i in range(top + 1)), (*(0.2 + 0.1 * (i % 4) for i in range(top)), 0.0), n)
+
+
+def all_cells(r):
+    """The tree of all cells of ``r``, and ``r`` with cells numbered as its tips."""
+    cells = sorted(x.cell for x in r.select("cell").distinct().collect())  # one row a cell
+    tips = F.create_map(*[F.lit(x) for pair in zip(cells, range(len(cells)), strict=True) for x in pair])
+    return cell_tree(len(cells)), r.withColumn("cell", tips[F.col("cell")])
+
+
+def _cell_matrices(tree):
     q = likelihood.rate_matrix(4)
-    return [likelihood.transition(q, t) for t in SMALL_TREE.length]
+    return [likelihood.transition(q, t) for t in tree.length]
 
 
 @query("reads")
 def t02_tree_log_likelihood(r):
-    partials = _leaf_likelihoods(r.where("cell < 4")).withColumnRenamed("site", "pattern")
-    found = likelihood.pattern_log_likelihoods(partials, SMALL_TREE, [_small_matrices()], [1.0], [1.0, 0.0, 0.0, 0.0])
+    tree, r = all_cells(r)
+    partials = _leaf_likelihoods(r).withColumnRenamed("site", "pattern")
+    found = likelihood.pattern_log_likelihoods(partials, tree, [_cell_matrices(tree)], [1.0], [1.0, 0.0, 0.0, 0.0])
     return found.withColumn("log_likelihood", r6("log_likelihood"))
 
 
 @query("reads")
 def t04_best_assignments(r):
-    partials = _leaf_likelihoods(r.where("cell < 4")).withColumnRenamed("site", "pattern")
-    return likelihood.best_assignments(partials, SMALL_TREE, _small_matrices()).withColumn("log_likelihood", r6("log_likelihood"))
+    tree, r = all_cells(r)
+    partials = _leaf_likelihoods(r).withColumnRenamed("site", "pattern")
+    return likelihood.best_assignments(partials, tree, _cell_matrices(tree)).withColumn("log_likelihood", r6("log_likelihood"))
 
 
 @query("reads", "WITH x AS (SELECT site, cell % 3 AS alleles, cov / (1 + cell / 10.0) AS q, 1 / (1 + cell / 10.0) AS i, cell % 2 + 1 AS weight FROM reads WHERE cov > 0), e AS (SELECT site, weight, alleles, avg(q) AS q, var_samp(q) AS w, avg(i) AS i FROM x GROUP BY site, weight, alleles), c AS (SELECT site, weight, avg(q / (alleles + 1e-6)) AS t, avg(CASE WHEN w - q * i > 0 THEN (w - q * i) / ((alleles + 1e-6) * (alleles + 1e-6)) END) AS v FROM e GROUP BY site, weight) SELECT site, round(sum(weight * t) / sum(weight), 3) AS allelic_cov, round(coalesce(sum(weight * v) / sum(weight) FILTER (v IS NOT NULL), 0), 0) AS raw_var FROM c GROUP BY site")

@@ -10,7 +10,7 @@ from ..functions import distributions, special
 from ..operators import calls, genes, likelihood, messages, reads, summaries, trees
 from ..sinks import text as sinks
 from ..sources import text as sources
-from .catalog import SMALL_TREE, clade_query, query, r6
+from .catalog import SMALL_TREE, all_cells, clade_query, query, r6
 
 Q4 = likelihood.rate_matrix(4)
 
@@ -27,33 +27,55 @@ def f22_gamma_rates(r):
     return r.sparkSession.createDataFrame(rows, "shape double, category int, rate double").withColumn("rate", r6("rate"))
 
 
-LOG_P = [[[log(x) if x > 0 else None for x in row] for row in likelihood.transition(Q4, t).tolist()] for t in SMALL_TREE.length]
-BRANCH_ROWS = [(n, SMALL_TREE.parent[n], g, h, LOG_P[n][g][h]) for n in range(4) for g in range(4) for h in range(4) if LOG_P[n][g][h] is not None]
+def branch_rows(tree):
+    """(node, parent, from_state, state, log_p) of the branches above the tips."""
+    p = {n: likelihood.transition(Q4, tree.length[n]).tolist() for n in range(tree.n_tips)}
+    return [(n, tree.parent[n], g, h, log(p[n][g][h])) for n in p for g in range(4) for h in range(4) if p[n][g][h] > 0]
+
+
+BRANCH_ROWS = branch_rows(SMALL_TREE)
 BRANCH_VALUES = ", ".join(f"({n}, {p}, {g}, {h}, {x!r}::DOUBLE)" for n, p, g, h, x in BRANCH_ROWS)
 CHILD_SQL = "k AS (SELECT site AS pattern, cell::INT AS node, s AS state, -(cov % (s + 3)) / 2.0 AS loglik FROM reads, (VALUES (0), (1), (2), (3)) v(s) WHERE cell < 4)"
 
 
 def _children(r):
     state = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("state")
-    rows = r.where("cell < 4").select(F.col("site").alias("pattern"), F.col("cell").cast("int").alias("node"), "cov", state)
+    rows = r.select(F.col("site").alias("pattern"), F.col("cell").cast("int").alias("node"), "cov", state)
     return rows.select("pattern", "node", "state", (-(F.col("cov") % (F.col("state") + 3)) / 2.0).alias("loglik"))
 
 
-def _branches(r):
-    return r.sparkSession.createDataFrame(BRANCH_ROWS, "node int, parent int, from_state int, state int, log_p double")
+def _branches(r, rows=BRANCH_ROWS):
+    return r.sparkSession.createDataFrame(rows, "node int, parent int, from_state int, state int, log_p double")
 
 
 @query("reads", f"WITH {CHILD_SQL}, b(node, parent, from_state, state, log_p) AS (VALUES {BRANCH_VALUES}), m AS (SELECT pattern, parent, from_state, node, ln(sum(exp(loglik + log_p))) AS x FROM k JOIN b USING (node, state) GROUP BY ALL) SELECT pattern, parent, from_state, round(sum(x), 6) + 0.0 AS message FROM m GROUP BY pattern, parent, from_state")
 def j16_contracted_messages(r):
-    found = messages.contracted(_children(r), F.broadcast(_branches(r)))  # 64 rows
+    found = messages.contracted(_children(r.where("cell < 4")), F.broadcast(_branches(r)))  # 64 rows
+    return found.withColumn("message", r6("message") + 0.0)
+
+
+@query("reads")
+def j16_contracted_messages_all_cells(r):
+    tree, r = all_cells(r)
+    found = messages.contracted(_children(r), F.broadcast(_branches(r, branch_rows(tree))))  # 16 rows a cell
     return found.withColumn("message", r6("message") + 0.0)
 
 
 @query("reads", f"WITH {CHILD_SQL}, b(node, parent, from_state, state, log_p) AS (VALUES {BRANCH_VALUES}) SELECT pattern, node, state, round(loglik + log_p, 6) AS transfer FROM k JOIN b USING (node, state) WHERE from_state = (pattern + parent) % 4")
 def t11_transfer(r):
-    chosen = r.select(F.col("site").alias("pattern")).distinct().select("pattern", F.explode(F.array(F.lit(4), F.lit(5))).alias("node"))
+    return _transferred(r.where("cell < 4"), [4, 5], BRANCH_ROWS)
+
+
+@query("reads")
+def t11_transfer_all_cells(r):
+    tree, r = all_cells(r)
+    return _transferred(r, sorted(set(tree.parent[: tree.n_tips])), branch_rows(tree))
+
+
+def _transferred(r, parents, rows):
+    chosen = r.select(F.col("site").alias("pattern")).distinct().select("pattern", F.explode(F.array(*map(F.lit, parents))).alias("node"))
     chosen = chosen.withColumn("state", ((F.col("pattern") + F.col("node")) % 4).cast("int"))
-    return messages.transfer(_children(r), chosen, F.broadcast(_branches(r))).withColumn("transfer", r6("transfer"))
+    return messages.transfer(_children(r), chosen, F.broadcast(_branches(r, rows))).withColumn("transfer", r6("transfer"))
 
 
 @query("reads", "SELECT site, round(ln(sum(exp(ln((cell + 1) / 136.0) - cov / 50.0))), 6) AS log_likelihood FROM reads GROUP BY site")
@@ -69,7 +91,16 @@ def a43_best_categories(r):
 
 @query("calls", "WITH c AS (SELECT site % 200 AS pattern, site, string_agg(genotype::VARCHAR, ',' ORDER BY cell) AS alleles FROM calls WHERE cell < 3 GROUP BY site) SELECT pattern, alleles, count(*) AS weight FROM c GROUP BY pattern, alleles")
 def a44_allele_patterns(c):
-    rows = c.where("cell < 3").select((F.col("site") % 200).alias("pattern"), F.col("site").alias("combo"), "cell", F.col("genotype").alias("n_alleles"))
+    return _allele_patterns(c.where("cell < 3"))
+
+
+@query("calls")
+def a44_allele_patterns_all_cells(c):
+    return _allele_patterns(c)
+
+
+def _allele_patterns(c):
+    rows = c.select((F.col("site") % 200).alias("pattern"), F.col("site").alias("combo"), "cell", F.col("genotype").alias("n_alleles"))
     return messages.allele_patterns(rows, ["pattern"])
 
 

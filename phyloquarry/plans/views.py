@@ -37,12 +37,12 @@ VIEWS = {
         UNION ALL SELECT tree, concat('n', CAST(n_nationkey AS VARCHAR(8))), concat('r', CAST((n_regionkey + CASE WHEN n_nationkey % 4 = 0 THEN tree ELSE 0 END) % 5 AS VARCHAR(8))),
           1 + n_nationkey / 100.0 + tree / 1000.0 FROM {nation} CROSS JOIN {tree_ids}
         UNION ALL SELECT tree, concat('s', CAST(s_suppkey AS VARCHAR(12))), concat('n', CAST((s_nationkey + CASE WHEN s_suppkey % 5 = 0 THEN tree ELSE 0 END) % 25 AS VARCHAR(8))), CAST(0 AS DOUBLE)
-          FROM {supplier} CROSS JOIN {tree_ids} WHERE s_suppkey <= 60""",
+          FROM {supplier} CROSS JOIN {tree_ids}""",
     "node_gt": """SELECT s.site, n.node, CASE WHEN n.node IN ('root', 'trunk') THEN '0/0'
           WHEN (s.site + length(n.node) * 7 + ascii(substr(n.node, length(n.node), 1))) % 11 = 0 THEN '1/1'
           WHEN (s.site + length(n.node) * 5 + ascii(substr(n.node, length(n.node), 1))) % 7 = 0 THEN '0/1'
           WHEN (s.site + length(n.node) + ascii(substr(n.node, length(n.node), 1))) % 17 = 0 THEN '1/2' ELSE '0/0' END AS genotype
-        FROM {sites} s CROSS JOIN {nodes} n WHERE n.tree = 0 AND substr(n.node, 1, 1) <> 's' AND s.site <= 400""",
+        FROM {sites} s CROSS JOIN {nodes} n WHERE n.tree = 0 AND substr(n.node, 1, 1) <> 's'""",
     "calls": """SELECT site, cell, cov, CASE WHEN cov = 0 THEN 0 WHEN (r1 + r2) * 3 < cov THEN 0 WHEN ref_reads * 3 < cov THEN 2 ELSE 1 END AS genotype FROM {reads}""",
 }
 
