@@ -6,7 +6,8 @@ Rows are shuffled by a seeded hash, ranked within their source, put in the order
 Ranks are taken in two levels so that no window spans a whole source: about sqrt(N) hash buckets a source, a
 row_number inside each bucket and a running total over bucket counts. The global order uses about sqrt(N)
 buckets of the fractional rank in the same way. A source with a third of all rows is thus many groups, and no
-task or running total sees more than about sqrt(N) rows at once. Only narrow columns are shuffled, never text.
+task or running total sees more than about sqrt(N) rows at once. Ranks are taken on narrow columns; documents are
+numbered, written once and joined with their places, so their text is shuffled once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from math import isqrt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, utf8_bytes
+from .common import table, utf8_bytes, written
 
 HASH_BITS = 60
 
@@ -28,12 +29,13 @@ def stratified_shards(docs: DataFrame, n_shards: int = 16, seed: str = "shard",
     are separate rows whose order among themselves is free. An empty table gives no rows. Other columns of
     ``docs`` whose names do not begin with ``_`` are kept; text is no special case.
     """
-    n = docs.count()
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    n = numbered.count()
     buckets = isqrt(n) + 1
-    keep = [F.col(c) for c in docs.columns]
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.select(
-        *keep,
+    rows = numbered.select(
+        "_row",
+        *dict.fromkeys([id_col, source_col]),
         F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("source "), F.col(source_col).cast("string"))).alias("_stratum"),
         F.conv(F.substring(seeded, 1, HASH_BITS // 4), 16, 10).cast("long").alias("_key"),
     ).withColumn("_bucket", F.floor(F.shiftright("_key", HASH_BITS - 30) * F.lit(buckets) / F.lit(1 << 30)))
@@ -55,19 +57,17 @@ def stratified_shards(docs: DataFrame, n_shards: int = 16, seed: str = "shard",
     placed = placed.withColumn("_position", F.col("_first") + F.col("_in_slice") - 1)
     total = max(n, 1)
     shard = F.expr(f"(_position * {n_shards}) div {total}")
-    return placed.withColumn("shard", shard.cast("int")).select(*keep, "shard", F.expr(f"_position - (shard * {total}L + {n_shards - 1}) div {n_shards}").alias("slot"))
+    places = placed.select("_row", shard.cast("int").alias("_shard"), "_position")
+    slot = F.expr(f"_position - (_shard * {total}L + {n_shards - 1}) div {n_shards}")
+    whole = numbered.join(places, "_row")
+    return whole.select(*[F.col("_shard" if c == "shard" else c).alias(c) for c in docs.columns], F.col("_shard").alias("shard"), slot.alias("slot"))
 
 
 def op2_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in shards 0 to 15 under the law ``rows``; the method has no groups of equal texts."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        "source",
-        (utf8_bytes(F.col("text")) + 1).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-    )
-    placed = stratified_shards(docs)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+    placed = stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    size, crc = utf8_bytes(F.col("text")) + 1, F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 ORACLE = """

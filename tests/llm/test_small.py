@@ -164,6 +164,17 @@ def test_long_secrets_are_replaced_whole(spark):
     assert [kind(c) for c in new] == [kind(c) for c in value]
 
 
+def test_sharding_query_moves_texts(spark, monkeypatch):
+    given = []
+    operator = sharding.stratified_shards
+    monkeypatch.setattr(sharding, "stratified_shards", lambda docs, *a, **k: given.append(operator(docs, *a, **k)) or given[-1])
+    sf = "/root/testdata/sf0.001"
+    got = sharding.op2_stratified_sharding(spark, sf).collect()
+    assert {"text", "shard", "slot"} <= set(given[0].columns)
+    texts = Counter(r.text for r in given[0].collect())
+    assert texts == Counter(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()) and len(got) == sum(texts.values())
+
+
 # language model
 
 
