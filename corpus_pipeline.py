@@ -61,7 +61,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: SQL has no counterpart for the fitted classifier, the pseudonyms and the merges; tests compare with brute force.
+#: SQL has no counterpart for the fitted classifier, the pseudonyms and the merges; tests compare its stages with run().
 ORACLE_SQL = None
 
 
