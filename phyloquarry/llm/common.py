@@ -14,26 +14,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``. Unset, it is an error on a cluster; one machine (tests) gets a local one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            import tempfile
+        if not sc.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
 
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below ``shared_dir``."""
+    return f"{shared_dir(spark)}/written-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors. See ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables this application has written; call it when no result is read any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, for explicit repartitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
