@@ -23,44 +23,47 @@ HASH_BITS = 60
 
 
 def stratified_shards(docs: DataFrame, n_shards: int = 16, seed: str = "shard", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs``' id and source with ``shard`` (0 .. n_shards-1) and gapless ``slot`` (0 ..) of each row.
+    """All columns of ``docs`` with ``shard`` (0 .. n_shards-1) and gapless ``slot`` (0 ..) of each row.
 
-    Shard sizes are at most one row apart. A null source is a stratum of its own. Rows with an equal or null id
-    are separate rows whose order among themselves is free. An empty table gives no rows. Other columns of
-    ``docs`` whose names do not begin with ``_`` are kept; text is no special case.
+    Shard sizes are at most one row apart. Columns named ``shard`` or ``slot`` are replaced, all others kept; text
+    is no special case, so nulls, empty and long texts are rows like any other. A null source is a stratum of its
+    own. Rows with an equal id, repeated rows among them, are separate rows in the order of the numbers they are
+    written with, so that a repeated task gives the same places; rows with a null id are shuffled by that number.
+    An empty table gives no rows.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    row = F.monotonically_increasing_id()
+    numbered = written(docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
     n = numbered.count()
     buckets = isqrt(n) + 1
-    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("row").cast("string")))))
     rows = numbered.select(
-        "_row",
-        *dict.fromkeys([id_col, source_col]),
-        F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("source "), F.col(source_col).cast("string"))).alias("_stratum"),
-        F.conv(F.substring(seeded, 1, HASH_BITS // 4), 16, 10).cast("long").alias("_key"),
-    ).withColumn("_bucket", F.floor(F.shiftright("_key", HASH_BITS - 30) * F.lit(buckets) / F.lit(1 << 30)))
-    counts = rows.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    per_source = Window.partitionBy("_stratum")
+        "row",
+        "id",
+        F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("source "), F.col("source").cast("string"))).alias("stratum"),
+        F.conv(F.substring(seeded, 1, HASH_BITS // 4), 16, 10).cast("long").alias("key"),
+    ).withColumn("bucket", F.floor(F.shiftright("key", HASH_BITS - 30) * F.lit(buckets) / F.lit(1 << 30)))
+    counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    per_source = Window.partitionBy("stratum")
     counts = counts.select(
-        "_stratum",
-        "_bucket",
-        (F.sum("_n").over(per_source.orderBy("_bucket")) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(per_source).alias("_in_source"),
+        "stratum",
+        "bucket",
+        (F.sum("n").over(per_source.orderBy("bucket")) - F.col("n")).alias("before"),
+        F.sum("n").over(per_source).alias("in_source"),
     )
-    ranked = rows.withColumn("_in_bucket", F.row_number().over(Window.partitionBy("_stratum", "_bucket").orderBy("_key", id_col)))
-    ranked = ranked.join(counts, ["_stratum", "_bucket"]).withColumn("_odd", 2 * (F.col("_before") + F.col("_in_bucket")) - 1)
-    ranked = ranked.withColumn("_fraction", F.col("_odd") / (2 * F.col("_in_source"))).withColumn("_slice", F.floor(F.col("_fraction") * buckets))
-    slices = ranked.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    slices = slices.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_first"))
-    ordered = Window.partitionBy("_slice").orderBy("_fraction", "_key", id_col)
-    placed = ranked.withColumn("_in_slice", F.row_number().over(ordered)).join(slices, "_slice")
-    placed = placed.withColumn("_position", F.col("_first") + F.col("_in_slice") - 1)
+    ranked = rows.withColumn("in_bucket", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("key", "id", "row")))
+    ranked = ranked.join(counts, ["stratum", "bucket"]).withColumn("odd", 2 * (F.col("before") + F.col("in_bucket")) - 1)
+    ranked = ranked.withColumn("fraction", F.col("odd") / (2 * F.col("in_source"))).withColumn("slice", F.floor(F.col("fraction") * buckets))
+    slices = ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    slices = slices.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("first"))
+    ordered = Window.partitionBy("slice").orderBy("fraction", "key", "id", "row")
+    placed = ranked.withColumn("in_slice", F.row_number().over(ordered)).join(slices, "slice")
+    placed = placed.withColumn("position", F.col("first") + F.col("in_slice") - 1)
     total = max(n, 1)
-    shard = F.expr(f"(_position * {n_shards}) div {total}")
-    places = placed.select("_row", shard.cast("int").alias("_shard"), "_position")
-    slot = F.expr(f"_position - (_shard * {total}L + {n_shards - 1}) div {n_shards}")
-    whole = numbered.join(places, "_row")
-    return whole.select(*[F.col("_shard" if c == "shard" else c).alias(c) for c in docs.columns], F.col("_shard").alias("shard"), slot.alias("slot"))
+    shard = F.expr(f"(position * {n_shards}) div {total}")
+    places = placed.select("row", shard.cast("int").alias("shard"), "position")
+    slot = F.expr(f"position - (shard * {total}L + {n_shards - 1}) div {n_shards}")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return numbered.select("row", "doc").join(places, "row").select(*kept, "shard", slot.alias("slot"))
 
 
 def op2_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
