@@ -24,8 +24,8 @@ TOP, SCALE = 5, 256
 #: Queries a cell is meant to have, pivots at least and at most, queries in a set, rows of a block, rows a salt.
 PER_CELL, LEAST_PIVOTS, MOST_PIVOTS = 256, 8, 256
 QUERY_SET, BLOCK, PER_SALT = 512, 4096, 20_000
-#: Rows that share an id for which the bound makes allowance; with more, nothing is pruned.
-MOST_OWN = 100
+#: Sums of at least this size aren't exact as doubles.
+EXACT = 1 << 53
 
 
 def usable(vector: Column) -> Column:
@@ -51,14 +51,30 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.sqrt(np.maximum(square[np.arange(len(x)), cell], 0)) + 1e-6
 
 
+def best_distinct(low: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest values of ``low`` that belong to different ids, each with its id."""
+    most = min(len(low), 8 * k)
+    while True:
+        at = np.argpartition(-low, most - 1)[:most] if most < len(low) else np.arange(len(low))
+        at = at[np.argsort(-low[at], kind="stable")]
+        first = np.sort(np.unique(ids[at], return_index=True)[1])[:k]
+        if len(first) == k or most >= len(low):
+            return low[at[first]], ids[at[first]]
+        most = min(len(low), 8 * most)
+
+
 def summaries(vectors: DataFrame, pivots: np.ndarray, dims: int, radii: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Radius and largest norm of each cell, and, given the query cells' radii, the bound each query cell reaches."""
+    """Radius and largest norm of each cell, and, given the query cells' radii, the bound each query cell reaches.
+
+    That bound is the ``k``-th highest lower bound of different ids.
+    """
     p = len(pivots)
 
     def task(batches):
-        radius, norm, low = np.full(p, -1.0), np.zeros(p), np.full((p, 0), 0.0)
+        radius, norm = np.full(p, -1.0), np.zeros(p)
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * p
         for batch in batches:
-            x = matrix(batch.column(0), dims)
+            x, ids = matrix(batch.column(1), dims), np.asarray(batch.column(0), np.int64)
             if not len(x):
                 continue
             cell, far = nearest(x, pivots)
@@ -66,49 +82,54 @@ def summaries(vectors: DataFrame, pivots: np.ndarray, dims: int, radii: np.ndarr
             np.maximum.at(radius, cell, far)
             np.maximum.at(norm, cell, size)
             if radii is not None:
-                low = np.concatenate([low, pivots @ x.T - radii[:, None] * size[None]], axis=1)
-                low = -np.partition(-low, k - 1, axis=1)[:, :k] if low.shape[1] > k else low
-        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array(radius), pa.array(norm), pa.array(low.tolist(), pa.list_(pa.float64()))], ["cell", "radius", "norm", "low"])
+                low = pivots @ x.T - radii[:, None] * size[None]
+                best = [best_distinct(np.concatenate([b, one]), np.concatenate([i, ids]), k) for (b, i), one in zip(best, low, strict=True)]
+        kinds = pa.list_(pa.float64()), pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array(radius), pa.array(norm), pa.array([b.tolist() for b, _ in best], kinds[0]), pa.array([i.tolist() for _, i in best], kinds[1])], ["cell", "radius", "norm", "low", "ids"])
 
-    each = vectors.select("v").mapInArrow(task, "cell int, radius double, norm double, low array<double>")
-    best = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("low")))), 1, k)
-    rows = each.groupBy("cell").agg(F.max("radius").alias("radius"), F.max("norm").alias("norm"), best.alias("low")).collect()  # a row for each pivot
+    each = vectors.select("id", "v").mapInArrow(task, "cell int, radius double, norm double, low array<double>, ids array<bigint>")
+    each = each if radii is None else written(each)
     radius, norm, reach = np.full(p, -1.0), np.zeros(p), np.full(p, -np.inf)
-    for r in rows:
+    for r in each.groupBy("cell").agg(F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect():  # a row for each pivot
         radius[r.cell], norm[r.cell] = r.radius, r.norm
-        if radii is not None and len(r.low) == k:
-            reach[r.cell] = r.low[-1]
+    if radii is not None:
+        lows = each.select("cell", F.explode(F.arrays_zip("ids", "low")).alias("z")).groupBy("cell", "z.ids").agg(F.max("z.low").alias("low"))
+        down = Window.partitionBy("cell").orderBy(F.desc("low"))
+        for r in lows.withColumn("place", F.row_number().over(down)).where(F.col("place") == k).collect():  # a row for each pivot
+            reach[r.cell] = r.low
     return radius, norm, reach
 
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of each query over rows of other ids.
 
-    Components become floor(256 x) as double; sums are exact below 2**53. Ties go to the smaller id. Rows with a
-    null id, a null vector or null or non-finite components take no part; vectors of other lengths are filled up
+    Components become floor(256 x) as double and travel in the smallest type that holds them all; where sums may
+    reach 2**53 they are taken over whole numbers (a score beyond 64 bits is an error). Ties go to the smaller id. Rows whose id is null or no 64-bit
+    number, a null vector or null or non-finite components take no part; vectors of other lengths are filled up
     with zeros. Repeated query rows count once, repeated data rows each. Empty tables give no rows; other columns
     play no part.
     """
     spark = data.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    clean = lambda df: df.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows, asked = clean(data), clean(queries).distinct()
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    asked_sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    measures = F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("high")
+    sizes, asked_sizes = rows.agg(*measures).first(), asked.agg(*measures).first()
     if not sizes.n or not asked_sizes.n:
         return empty
     dims = max(sizes.d, asked_sizes.d, 1)
+    highest = SCALE * max(sizes.high or 0.0, asked_sizes.high or 0.0) + 1
+    kind = next((np.dtype(t) for t in ("<i2", "<i4") if highest < np.iinfo(t).max), np.dtype("<f8"))
+    whole = dims * highest * highest >= EXACT
     wanted = min(max(ceil(asked_sizes.n / PER_CELL), LEAST_PIVOTS), MOST_PIVOTS)
     picked = asked.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(wanted).collect()  # at most MOST_PIVOTS vectors
     pivots = np.unique(matrix(pa.array([r.v for r in picked], pa.list_(pa.float64())), dims), axis=0)
-    own = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n  # a query's own rows don't count
     radii, _, _ = summaries(asked, pivots, dims, None, 1)
-    data_radii, norms, reach = summaries(rows, pivots, dims, np.maximum(radii, 0), k + min(own, MOST_OWN))
-    if own > MOST_OWN:
-        reach[:] = -np.inf
+    data_radii, norms, reach = summaries(rows, pivots, dims, np.maximum(radii, 0), k + 1)  # a query's own rows don't count
     lengths = np.linalg.norm(pivots, axis=1)
-    cell_high = pivots @ pivots.T + lengths[:, None] * data_radii[None] + radii[:, None] * norms[None] + 1e-3
-    needed = (radii[:, None] >= 0) & (data_radii[None] >= 0) & (cell_high >= reach[:, None])
+    slack = 1e-3 + 1e-11 * dims * highest * highest  # what rounding can make of sums of this size
+    cell_high = pivots @ pivots.T + lengths[:, None] * data_radii[None] + radii[:, None] * norms[None] + slack
+    needed = (radii[:, None] >= 0) & (data_radii[None] >= 0) & ~(cell_high < reach[:, None])
     salts = max(1, ceil(sizes.n / PER_SALT))
 
     def blocks(batches):
@@ -117,12 +138,12 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
                 part = batch.slice(start, BLOCK)
                 ids, x = np.asarray(part.column(0), np.int64), matrix(part.column(1), dims)
                 cell, _ = nearest(x, pivots)
-                high = pivots @ x.T + np.maximum(radii, 0)[:, None] * np.linalg.norm(x, axis=1)[None] + 1e-3
-                keep = needed[:, cell] & (high >= reach[:, None])
+                high = pivots @ x.T + np.maximum(radii, 0)[:, None] * np.linalg.norm(x, axis=1)[None] + slack
+                keep = needed[:, cell] & ~(high < reach[:, None])
                 cells = np.flatnonzero(keep.any(1))
                 salt = int(ids[0]) % salts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells, pa.int32()), pa.array([salt] * len(cells), pa.int32()), pa.array([ids[keep[c]].tobytes() for c in cells], pa.binary()), pa.array([x[keep[c]].tobytes() for c in cells], pa.binary())],
+                    [pa.array(cells, pa.int32()), pa.array([salt] * len(cells), pa.int32()), pa.array([ids[keep[c]].tobytes() for c in cells], pa.binary()), pa.array([x[keep[c]].astype(kind).tobytes() for c in cells], pa.binary())],
                     ["cell", "salt", "ids", "x"],
                 )
 
@@ -130,7 +151,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
         for batch in batches:
             x = matrix(batch.column(1), dims)
             cell = nearest(x, pivots)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "cell", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], ["id", "cell", "q"])
 
     set_of = asked.mapInArrow(placed, "id bigint, cell int, q binary")
     in_cell = set_of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
@@ -138,23 +159,31 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
     sets = set_of.groupBy("cell", "set").agg(F.collect_list("id").alias("qids"), F.collect_list("q").alias("q"))
     sets = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
+    def numbers(packed: bytes) -> np.ndarray:
+        x = np.frombuffer(packed, kind).reshape(-1, dims).astype(np.float64)
+        return np.array([[int(v) for v in row] for row in x.tolist()], object) if whole else x
+
     def solve(batches):
         for batch in batches:
             out = [[], [], []]
             for qids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(ids, np.int64)
                 order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], np.frombuffer(x).reshape(-1, dims)[order]
-                scores = np.frombuffer(b"".join(q)).reshape(-1, dims) @ x.T
+                ids = ids[order]
+                scores = numbers(b"".join(q)) @ numbers(x)[order].T
                 for qid, s in zip(qids, scores, strict=True):
-                    s[ids == qid] = -np.inf
-                    least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                    above = np.flatnonzero(s > least)
-                    best = np.concatenate([above, np.flatnonzero(s == least)[: max(k - len(above), 0)]]) if len(s) > k else np.arange(len(s))
-                    best = best[np.isfinite(s[best])]
+                    others = np.flatnonzero(ids != qid)
+                    s = s[others]
+                    if len(s) > k:
+                        least = np.partition(s, -k)[-k]
+                        above = np.flatnonzero(s > least)
+                        best = others[np.concatenate([above, np.flatnonzero(s == least)[: k - len(above)]])]
+                        s = np.concatenate([s[s > least], s[s == least][: k - len(above)]])
+                    else:
+                        best = others
                     out[0] += [qid] * len(best)
                     out[1] += ids[best].tolist()
-                    out[2] += s[best].astype(np.int64).tolist()
+                    out[2] += [int(v) for v in s]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
     spread = rows.mapInArrow(blocks, "cell int, salt int, ids binary, x binary")
