@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Equal texts form one class, represented by the smallest id, and only representatives are compared. A text's set
+Equal texts form one class (a 128-bit digest of the text), and only one text of each class is compared. A text's set
 is its shingles of five words (a shorter text is one shingle). Each set has HASHES MinHash values in BANDS bands;
 texts that share a band meet in its bucket. A pair with similarity 0.8 misses all bands once in about 20 million.
 Buckets with the same members are kept once, by their smallest band, and a pair is judged only in its smallest
@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import partitions, table, written
 from .components import components
@@ -34,6 +33,8 @@ HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
 STEP, TOLERANCE = 32, 1e-6
 BLOCK = 384
+#: What a text with a word matches.
+WORDED = r"[^\x20\x09-\x0D]"
 #: Texts a task remembers so as not to repeat the bands of copies.
 REMEMBERED = 200_000
 
@@ -132,7 +133,7 @@ def verified(i: np.ndarray, j: np.ndarray, a: list[np.ndarray], b: list[np.ndarr
     return 10 * both >= 8 * (la[i] + lb[j] - both)
 
 
-def judge(band: int, ids: list, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[list, list, list]:
+def judge(band: int, ids: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[list, list, list]:
     """(ids, links, roots) of the members with links between the rows ``left`` and ``right`` of one bucket."""
     signatures = np.array([signature(s) for s in sets])
     keys = band_keys(signatures)
@@ -169,15 +170,13 @@ def text_class(text_col: str):
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
-def similar_pairs(reps: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, links, root) rows: members of ``reps`` (id, text, size; distinct texts) with verified links.
+def similar_classes(docs: DataFrame) -> DataFrame:
+    """(class, links, root) rows for the text classes of ``docs`` (class, id, text) with verified links.
 
-    ``links`` adds up, over an id's rows, the sizes of all similar texts; (id, root) are edges that connect what
-    is similar.
+    ``links`` adds up, over a class's rows, the sizes of all similar classes; (class, root) are edges that connect
+    what is similar. One row of each class, that of its smallest id, brings the text.
     """
-    spark = reps.sparkSession
-    kind = reps.schema[id_col].dataType.simpleString()
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
 
     def bands(batches):
         seen: set = set()
@@ -198,18 +197,17 @@ def similar_pairs(reps: DataFrame, id_col: str = "id", text_col: str = "text") -
                         ["band", "key", "class"],
                     )
 
-    docs = reps.where(F.col(text_col).isNotNull()).select(text_class(text_col).alias("class"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(docs.select("class", "text").mapInArrow(bands, "band int, key bigint, class binary").distinct())
     buckets = rows.groupBy("key").agg(F.first("band").alias("band"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("who"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("who2"))
     kept = buckets.where("n > 1").groupBy("n", "who", "who2").agg(F.min(F.struct("band", "key")).alias("b"))
     kept = kept.select("b.key", "n")
-    classes = docs.groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).where("id is not null")
+    classes = docs.groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
     member = rows.join(kept, "key").groupBy("class").agg(F.collect_list(F.struct("key", "band", "n")).alias("buckets"))  # BANDS at most
     member = member.join(classes, "class")
-    texts = docs.join(member, ["class", "id"]).dropDuplicates(["class", "id"]).select("id", "size", "text", F.xxhash64("class").alias("h"), F.inline("buckets"))
+    texts = docs.join(member, ["class", "id"]).dropDuplicates(["class", "id"]).select("class", "size", "text", F.xxhash64("class").alias("h"), F.inline("buckets"))
     blocks = F.ceil(F.col("n") / BLOCK)
     texts = texts.withColumn("own", F.pmod("h", blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    texts = texts.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "band", "id", "size", "own", "text")
+    texts = texts.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "band", "class", "size", "own", "text")
     texts = texts.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
 
     def solve(batches):
@@ -234,46 +232,53 @@ def similar_pairs(reps: DataFrame, id_col: str = "id", text_col: str = "text") -
                         rows_ = []
                     rows_.append((at, band[i], ids[i], size[i], own[i], s))
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "links", "root"), r, strict=True)) for r in out], schema=answer)
+                yield pa.RecordBatch.from_pylist([dict(zip(("class", "links", "root"), r, strict=True)) for r in out], schema=answer)
         if rows_ and (out := group(rows_)):
-            yield pa.RecordBatch.from_pylist([dict(zip(("id", "links", "root"), r, strict=True)) for r in out], schema=answer)
+            yield pa.RecordBatch.from_pylist([dict(zip(("class", "links", "root"), r, strict=True)) for r in out], schema=answer)
 
-    answer = pa.schema([("id", to_arrow_type(reps.schema[id_col].dataType)), ("links", pa.int64()), ("root", to_arrow_type(reps.schema[id_col].dataType))])
-    return texts.mapInArrow(solve, f"id {kind}, links bigint, root {kind}")
+    answer = pa.schema([("class", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+    return texts.mapInArrow(solve, "class binary, links bigint, root binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``copy_of``, ``class_id``, ``n_links``) for each row of ``docs``.
-
-    ``copy_of`` is the smallest id with the same text, ``class_id`` the smallest id in the connected group of
-    similar texts, ``n_links`` the number of other documents with the same or a similar text. A null text or one
-    without words is similar to nothing, not even to its like; such a row, and one with a null id, is its own
-    class without links. Rows that share an id and a text are copies of each other. Empty tables give no rows;
-    other columns are not carried.
+    """(id, ``text_class``, ``copy_of``, ``class_id``, ``n_links``, ``stays``) for each row of ``docs``.
+
+    ``text_class`` is a digest of the text, ``copy_of`` the smallest id with the same text, ``class_id`` the smallest
+    id in the connected group of similar texts, ``n_links`` the number of other rows with the same or a similar text.
+    ``stays`` marks the row of each group that represents it: the text of the smallest id (of several texts with
+    that id, the one with the smallest digest). A null text or one without words is similar to nothing, not even to
+    its like; such a row (``text_class`` null), and one with a null id, is its own class without links and stays.
+    Rows may share an id: groups are made of texts, so two unlike texts with one id stay apart; rows that share id
+    and text are copies of each other and stay or go together. Empty tables give no rows; other columns are not
+    carried.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    found = written(similar_pairs(worded))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    ids = worded.select(text_class("text").alias("class"), "id")
-    classes = ids.groupBy("class").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("size"))
-    judged = classes.join(links.withColumnRenamed("id", "copy_of"), "copy_of", "left").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    judged = judged.select("class", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    all_ids = docs.select("id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), text_class("text")).alias("class"))
-    joined = all_ids.join(judged, "class", "left")
+    worded = F.when(F.col("text").rlike(WORDED), text_class("text"))
+    judged = docs.select(worded.alias("class"), "id", "text").where("class is not null and id is not null")
+    found = written(similar_classes(judged))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
+    classes = judged.groupBy("class").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("size"))
+    tied = classes.join(roots.withColumnRenamed("node", "class"), "class").select("class", "copy_of", "root")
+    first = tied.groupBy("root").agg(F.min(F.struct("copy_of", "class")).alias("first"))
+    tied = tied.join(first, "root").select("class", F.col("first.copy_of").alias("class_id"), (F.col("first.class") == F.col("class")).alias("leads"))
+    classes = classes.join(links, "class", "left").join(tied, "class", "left")
+    classes = classes.select("class", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    joined = docs.select("id", worded.alias("class")).join(classes, "class", "left")
     alone = F.col("class").isNull() | F.col("id").isNull()
     return joined.select(
         F.col("id").alias(id_col),
+        F.hex("class").alias("text_class"),
         F.when(alone, F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        (alone | (F.col("leads") & (F.col("id") == F.col("copy_of")))).alias("stays"),
     )
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: each one's class and number of links."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "copy_of", "class_id", "n_links")
 
 
 QUERIES = {"op6_jaccard_join": (op6_jaccard_join, None)}
