@@ -4,25 +4,30 @@ A window of WINDOW consecutive words is removed from a document if it also start
 
 1. Confirm recurring phrases: of every window the phrase of PHRASE words with the least hash is an anchor, so two
    equal windows always share one. Anchors are grouped over all documents; those of two documents or more recur.
-2. Documents are dealt into shards of bounded size. A shard gets the recurring anchors that its own documents
-   hold, compiles their phrases into one Aho-Corasick automaton and streams its documents through it, which gives
-   every occurrence. Windows whose anchor was located are hashed (96 bits) and grouped: the smallest document is a
-   window's owner. Only such windows are shuffled, combined before the shuffle.
+2. Documents are dealt into shards of bounded size. A recurring phrase is sent to each shard that holds it as an
+   anchor, as a reference to one place in the shard's documents. A shard reads its phrases there, compiles them
+   into one Aho-Corasick automaton and streams all its documents through it; what the automaton finds, in whichever
+   document, are the phrases' occurrences. Windows whose anchor it found are grouped over all documents by the
+   BLAKE2b digest (128 bits) of their words, which stands for the words: the smallest document is a window's owner.
+   Only such windows are shuffled, combined before the shuffle.
 3. Owners are sent back to their shards, which stream their documents again and remove the words of each located
    window that the document does not own.
 
 Automata, like shards, stay of one size however large the corpus; a phrase in a third of all documents is one
-entry in each automaton. Each group is handled by partial aggregation, never gathered.
+entry in each automaton. Each group is handled by partial aggregation, never gathered. Rows without an id are
+left out of all this; their words are only joined.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import compress
 from math import ceil
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -80,16 +85,21 @@ class Windows:
         high = sliding(np.concatenate([edge, np.where(self.valid, self.least, U(0)), edge]), self.width, np.maximum)
         return (high == self.phrases) & (high > 0)
 
-    def located(self, recurring: np.ndarray) -> np.ndarray:
-        """Where the automaton of the recurring phrases found here matches, as a flag for each phrase position."""
+    def at_places(self, rows: list[int], at: np.ndarray, width: int) -> np.ndarray:
+        """The word positions of the places ``at`` of ``rows`` that leave room for ``width`` words."""
+        rows = np.asarray(rows, np.int64)
+        row = self.words.row
+        fits = at + width <= row[rows + 1] - row[rows]
+        return (row[rows] + at)[fits]
+
+    def located(self, phrases: np.ndarray) -> np.ndarray:
+        """Where the automaton of the phrases that begin at the words ``phrases`` matches, as a flag for each word."""
         flags = np.zeros(len(self.phrases), bool)
-        mine = np.flatnonzero(among(self.phrases, recurring))
-        if not len(mine):
-            return flags
-        _, first = np.unique(self.phrases[mine], return_index=True)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for i in mine[first]:
-            automaton.add_word(f" {self.words.text(i, self.phrase).decode('latin-1')} ")
+        for text in {self.words.text(i, self.phrase) for i in phrases.tolist()}:
+            automaton.add_word(f" {text.decode('latin-1')} ")
+        if not len(automaton):
+            return flags
         automaton.make_automaton()
         row = self.words.row.tolist()
         for i, (a, b) in enumerate(zip(row[:-1], row[1:], strict=True)):
@@ -102,36 +112,48 @@ class Windows:
                 flags[a + np.searchsorted(np.cumsum(sizes), ends) + 1 - self.phrase] = True
         return flags
 
-    def candidates(self, recurring: np.ndarray) -> np.ndarray:
+    def candidates(self, phrases: np.ndarray) -> np.ndarray:
         """Windows (word positions) that have a located anchor."""
-        if not len(self.least) or not len(recurring):
+        if not len(self.least) or not len(phrases):
             return np.zeros(0, np.int64)
-        found = sliding(np.where(self.located(recurring), self.phrases, MOST), self.width, np.minimum)
+        found = sliding(np.where(self.located(phrases), self.phrases, MOST), self.width, np.minimum)
         return np.flatnonzero(self.valid & (found == self.least) & (found < MOST))
 
-    def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits for each of the windows ``at``."""
-        return self.words.runs(self.window)[at].view(np.int64), (self.words.runs(self.window, 1)[at] >> U(32)).astype(np.uint32).view(np.int32)
+    def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of the digest of the words of each of the windows ``at``, which are in order."""
+        row_of, row, starts, n = self.row_of[at], self.words.row, self.words.start, self.window
+        out, last, text, ends = [], -1, b"", []
+        for i, r in zip(at.tolist(), row_of.tolist(), strict=True):
+            if r != last:
+                a, b = row[r], row[r + 1]
+                text, last = b" ".join(self.words.of_row(r)), r
+                ends = np.concatenate(([0], np.cumsum(self.words.end[a:b] - starts[a:b] + 1))).tolist()
+                view = memoryview(text)
+            k = i - a
+            out.append(blake2b(view[ends[k] : ends[k + n] - 1], digest_size=16).digest())
+        both = np.frombuffer(b"".join(out) or bytearray(), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
 
 def keyed(row: np.ndarray, high: np.ndarray, low: np.ndarray | int = 0) -> np.ndarray:
-    """One 64-bit key for a row and a hash, for use inside a shard."""
-    return mix(high.view(U) ^ mix(row.astype(U) << U(32) | np.asarray(low, np.int64).astype(U) & U(0xFFFFFFFF)))
+    """One 64-bit key for a row and a digest, for use inside a shard."""
+    return mix(high.astype(U) ^ mix(np.asarray(low).astype(U) ^ mix(row.astype(U) + U(1))))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(id, ``n_words``, ``n_removed``, ``kept``) for each row; ``kept`` joins the words left by one space.
 
     Windows are judged on the input. A null text has no words. Rows with a null id neither lose words nor make
-    others lose them; rows that share an id do not affect each other. Empty tables give no rows; other columns
-    are not carried.
+    others lose them; rows that share an id do not affect each other, and meet in one shard: ids are meant to be
+    keys. Empty tables give no rows; other columns are not carried.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     arrow_kind, name = to_arrow_type(kind), kind.simpleString()
     size = docs.agg(F.coalesce(F.sum(utf8_bytes(F.col(text_col))), F.lit(0)).alias("n")).first().n
     shards = max(ceil(size / SHARD_BYTES), 4 * partitions(spark))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named = docs.where(F.col(id_col).isNotNull())
+    dealt = named.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def anchors(batches):
         for whole in batches:
@@ -140,27 +162,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at = np.flatnonzero(found.anchors())
                 if len(at):
                     at = at[np.unique(keyed(found.row_of[at], found.phrases[at]), return_index=True)[1]]
-                    row = pa.array(found.row_of[at])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(found.phrases[at].view(np.int64))], ["shard", "id", "anchor"])
+                    row = found.row_of[at]
+                    inner = pa.array((at - found.words.row[row]).astype(np.int32))
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(found.phrases[at].view(np.int64)), inner], ["shard", "id", "anchor", "at"])
 
-    rows = written(dealt.where("id is not null and text is not null").mapInArrow(anchors, f"shard int, id {name}, anchor bigint"))
+    rows = written(dealt.where("text is not null").mapInArrow(anchors, f"shard int, id {name}, anchor bigint, at int"))
     recurring = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    routed = rows.select("shard", "anchor").distinct().join(recurring, "anchor").select("shard", "anchor")
-    routed = written(routed)
-
-    def text_of(left: pa.Table) -> tuple[pa.Array, pa.Array]:
-        return left.column("id").combine_chunks(), left.column("text").combine_chunks()
+    places = rows.groupBy("shard", "anchor").agg(F.min(F.struct("id", "at")).alias("p"))
+    routed = written(places.join(recurring, "anchor").select("shard", "anchor", "p.id", "p.at"))
+
+    def rows_of(ids: pa.Array, wanted: pa.Table) -> tuple[list[int], np.ndarray]:
+        """The rows of each wanted id, and the wanted place in each."""
+        by: dict = {}
+        for i, x in enumerate(ids.to_pylist()):
+            by.setdefault(x, []).append(i)
+        pairs = [(i, a) for x, a in zip(wanted.column("id").to_pylist(), wanted.column("at").to_pylist(), strict=True) for i in by.get(x, ())]
+        return [i for i, _ in pairs], np.array([a for _, a in pairs], np.int64)
+
+    def confirmed(found: Windows, ids: pa.Array, wanted: pa.Table) -> np.ndarray:
+        """Where the phrases sent to this shard stand in its documents (rows that share an id may hold other words)."""
+        at = found.at_places(*rows_of(ids, wanted), phrase)
+        known = np.asarray(wanted.column("anchor"), np.int64).view(U)
+        return at[among(found.phrases[at], known)]
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, text = text_of(left)
-        known = pa.schema([("high", pa.int64()), ("low", pa.int32()), ("id", arrow_kind), ("shard", pa.int32()), ("at", pa.int32())])
+        ids, text = left.column("id").combine_chunks(), left.column("text").combine_chunks()
+        known = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("id", arrow_kind), ("shard", pa.int32()), ("at", pa.int32())])
         if not left.num_rows or not right.num_rows:
             return known.empty_table()
         found = Windows(text, window, phrase)
-        at = found.candidates(np.asarray(right.column("anchor"), np.int64).view(U))
+        at = found.candidates(confirmed(found, ids, right))
         if not len(at):
             return known.empty_table()
-        high, low = found.hashes(at)
+        high, low = found.digests(at)
         row = found.row_of[at]
         _, first = np.unique(keyed(row, high, low), return_index=True)
         inner = (at - found.words.row[row]).astype(np.int32)
@@ -168,26 +203,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_arrays([pa.array(high[first]), pa.array(low[first]), ids.take(pa.array(row[first])), shard, pa.array(inner[first])], schema=known)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, text = text_of(left)
+        ids, text = left.column("id").combine_chunks(), left.column("text").combine_chunks()
         shape = pa.schema([("id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         if not left.num_rows:
             return shape.empty_table()
         found = Windows(text, window, phrase)
         words, row = found.words, found.words.row
         gone = np.zeros(len(words) + 1, np.int64)
-        anchor = np.asarray(right.column("anchor").drop_null(), np.int64).view(U)
-        at = found.candidates(anchor)
-        own_ids = ids.to_pylist()
-        at = at[[own_ids[r] is not None for r in found.row_of[at]]] if len(at) else at
+        is_owner = right.column("anchor").is_null()
+        at = found.candidates(confirmed(found, ids, right.filter(pc.invert(is_owner))))
         if len(at):
-            high, low = found.hashes(at)
-            owned = right.filter(right.column("anchor").is_null())
-            rows_of: dict = {}
-            for i, x in enumerate(own_ids):
-                rows_of.setdefault(x, []).append(i)
-            place = [row[i] + a for x, a in zip(owned.column("id").to_pylist(), owned.column("at").to_pylist(), strict=True) for i in rows_of.get(x, ()) if a + window <= row[i + 1] - row[i]]
-            place = np.array(place, np.int64)
-            at = at[~among(keyed(found.row_of[at], high, low), keyed(found.row_of[place], *found.hashes(place)))]
+            high, low = found.digests(at)
+            place = found.at_places(*rows_of(ids, right.filter(is_owner)), window)
+            place = np.unique(place)
+            at = at[~among(keyed(found.row_of[at], high, low), keyed(found.row_of[place], *found.digests(place)))]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone[:-1]) > 0
@@ -200,13 +229,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join(stay).decode())
         return pa.Table.from_arrays([ids, pa.array(np.diff(row).astype(np.int64)), pa.array(removed[row[1:]] - removed[row[:-1]]), pa.array(kept, pa.string())], schema=shape)
 
-    side = routed.select("shard", "anchor", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("int").alias("at"))
     by_shard = dealt.groupBy("shard")
-    found = by_shard.cogroup(routed.groupBy("shard")).applyInArrow(windows, f"high bigint, low int, id {name}, shard int, at int")
+    found = by_shard.cogroup(routed.groupBy("shard")).applyInArrow(windows, f"high bigint, low bigint, id {name}, shard int, at int")
     owner = found.groupBy("high", "low").agg(F.min(F.struct("id", "shard", "at")).alias("o"))
     owned = owner.select("o.shard", F.lit(None).cast("bigint").alias("anchor"), "o.id", "o.at")
-    kept = by_shard.cogroup(side.unionByName(owned).groupBy("shard")).applyInArrow(strip, f"id {name}, n_words bigint, n_removed bigint, kept string")
-    return kept.withColumnRenamed("id", id_col)
+    kept = by_shard.cogroup(routed.unionByName(owned).groupBy("shard")).applyInArrow(strip, f"id {name}, n_words bigint, n_removed bigint, kept string")
+
+    def joined(batches):
+        for batch in batches:
+            words = [(x or "").encode().split() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["id", "n_words", "n_removed", "kept"])
+
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    whole = nameless.mapInArrow(joined, f"id {name}, n_words bigint, n_removed bigint, kept string")
+    return kept.unionByName(whole).withColumnRenamed("id", id_col)
 
 
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
