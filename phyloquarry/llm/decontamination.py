@@ -1,14 +1,18 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions alone.
 
 A benchmark item gives windows of ten consecutive words (one window if it is shorter). A window is a sequence
-of shingles of three words; since it must be contained whole, one shingle is a necessary prefix. Documents'
-shingles are joined with the benchmark's, their occurrences are counted over all documents, and each window
-keeps its rarest shingle as prefix; a window with a shingle that never occurs is dropped. Occurrences of a
-prefix fix where the window would begin: length and positional bounds drop the impossible, and the words there
-are compared one by one with the window's.
-
-The benchmark's shingles are broadcast only while there are few of them (BROADCAST_SHINGLES); beyond that they
-are joined by a shuffle. Document text is never shuffled: each hit carries the few words around it.
+of shingles of three words; since it must be contained whole, one shingle is a necessary prefix.
+
+1. Rarity: one scan counts how often each of the benchmark's shingles occurs in the documents; only keys and counts
+   leave a task. Each window keeps its rarest shingle as prefix; a window with a shingle that never occurs is dropped.
+2. Prefix join: a second scan keeps the occurrences of prefixes, each with the few words that a window over it can
+   touch (17 at most), and joins them with the windows. Length and positional bounds drop the impossible, and the
+   words are compared one by one with the window's.
+
+In both scans a bitmap of the wanted keys' hashes drops nearly all positions at once, before any of them is widened
+or shuffled; it has about BITS_A_KEY bits a key and MOST_BITS (8 MB) at most, beyond which it drops fewer. Joins are
+left to Spark, which broadcasts a side only if it has measured it as small and else shuffles both. Document text is
+never shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WINDOW, SHINGLE = 10, 3
-BROADCAST_SHINGLES = 200_000
+#: Bits of the bitmap for each key, and the least and most of them; powers of two.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 10, 1 << 26
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII characters that part words, once A-Z are lower case.
@@ -45,19 +50,27 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str, length: in
     return found.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("wid", F.sha2(F.concat_ws(" ", "window"), 256))
 
 
-def document_hits(docs: DataFrame, keys: DataFrame, n_keys: int, g: int, length: int) -> DataFrame:
-    """(doc, key, at, n, around, base): each occurrence at word ``at`` of a shingle of ``g`` words in ``keys``.
+def among(keys: DataFrame):
+    """A test for columns of keys: whether a key may be in ``keys`` (key). Some that are not pass, none that is fails."""
+    n = BITS_A_KEY * max(keys.count(), 1)
+    bits = min(max(1 << n.bit_length(), LEAST_BITS), MOST_BITS)
+    place = lambda key: F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(bits - 1))
+    cell = lambda key: F.shiftright(place(key), 6).cast("int")
+    bit = lambda key: place(key).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("key")))
+    cells = keys.groupBy(cell(F.col("key")).cast("long").alias("id")).agg(F.bit_or(one).alias("v"))
+    dense = keys.sparkSession.range(bits // 64).join(cells, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))))
+    bitmap = written(dense.agg(F.transform(listed, lambda x: x["v"]).alias("bitmap"))).scalar()
+    return lambda key: F.getbit(F.get(bitmap, cell(key)), bit(key)) == 1
 
-    ``around`` holds the words from ``base`` on that any window over the shingle can touch; ``n`` is the
-    document's number of words.
-    """
+
+def shingled(docs: DataFrame, g: int, wanted) -> DataFrame:
+    """(doc, w, at, key): the shingles of ``g`` words at word ``at`` that pass ``wanted``, in a document's words ``w``."""
     columns = [F.col("w"), *(F.slice("w", k, F.size("w")) for k in range(2, g + 1))]
-    shingled = docs.where(F.size("w") >= g).select("doc", "w", F.posexplode(F.arrays_zip(*[c.alias(f"c{k}") for k, c in enumerate(columns)])).alias("at", "z"))
-    parts = [F.col(f"z.c{k}") for k in range(g)]
-    shingled = shingled.select("doc", "w", "at", shingle_key(parts).alias("key"), F.col(f"z.c{g - 1}").isNotNull().alias("whole")).where("whole").drop("whole")
-    base = F.greatest(F.col("at") - (length - g), F.lit(0))
-    joined = shingled.join(F.broadcast(keys) if n_keys <= BROADCAST_SHINGLES else keys, "key")
-    return joined.select("doc", "key", "at", F.size("w").alias("n"), F.slice("w", base + 1, 2 * length - g).alias("around"), base.alias("base"))
+    rows = docs.where(F.size("w") >= g).select("doc", "w", F.posexplode(F.arrays_zip(*[c.alias(f"c{k}") for k, c in enumerate(columns)])).alias("at", "z"))
+    key = shingle_key([F.col(f"z.c{k}") for k in range(g)])
+    return rows.where(F.col(f"z.c{g - 1}").isNotNull()).select("doc", "w", "at", key.alias("key")).where(wanted(F.col("key")))
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -69,19 +82,20 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """
     windows = written(benchmark_windows(items, item_col, item_text_col, length))
     split_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
-    sizes = [r.g for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("g")).distinct().collect()]
+    sizes = [r.g for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("g")).distinct().collect()]  # SHINGLE at most
     found = None
     for g in sorted(sizes):
         own = windows.where(F.least(F.size("window"), F.lit(SHINGLE)) == g).select("wid", "window")
         offsets = F.sequence(F.lit(0), F.size("window") - g)
         shingles = own.select("wid", "window", F.explode(offsets).alias("offset"))
-        shingles = shingles.select("wid", "window", "offset", shingle_key([F.element_at("window", F.col("offset") + k) for k in range(1, g + 1)]).alias("key"))
-        keys = shingles.select("key").distinct()
-        hits = written(document_hits(split_docs, keys, keys.count(), g, length))
-        rarity = hits.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+        shingles = written(shingles.select("wid", "window", "offset", shingle_key([F.element_at("window", F.col("offset") + k) for k in range(1, g + 1)]).alias("key")))
+        rarity = shingled(split_docs, g, among(shingles.select("key").distinct())).groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
         ordered = shingles.join(rarity, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-        prefix = ordered.groupBy("wid").agg(F.min(F.struct("seen", "key", "offset", "window")).alias("p")).where("p.seen > 0")
-        prefix = prefix.select("wid", "p.key", "p.offset", "p.window")
+        prefix = ordered.groupBy("wid").agg(F.min(F.struct("seen", "key", "offset")).alias("p")).where("p.seen > 0")
+        prefix = written(prefix.select("wid", "p.key", "p.offset").join(own, "wid"))
+        base = F.greatest(F.col("at") - (length - g), F.lit(0))
+        hits = shingled(split_docs, g, among(prefix.select("key").distinct()))
+        hits = hits.select("doc", "key", "at", F.size("w").alias("n"), F.slice("w", base + 1, 2 * length - g).alias("around"), base.alias("base"))
         candidates = hits.join(prefix, "key").withColumn("start", F.col("at") - F.col("offset"))
         bounded = candidates.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
         exact = bounded.where(F.slice("around", F.col("start") - F.col("base") + 1, F.size("window")) == F.col("window"))
@@ -96,8 +110,9 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``item_ids`` (sorted strings), ``contaminated``.
 
-    Null has no words. Rows that share an id are taken as one document's: each gets the hits of all. A row with
-    a null id is never hit.
+    Null has no words, nor has an empty text; long texts are taken whole. Rows that share an id are taken as one
+    document's: each gets the hits of all its rows' texts. A row with a null id is never hit. Repeated rows stay
+    rows; an empty table gives none, an empty benchmark hits nothing; other columns play no part.
     """
     windows, found = contaminated_words(docs, items, id_col, text_col, item_col, item_text_col, length)
     found = written(found)
