@@ -1,20 +1,27 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions alone.
 
-One scan finds candidates; each is validated (Luhn sum, octet range, calendar, number ranges) and what passes is
+One scan finds candidates; each is validated (Luhn sum, octets, calendar, number ranges) and what passes is
 permuted within its own format by a keyed Feistel network, so that equal values get equal pseudonyms in every
-document and different values never the same:
+document and different values never the same, as each notation is a domain of its own:
 
 * card numbers: the digits before the check digit are permuted and the check digit is made anew, so a pseudonym
   passes the Luhn test as well; grouping is kept and does not matter for the link;
 * phone numbers: the digits after the country code; national identity numbers (ddd-dd-dddd): all digits, walking
   the cycle until the number is a possible one;
-* IPv4 addresses: the 32-bit value; dates: the day number within 1800-2199, whose 146,097 days are 189 x 773, in
-  the date's own notation;
-* e-mail addresses (the part before @) and secrets (access key ids, values assigned to password, token and the
-  like): each digit stays a digit, each ASCII letter a letter of its case.
-
-Round functions take SHA-512 over key, kind, round and the other half. The key is a parameter; whoever holds it
-can invert the permutation, nobody else can.
+* IPv4 addresses without leading zeros: the 32-bit value;
+* dates: the day number within 1800-2199, whose 146,097 days are 189 x 773, in the date's own notation. A date
+  with slashes is read as month/day where it can be; the others, day/month with a day above 12, are permuted among
+  themselves by walking the cycle until the day is above 12 again;
+* e-mail addresses (the part before @) and secrets (access key ids; values assigned to password, token and the
+  like: after = any of 4 characters or more, after : those with a digit and any of 12 or more): each digit stays a
+  digit, each ASCII letter a letter of its case.
+
+Values that are not valid, and dates outside the span, stay as they are; no pseudonym is equal to one of those. A
+walk stops after WALK steps, which fewer than one value in 10**25 needs; its last step is taken then, which is
+still different from every other pseudonym of the notation.
+
+Round functions take SHA-512 over key, kind, round and the other half. Whoever holds the key can invert the
+permutation, nobody else can; it has no default.
 """
 
 from __future__ import annotations
@@ -24,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY = "change this key before use"
-ROUNDS = 8
+#: The setting that holds the key, and what stands in for it where tables hold no real persons.
+KEY_SETTING, DEMO_KEY = "spark.phyloquarry.pseudonymKey", "a published key protects nobody"
+ROUNDS, WALK = 8, 64
 
 #: Candidates by kind, in order of preference where several begin at one place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-ASSIGNED = r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{12,}+"
+NAME = r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,2}"
+ASSIGNED = NAME + r"(?:=[ ]{0,2}[\"']?[A-Za-z0-9+/_-]{4,}+|:[ ]{0,2}[\"']?(?:[A-Za-z0-9+/_-]{12,}+|(?=[A-Za-z+/_-]{0,10}[0-9])[A-Za-z0-9+/_-]{4,}+))"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 ISO_DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\w/-])"
 DAY_DATE = r"(?<![\w/.-])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])"
@@ -136,20 +145,24 @@ def pseudonym(value: Column, key: str) -> Column:
     prefix = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
     national = F.substr(value, F.length(prefix) + 1, F.length(value))
     phone = F.concat(prefix, let(national, lambda x: refilled(x, let(digits(x), lambda y: permuted(y, key, "phone")))))
-    walk = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(d, key, "ssn"), lambda x, _: F.when(possible_ssn(x), x).otherwise(permuted(x, key, "ssn")))
-    ssn = let(digits(value), lambda d: F.when(possible_ssn(d), refilled(value, walk(d))).otherwise(value))
+    walk = lambda step, good, x: F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), step(x), lambda y, _: F.when(good(y), y).otherwise(step(y)))
+    ssn = let(digits(value), lambda d: F.when(possible_ssn(d), refilled(value, walk(lambda x: permuted(x, key, "ssn"), possible_ssn, d))).otherwise(value))
     to_ip = lambda p: F.concat_ws(".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256)
     new_ip = lambda o: F.when(F.forall(o, lambda x: x <= 255), let(permuted_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip"), to_ip)).otherwise(value)
-    ip = let(octets(value), new_ip)
-
-    def date(pattern: str) -> Column:
-        moved = lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS + p["r"]).cast("int")), pattern)
-        new_day = lambda day: F.when(day.between(0, WEEKS * DAYS - 1), let(permuted_pair(F.floor(day / DAYS), day % DAYS, WEEKS, DAYS, key, "date"), moved))
+    ip = F.when(value.rlike(r"(?:^|\.)0\d"), value).otherwise(let(octets(value), new_ip))
+    day_of = lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS + p["r"]).cast("int"))
+    next_day = lambda p: permuted_pair(p["l"], p["r"], WEEKS, DAYS, key, "date")
+
+    def date(pattern: str, good=None) -> Column:
+        """The date moved, or null if it isn't one of this pattern; ``good`` says which dates the pattern stands for."""
+        halves = lambda day: F.struct(F.floor(day / DAYS).cast("long").alias("l"), (day % DAYS).cast("long").alias("r"))
+        moved = (lambda p: next_day(p)) if good is None else (lambda p: walk(next_day, good, p))
+        new_day = lambda day: F.when(day.between(0, WEEKS * DAYS - 1), let(let(halves(day), moved), lambda p: F.date_format(day_of(p), pattern)))
         return let(F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date")), new_day)
 
     at = F.instr(value, "@")
     email = F.concat(let(F.substr(value, F.lit(1), at - 1), lambda x: permuted(x, key, "email")), F.substr(value, at, F.length(value)))
-    secret = let(F.regexp_extract(value, r"[A-Za-z0-9+/_-]{12,}$", 0), lambda x: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(x)), permuted(x, key, "secret")))
+    secret = let(F.regexp_extract(value, r"[A-Za-z0-9+/_-]+$", 0), lambda x: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(x)), permuted(x, key, "secret")))
     access = F.concat(F.substring(value, 1, 4), let(F.substr(value, F.lit(5), F.lit(16)), lambda x: permuted(x, key, "access")))
     return (
         F.when(at > 0, email)
@@ -159,37 +172,44 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.coalesce(date("yyyy-MM-dd"), value))
         .when(value.rlike(r"^\d{4}/\d{2}/\d{2}$"), F.coalesce(date("yyyy/MM/dd"), value))
         .when(value.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), F.coalesce(date("dd.MM.yyyy"), value))
-        .when(value.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.coalesce(date("MM/dd/yyyy"), date("dd/MM/yyyy"), value))
+        .when(value.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.when(value.substr(1, 2) <= "12", F.coalesce(date("MM/dd/yyyy"), value)).otherwise(F.coalesce(date("dd/MM/yyyy", lambda p: F.dayofmonth(day_of(p)) > 12), value)))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn)
         .when(value.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4,6}[ -]"), card)
         .otherwise(phone)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key in the session's setting KEY_SETTING; without one, DEMO_KEY, which is fit for invented data only."""
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms, and ``n_private``, the values replaced.
 
-    All other columns are kept (one named ``n_private`` is replaced). A null text stays null with 0, a text
-    without valid values stays as it is, character by character. Repeated rows stay rows; an empty table gives
-    none.
+    All other columns are kept (one named ``n_private`` is replaced). A null text stays null with 0, an empty text
+    and one without valid values stay as they are, character by character; long texts are taken whole. Repeated
+    rows stay rows; an empty table gives none.
     """
-    text = F.col(text_col)
+    if not key:
+        raise ValueError("Pseudonyms need a key")
+    names = [c for c in docs.columns if c.lower() != "n_private"]
+    text = F.col(f"own_{text_col}")
     maybe = text.rlike("[0-9@=:]") | text.contains("AKIA") | text.contains("ASIA")
-    found = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    names = [c for c in docs.columns if c != "n_private"]
-    step = docs.select(*names, found.alias("_found")).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    has = F.coalesce(F.size("_new"), F.lit(-1)) > 0
+    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in names])
+    step = own.withColumn("found", F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    pieces = F.zip_with(F.split(text, ANY, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    has = F.coalesce(F.size("new"), F.lit(-1)) > 0
     return step.select(
-        *[F.when(has, F.array_join(pieces, "")).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names],
+        *[F.when(has, F.array_join(pieces, "")).otherwise(text).alias(c) if c == text_col else F.col(f"`own_{c}`").alias(c) for c in names],
         F.when(has, changed).otherwise(0).cast("long").alias("n_private"),
     )
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with pseudonyms in place of personal data."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 QUERIES = {"op1_feistel_pseudonyms": (op1_feistel_pseudonyms, None)}
