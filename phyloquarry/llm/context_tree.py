@@ -7,15 +7,17 @@ spaces. Every context holds a Krichevsky-Trofimov estimate; the estimates of all
 of the context tree, P = (own + product of the children) / 2.
 
 Counts of (context, byte) come from the running text (sorted and summed in each task, then by a shuffle), and the
-tree is evaluated from the deepest contexts up, in groups that share the last two context bytes; the two top depths
-have at most 65,536 contexts' choices and are finished on the driver. Every text is then scored byte by byte from
-the table of (context, byte), broadcast or, beyond BROADCAST_GRAMS, joined. For the unigram base words are counted
-as well; the FREQUENT most frequent ones are looked up in a broadcast table, all others by a join.
+tree is evaluated from the deepest contexts up, in groups of about GROUP pairs that hold all pairs with the same
+last BASE (3) context bytes. The depths above have at most 65,536 contexts of 255 nodes (200 MB; a few MB for text of any amount) and are finished on the
+driver. Every text is then scored byte by byte: the BROADCAST_GRAMS most frequent (context, byte) pairs are looked
+up in a broadcast table of that size, all others by a join; texts hold few of those. For the unigram base words are
+counted as well, and looked up in the same two ways.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import partitions, table, written
 
 DEPTH = 5
 END = b"\xff"
-#: Words broadcast; (context, byte) pairs broadcast at most, beyond which they are joined; words a task counts before it hands them on.
-FREQUENT, BROADCAST_GRAMS, HELD = 200_000, 8_000_000, 400_000
+#: Context bytes that are never parted into two groups of the tree, and the pairs a group is meant to have.
+BASE, GROUP = 3, 50_000
+#: Words and (context, byte) pairs broadcast at most; words a task counts before it hands them on.
+FREQUENT, BROADCAST_GRAMS, HELD = 200_000, 2_000_000, 400_000
 #: Bytes turned into grams at once; (context, byte) pairs a task gathers before it sums them; texts it holds as objects.
 CHUNK, GATHERED, TEXTS = 1 << 19, 1_000_000, 500
 
@@ -145,40 +149,42 @@ def evaluate(grams: np.ndarray, counts: np.ndarray, low: int) -> tuple[pd.DataFr
 
 
 def subtree(frame: pd.DataFrame) -> pd.DataFrame:
-    """``evaluate`` for one pair of last context bytes: a row for each gram and one for each node."""
-    nodes, p = evaluate(frame["gram"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), 2)
-    grams = pd.DataFrame({"gram": frame["gram"].to_numpy(np.int64), "p": [x.tobytes() for x in np.ascontiguousarray(p.T)]})
-    return pd.concat([grams, nodes], ignore_index=True)[["gram", "p", "key", "zeros", "ones", "mixed"]]
+    """``evaluate`` for a group of whole subtrees: a row for each gram (with its count) and one for each node."""
+    n = frame["n"].to_numpy(np.int64)
+    nodes, p = evaluate(frame["gram"].to_numpy(np.int64), n, BASE)
+    grams = pd.DataFrame({"gram": frame["gram"].to_numpy(np.int64), "n": n, "p": [x.tobytes() for x in np.ascontiguousarray(p.T)]})
+    out = pd.concat([grams, nodes], ignore_index=True)[["gram", "n", "p", "key", "zeros", "ones", "mixed"]]
+    return out.astype({"gram": "Int64", "n": "Int64", "key": "Int64"})
 
 
 class Top:
-    """Depths 0 and 1, dense: the probability of a zero at each node and the weight of the context as a leaf."""
-
-    def __init__(self, rows: list) -> None:
-        zeros, ones, product = (np.zeros((256, 256)) for _ in range(3))
-        for r in rows:
-            at = r.key >> 8 & 255, r.key & 255
-            zeros[at], ones[at], product[at] = r.zeros, r.ones, r.mixed
-        used = zeros + ones > 0
-        own = np.where(used, log_kt(zeros, ones), 0.0)
-        mixed = np.where(used, HALF + np.logaddexp(own, product), 0.0)
-        self.zero1 = (zeros + 0.5) / (zeros + ones + 1)
-        self.leaf1 = np.where(used, np.exp(HALF + own - mixed), 1.0)
-        z0, o0 = zeros.sum(0), ones.sum(0)
-        own0 = log_kt(z0, o0)
-        mixed0 = HALF + np.logaddexp(own0, mixed.sum(0))
-        self.zero0 = (z0 + 0.5) / (z0 + o0 + 1)
-        self.leaf0 = np.where(z0 + o0 > 0, np.exp(HALF + own0 - mixed0), 1.0)
+    """Depths 0 to 2 from the sums over their children: each node's zero probability and its weight as a leaf."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, product: np.ndarray) -> None:
+        self.levels = []
+        for depth in (2, 1, 0):
+            key, group = np.unique(self.cut(key, depth), return_inverse=True)
+            zeros, ones, product = (np.bincount(group, x, len(key)) for x in (zeros, ones, product))
+            own = log_kt(zeros, ones)
+            mixed = HALF + np.logaddexp(own, product)
+            self.levels.append((depth, key, (zeros + 0.5) / (zeros + ones + 1), np.exp(HALF + own - mixed)))
+            product = mixed
+
+    @staticmethod
+    def cut(key: np.ndarray, depth: int) -> np.ndarray:
+        """The key (context, node) with the context's last ``depth`` bytes."""
+        return (key >> 8 & ((1 << 8 * depth) - 1)) << 8 | key & 255
 
     def log10(self, grams: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's symbol; ``p`` is the mixture from depth 2 on."""
-        key, bit = choices(grams, 1)
-        context, node = key >> 8, key & 255
-        one = lambda zero: np.where(bit == 1, 1 - zero, zero)
-        leaf = self.leaf1[context, node]
-        p = leaf * one(self.zero1[context, node]) + (1 - leaf) * p
-        leaf = self.leaf0[node]
-        p = leaf * one(self.zero0[node]) + (1 - leaf) * p
+        """log10 probability of each gram's symbol; ``p`` is the mixture from depth 3 on."""
+        for depth, keys, zero, leaf in self.levels:
+            key, bit = choices(grams, depth)
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            known = keys[at] == key
+            kt = np.where(bit == 1, 1 - zero[at], zero[at])
+            p = np.where(known, leaf[at] * kt + (1 - leaf[at]) * p, 0.5)
         return np.log10(p).sum(0)
 
 
@@ -241,43 +247,44 @@ def gram_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
-    """(gram, bits10): log10 probability of each (context, byte) of ``grams`` (gram, n)."""
-    last_two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    tree = written(grams.groupBy(last_two.alias("last_two")).applyInPandas(lambda frame: subtree(frame), "gram bigint, p binary, key bigint, zeros double, ones double, mixed double"))
-    upper = tree.where("key is not null").groupBy((F.shiftright("key", 8).bitwiseAND(F.lit(255)) * 256 + F.col("key").bitwiseAND(F.lit(255))).alias("key"))
-    top = Top(upper.agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "mixed")]).collect())  # 65,536 rows at most
+    """(gram, n, bits10): log10 probability of each (context, byte) of ``grams`` (gram, n)."""
+    grams = written(grams)
+    groups = max(ceil(grams.count() / GROUP), partitions(grams.sparkSession))
+    group = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * BASE) - 1))), F.lit(groups))
+    tree = written(grams.groupBy(group.alias("group")).applyInPandas(lambda frame: subtree(frame), "gram bigint, n bigint, p binary, key bigint, zeros double, ones double, mixed double"))
+    second = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)) * 256 + F.col("key").bitwiseAND(F.lit(255))
+    upper = tree.where("key is not null").groupBy(second.alias("key")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "mixed")]).toArrow()  # 65,536 contexts at most
+    top = Top(np.asarray(upper["key"], np.int64), *(np.asarray(upper[c], np.float64) for c in ("zeros", "ones", "mixed")))
+    shared = grams.sparkSession.sparkContext.broadcast(top)
 
     def finish(batches):
         for batch in batches:
             keys = np.asarray(batch.column(0), np.int64)
-            p = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, 8).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top.log10(keys, p))], ["gram", "bits10"])
-
-    return written(tree.where("gram is not null").select("gram", "p").mapInArrow(finish, "gram bigint, bits10 double"))
+            p = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, 8).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.log10(keys, p))], ["gram", "n", "bits10"])
 
+    return written(tree.where("gram is not null").select("gram", "n", "p").mapInArrow(finish, "gram bigint, n bigint, bits10 double"))
 
-def joined_scores(numbered: DataFrame, scores: DataFrame) -> DataFrame:
-    """(row, s): the log10 probability of each text by a join on its (context, byte) pairs, counted in each text first."""
-
-    def spread(batches):
-        for batch in slices(batches):
-            for grams, text in running_grams(batch.column(1).to_pylist()):
-                order = np.lexsort((grams, text))
-                grams, text = grams[order], text[order]
-                first = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (text[1:] != text[:-1]))))
-                n = np.diff(np.append(first, len(grams)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[first])), pa.array(grams[first]), pa.array(n)], ["row", "gram", "n"])
 
-    long = numbered.select("row", "text").mapInArrow(spread, "row bigint, gram bigint, n bigint")
-    return long.join(scores, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("bits10")).alias("s"))
+def frequent_grams(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scores`` parted by count: the most frequent, BROADCAST_GRAMS at most, and the rest."""
+    level = F.floor(F.log2(F.col("n") + 1) * 8)
+    counts = scores.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()  # 8 rows a power of two
+    least, held = 1 << 20, 0
+    for r in counts:
+        held += r.n
+        if held > BROADCAST_GRAMS:
+            break
+        least = r.level
+    return scores.where(level >= least), scores.where(level < least)
 
 
 def context_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``bits_per_byte``) for each row.
 
-    ``train`` says which rows the model learns from. A null text is an empty one: the end token alone. With no
-    training rows all estimates stay at their priors. Repeated rows stay rows; empty tables give none; other
-    columns are not carried.
+    ``train`` says which rows the model learns from. A null text is an empty one: the end token alone. Long texts
+    are scored whole. With no training rows all estimates stay at their priors. Repeated rows stay rows; empty
+    tables give none; other columns are not carried.
     """
     spark = docs.sparkSession
     trains = F.coalesce(train, F.lit(False))
@@ -287,30 +294,45 @@ def context_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id",
     known = words.select("word", (F.col("n") > 0).alias("known"), base.alias("base"), "n")
     top = known.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "known", "base").toArrow()
     shared = spark.sparkContext.broadcast({w: (k, b) for w, k, b in zip(*(top[c].to_pylist() for c in ("word", "known", "base")), strict=True)})
-    scores = gram_scores(gram_counts(docs, text_col, trains))
-    joins = scores.count() > BROADCAST_GRAMS
-    table_of = None
-    if not joins:
-        rows = scores.toArrow()
-        keys, values = np.asarray(rows["gram"], np.int64), np.asarray(rows["bits10"], np.float64)
-        order = np.argsort(keys)
-        table_of = spark.sparkContext.broadcast((keys[order], values[order]))
-
-    def text_scores(texts: list) -> list[float]:
-        out = np.zeros(len(texts))
-        if table_of is not None:
-            keys, values = table_of.value
-            for grams, text in running_grams(texts):
-                distinct, inverse = np.unique(grams, return_inverse=True)
-                out += np.bincount(text, values[np.searchsorted(keys, distinct)][inverse], len(texts))
-        return out.tolist()
+    common, seldom = frequent_grams(gram_scores(gram_counts(docs, text_col, trains)))
+    rows = common.select("gram", "bits10").toArrow()
+    keys, values = np.asarray(rows["gram"], np.int64), np.asarray(rows["bits10"], np.float64)
+    order = np.argsort(keys)
+    grams_of = spark.sparkContext.broadcast((keys[order], values[order]))
+
+    def text_scores(texts: list) -> tuple[np.ndarray, list]:
+        """The score of each text by the broadcast grams, and (text, gram, count) of the others."""
+        keys, values = grams_of.value
+        out, rest = np.zeros(len(texts)), []
+        for grams, text in running_grams(texts):
+            distinct, inverse = np.unique(grams, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+            known = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+            found = np.where(known, values[at], 0.0) if len(keys) else np.zeros(len(distinct))
+            out += np.bincount(text, found[inverse], len(texts))
+            missed = np.flatnonzero(~known[inverse])
+            if len(missed):
+                pairs, n = np.unique(np.stack([text[missed], grams[missed]]), axis=1, return_counts=True)
+                rest.append((*pairs, n))
+        return out, rest
+
+    names = ["row", "word", "gram", "n", "known", "size", "base", "score"]
+
+    def part(**columns):
+        n = len(columns["row"])
+        kinds = dict(zip(names, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names)
 
     def task(batches):
         frequent = shared.value
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(7)]
-            texts = batch.column(1).to_pylist()
-            for row, text, score in zip(batch.column(0).to_pylist(), texts, text_scores(texts), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            scores, rest = text_scores(texts)
+            for text, gram, n in rest:
+                yield part(row=np.asarray(ids, np.int64)[text], gram=gram, n=n)
+            whole: list[tuple] = []
+            rare: list[tuple] = []
+            for row, text, score in zip(ids, texts, scores.tolist(), strict=True):
                 found = tokens(text or b"")
                 known, base = 0, 0.0
                 for word, n in Counter(found).items():
@@ -318,22 +340,19 @@ def context_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id",
                         known += n * hit[0]
                         base += n * hit[1]
                     else:
-                        for column, x in zip(out, (row, word, n, 0, 0, 0.0, 0.0), strict=True):
-                            column.append(x)
-                size = sum(map(len, found)) + len(found) - 1
-                for column, x in zip(out, (row, None, len(found), known, size, base, score), strict=True):
-                    column.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "word", "n", "known", "size", "base", "score"])
+                        rare.append((row, word, n))
+                whole.append((row, len(found), known, sum(map(len, found)) + len(found) - 1, base, score))
+            if rare:
+                yield part(**dict(zip(("row", "word", "n"), zip(*rare, strict=True), strict=True)))
+            yield part(**dict(zip(("row", "n", "known", "size", "base", "score"), zip(*whole, strict=True), strict=True)))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(id_col).alias("id"))
-    if joins:
-        numbered = written(numbered)  # both readers see the same row numbers
-    parts = written(numbered.mapInArrow(with_id(task), f"row bigint, word binary, n bigint, known bigint, size bigint, base double, score double, id {docs.schema[id_col].dataType.simpleString()}"))
+    parts = written(numbered.mapInArrow(with_id(task), f"row bigint, word binary, gram bigint, n bigint, known bigint, size bigint, base double, score double, id {docs.schema[id_col].dataType.simpleString()}"))
     rare = parts.where("word is not null").select("row", "word", "n").join(known.select("word", "known", F.col("base").alias("b")), "word")
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("known").cast("long")).alias("k"), F.sum(F.col("n") * F.col("b")).alias("b"))
-    whole = parts.where("word is null").join(rare, "row", "left")
-    whole = whole.join(joined_scores(numbered, scores), "row") if joins else whole.withColumn("s", F.lit(0.0))
+    missed = parts.where("gram is not null").select("row", "gram", F.col("n").alias("times")).join(seldom.select("gram", "bits10"), "gram")
+    missed = missed.groupBy("row").agg(F.sum(F.col("times") * F.col("bits10")).alias("s"))
+    whole = parts.where("size is not null").join(rare, "row", "left").join(missed, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return whole.select(
         F.col("id").alias(id_col),
