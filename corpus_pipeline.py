@@ -1,8 +1,12 @@
 """A training-corpus pipeline over ``documents``, as stages that can be written and read again.
 
 language: documents without letters or whose language is not recognised with confidence go; near_duplicates: one
-document of each group of similar texts stays, the one with the smallest id; decontamination: documents that hold
-a window of a benchmark item go; pseudonyms: personal data is replaced; tokens: what is left is encoded.
+document of each group of similar texts stays; decontamination: documents that hold a window of a benchmark item
+go; pseudonyms: personal data is replaced; tokens: what is left is encoded.
+
+Every stage takes a null, empty or very long text whole, keeps all columns, gives an empty table for an empty one,
+and treats rows one by one: repeated rows and rows that share an id are separate documents, but where its own
+docstring says otherwise.
 """
 
 from __future__ import annotations
@@ -13,43 +17,57 @@ from pyspark.sql import functions as F
 from phyloquarry.llm.bpe import TOKENIZER, bpe_encode, digests, public_path
 from phyloquarry.llm.common import table, written
 from phyloquarry.llm.decontamination import decontamination
-from phyloquarry.llm.jaccard_join import near_duplicates
+from phyloquarry.llm.jaccard_join import WORDED, near_duplicates, text_class
 from phyloquarry.llm.language_id import UNKNOWN, fit, identify
-from phyloquarry.llm.pii import pseudonymise
+from phyloquarry.llm.pii import pseudonym_key, pseudonymise
 
 #: A prediction below this probability is no recognised language.
 CONFIDENT = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what is recognised; the model is learned from the labelled documents themselves."""
-    found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= CONFIDENT)).select(*docs.columns)
+    """Keeps what is recognised; the model is learned from the labelled documents themselves.
+
+    Null texts and texts without letters are not recognised and go, and so do all where no document is labelled.
+    """
+    own = docs.select("text", *[F.col(c).alias(f"own_{c}") for c in docs.columns if c != "text"])
+    found = identify(own, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= CONFIDENT))
+    return found.select(*["text" if c == "text" else F.col(f"own_{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows with a null id are groups of their own."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of similar texts: the text of the group's smallest id.
+
+    Decided by id and text together: of rows alike in both one stays, of two unlike texts with one id both. Rows
+    without words and rows with a null id are similar to nothing and stay.
+    """
+    found = near_duplicates(docs).where("text_class is not null and doc_id is not null")
+    marks = found.groupBy(F.col("doc_id").alias("id"), "text_class").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1 or not stays")
+    digest = F.when(F.col("text").rlike(WORDED), F.hex(text_class("text")))
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), digest.alias("text_class"))
+    kept = own.join(marks, ["id", "text_class"], "left").where(F.coalesce("stays", F.lit(True)))
+    single, repeated = kept.where("n is null or n = 1"), kept.where("n > 1").dropDuplicates(["id", "text_class"])
+    return single.select("doc.*").unionByName(repeated.select("doc.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents; rows that share an id go together if one of them is. A null id stays."""
     found = decontamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"))
+    return own.join(hit, F.col("id") == F.col("hit_id"), "left_anti").select("doc.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data; n_chars follows the text."""
-    found = pseudonymise(docs)
+    """Replaces personal data; n_chars follows the text (0 for a null one). All rows stay."""
+    found = pseudonymise(docs, pseudonym_key(spark))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast("long"))
+        found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's ids and of its decoded text."""
+    """The digests of each document's ids and of its decoded text, a row each; a null text counts as empty."""
     return digests(bpe_encode(docs, public_path(TOKENIZER)))
 
 
@@ -61,7 +79,8 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: SQL has no counterpart for the fitted classifier, the pseudonyms and the merges; tests compare its stages with run().
+#: SQL has no counterpart for the fitted classifier, the pseudonyms and the merges; tests compare each stage with a
+#: plain one.
 ORACLE_SQL = None
 
 
