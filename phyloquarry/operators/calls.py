@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import log_sum_exp, phred
+from .messages import vcf_genotype
 
 #: Genotypes by index: alphabet form, ternary code, alternative alleles.
 GENOTYPES = [(0, "0/0", 0, 0), (1, "0/1", 1, 1), (2, "1/1", 2, 2), (3, "1/2", 2, 2)]
@@ -41,19 +42,59 @@ def ambiguous(calls: DataFrame, keep_all: bool = False) -> DataFrame:
     return calls.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
-def record_totals(calls: DataFrame) -> DataFrame:
-    """(site, ac, an, dp, af): alternative alleles, called alleles, depth and frequency of a site."""
-    totals = calls.groupBy("site").agg(F.sum("n_alt").alias("ac"), (2 * F.count(F.lit(1))).alias("an"), F.sum("cov").alias("dp"))
-    return totals.withColumn("af", F.col("ac") / F.col("an"))
+#: The fields of a cell in a record, in order.
+FIELDS = "GT:AD:DP:GQ:PL:ADO:ADOQ:ADOP"
 
 
-def records(calls: DataFrame, sites: DataFrame) -> DataFrame:
-    """(chrom, pos, record): VCF body lines with the cells' calls in cell order."""
-    cells = F.array_sort(F.collect_list(F.struct("cell", F.concat_ws(":", "alphabet", F.col("cov").cast("string")).alias("c"))))
-    lines = calls.groupBy("site").agg(F.array_join(F.transform(cells, lambda x: x["c"]), "\t").alias("cells")).join(record_totals(calls), "site").join(sites, "site")
-    info = F.format_string("AC=%d;AF=%.2f;AN=%d;DP=%d", "ac", "af", "an", "dp")
-    fixed = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), info, F.lit("GT:DP"), "cells")
-    return lines.select("chrom", "pos", fixed.alias("record"))
+def site_alternatives(cells: DataFrame) -> DataFrame:
+    """(site, alts): the site's alternatives, then those that cells' genotypes bring, in the order of the cells."""
+    uses = lambda digit: F.instr(F.col("alphabet"), digit) > 0
+    own = F.filter(F.array(F.when(uses("1"), F.get("nucs", F.lit(0))), F.when(uses("2"), F.get("nucs", F.lit(1)))), lambda x: x.isNotNull() & (x != "N"))
+    brought = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", own.alias("own")))), lambda x: x["own"]))
+    return cells.groupBy("site").agg(F.array_distinct(F.concat(F.first("alts"), brought)).alias("alts"))
+
+
+def cell_fields(cells: DataFrame) -> DataFrame:
+    """(site, cell, alts, gt, cov, fields) from a row for each site and cell.
+
+    ``cells`` has site, cell, ``alts`` (the site's), ``alphabet`` (the genotype in 0, 1, 2), ``nucs`` and ``reads`` (the
+    cell's nucleotides in order and their reads), ``ref_reads``, ``cov``, ``liks`` and ``ado_liks`` (log likelihoods of
+    genotypes and dropout states) and ``ado`` (the chosen state).
+    """
+    met = cells.drop("alts").join(site_alternatives(cells), "site")
+    allele_of = F.map_from_entries(F.transform("alts", lambda x, i: F.struct(x, i + 1)))
+    depth = lambda alt: F.coalesce(F.get("reads", F.array_position("nucs", alt).cast("int") - 1), F.lit(0))
+    ad = F.concat(F.array(F.col("ref_reads").cast("long")), F.transform("alts", lambda x: depth(x).cast("long")))
+    pl, gq = phred_likelihoods(F.col("liks"))
+    ado_pl, ado_q = phred_likelihoods(F.col("ado_liks"))
+    staged = met.select("site", "cell", "alts", "cov", "ado", vcf_genotype(F.col("alphabet"), allele_of, F.col("nucs")).alias("gt"), ad.alias("ad"), pl.alias("pl"), gq.alias("gq"), ado_pl.alias("ado_pl"), ado_q.alias("ado_q"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    text = [F.col("gt"), listed("ad"), F.col("cov"), F.col("gq"), listed("pl"), F.col("ado"), F.col("ado_q"), listed("ado_pl")]
+    return staged.select("site", "cell", "alts", "gt", "cov", F.concat_ws(":", *[x.cast("string") for x in text]).alias("fields"))
+
+
+def record_totals(fields: DataFrame) -> DataFrame:
+    """(site, alts, ac, an, dp, af) from ``cell_fields``: ac and af hold a number for each alternative."""
+    alleles = fields.select("site", "alts", "cov", F.split("gt", "/").alias("g"))
+    sums = alleles.groupBy("site", "alts").agg(F.flatten(F.collect_list("g")).alias("g"), F.sum(F.size("g")).alias("an"), F.sum("cov").alias("dp"))
+    counted = sums.withColumn("ac", F.transform("alts", lambda x, i: F.size(F.filter("g", lambda y: y == (i + 1).cast("string")))))
+    return counted.select("site", "alts", "ac", "an", "dp", F.transform("ac", lambda x: x / F.col("an")).alias("af"))
+
+
+def records(cells: DataFrame, sites: DataFrame) -> DataFrame:
+    """(chrom, pos, record): VCF body lines with the cells' fields in cell order.
+
+    ``sites`` has site, chrom, pos, ref and, if it is known, ``constant``, the log likelihood of no change, from which
+    the quality is taken.
+    """
+    fields = cell_fields(cells)
+    in_order = F.array_sort(F.collect_list(F.struct("cell", "fields")))
+    lines = fields.groupBy("site").agg(F.array_join(F.transform(in_order, lambda x: x["fields"]), "\t").alias("cells")).join(record_totals(fields), "site").join(sites, "site")
+    listed = lambda c, form: F.array_join(F.transform(c, lambda x: F.format_string(form, x)), ",")
+    info = F.concat(F.lit("AC="), listed("ac", "%d"), F.lit(";AF="), listed("af", "%.3f"), F.format_string(";AN=%d;DP=%d", "an", "dp"))
+    quality = phred(F.col("constant"), rounded=True).cast("string") if "constant" in sites.columns else F.lit(".")
+    fixed = ["chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), quality, F.lit("PASS"), info, F.lit(FIELDS), "cells"]
+    return lines.select("chrom", "pos", F.concat_ws("\t", *fixed).alias("record"))
 
 
 def allele_index(cells: DataFrame) -> DataFrame:

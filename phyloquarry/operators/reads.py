@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import geometric_mean
+from .lineage import kept
 
 #: Chromosome labels: any prefix, then a number from 1 to 22, X, Y or MT.
 LABEL = r"^(.*?)(1[0-9]|2[0-2]|[1-9]|[XYxy]|[Mm][Tt])$"
@@ -168,3 +169,17 @@ def allelic_coverage(cells: DataFrame, keys: list[str]) -> DataFrame:
 def background_totals(background: DataFrame, n_cells: int) -> DataFrame:
     """(name, n_points, n_sites): points and, where they divide by the cells, sites."""
     return background.groupBy("name").agg(F.sum("occurrences").alias("n_points")).withColumn("n_sites", F.when(F.col("n_points") % n_cells == 0, F.expr(f"n_points div {n_cells}")))
+
+
+def pattern_ids(patterns: DataFrame) -> DataFrame:
+    """(site, pattern_id): 1, 2, ... over the distinct patterns of (site, pattern) in their order.
+
+    Distinct patterns are parted by ranges and numbered in each part after those of the parts before, so no task sees
+    them all; only the parts' counts meet.
+    """
+    parted = patterns.select("pattern").distinct().repartitionByRange("pattern")
+    distinct = kept(parted.select("pattern", F.spark_partition_id().alias("part")))
+    counts = distinct.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    numbered = distinct.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("pattern"))).join(before, "part")
+    return patterns.join(numbered.select("pattern", (F.col("before") + F.col("place")).alias("pattern_id")), "pattern").select("site", "pattern_id")

@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed now, its lineage cut: in the checkpoint folder, or in executors where there is none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+from .lineage import kept
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -87,37 +84,53 @@ def common_ancestors(target: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def coalescent_intervals(nodes: DataFrame) -> DataFrame:
-    """(tree, height, width, lineages): the intervals between events from the tips up, in order.
+    """(tree, height, width, lineages, joins): the intervals between events from the tips up, in order.
 
-    A tip adds a lineage at its height, an inner node joins its children into one.
+    A tip adds a lineage at its height, an inner node joins its children into one; ``joins`` counts the coalescences
+    at the interval's upper end, 0 where it ends with a tip or with the trunk.
     """
     children = nodes.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("c"))
-    events = nodes.join(children, ["tree", "node"], "left").select("tree", F.col("height").cast("double").alias("height"), F.when(F.col("c").isNull(), 1).otherwise(1 - F.col("c")).alias("change"))
-    steps = events.groupBy("tree", "height").agg(F.sum("change").alias("change"))
+    events = nodes.join(children, ["tree", "node"], "left").select("tree", F.col("height").cast("double").alias("height"), F.when(F.col("c").isNull(), 1).otherwise(1 - F.col("c")).alias("change"), F.coalesce(F.col("c") - 1, F.lit(0)).alias("joined"))
+    steps = events.groupBy("tree", "height").agg(F.sum("change").alias("change"), F.sum("joined").alias("joined"))
     up = Window.partitionBy("tree").orderBy("height")
     run = steps.withColumn("lineages", F.sum("change").over(up)).withColumn("width", F.lead("height").over(up) - F.col("height"))
-    return run.where("width IS NOT NULL").select("tree", "height", "width", "lineages")
+    return run.withColumn("joins", F.lead("joined").over(up)).where("width IS NOT NULL").select("tree", "height", "width", "lineages", "joins")
+
 
+def coalescent_log_likelihood(nodes: DataFrame, population: float, expected_trunk: float | None = None) -> DataFrame:
+    """(tree, log_likelihood) under a constant population.
 
-def coalescent_log_likelihood(nodes: DataFrame, population: float) -> DataFrame:
-    """(tree, log_likelihood) under a constant population: each interval waits at rate k(k-1)/2 / N, each end joins two."""
+    An interval waits at rate k(k-1)/2 / N; each coalescence at its end has density 1/N, a tip that enters has none.
+    The trunk, the last interval of one lineage, is exponential with mean ``expected_trunk`` where that is given.
+    """
     from math import log
 
     pairs = F.col("lineages") * (F.col("lineages") - 1) / 2
     each = coalescent_intervals(nodes)
-    return each.groupBy("tree").agg(F.sum(-pairs * F.col("width") / population - F.when(pairs > 0, F.lit(log(population))).otherwise(0.0)).alias("log_likelihood"))
+    term = -pairs * F.col("width") / population - F.col("joins") * log(population)
+    if expected_trunk is None:
+        return each.groupBy("tree").agg(F.sum(term).alias("log_likelihood"))
+    last = F.max_by(F.when((F.col("joins") == 0) & (F.col("lineages") == 1), F.col("width")), "height")
+    summed = each.groupBy("tree").agg(F.sum(term).alias("s"), last.alias("trunk"))
+    return summed.select("tree", (F.col("s") + F.coalesce(-F.col("trunk") / expected_trunk - log(expected_trunk), F.lit(0.0))).alias("log_likelihood"))
 
 
-def local_clock_rates(nodes: DataFrame) -> DataFrame:
-    """(tree, node, unscaled, rate): products of the multipliers from the root down, scaled to a mean rate of 1.
+def local_clock_rates(nodes: DataFrame, mean_rate: float = 1.0, root_rate: bool = False, scaled: bool = True) -> DataFrame:
+    """(tree, node, unscaled, rate): products of the multipliers from the root down, scaled to ``mean_rate``.
 
-    ``nodes`` has ``multiplier`` (1 where the rate does not change) and ``length``.
+    ``nodes`` has ``multiplier``, that of nodes where the rate changes (null elsewhere). The root's own multiplier
+    counts only if asked. The scale is the sum of branch times over that of branch times times rates; the root has
+    no branch, and a branch is as long as the difference of heights.
     """
-    product = ancestors(nodes).join(nodes.select("tree", F.col("node").alias("ancestor"), "multiplier"), ["tree", "ancestor"])
-    unscaled = product.groupBy("tree", "node").agg(F.exp(F.sum(F.log("multiplier"))).alias("unscaled"))
-    timed = unscaled.join(nodes.select("tree", "node", "length"), ["tree", "node"])
-    per = Window.partitionBy("tree")
-    return timed.withColumn("rate", F.col("unscaled") * F.sum("length").over(per) / F.sum(F.col("length") * F.col("unscaled")).over(per)).drop("length")
+    times = nodes.select("tree", "node", "parent", "height", "multiplier")
+    upper = nodes.select("tree", F.col("node").alias("parent"), F.col("height").alias("top"))
+    applied = times.withColumn("m", F.when(F.col("parent").isNull() & F.lit(not root_rate), F.lit(1.0)).otherwise(F.coalesce("multiplier", F.lit(1.0))))
+    product = ancestors(nodes).join(applied.select("tree", F.col("node").alias("ancestor"), "m"), ["tree", "ancestor"])
+    unscaled = product.groupBy("tree", "node").agg(F.exp(F.sum(F.log("m"))).alias("unscaled"))
+    timed = unscaled.join(times.join(upper, ["tree", "parent"], "left").select("tree", "node", (F.col("top") - F.col("height")).alias("time")), ["tree", "node"])
+    sums = timed.groupBy("tree").agg((F.sum("time") / F.sum(F.col("time") * F.col("unscaled")) * mean_rate).alias("scale"))
+    found = timed.join(sums, "tree")
+    return found.select("tree", "node", "unscaled", (F.col("unscaled") * F.col("scale") if scaled else F.col("unscaled")).alias("rate"))
 
 
 def mapped_height(option: str, own: str = "height", mean: str = "mean", median: str = "median"):

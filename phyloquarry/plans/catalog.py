@@ -252,9 +252,9 @@ def a13_site_estimates(r):
     return summaries.estimates(keyed, ["site", "category"]).select("site", "category", "n", r6("mean").alias("mean"), r6("median").alias("median"))
 
 
-@query("trace")
+@query("trace", f"WITH {TRACE_TAIL}, s AS (SELECT var, 1.06 * stddev_samp(value) * pow(count(*), -0.2) AS w FROM t GROUP BY var), d AS (SELECT a.var, a.sample, a.value, sum(exp(-0.5 * ((a.value - b.value) / w) * ((a.value - b.value) / w))) AS d FROM t a JOIN t b USING (var) JOIN s USING (var) GROUP BY a.var, a.sample, a.value), m AS (SELECT *, max(d) OVER (PARTITION BY var) AS top FROM d) SELECT var, round(arg_min(value, sample), 6) AS mode FROM m WHERE d >= top * (1 - 1e-12) GROUP BY var")
 def a14_kde_mode(trace):
-    return summaries.kde_mode(summaries.after_burn_in(trace, 0.1, ["var"]), ["var"])
+    return summaries.kde_mode(summaries.after_burn_in(trace, 0.1, ["var"]), ["var"]).withColumn("mode", r6("mode"))
 
 
 @query("gt_trace", "SELECT site, cell, genotype, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY site, cell), 6) AS share FROM gt_trace GROUP BY site, cell, genotype")
@@ -266,7 +266,7 @@ CLADE_SQL = "RECURSIVE up AS (SELECT tree, node, node AS anc, 0 AS steps FROM no
 
 
 def clade_sql(body: str) -> str:
-    return with_views(["nodes"], f"WITH {CLADE_SQL.removeprefix('RECURSIVE ')} {body}").replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_views(["nodes"], f"WITH {CLADE_SQL.removeprefix('RECURSIVE ')}{body if body.startswith(',') else ' ' + body}").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def clade_query(body: str | None):
@@ -329,14 +329,17 @@ def t12_preorder(nodes):
     return trees.preorder(nodes)
 
 
-@clade_query(None)
+STEPS_SQL = "WITH k AS (SELECT tree, parent AS node, count(*) AS c FROM nodes WHERE parent IS NOT NULL GROUP BY tree, parent), e AS (SELECT n.tree, n.height, sum(CASE WHEN c IS NULL THEN 1 ELSE 1 - c END) AS change, sum(coalesce(c - 1, 0)) AS joined FROM nodes n LEFT JOIN k USING (tree, node) GROUP BY n.tree, n.height), r AS (SELECT tree, height, sum(change) OVER w AS lineages, lead(height) OVER w - height AS width, lead(joined) OVER w AS joins FROM e WINDOW w AS (PARTITION BY tree ORDER BY height))"
+
+
+@query("nodes", f"{STEPS_SQL} SELECT tree, round(sum(-lineages * (lineages - 1) / 2 * width / 1.5 - joins * ln(1.5)) + max(CASE WHEN height = 3 THEN -width / 2.5 - ln(2.5) END), 6) AS log_likelihood FROM r WHERE width IS NOT NULL GROUP BY tree")
 def a48_coalescent(nodes):
-    return trees.coalescent_log_likelihood(nodes, 1.5).withColumn("log_likelihood", r6("log_likelihood"))
+    return trees.coalescent_log_likelihood(nodes, 1.5, 2.5).withColumn("log_likelihood", r6("log_likelihood"))
 
 
-@query("nodes", "WITH e AS (SELECT tree, height, sum(CASE WHEN node IN (SELECT parent FROM nodes k WHERE k.parent IS NOT NULL AND k.tree = nodes.tree) THEN 1 - (SELECT count(*) FROM nodes k WHERE k.tree = nodes.tree AND k.parent = nodes.node) ELSE 1 END) AS change FROM nodes GROUP BY tree, height), r AS (SELECT tree, height, sum(change) OVER (PARTITION BY tree ORDER BY height) AS lineages, lead(height) OVER (PARTITION BY tree ORDER BY height) - height AS width FROM e) SELECT tree, round(height, 6) AS height, round(width, 6) AS width, lineages::BIGINT AS lineages FROM r WHERE width IS NOT NULL")
+@query("nodes", f"{STEPS_SQL} SELECT tree, round(height, 6) AS height, round(width, 6) AS width, lineages::BIGINT AS lineages, joins::BIGINT AS joins FROM r WHERE width IS NOT NULL")
 def w04_coalescent_intervals(nodes):
-    return trees.coalescent_intervals(nodes).select("tree", r6("height").alias("height"), r6("width").alias("width"), F.col("lineages").cast("long").alias("lineages"))
+    return trees.coalescent_intervals(nodes).select("tree", r6("height").alias("height"), r6("width").alias("width"), F.col("lineages").cast("long").alias("lineages"), F.col("joins").cast("long").alias("joins"))
 
 
 @query("trace", f"WITH {TRACE_TAIL}, o AS (SELECT var, value, row_number() OVER (PARTITION BY var ORDER BY value, sample) AS i, count(*) OVER (PARTITION BY var) AS n FROM t), w AS (SELECT a.var, a.i, a.value AS lo, b.value AS hi FROM o a JOIN o b ON a.var = b.var AND b.i = a.i + floor(0.95 * a.n + 0.5) - 1), b AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY hi - lo, i) AS k FROM w) SELECT var, round(lo, 6) AS hpd_low, round(hi, 6) AS hpd_high FROM b WHERE k = 1")
@@ -365,16 +368,45 @@ def a28_hpd_area(events):
     return summaries.hpd_area_2d(paired, ["event_type"], "x", "y")
 
 
-@query("calls", "SELECT site, sum(genotype)::BIGINT AS ac, 2 * count(*) AS an, sum(cov)::BIGINT AS dp, round(sum(genotype) / (2 * count(*)), 6) AS af FROM calls GROUP BY site")
-def a31_record_totals(c):
-    coded = c.join(F.broadcast(calls.genotype_table(c.sparkSession)), "genotype")
-    return calls.record_totals(coded).withColumn("af", r6("af"))
+VCF_SQL = """c AS (SELECT s.site, r.cell, s.alt, substr('GTAC', CAST(s.site % 4 AS INT) + 1, 1) AS third, r.r1, r.r2, r.ref_reads, r.cov,
+    CASE WHEN k.genotype = 2 AND r.cell % 5 = 0 THEN 3 ELSE k.genotype END AS g,
+    list_transform([-r.r1 / 9.0, -r.r2 / 9.0, -r.r3 / 9.0, -r.ref_reads / 9.0], lambda x: floor(-10 / ln(10) * x + 0.5)::BIGINT) AS q,
+    list_transform([-r.cov / 7.0, -r.r1 / 3.0], lambda x: floor(-10 / ln(10) * x + 0.5)::BIGINT) AS a
+    FROM sites s JOIN reads r USING (site) JOIN calls k USING (site, cell)),
+t AS (SELECT site, max(CASE WHEN g = 3 THEN 1 ELSE 0 END) AS two, sum(CASE g WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END)::BIGINT AS a1,
+    sum(CASE g WHEN 3 THEN 1 ELSE 0 END)::BIGINT AS a2, 2 * count(*) AS an, sum(cov)::BIGINT AS dp FROM c GROUP BY site),
+f AS (SELECT site, cell, cov, concat_ws(':', CASE g WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE '1/2' END,
+    concat_ws(',', ref_reads, r1, CASE WHEN two = 1 THEN r2 END), cov, least(list_sort(list_transform(q, lambda x: x - list_min(q)))[2], 99),
+    array_to_string(list_transform(q, lambda x: x - list_min(q)), ','), cell % 2,
+    least(list_sort(list_transform(a, lambda x: x - list_min(a)))[2], 99), array_to_string(list_transform(a, lambda x: x - list_min(a)), ',')) AS fields FROM c JOIN t USING (site))"""
+
+
+def _variant_cells(sites, r, c):
+    at = lambda letters: F.substr(F.lit(letters), (F.col("site") % 4 + 1).cast("int"), F.lit(1))
+    genotype = F.when((F.col("genotype") == 2) & (F.col("cell") % 5 == 0), 3).otherwise(F.col("genotype")).cast("int")
+    met = sites.select("site", F.array("alt").alias("alts"), F.array("alt", at("GTAC")).alias("nucs")).join(r, "site").join(c.select("site", "cell", "genotype"), ["site", "cell"])
+    coded = met.withColumn("genotype", genotype).join(F.broadcast(calls.genotype_table(c.sparkSession)), "genotype")  # 4 rows
+    below = lambda parts: F.array(*[-F.col(x) / by for x, by in parts])
+    liks, ado_liks = below([("r1", 9.0), ("r2", 9.0), ("r3", 9.0), ("ref_reads", 9.0)]), below([("cov", 7.0), ("r1", 3.0)])
+    return coded.select("site", "cell", "alts", "alphabet", "ternary", "nucs", F.array("r1", "r2").alias("reads"), "ref_reads", "cov", liks.alias("liks"), ado_liks.alias("ado_liks"), (F.col("cell") % 2).alias("ado"))
+
 
+@query("sites reads calls", f"WITH {VCF_SQL} SELECT site, CASE WHEN two = 1 THEN concat_ws(',', a1, a2) ELSE a1::VARCHAR END AS ac, an, dp, round(a1 / an, 6) AS first_af FROM t")
+def a31_record_totals(sites, r, c):
+    totals = calls.record_totals(calls.cell_fields(_variant_cells(sites, r, c)))
+    return totals.select("site", F.array_join(F.transform("ac", lambda x: x.cast("string")), ",").alias("ac"), "an", "dp", r6(F.get("af", F.lit(0))).alias("first_af"))
 
-@query("sites calls", "WITH t AS (SELECT site, sum(genotype)::BIGINT AS ac, 2 * count(*) AS an, sum(cov)::BIGINT AS dp, string_agg((CASE genotype WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' ELSE '1/1' END) || ':' || cov, chr(9) ORDER BY cell) AS cells FROM calls GROUP BY site) SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, alt, '.', 'PASS', printf('AC=%d;AF=%.2f;AN=%d;DP=%d', ac, round(ac / an + 1e-9, 2), an, dp), 'GT:DP', cells) AS record FROM t JOIN sites USING (site)")
-def k05_vcf_records(sites, c):
-    coded = c.join(F.broadcast(calls.genotype_table(c.sparkSession)), "genotype")
-    return calls.records(coded, sites)
+
+@query("sites reads calls", f"WITH {VCF_SQL} SELECT site, cell, fields FROM f")
+def a32_cell_fields(sites, r, c):
+    return calls.cell_fields(_variant_cells(sites, r, c)).select("site", "cell", "fields")
+
+
+@query("sites reads calls", f"""WITH {VCF_SQL}, l AS (SELECT site, string_agg(fields, chr(9) ORDER BY cell) AS cells FROM f GROUP BY site) SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, CASE WHEN two = 1 THEN alt || ',' || substr('GTAC', CAST(site % 4 AS INT) + 1, 1) ELSE alt END,
+  floor(-10 / ln(10) * (-(site % 90) / 3.0) + 0.5)::BIGINT, 'PASS', 'AC=' || CASE WHEN two = 1 THEN concat_ws(',', a1, a2) ELSE a1::VARCHAR END || ';AF=' || CASE WHEN two = 1 THEN printf('%.3f,%.3f', a1 / an + 1e-9, a2 / an + 1e-9) ELSE printf('%.3f', a1 / an + 1e-9) END || ';AN=' || an || ';DP=' || dp, 'GT:AD:DP:GQ:PL:ADO:ADOQ:ADOP', cells) AS record
+  FROM l JOIN t USING (site) JOIN sites USING (site)""")
+def k05_vcf_records(sites, r, c):
+    return calls.records(_variant_cells(sites, r, c), sites.withColumn("constant", -(F.col("site") % 90) / 3.0))
 
 
 @query("trace", "SELECT var, sample, round(value, 6) AS value FROM (SELECT *, rank() OVER (PARTITION BY var ORDER BY round(value, 1) DESC) AS k FROM trace) WHERE k = 1")
@@ -555,10 +587,7 @@ def o10_sample_order(gt):
 
 @query("pattern_reads", "WITH p AS (SELECT site, string_agg(CAST(cov AS VARCHAR), ';' ORDER BY cell) AS pattern FROM pattern_reads GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY pattern) AS pattern_id FROM p")
 def w03_pattern_ids(p):
-    from pyspark.sql import Window
-
-    distinct = reads.patterns(p, ["cov"]).select("pattern", F.row_number().over(Window.orderBy("pattern")).cast("long").alias("pattern_id"))
-    return reads.site_patterns(p, ["cov"]).join(distinct, "pattern").select("site", "pattern_id")
+    return reads.pattern_ids(reads.site_patterns(p, ["cov"]))
 
 
 @query("sites", "SELECT site, (site * 7) // ((SELECT max(site) FROM sites) + 1) AS part FROM sites")

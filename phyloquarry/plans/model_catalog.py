@@ -10,7 +10,7 @@ from ..functions import distributions, special
 from ..operators import calls, genes, likelihood, messages, reads, summaries, trees
 from ..sinks import text as sinks
 from ..sources import text as sources
-from .catalog import SMALL_TREE, all_cells, clade_query, query, r6
+from .catalog import BRANCH_SQL, SMALL_TREE, VCF_SQL, _variant_cells, all_cells, clade_query, query, r6
 
 Q4 = likelihood.rate_matrix(4)
 
@@ -117,16 +117,22 @@ def a41_background_beta_binomial(b):
     return b.agg(F.round(F.sum(F.col("occurrences") * term), 3).alias("log_likelihood"))
 
 
-@clade_query("SELECT tree, node, round(exp(sum(ln(1 + length(anc) / 10.0))), 6) AS unscaled FROM up GROUP BY tree, node")
+CLOCK_SQL = "r AS (SELECT u.tree, u.node, exp(sum(CASE WHEN a.parent IS NULL OR length(u.anc) % 2 = 1 THEN 0 ELSE ln(1 + length(u.anc) / 10.0) END)) AS u FROM up u JOIN nodes a ON a.tree = u.tree AND a.node = u.anc GROUP BY u.tree, u.node), s AS (SELECT r.tree, 0.7 * sum(p.height - n.height) / sum((p.height - n.height) * r.u) AS scale FROM r JOIN nodes n ON n.tree = r.tree AND n.node = r.node JOIN nodes p ON p.tree = n.tree AND p.node = n.parent GROUP BY r.tree)"
+
+
+def _clock(nodes):
+    changes = F.when(F.length("node") % 2 == 0, 1 + F.length("node") / 10.0)
+    return trees.local_clock_rates(nodes.withColumn("multiplier", changes), 0.7)
+
+
+@clade_query(f", {CLOCK_SQL} SELECT tree, node, round(u, 6) AS unscaled FROM r")
 def f24_local_clock(nodes):
-    with_rates = nodes.withColumn("multiplier", 1 + F.length("node") / 10.0).withColumn("length", F.lit(1.0))
-    return trees.local_clock_rates(with_rates).select("tree", "node", r6("unscaled").alias("unscaled"))
+    return _clock(nodes).select("tree", "node", r6("unscaled").alias("unscaled"))
 
 
-@clade_query("SELECT tree, round(sum(1.0) / sum(u), 6) AS scale FROM (SELECT tree, node, exp(sum(ln(1 + length(anc) / 10.0))) AS u FROM up GROUP BY tree, node) GROUP BY tree")
+@clade_query(f", {CLOCK_SQL} SELECT tree, round(scale, 6) AS scale FROM s")
 def a47_clock_scale(nodes):
-    with_rates = nodes.withColumn("multiplier", 1 + F.length("node") / 10.0).withColumn("length", F.lit(1.0))
-    return trees.local_clock_rates(with_rates).groupBy("tree").agg(r6(F.first(F.col("rate") / F.col("unscaled"))).alias("scale"))
+    return _clock(nodes).groupBy("tree").agg(r6(F.max(F.col("rate") / F.col("unscaled"))).alias("scale"))
 
 
 GENOTYPE_PAIRS = [(a, b) for a in ("0/0", "0/1", "1/1", "0/-", "1/-") for b in ("0/0", "0/1", "1/1", "0/-", "1/-") if a != b]
@@ -211,7 +217,10 @@ def p26_states_given_another(c):
     return c.where("cell IN (0, 3)").join(given, "site", "left_semi").groupBy("site").agg(F.array_join(F.sort_array(F.collect_set("genotype")), ",").alias("states"))
 
 
-@query("sites genes nodes node_gt")
+VIOLATING = "SELECT site, node FROM b GROUP BY site, node HAVING count(*) > 1 OR min(event) <> 'SM'"
+
+
+@query("sites genes nodes node_gt", f"WITH {BRANCH_SQL} {VIOLATING}")
 def p15_infinite_sites_violations(sites, g, nodes, gt):
     events = genes.branch_events(nodes.where("tree = 0"), gt, genes.event_table(nodes.sparkSession))
     per = events.groupBy("site", "node").agg(F.collect_list("event").alias("events"))
@@ -237,6 +246,27 @@ def k05_ternary_lines(c):
     return sinks.per_site(c, F.col("genotype").cast("string"))
 
 
+@query("sites reads calls", "SELECT site, string_agg((cell % 2)::VARCHAR, chr(9) ORDER BY cell) AS value FROM calls GROUP BY site")
+def k05_ado_lines(sites, r, c):
+    return sinks.per_site(_variant_cells(sites, r, c), F.col("ado").cast("string"))
+
+
+@query("sites reads calls", f"WITH {VCF_SQL} SELECT site, string_agg(CASE g WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE '1/2' END, chr(9) ORDER BY cell) AS value FROM c GROUP BY site")
+def k05_genotype_lines(sites, r, c):
+    return sinks.per_site(_variant_cells(sites, r, c), F.col("alphabet"))
+
+
+@query("sites reads calls", "WITH l AS (SELECT site, cell, [-r1 / 9.0, -r2 / 9.0, -r3 / 9.0, -ref_reads / 9.0] AS x FROM reads), p AS (SELECT site, cell, list_transform(x, lambda y: exp(y - list_max(x)) / list_sum(list_transform(x, lambda z: exp(z - list_max(x))))) AS p FROM l) SELECT site, string_agg(array_to_string(list_transform(p, lambda y: printf('%.3f', y + 1e-12)), ','), chr(9) ORDER BY cell) AS value FROM p GROUP BY site")
+def k05_probability_lines(sites, r, c):
+    return sinks.per_site(_variant_cells(sites, r, c), calls.genotype_probabilities(F.col("liks")))
+
+
+@query("sites", "SELECT * FROM (SELECT 5 AS place, '##INFO=<ID=AC,Number=1,Type=Integer,Description=\"Allele count in genotypes, for each ALT allele, in the same order as listed\">' AS value UNION ALL SELECT 1, '##fileformat=VCFv4.3' UNION ALL SELECT 17, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO', chr(9), 'FORMAT', chr(9), 'c1', chr(9), 'c2'))")
+def k04_vcf_header(sites):
+    head = sinks.vcf_header(["c1", "c2"], [g for _, g, _, _ in calls.GENOTYPES], "20260101 00:00:00", "caller")
+    return sites.sparkSession.createDataFrame(list(enumerate(head, 1)), "place int, value string").where("place IN (1, 5, 17)")
+
+
 @query("reads", "WITH g AS (SELECT site, exp(avg(ln(cov))) AS geo FROM reads WHERE cov > 0 GROUP BY site), f AS (SELECT cell, round(quantile_cont(cov / geo, 0.5), 4) AS s FROM reads JOIN g USING (site) WHERE cov > 0 GROUP BY cell) SELECT cell, round(20.0 * s, 4) AS coverage, round(30.0 * s * s, 4) AS variance FROM f")
 def k07_allelic_info(r):
     s = F.round("size_factor", 4)

@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The fixed lines of a VCF 4.3 header; contigs and cells follow.
+#: Lines of the VCF 4.3 header after file date and source, in the file's order; PL lists the genotypes.
 VCF_HEADER = [
-    "##fileformat=VCFv4.3",
     '##FILTER=<ID=LowQual,Description="Low quality">',
-    '##INFO=<ID=AC,Number=A,Type=Integer,Description="Allele count in genotypes, for each ALT allele, in the same order as listed">',
-    '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele Frequency, for each ALT allele, in the same order as listed">',
+    '##INFO=<ID=AC,Number=1,Type=Integer,Description="Allele count in genotypes, for each ALT allele, in the same order as listed">',
+    '##INFO=<ID=AF,Number=1,Type=Float,Description="Allele Frequency, for each ALT allele, in the same order as listed">',
     '##INFO=<ID=AN,Number=1,Type=Integer,Description="Total number of alleles in called genotypes">',
-    '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total read depth">',
+    '##INFO=<ID=DP,Number=1,Type=Integer,Description="Approximate read depth; some reads may have been filtered">',
+    '##FORMAT=<ID=AD,Number=.,Type=Integer,Description="Allelic depths for the ref and alt alleles in the order listed">',
+    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Approximate read depth (reads with MQ=255 or with bad mates are filtered)">',
+    '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype quality">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
-    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">',
+    '##FORMAT=<ID=PL,Number=G,Type=Integer,Description="Normalized, phred-scaled likelihoods for genotypes as defined in the VCF specification; in the following order: {genotypes}">',
+    '##FORMAT=<ID=ADO,Number=1,Type=Integer,Description="Allelic dropout (ADO) state corresponding to the number of ADOs.">',
+    '##FORMAT=<ID=ADOQ,Number=1,Type=Integer,Description="Allelic dropout quality">',
+    '##FORMAT=<ID=ADOP,Number=D,Type=Integer,Description="Normalized, phred-scaled likelihoods for each possible ADO state">',
 ]
+VCF_COLUMNS = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
 
-def vcf_lines(records: DataFrame, cells: list[str], contigs: list[str]) -> DataFrame:
+def vcf_header(cells: list[str], genotypes: list[str], date: str, source: str) -> list[str]:
+    """The header's lines, the column names last."""
+    fixed = [x.format(genotypes=",".join(genotypes)) if "{genotypes}" in x else x for x in VCF_HEADER]
+    return ["##fileformat=VCFv4.3", f"##fileDate={date}", f"##source={source}", *fixed, "\t".join([*VCF_COLUMNS, *cells])]
+
+
+def vcf_lines(records: DataFrame, head: list[str], contigs: list[str]) -> DataFrame:
     """(value): header and records (chrom, pos, record) in order; contigs come in the given order."""
     spark = records.sparkSession
-    head = [*VCF_HEADER, *(f"##contig=<ID={c}>" for c in contigs), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *cells])]
     top = spark.createDataFrame([(-1, i, x) for i, x in enumerate(head)], "a int, b bigint, value string")
     place = F.coalesce(*[F.when(F.col("chrom") == c, F.lit(i)) for i, c in enumerate(contigs)], F.lit(len(contigs)))
     body = records.select(place.alias("a"), F.col("pos").cast("long").alias("b"), F.col("record").alias("value"))

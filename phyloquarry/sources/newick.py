@@ -59,15 +59,23 @@ def translation(lines: list[str]) -> dict[str, str]:
     return {a: b.strip("'") for a, b in (pair.split(None, 1) for pair in found[1].split(",") if pair.strip())} if found else {}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text): trimmed lines with numbers that grow along the file, however it is split."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("text"))
+    first = rows.groupBy("block").agg(F.min("row").alias("first"))  # a row for each split
+    return rows.join(first, "block").select((F.col("block") + F.col("row") - F.col("first")).alias("line"), "text")
+
+
 def read_trees(spark: SparkSession, path: str, burn_in: float = 0.0) -> DataFrame:
     """Node rows of each tree in a Newick or Nexus file, after dropping the first ``burn_in`` share of trees."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("text"))
+    rows = numbered_lines(spark, path)
     nexus = rows.where(F.upper("text").startswith("#NEXUS")).limit(1).count() > 0
     trees = rows.where(F.col("text").rlike(r"(?i)^tree\s") if nexus else F.col("text").startswith("("))
     labels = {}
-    if nexus:
-        head = rows.where(~F.col("text").rlike(r"(?i)^tree\s")).orderBy("line").limit(1_000_000).collect()  # taxa of one tree
-        labels = translation([r.text for r in head])
+    if nexus and (start := rows.where(F.col("text").rlike(r"(?i)^translate\b")).agg(F.min("line").alias("line")).first().line) is not None:
+        block = rows.where(F.col("line") >= start)
+        end = block.where(F.col("text").contains(";")).agg(F.min("line").alias("line")).first().line
+        labels = translation([r.text for r in block.where(F.col("line") <= end).orderBy("line").collect()])  # a line for each taxon
     skip = int(burn_in * trees.count())
     if skip:
         first = trees.orderBy("line").limit(skip).agg(F.max("line").alias("m")).first().m

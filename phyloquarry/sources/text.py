@@ -34,7 +34,9 @@ def tumour_cell_names(spark: SparkSession, path: str) -> DataFrame:
 def sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Section name to its lines (place, line); headings look like ``=mutations=``."""
     rows = lines(spark, path)
-    heads = rows.where(F.col("line").rlike(r"^=\w+=\s*$")).orderBy("place").limit(100).collect()
+    heads = rows.where(F.col("line").rlike(r"^=\w+=\s*$")).orderBy("place").limit(len(SECTIONS) + 1).collect()
+    if len(heads) > len(SECTIONS):
+        raise ValueError(f"More than {len(SECTIONS)} sections in {path}")
     found = {}
     for here, after in zip(heads, [*heads[1:], None], strict=True):
         at = lambda r: F.struct(F.lit(r.place.block).cast("long").alias("block"), F.lit(r.place.row).cast("long").alias("row"))
@@ -51,6 +53,21 @@ def number(section: DataFrame) -> int:
     return int(section.select(F.trim("line").cast("long").alias("n")).first().n)
 
 
+def check_numbers(parts: dict[str, DataFrame], n_samples: int, n_sites: int) -> None:
+    """An error where a file's declared numbers of samples and candidate sites are not those found."""
+    for name, found in (("numSamples", n_samples), ("numCandidateMutatedSites", n_sites)):
+        if name in parts and (declared := number(parts[name])) != found:
+            raise ValueError(f"{name} is {declared}, found {found}")
+
+
+def check_background(rows: DataFrame, n_points: int) -> None:
+    """An error where (name, n_reads, occurrences) repeats a number of reads or doesn't add up to ``n_points`` a name."""
+    per = rows.groupBy("name").agg(F.sum("occurrences").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_distinct("n_reads").alias("distinct"))
+    bad = per.where(F.col("n").isNull() | (F.col("n") != n_points) | (F.col("rows") != F.col("distinct"))).orderBy("name").limit(1).collect()
+    if bad:
+        raise ValueError(f"Background of {bad[0].name}: {bad[0].n} points of {n_points}, {bad[0].rows} rows for {bad[0].distinct} numbers of reads")
+
+
 def site_rows(section: DataFrame, supports: bool = False) -> DataFrame:
     """(place, chrom, pos, ref, alts, cells): ``cells`` are the texts of the cells in order."""
     c = F.split("line", "\t")

@@ -89,7 +89,8 @@ def test_newick(spark, tmp_path):
 
 def test_writers(spark, tmp_path):
     records = spark.createDataFrame([("chr2", 5, "r2"), ("chr1", 9, "r1")], "chrom string, pos long, record string")
-    lines = sinks.vcf_lines(records, ["x"], ["chr1", "chr2"])
+    head = sinks.vcf_header(["x"], ["0/0", "0/1"], "20260101", "caller")
+    lines = sinks.vcf_lines(records, head, ["chr1", "chr2"])
     sinks.write_lines(lines, str(tmp_path / "out"))
     got = [r.value for r in lines.collect()]
     assert got[0] == "##fileformat=VCFv4.3" and got[-2:] == ["r1", "r2"] and got[-3].endswith("\tx")
