@@ -42,7 +42,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     without words and rows with a null id are similar to nothing and stay.
     """
     found = near_duplicates(docs).where("text_class is not null and doc_id is not null")
-    marks = found.groupBy(F.col("doc_id").alias("id"), "text_class").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1 or not stays")
+    marks = found.groupBy(F.col("doc_id").alias("id"), "text_class").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = written(marks.where("n > 1 or not stays"))
     digest = F.when(F.col("text").rlike(WORDED), F.hex(text_class("text")))
     own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), digest.alias("text_class"))
     kept = own.join(marks, ["id", "text_class"], "left").where(F.coalesce("stays", F.lit(True)))
