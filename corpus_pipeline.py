@@ -39,16 +39,23 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps one row of each group of similar texts: the text of the group's smallest id.
 
     Decided by id and text together: of rows alike in both one stays, of two unlike texts with one id both. Rows
-    without words and rows with a null id are similar to nothing and stay.
+    without words and rows with a null id are similar to nothing and stay. Ids all of whose rows go are dropped by
+    id; only rows whose id others share, and of which some stay, are looked at with their text.
     """
-    found = near_duplicates(docs).where("text_class is not null and doc_id is not null")
-    marks = found.groupBy(F.col("doc_id").alias("id"), "text_class").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
-    marks = written(marks.where("n > 1 or not stays"))
+    found = written(near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text_class", "stays"))
+    ids = found.groupBy("id").agg(F.bool_or("stays").alias("some"), F.count(F.lit(1)).alias("n"))
+    ids = written(ids.where("not some or n > 1"))
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("own_id"), "text")
+    gone = ids.select("id").hint("merge")  # grows with the documents, so never a broadcast
+    single = own.join(gone, F.col("own_id") == F.col("id"), "left_anti").select("doc.*")
+    shared = ids.where("some").select("id")
+    if not shared.take(1):
+        return single
     digest = F.when(F.col("text").rlike(WORDED), F.hex(text_class("text")))
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), digest.alias("text_class"))
-    kept = own.join(marks, ["id", "text_class"], "left").where(F.coalesce("stays", F.lit(True)))
-    single, repeated = kept.where("n is null or n = 1"), kept.where("n > 1").dropDuplicates(["id", "text_class"])
-    return single.select("doc.*").unionByName(repeated.select("doc.*"))
+    rows = own.join(shared, F.col("own_id") == F.col("id")).select("doc", "id", digest.alias("text_class"))
+    stay = found.join(shared, "id", "left_semi").where("stays and text_class is not null").select("id", "text_class").distinct()
+    once = rows.join(stay, ["id", "text_class"]).dropDuplicates(["id", "text_class"]).select("doc.*")
+    return single.unionByName(once).unionByName(rows.where("text_class is null").select("doc.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
