@@ -119,6 +119,12 @@ class Windows:
         found = sliding(np.where(self.located(phrases), self.phrases, MOST), self.width, np.minimum)
         return np.flatnonzero(self.valid & (found == self.least) & (found < MOST))
 
+    def in_row(self, at: np.ndarray) -> np.ndarray:
+        """64-bit hashes by which the windows ``at`` of one row are told apart."""
+        if not len(at):
+            return np.zeros(0, U)
+        return keyed(self.row_of[at], self.words.runs(self.window)[at])
+
     def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two halves of the digest of the words of each of the windows ``at``, which are in order."""
         row_of, row, starts, n = self.row_of[at], self.words.row, self.words.start, self.window
@@ -135,9 +141,9 @@ class Windows:
         return both[:, 0], both[:, 1]
 
 
-def keyed(row: np.ndarray, high: np.ndarray, low: np.ndarray | int = 0) -> np.ndarray:
-    """One 64-bit key for a row and a digest, for use inside a shard."""
-    return mix(high.astype(U) ^ mix(np.asarray(low).astype(U) ^ mix(row.astype(U) + U(1))))
+def keyed(row: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One 64-bit key for a row and a hash, for use inside a shard."""
+    return mix(x ^ mix(row.astype(U) + U(1)))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -195,12 +201,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = found.candidates(confirmed(found, ids, right))
         if not len(at):
             return known.empty_table()
+        at = np.sort(at[np.unique(found.in_row(at), return_index=True)[1]])
         high, low = found.digests(at)
         row = found.row_of[at]
-        _, first = np.unique(keyed(row, high, low), return_index=True)
         inner = (at - found.words.row[row]).astype(np.int32)
-        shard = pa.array(np.full(len(first), left.column("shard")[0].as_py(), np.int32))
-        return pa.Table.from_arrays([pa.array(high[first]), pa.array(low[first]), ids.take(pa.array(row[first])), shard, pa.array(inner[first])], schema=known)
+        shard = pa.array(np.full(len(at), left.column("shard")[0].as_py(), np.int32))
+        return pa.Table.from_arrays([pa.array(high), pa.array(low), ids.take(pa.array(row)), shard, pa.array(inner)], schema=known)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, text = left.column("id").combine_chunks(), left.column("text").combine_chunks()
@@ -213,10 +219,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         is_owner = right.column("anchor").is_null()
         at = found.candidates(confirmed(found, ids, right.filter(pc.invert(is_owner))))
         if len(at):
-            high, low = found.digests(at)
             place = found.at_places(*rows_of(ids, right.filter(is_owner)), window)
-            place = np.unique(place)
-            at = at[~among(keyed(found.row_of[at], high, low), keyed(found.row_of[place], *found.digests(place)))]
+            at = at[~among(found.in_row(at), found.in_row(place))]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone[:-1]) > 0
