@@ -65,3 +65,31 @@ def genes_by_branch(branch_genes: DataFrame) -> DataFrame:
 def clean_gene(col: Column) -> Column:
     """Quotes dropped; a semicolon becomes a slash."""
     return F.regexp_replace(F.regexp_replace(col, "[\"']", ""), ";", "/")
+
+
+#: Names of what a branch tells of its mutations, and the columns they are taken from.
+NOTES = {"chr": "chrom", "pos": "pos", "ref_nuc": "ref", "alt_nuc": "alt", "event_type": "event", "gene": "gene"}
+
+
+def gene_notes(classed: DataFrame) -> DataFrame:
+    """(node, key, value): the mutations of each branch, for its tree label, over all sites and by model.
+
+    ``classed`` are ``site_classes`` with the sites' columns. Keys without ending list all mutations, those ending in
+    _isa or _fsa the ones of that model; values are {a,b,...} in the order of chromosome, position, number of events,
+    events and gene. A label is one text, so a branch's mutations meet in one row.
+    """
+    rows = classed.withColumn("ending", F.explode(F.array(F.lit(""), F.concat(F.lit("_"), F.lower("model")))))
+    order = ["chrom", "pos", F.size(F.split("event", ",")).alias("n_events"), "event", "gene", "ref", "alt"]
+    listed = rows.groupBy("node", "ending").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("m"))
+    notes = [F.struct(F.concat(F.lit(k), F.col("ending")).alias("key"), braced(F.col("m")[c].cast("array<string>")).alias("value")) for k, c in NOTES.items()]
+    return listed.select("node", F.explode(F.array(*notes)).alias("n")).select("node", "n.key", "n.value")
+
+
+def genotype_notes(genotypes: DataFrame) -> DataFrame:
+    """(node, key, value): the genotypes of each node in the order of sites, under the key ``genotypes``."""
+    listed = genotypes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("site", "genotype"))).alias("m"))
+    return listed.select("node", F.lit("genotypes").alias("key"), braced(F.col("m")["genotype"]).alias("value"))
+
+
+def braced(values: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(values, ","), F.lit("}"))

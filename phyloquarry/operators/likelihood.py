@@ -131,14 +131,19 @@ def log_messages(child: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     return most[..., 0] + np.log(np.exp(both - most).sum(2))
 
 
-def sum_product(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray]) -> np.ndarray:
-    """ln partial likelihoods at the root (patterns x genotypes) from tips' (tips x patterns x genotypes)."""
+def all_partials(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """ln partial likelihoods (patterns x genotypes) of each node from tips' (tips x patterns x genotypes)."""
     with np.errstate(divide="ignore"):
         log_p = [np.log(m) for m in matrices]
     partial = {i: leaves[i] for i in range(tree.n_tips)}
     for node in tree.order():
         partial[node] = sum(log_messages(partial[c], log_p[c]) for c in tree.children(node))
-    return partial[tree.root]
+    return partial
+
+
+def sum_product(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray]) -> np.ndarray:
+    """``all_partials`` at the root."""
+    return all_partials(leaves, tree, matrices)[tree.root]
 
 
 def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0) -> Iterator[tuple[float, Iterator[tuple[int, ...]]]]:
@@ -222,6 +227,41 @@ def best_assignments(partials: DataFrame, tree: Tree, matrices: list[np.ndarray]
     return gathered(partials).mapInPandas(batchwise, f"pattern {kind}, log_likelihood double, assignment string")
 
 
+def chosen_assignments(partials: DataFrame, tree: Tree, matrices: list[np.ndarray], states: int = 4) -> DataFrame:
+    """(pattern, log_likelihood, assignment, node_score): of the most likely assignments those of the largest score.
+
+    The score is the log-sum of the partial likelihoods of the nodes' genotypes. Equal scores all stay. A pattern's
+    ties are walked twice, first for the largest score, so that no more than one of them is held.
+    """
+
+    def scored(nodes: np.ndarray, found: Iterator[tuple[int, ...]]) -> Iterator[tuple[float, tuple[int, ...]]]:
+        each = np.arange(len(tree.parent))
+        for a in found:
+            own = nodes[each, list(a)]
+            top = own.max()
+            yield float(top + np.log(np.exp(own - top).sum())) if np.isfinite(top) else float(top), a
+
+    def rows(frame: pd.DataFrame) -> Iterator[tuple]:
+        leaves = np.stack(frame["leaves"]).astype(float).reshape(len(frame), tree.n_tips, states).transpose(1, 0, 2)
+        by_node = all_partials(leaves, tree, matrices)
+        nodes = np.stack([by_node[i] for i in range(len(tree.parent))])
+        twice = zip(tied_assignments(leaves, tree, matrices), tied_assignments(leaves, tree, matrices), strict=True)
+        for k, (pattern, ((best, first), (_, again))) in enumerate(zip(frame["pattern"], twice, strict=True)):
+            most = max((score for score, _ in scored(nodes[:, k], first)), default=0.0)
+            for score, a in scored(nodes[:, k], again):
+                if score >= most - 1e-12:
+                    yield pattern, best, ",".join(map(str, a)), score
+
+    def batchwise(frames):
+        for frame in frames:
+            found = rows(frame)
+            while part := list(islice(found, ROWS)):
+                yield pd.DataFrame(part, columns=["pattern", "log_likelihood", "assignment", "node_score"])
+
+    kind = partials.schema["pattern"].dataType.simpleString()
+    return gathered(partials).mapInPandas(batchwise, f"pattern {kind}, log_likelihood double, assignment string, node_score double")
+
+
 def weighted_log_likelihood(patterns: DataFrame) -> DataFrame:
     """One row: the sum of pattern log likelihoods times weights."""
     return patterns.agg(F.sum(F.col("log_likelihood") * F.col("weight")).alias("log_likelihood"))
@@ -242,8 +282,26 @@ def ascertainment(patterns: DataFrame, kind: str, n_background: float = 0.0) ->
     return joined.groupBy("most", "loci").agg(F.sum(w * F.exp(c - F.col("most"))).alias("s")).select(((F.col("most") + F.log("s") - F.log("loci")) * n_background).alias("correction"))
 
 
-def recombined(roots: list[tuple[int, ...]], subtrees: list[tuple[int, ...]], inside: set[int], node: int, state: int) -> list[tuple[int, ...]]:
-    """Assignments of the whole tree whose nodes ``inside`` come from a subtree's assignment with ``state`` at ``node``."""
-    keep = [r for r in roots if r[node] == state]
-    fit = [s for s in subtrees if s[node] == state]
-    return sorted({tuple(s[i] if i in inside else r[i] for i in range(len(r))) for r in keep for s in fit})
+def recombined(roots: DataFrame, subtrees: DataFrame, inside: list[int], node: int) -> DataFrame:
+    """(pattern, assignment): each of ``roots`` with the nodes ``inside`` taken from each of ``subtrees`` that agrees at ``node``.
+
+    Both have an array ``assignment``, by node. Each is cut to the nodes it gives before they meet, so that no pair
+    is made twice and the result needs no further comparison.
+    """
+    state = F.get("assignment", F.lit(node)).alias("state")
+
+    def given(side: DataFrame, inner: bool) -> DataFrame:
+        kept = F.transform("assignment", lambda g, i: F.when(i.isin(inside) == F.lit(inner), g))
+        return side.select("pattern", state, kept.alias("inner" if inner else "outer")).distinct()
+
+    met = given(roots, False).join(given(subtrees, True), ["pattern", "state"])
+    return met.select("pattern", F.zip_with("inner", "outer", lambda a, b: F.coalesce(a, b)).alias("assignment"))
+
+
+def calling_log_likelihood(patterns: DataFrame, kind: str | None = None, n_background: float = 0.0) -> DataFrame:
+    """One row: the weighted log likelihood of patterns with the ``ascertainment`` of ``kind``, the posterior of variant calling."""
+    total = weighted_log_likelihood(patterns)
+    if kind is None:
+        return total
+    both = total.crossJoin(F.broadcast(ascertainment(patterns, kind, n_background)))  # a row each
+    return both.select((F.col("log_likelihood") + F.col("correction")).alias("log_likelihood"))

@@ -69,6 +69,13 @@ def unknown_names(cells: DataFrame, names: DataFrame, col: str = "cell") -> Data
     return names.select(col).distinct().join(cells, col, "left_anti")
 
 
+def known_names(cells: DataFrame, names: DataFrame, col: str = "cell") -> DataFrame:
+    """The distinct ``names``; one that is no cell is an error."""
+    met = names.select(col).distinct().join(cells.select(col).distinct().withColumn("known", F.lit(True)), col, "left")
+    unknown = F.raise_error(F.concat(F.lit("Not a cell: "), F.col(col).cast("string"))).cast(names.schema[col].dataType)
+    return met.select(F.when(F.col("known"), F.col(col)).otherwise(unknown).alias(col))
+
+
 def missing_per_site(reads: DataFrame) -> DataFrame:
     """(site, n_missing, n_entries)."""
     return reads.groupBy("site").agg(F.count_if(F.col("cov") == 0).alias("n_missing"), F.count(F.lit(1)).alias("n_entries"))

@@ -136,3 +136,39 @@ def local_clock_rates(nodes: DataFrame, mean_rate: float = 1.0, root_rate: bool
 def mapped_height(option: str, own: str = "height", mean: str = "mean", median: str = "median"):
     """The height a summarised node shows: its own, or the mean or median of the samples where there are any."""
     return {"keep": F.col(own), "mean": F.coalesce(mean, own), "median": F.coalesce(median, own)}[option]
+
+
+def calling_rates(nodes: DataFrame, mean_rate: float, only_length: bool, scaled: bool = True) -> DataFrame:
+    """``nodes`` with ``branch_rate`` as variant calling uses it.
+
+    With ``only_length`` a branch's own ``rate`` is taken as part of its length. A local clock that is not scaled
+    leaves the mean rate out.
+    """
+    own = F.lit(1.0) if only_length else F.col("rate").cast("double")
+    return nodes.withColumn("branch_rate", own * (mean_rate if scaled else 1.0))
+
+
+def scaled_heights(nodes: DataFrame, factor: float) -> DataFrame:
+    """``nodes`` with the heights of inner nodes times ``factor``; a parent below its child is an error."""
+    inner = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.lit(True).alias("is_inner")).distinct()
+    new = nodes.join(inner, ["tree", "node"], "left").withColumn("height", F.col("height") * F.when(F.col("is_inner"), F.lit(factor)).otherwise(1.0)).drop("is_inner")
+    tops = new.select("tree", F.col("node").alias("parent"), F.col("height").alias("top"))
+    height = F.when(F.col("top") < F.col("height"), F.raise_error(F.lit("Scaling gives a negative branch length")).cast("double")).otherwise(F.col("height"))
+    return new.join(tops, ["tree", "parent"], "left").withColumn("height", height).select(*nodes.columns)
+
+
+def caterpillar(tips: DataFrame, lowest: float, step: float) -> DataFrame:
+    """(node, parent, label, height): the ladder over ``tips`` (place from 0, label), with a trunk above it.
+
+    Each tip joins all before it; the i-th inner node is ``lowest + i step`` high and the root one step above the last.
+    """
+    n = tips.count()
+    leaves = tips.select(F.col("place").cast("long").alias("node"), (F.greatest(F.col("place"), F.lit(1)) + (n - 1)).cast("long").alias("parent"), "label", F.lit(0.0).alias("height"))
+    node = F.col("id")
+    above = tips.sparkSession.range(n, 2 * n).select(node.alias("node"), F.when(node < 2 * n - 1, node + 1).alias("parent"), F.lit(None).cast("string").alias("label"), (lowest + (node - n + 1) * step).alias("height"))
+    return leaves.unionByName(above)
+
+
+def clock_dimension(cells: DataFrame) -> DataFrame:
+    """(dimension): one rate for each branch of a rooted binary tree over ``cells``."""
+    return cells.select("cell").distinct().agg((2 * F.count(F.lit(1)) - 1).alias("dimension"))

@@ -98,6 +98,15 @@ def branch_rates(nodes: DataFrame, median: bool = False) -> DataFrame:
     return nodes.withColumn("rate", F.coalesce(*[x.cast("double") for x in [*found, F.col("meta")["rate"]]], F.lit(1.0)))
 
 
+def with_notes(nodes: DataFrame, notes: DataFrame) -> DataFrame:
+    """``nodes`` whose ``meta`` also holds ``notes`` (node, key, value; and tree, if the notes differ by tree)."""
+    keys = [c for c in ("tree", "node") if c in notes.columns]
+    added = notes.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("added"))
+    empty = F.create_map().cast("map<string,string>")
+    own = F.map_filter(F.coalesce("meta", empty), lambda k, v: ~F.coalesce(F.map_contains_key(F.coalesce("added", empty), k), F.lit(False)))
+    return nodes.join(added, keys, "left").withColumn("meta", F.map_concat(own, F.coalesce("added", empty))).drop("added")
+
+
 def newick(nodes: pd.DataFrame) -> str:
     """The Newick text of one tree's rows; metadata as ``[&k=v,...]``."""
     kids: dict = {}

@@ -184,3 +184,15 @@ def gene_map(spark: SparkSession, path: str) -> DataFrame:
     t = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     return rows.select(F.get(t, F.lit(0)).alias("chrom"), F.get(t, F.lit(1)).cast("long").alias("start_pos"), F.get(t, F.lit(2)).cast("long").alias("end_pos"), F.get(t, F.lit(3)).alias("gene"))
+
+
+def embedded_background(rows: DataFrame, col: str = "background") -> DataFrame:
+    """(other columns, n_reads, occurrences) of texts ``reads,occurrences;...``; negative or repeated numbers of reads are errors."""
+    keys = [c for c in rows.columns if c != col]
+    pair = F.split("pair", ",")
+    parts = rows.select(*keys, F.explode(F.split(F.col(col), ";")).alias("pair")).where("trim(pair) <> ''")
+    read = parts.select(*keys, F.trim(F.get(pair, F.lit(0))).cast("long").alias("n_reads"), F.trim(F.get(pair, F.lit(1))).cast("long").alias("n"))
+    whole = read.groupBy(*keys, "n_reads").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("least"))
+    wrong = (F.col("times") > 1) | (F.col("n_reads") < 0) | F.col("n_reads").isNull() | F.col("least").isNull() | (F.col("least") < 0)
+    error = F.raise_error(F.concat(F.lit("Negative, repeated or no number of reads: "), F.coalesce(F.col("n_reads").cast("string"), F.lit("none")))).cast("long")
+    return whole.select(*keys, "n_reads", F.when(wrong, error).otherwise(F.col("least")).alias("occurrences"))

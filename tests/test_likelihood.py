@@ -59,10 +59,12 @@ def test_max_sum_is_enumeration_with_ties():
         assert set(assignments) == {s for s, v in scores.items() if v >= top - 1e-9}
 
 
-def test_recombination_crosses_what_fits():
-    roots = [(0, 0, 1), (0, 0, 2), (0, 1, 2)]
-    subtrees = [(9, 0, 5), (9, 0, 6), (9, 1, 7)]
-    assert lk.recombined(roots, subtrees, {2}, 1, 0) == [(0, 0, 5), (0, 0, 6)]
+def test_recombination_crosses_what_fits(spark):
+    rows = lambda found: spark.createDataFrame([(p, list(a)) for p, a in found], "pattern long, assignment array<int>")
+    roots = rows([(0, (0, 0, 1)), (0, (0, 0, 2)), (0, (0, 1, 2)), (1, (3, 0, 0)), (1, (3, 0, 0))])
+    subtrees = rows([(0, (9, 0, 5)), (0, (9, 0, 6)), (0, (9, 1, 7)), (1, (9, 2, 7))])
+    found = [(r.pattern, tuple(r.assignment)) for r in lk.recombined(roots, subtrees, [2], 1).collect()]
+    assert sorted(found) == [(0, (0, 0, 5)), (0, (0, 0, 6)), (0, (0, 1, 7))]
 
 
 def test_dataframe_form(spark):
@@ -83,3 +85,21 @@ def test_best_assignments_has_every_tie(spark, monkeypatch):
     found = [r.assignment for r in lk.best_assignments(df, TREE, even).collect()]
     free = len(TREE.parent) - 1
     assert len(found) == len(set(found)) == 4**free > 64
+
+
+def test_chosen_assignments_against_every_tie(spark, monkeypatch):
+    monkeypatch.setattr(lk, "ROWS", 50)
+    even = [np.full((4, 4), 0.25) for _ in TREE.parent]
+    lik = np.log(np.random.default_rng(5).choice([0.2, 0.4], (3, 4, 4)))
+    df = spark.createDataFrame([(p, c, lik[p, c].tolist()) for p in range(3) for c in range(4)], "pattern long, cell long, lik array<double>")
+    found = {}
+    for r in lk.chosen_assignments(df, TREE, even).collect():
+        found.setdefault(r.pattern, {})[tuple(map(int, r.assignment.split(",")))] = r.node_score
+    for p in range(3):
+        nodes = lk.all_partials(lik[p][:, None, :], TREE, even)
+        ties = lk.max_sum(lik[p][:, None, :], TREE, even)[0][1]
+        scores = {a: np.logaddexp.reduce([nodes[i][0, g] for i, g in enumerate(a)]) for a in ties}
+        most = max(scores.values())
+        wanted = {a: s for a, s in scores.items() if s >= most - 1e-12}
+        assert len(ties) > 64 and found[p].keys() == wanted.keys()
+        assert all(found[p][a] == pytest.approx(s) for a, s in wanted.items())
