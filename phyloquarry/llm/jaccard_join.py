@@ -37,6 +37,8 @@ BLOCK = 384
 WORDED = r"[^\x20\x09-\x0D]"
 #: Texts a task remembers so as not to repeat the bands of copies.
 REMEMBERED = 200_000
+#: A class of more than one in HOT_SHARES of a task's share of the rows is sent to the rows instead of shuffled with them.
+HOT_SHARES = 4
 
 
 @lru_cache(1)
@@ -254,26 +256,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     worded = F.when(F.col("text").rlike(WORDED), text_class("text"))
-    judged = docs.select(worded.alias("class"), "id", "text").where("class is not null and id is not null")
+    known = "class is not null and id is not null"
+    judged = docs.select(worded.alias("class"), "id", "text").where(known)
+    rows = written(docs.select("id", worded.alias("class")))
+    named = rows.where(known)
     found = written(similar_classes(judged))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
-    classes = judged.groupBy("class").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("size"))
+    classes = named.groupBy("class").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("size"))
     tied = classes.join(roots.withColumnRenamed("node", "class"), "class").select("class", "copy_of", "root")
     first = tied.groupBy("root").agg(F.min(F.struct("copy_of", "class")).alias("first"))
     tied = tied.join(first, "root").select("class", F.col("first.copy_of").alias("class_id"), (F.col("first.class") == F.col("class")).alias("leads"))
     classes = classes.join(links, "class", "left").join(tied, "class", "left")
-    classes = classes.select("class", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    joined = docs.select("id", worded.alias("class")).join(classes, "class", "left")
-    alone = F.col("class").isNull() | F.col("id").isNull()
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.hex("class").alias("text_class"),
-        F.when(alone, F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-        (alone | (F.col("leads") & (F.col("id") == F.col("copy_of")))).alias("stays"),
-    )
+    classes = written(classes.select("class", "size", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    is_hot = F.col("size") * (HOT_SHARES * partitions(docs.sparkSession)) > total
+    hot = F.broadcast(classes.where(is_hot))  # classes of more than a share of the rows: fewer than there are shares
+    cold = named.join(hot.select("class"), "class", "left_anti").join(classes.where(~is_hot), "class")
+    joined = named.join(hot, "class").unionByName(cold).select("id", F.hex("class").alias("text_class"), "copy_of", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("leads") & (F.col("id") == F.col("copy_of"))).alias("stays"))
+    alone = rows.where("class is null or id is null").select("id", F.hex("class").alias("text_class"), F.col("id").alias("copy_of"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    return joined.unionByName(alone).withColumnRenamed("id", id_col)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -599,3 +599,18 @@ def test_knn_of_large_numbers_and_repeated_ids(spark):
     q = dict(fine[:59])[7]
     top = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in fine if j != 7)[:5]
     assert [(r.vec_id, r.score) for r in single] == [(j, -s) for s, j in top]
+
+
+def test_near_duplicates_on_both_sides_of_the_hot_limit(spark, monkeypatch):
+    same, rest = " ".join(f"hot{i}" for i in range(12)), [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(60)]
+    rows = [(i, same) for i in range(40)] + [(100 + k, t) for k, t in enumerate(rest)] + [(200, rest[7]), (201, rest[7] + " end"), (None, same), (300, None), (301, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for shares in (1e-9, 1, 4, 1e9):
+        monkeypatch.setattr(jaccard_join, "HOT_SHARES", shares)
+        found[shares] = sorted(map(repr, jaccard_join.near_duplicates(df).collect()))
+    assert len({tuple(x) for x in found.values()}) == 1 and len(found[4]) == len(rows)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(df).collect()}
+    assert all((got[i].class_id, got[i].n_links) == (0, 39) for i in range(40))
+    assert [(got[i].class_id, got[i].copy_of, got[i].n_links, got[i].stays) for i in (107, 200, 201, 300, 301)] == [(107, 107, 2, True), (107, 107, 2, False), (107, 201, 2, False), (300, 300, 0, True), (301, 301, 0, True)]
+    assert (got[None].n_links, got[None].stays) == (0, True)
