@@ -504,9 +504,6 @@ def _leaf_likelihoods(r):
     return staged.select("site", "cell", F.array(*[special.log_sum_exp(F.array(*parts)) for parts in mixed.values()]).alias("lik"))
 
 
-SMALL_TREE = likelihood.Tree(parent=(4, 4, 5, 5, 6, 6, 7, -1), length=(0.3, 0.3, 0.2, 0.2, 0.4, 0.5, 0.7, 0.0), n_tips=4)
-
-
 def cell_tree(n: int) -> likelihood.Tree:
     """A binary tree with a trunk over ``n`` cells: neighbours are joined until one node is left."""
     level, parent = list(range(n)), {}

@@ -10,7 +10,7 @@ from ..functions import distributions, special
 from ..operators import calls, genes, likelihood, messages, reads, summaries, trees
 from ..sinks import text as sinks
 from ..sources import text as sources
-from .catalog import BRANCH_SQL, SMALL_TREE, VCF_SQL, _variant_cells, all_cells, clade_query, query, r6
+from .catalog import BRANCH_SQL, VCF_SQL, _variant_cells, all_cells, cell_tree, clade_query, query, r6
 
 Q4 = likelihood.rate_matrix(4)
 
@@ -33,9 +33,13 @@ def branch_rows(tree):
     return [(n, tree.parent[n], g, h, log(p[n][g][h])) for n in p for g in range(4) for h in range(4) if p[n][g][h] > 0]
 
 
-BRANCH_ROWS = branch_rows(SMALL_TREE)
-BRANCH_VALUES = ", ".join(f"({n}, {p}, {g}, {h}, {x!r}::DOUBLE)" for n, p, g, h, x in BRANCH_ROWS)
-CHILD_SQL = "k AS (SELECT site AS pattern, cell::INT AS node, s AS state, -(cov % (s + 3)) / 2.0 AS loglik FROM reads, (VALUES (0), (1), (2), (3)) v(s) WHERE cell < 4)"
+#: For the SQL: the parent of each cell in the tree of n cells, n up to 16, and the transitions by a tip's place modulo 4.
+TIP_VALUES = ", ".join(f"({n}, {i}, {p})" for n in range(1, 17) for i, p in enumerate(cell_tree(n).parent[:n]))
+STEP_VALUES = ", ".join(f"({n}, {g}, {h}, {x!r}::DOUBLE)" for n, _, g, h, x in branch_rows(cell_tree(4)))
+CHILD_SQL = f"""c AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS node FROM cells),
+    k AS (SELECT site AS pattern, node::INT AS node, s AS state, -(cov % (s + 3)) / 2.0 AS loglik FROM reads JOIN c USING (cell), (VALUES (0), (1), (2), (3)) v(s)),
+    tips(n, node, parent) AS (VALUES {TIP_VALUES}), steps(k, from_state, state, log_p) AS (VALUES {STEP_VALUES}),
+    b AS (SELECT node, parent, from_state, state, log_p FROM tips JOIN steps ON steps.k = tips.node % 4 WHERE n = (SELECT count(*) FROM cells))"""
 
 
 def _children(r):
@@ -44,38 +48,23 @@ def _children(r):
     return rows.select("pattern", "node", "state", (-(F.col("cov") % (F.col("state") + 3)) / 2.0).alias("loglik"))
 
 
-def _branches(r, rows=BRANCH_ROWS):
-    return r.sparkSession.createDataFrame(rows, "node int, parent int, from_state int, state int, log_p double")
+def _branches(r, tree):
+    return F.broadcast(r.sparkSession.createDataFrame(branch_rows(tree), "node int, parent int, from_state int, state int, log_p double"))  # 16 rows a cell
 
 
-@query("reads", f"WITH {CHILD_SQL}, b(node, parent, from_state, state, log_p) AS (VALUES {BRANCH_VALUES}), m AS (SELECT pattern, parent, from_state, node, ln(sum(exp(loglik + log_p))) AS x FROM k JOIN b USING (node, state) GROUP BY ALL) SELECT pattern, parent, from_state, round(sum(x), 6) + 0.0 AS message FROM m GROUP BY pattern, parent, from_state")
+@query("reads", f"WITH {CHILD_SQL}, m AS (SELECT pattern, parent, from_state, node, ln(sum(exp(loglik + log_p))) AS x FROM k JOIN b USING (node, state) GROUP BY ALL) SELECT pattern, parent, from_state, round(sum(x), 6) + 0.0 AS message FROM m GROUP BY pattern, parent, from_state")
 def j16_contracted_messages(r):
-    found = messages.contracted(_children(r.where("cell < 4")), F.broadcast(_branches(r)))  # 64 rows
-    return found.withColumn("message", r6("message") + 0.0)
-
-
-@query("reads")
-def j16_contracted_messages_all_cells(r):
     tree, r = all_cells(r)
-    found = messages.contracted(_children(r), F.broadcast(_branches(r, branch_rows(tree))))  # 16 rows a cell
-    return found.withColumn("message", r6("message") + 0.0)
+    return messages.contracted(_children(r), _branches(r, tree)).withColumn("message", r6("message") + 0.0)
 
 
-@query("reads", f"WITH {CHILD_SQL}, b(node, parent, from_state, state, log_p) AS (VALUES {BRANCH_VALUES}) SELECT pattern, node, state, round(loglik + log_p, 6) AS transfer FROM k JOIN b USING (node, state) WHERE from_state = (pattern + parent) % 4")
+@query("reads", f"WITH {CHILD_SQL} SELECT pattern, node, state, round(loglik + log_p, 6) AS transfer FROM k JOIN b USING (node, state) WHERE from_state = (pattern + parent) % 4")
 def t11_transfer(r):
-    return _transferred(r.where("cell < 4"), [4, 5], BRANCH_ROWS)
-
-
-@query("reads")
-def t11_transfer_all_cells(r):
     tree, r = all_cells(r)
-    return _transferred(r, sorted(set(tree.parent[: tree.n_tips])), branch_rows(tree))
-
-
-def _transferred(r, parents, rows):
+    parents = sorted(set(tree.parent[: tree.n_tips]))
     chosen = r.select(F.col("site").alias("pattern")).distinct().select("pattern", F.explode(F.array(*map(F.lit, parents))).alias("node"))
     chosen = chosen.withColumn("state", ((F.col("pattern") + F.col("node")) % 4).cast("int"))
-    return messages.transfer(_children(r), chosen, F.broadcast(_branches(r, rows))).withColumn("transfer", r6("transfer"))
+    return messages.transfer(_children(r), chosen, _branches(r, tree)).withColumn("transfer", r6("transfer"))
 
 
 @query("reads", "SELECT site, round(ln(sum(exp(ln((cell + 1) / 136.0) - cov / 50.0))), 6) AS log_likelihood FROM reads GROUP BY site")
@@ -89,17 +78,8 @@ def a43_best_categories(r):
     return messages.best_categories(r.withColumn("loglik", -F.col("cov")), ["site"]).select("site", F.col("cell").alias("category"))
 
 
-@query("calls", "WITH c AS (SELECT site % 200 AS pattern, site, string_agg(genotype::VARCHAR, ',' ORDER BY cell) AS alleles FROM calls WHERE cell < 3 GROUP BY site) SELECT pattern, alleles, count(*) AS weight FROM c GROUP BY pattern, alleles")
+@query("calls", "WITH c AS (SELECT site % 200 AS pattern, site, string_agg(genotype::VARCHAR, ',' ORDER BY cell) AS alleles FROM calls GROUP BY site) SELECT pattern, alleles, count(*) AS weight FROM c GROUP BY pattern, alleles")
 def a44_allele_patterns(c):
-    return _allele_patterns(c.where("cell < 3"))
-
-
-@query("calls")
-def a44_allele_patterns_all_cells(c):
-    return _allele_patterns(c)
-
-
-def _allele_patterns(c):
     rows = c.select((F.col("site") % 200).alias("pattern"), F.col("site").alias("combo"), "cell", F.col("genotype").alias("n_alleles"))
     return messages.allele_patterns(rows, ["pattern"])
 

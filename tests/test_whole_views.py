@@ -62,11 +62,11 @@ def test_messages_and_patterns_of_all_cells(spark):
         for s, x in enumerate(lik):
             if p[cell][(site + up) % 4, s] > 0:
                 moved[site, cell, s] = x + log(p[cell][(site + up) % 4, s])
-    found = {(r.pattern, r.parent, r.from_state): r.message for r in build("j16_contracted_messages_all_cells")}
+    found = {(r.pattern, r.parent, r.from_state): r.message for r in build("j16_contracted_messages")}
     assert found == pytest.approx(dict(want), abs=2e-6)
-    assert {(r.pattern, r.node, r.state): r.transfer for r in build("t11_transfer_all_cells")} == pytest.approx(moved, abs=2e-6)
+    assert {(r.pattern, r.node, r.state): r.transfer for r in build("t11_transfer")} == pytest.approx(moved, abs=2e-6)
     alleles = defaultdict(dict)
     for r in view(spark, SMALL, "calls").collect():
         alleles[r.site][r.cell] = r.genotype
     patterns = Counter((s % 200, ",".join(str(a[c]) for c in sorted(a))) for s, a in alleles.items())
-    assert {(r.pattern, r.alleles): r.weight for r in build("a44_allele_patterns_all_cells")} == patterns
+    assert {(r.pattern, r.alleles): r.weight for r in build("a44_allele_patterns")} == patterns
