@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import geometric_mean
 from .lineage import kept
+from .ranks import middle, numbered
 
 #: Chromosome labels: any prefix, then a number from 1 to 22, X, Y or MT.
 LABEL = r"^(.*?)(1[0-9]|2[0-2]|[1-9]|[XYxy]|[Mm][Tt])$"
@@ -144,7 +145,8 @@ def size_factors(reads: DataFrame, zero_counts: bool = False) -> DataFrame:
     """(cell, size_factor): the median over sites of coverage over the site's geometric mean coverage."""
     geo = reads.groupBy("site").agg(geometric_mean(F.col("cov")).alias("geo"))
     ratios = reads.join(geo, "site").where("geo > 0" if zero_counts else "cov > 0 AND geo > 0")
-    return ratios.groupBy("cell").agg(F.percentile(F.col("cov") / F.col("geo"), F.lit(0.5)).alias("size_factor"))
+    ratios = ratios.select("cell", (F.col("cov") / F.col("geo")).alias("ratio"))
+    return numbered(ratios, ["cell"], ["ratio"]).groupBy("cell").agg(middle("ratio").alias("size_factor"))
 
 
 def start_values(reads: DataFrame) -> DataFrame:

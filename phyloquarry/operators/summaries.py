@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ALL, PLACE, met, middle, numbered
+
 RANKED = "_rank"
 #: Values in a block of ``kde_mode``, blocks of a bin that meet others together, and bandwidths in a bin; a kernel is 0 as
 #: a double beyond 39 bandwidths.
@@ -18,15 +20,15 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column | str], name: str
 
 def after_burn_in(trace: DataFrame, share: float, keys: list[str], order: str = "sample", up: bool = False) -> DataFrame:
     """Rows after the first ``share`` of each key's samples; the number skipped is rounded down, or up if asked."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    skip = F.ceil(F.lit(share) * n) if up else F.floor(F.lit(share) * n)
-    return ranked(trace.withColumn("_skip", F.greatest(skip, F.lit(0))), keys, [order]).where(f"{RANKED} > _skip").drop(RANKED, "_skip")
+    skip = F.lit(share) * F.col(ALL)
+    rows = numbered(trace, keys, [order])
+    return rows.where(F.col(PLACE) > (F.ceil(skip) if up else F.floor(skip))).select(*trace.columns)
 
 
 def estimates(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, n, mean, median) over finite values."""
     finite = trace.where(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    return finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"))
+    return numbered(finite, keys, [value]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), middle(value).alias("median"))
 
 
 def value_range(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -35,11 +37,10 @@ def value_range(trace: DataFrame, keys: list[str], value: str = "value") -> Data
 
 def hpd(trace: DataFrame, keys: list[str], mass: float = 0.95, value: str = "value", tie: str = "sample") -> DataFrame:
     """(keys, hpd_low, hpd_high): the narrowest run of round(mass n) sorted values; the first of equals."""
-    order = Window.partitionBy(*keys).orderBy(value, tie)
-    rows = trace.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn(RANKED, F.row_number().over(order))
-    rows = rows.withColumn("_k", F.greatest(F.floor(F.lit(mass) * F.col("_n") + 0.5), F.lit(1)))
+    rows = numbered(trace.select(*keys, value, *[c for c in [tie] if c not in (*keys, value)]), keys, [value, tie])
+    rows = rows.withColumn("_k", F.greatest(F.floor(F.lit(mass) * F.col(ALL) + 0.5), F.lit(1)))
     ends = rows.select(*keys, (F.col(RANKED) - F.col("_k") + 1).alias(RANKED), F.col(value).alias("_high"))
-    runs = rows.select(*keys, RANKED, F.col(value).alias("_low")).join(ends, [*keys, RANKED])
+    runs = met(rows.select(*keys, RANKED, F.col(value).alias("_low")), ends, [*keys, RANKED])
     best = F.min(F.struct((F.col("_high") - F.col("_low")).alias("width"), RANKED, "_low", "_high")).alias("b")
     return runs.groupBy(*keys).agg(best).select(*keys, F.col("b._low").alias("hpd_low"), F.col("b._high").alias("hpd_high"))
 
@@ -117,9 +118,11 @@ def kde_mode(trace: DataFrame, keys: list[str], value: str = "value", order: str
 
 def hpd_area_2d(trace: DataFrame, keys: list[str], x: str, y: str, mass: float = 0.95, bins: int = 40) -> DataFrame:
     """(keys, level, cells): the density level of a ``bins`` x ``bins`` grid whose cells above it hold ``mass``."""
-    edge = Window.partitionBy(*keys)
-    cell = lambda c: F.least(F.floor((F.col(c) - F.min(c).over(edge)) / F.greatest(F.max(c).over(edge) - F.min(c).over(edge), F.lit(1e-300)) * bins), F.lit(bins - 1))
-    grid = trace.select(*keys, cell(x).alias("i"), cell(y).alias("j")).groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    edges = trace.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{a}") for a, c in (("x", x), ("y", y)) for n, f in (("low", F.min), ("high", F.max))])
+    trace = met(trace.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), edges, keys)
+    cell = lambda a: F.least(F.floor((F.col(f"_{a}") - F.col(f"_low_{a}")) / F.greatest(F.col(f"_high_{a}") - F.col(f"_low_{a}"), F.lit(1e-300)) * bins), F.lit(bins - 1))
+    edge = Window.partitionBy(*keys)  # over the grid, bins x bins rows a key
+    grid = trace.select(*keys, cell("x").alias("i"), cell("y").alias("j")).groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("n"))
     down = edge.orderBy(F.desc("n"), "i", "j")
     ordered = grid.withColumn("held", F.sum("n").over(down) - F.col("n")).withColumn("all", F.sum("n").over(edge))
     return ordered.where(F.col("held") < mass * F.col("all")).groupBy(*keys).agg(F.min("n").alias("level"), F.count(F.lit(1)).alias("cells"))
