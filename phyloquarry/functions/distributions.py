@@ -42,7 +42,12 @@ def coverage_moments(alleles: Column, coverage: Column, variance: Column, size_f
 
 
 def nucleotide_alphas(error: float, w1: float, w2: float) -> dict[str, tuple[list[float], float]]:
-    """Dirichlet parameters (three alternatives, reference) and their sum for the four situations."""
+    """Dirichlet parameters (three alternatives, reference) and their sum for the four situations.
+
+    The error rate lies between 0 and 0.75, where all nucleotides are alike.
+    """
+    if not 0 <= error <= 0.75:
+        raise ValueError(f"Error rate {error} is not between 0 and 0.75")
     e3, most, half = error / 3, 1 - error, 0.5 - error / 3
     return {
         "00": ([e3 * w1, e3 * w1, e3 * w1, most * w1], w1),
@@ -57,14 +62,16 @@ def nucleotide_log_likelihoods(reads: list[Column], coverage: Column, error: flo
     return {name: dirichlet_multinomial(reads, coverage, [F.lit(a) for a in alphas], F.lit(total)) for name, (alphas, total) in nucleotide_alphas(error, w1, w2).items()}
 
 
-def mixture(d: dict[str, Column], c: dict[int, Column], dropout: float, single: bool = True) -> dict[str, list[Column]]:
+def mixture(d: dict[str, Column], c: dict[int, Column] | None, dropout: float, single: bool = True) -> dict[str, list[Column]]:
     """Log components of each genotype's likelihood, in the order no, single and locus dropout.
 
     ``d`` holds nucleotide and ``c`` coverage log likelihoods by number of alleles; a component that cannot occur
-    is left out.
+    is left out. Without ``c`` the coverage plays no part.
     """
     from math import log
 
+    c = c or {k: F.lit(0.0) for k in range(3)}
+
     stay, go = log(1 - dropout), log(dropout)
     pair = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
     het = pair(d["00"], d["11"])

@@ -119,6 +119,35 @@ def s12_site_map(sites):
     return found.select("pseudo", "chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"))
 
 
+S13_SQL = """WITH long AS (SELECT site, cell % 4 AS category, unnest(['cov', 'var']) AS part, unnest([cov, r1]) AS x FROM reads),
+    m AS (SELECT site, category, part, avg(x) AS mean, quantile_cont(x::DOUBLE, 0.5) AS median FROM long GROUP BY ALL),
+    k AS (SELECT site, category, part, unnest(['mean', 'median']) AS kind, unnest([mean, median]) AS x FROM m),
+    t AS (SELECT var AS name, avg(value) AS mean, quantile_cont(value, 0.5) AS median FROM trace GROUP BY var)
+    SELECT chrom || ':' || pos AS name, kind, category, round(max(x) FILTER (part = 'cov'), 6) AS value, round(max(x) FILTER (part = 'var'), 6) AS var FROM k JOIN sites USING (site) GROUP BY ALL
+    UNION ALL SELECT name, 'mean', NULL, round(mean, 6), NULL FROM t UNION ALL SELECT name, 'median', NULL, round(median, 6), NULL FROM t"""
+
+
+@query("trace reads sites", S13_SQL)
+def s13_cached_estimates(trace, r, sites):
+    """The estimates of a trace and of each site's coverages, written as an estimates file and read back."""
+    from ..operators.summaries import estimates
+
+    spark = trace.sparkSession
+    kinds = F.explode(F.create_map(F.lit("mean"), "mean", F.lit("median"), "median")).alias("kind", "value")
+    own = estimates(trace, ["var"]).select("var", kinds)
+    both = F.explode(F.create_map(F.lit("cov"), F.col("cov").cast("double"), F.lit("var"), F.col("r1").cast("double"))).alias("part", "value")
+    long = estimates(r.select("site", (F.col("cell") % 4).alias("category"), both), ["site", "category", "part"]).select("site", "category", "part", kinds)
+    headers = sinks.site_headers(sites, 9)
+    of = F.concat(F.lit("site"), F.lpad(F.col("site").cast("string"), 9, "0")).alias("pseudo")
+    parts = [F.max(F.when(F.col("part") == p, F.col("value"))).alias(p) for p in ("cov", "var")]
+    coverage = long.groupBy(of, "kind", "category").agg(*parts)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.txt"
+    sinks.write_lines(sinks.estimate_lines(own, coverage, headers), path)
+    found = sources.cached_estimates(spark, path)
+    named = found["coverage"].join(found["sites"], "pseudo").select(F.concat_ws(":", "chrom", F.col("pos").cast("string")).alias("name"), "kind", F.col("category").cast("long").alias("category"), r6("cov").alias("value"), r6("var").alias("var"))
+    return named.unionByName(found["estimates"].select(F.col("var").alias("name"), "kind", F.lit(None).cast("long").alias("category"), r6("value").alias("value"), F.lit(None).cast("double").alias("var")))
+
+
 @query("calls", "SELECT site AS sample, 0::BIGINT AS place, cell, genotype, (cell % 2)::INT AS ado FROM calls")
 def s14_state_samples(c):
     rows = c.select(F.col("site").alias("sample"), F.lit(0).alias("site"), "cell", "genotype", (F.col("cell") % 2).cast("int").alias("ado"))

@@ -80,8 +80,36 @@ def size_factor_lines(factors: DataFrame) -> DataFrame:
     return factors.orderBy("cell").select(F.concat_ws("\t", F.col("cell").cast("string"), F.col("size_factor").cast("string")).alias("value"))
 
 
-def estimate_lines(estimates: DataFrame) -> DataFrame:
-    """(value): a header, then variable, mean, median and mode."""
-    head = estimates.sparkSession.createDataFrame([(0, "", "variable\tmean\tmedian\tmode")], "a int, var string, value string")
-    body = estimates.select(F.lit(1).alias("a"), "var", F.concat_ws("\t", "var", *[F.format_string("%.6f", F.col(c)) for c in ("mean", "median", "mode")]).alias("value"))
-    return head.unionByName(body).orderBy("a", "var").select("value")
+# The comment lines of an estimates file.
+ESTIMATES_HEAD = (
+    "#Estimates for MCMC samples and allelic sequencing information.",
+    "#Format: variables(id, for mcmc)/sites(for allelic sequencing information)\testimate type(mean, median, mode, or all)\testimates('allelic sequencing coverage,raw variance' for allelic sequencing information, which is also semicolon separated for site-wise categories)",
+    "#",
+)
+ESTIMATES_MCMC = ("#", "#MCMC samples", "id\testimate type\tvalue")
+ESTIMATES_ALLELIC = ("#", "#Allelic sequencing information", "sites\testimate type\tallelic sequencing coverage\traw variance")
+ESTIMATES_MAP = ("#", "#Map (chromosome number,locus number,reference nucleotide,alternative nucleotide)")
+
+
+def estimate_lines(estimates: DataFrame, coverage: DataFrame | None = None, headers: DataFrame | None = None, kind: str = "all", kernel: str = "null") -> DataFrame:
+    """(value): an estimates file in order, from (var, kind, value) and, if given, from (pseudo, kind, category, cov, var)
+    and the map lines of ``site_headers``.
+    """
+    spark = estimates.sparkSession
+
+    def fixed(part: int, texts: tuple[str, ...]) -> DataFrame:
+        return spark.createDataFrame([(part, f"{i:02d}", t) for i, t in enumerate(texts)], "part int, key string, value string")
+
+    def rows(part: int, df: DataFrame, key, value) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), key.alias("key"), value.alias("value"))
+
+    named = F.concat_ws("\t", "var", "kind")
+    out = fixed(0, (*ESTIMATES_HEAD, f"#Type of estimates->{kind}", f"#Distribution of KDE->{kernel}", *ESTIMATES_MCMC))
+    out = out.unionByName(rows(1, estimates, named, F.concat_ws("\t", named, F.col("value").cast("string"))))
+    if coverage is not None:
+        pairs = F.array_sort(F.collect_list(F.struct("category", F.concat_ws(",", F.col("cov").cast("string"), F.col("var").cast("string")).alias("x"))))
+        each = coverage.groupBy("pseudo", "kind").agg(F.array_join(F.transform(pairs, lambda p: p["x"]), ";").alias("x"))
+        site = F.concat_ws("\t", "pseudo", "kind")
+        out = out.unionByName(fixed(2, ESTIMATES_ALLELIC)).unionByName(rows(3, each, site, F.concat_ws("\t", site, "x"))).unionByName(fixed(4, ESTIMATES_MAP))
+        out = out.unionByName(rows(5, headers, F.col("pseudo"), F.col("value")))
+    return out.orderBy("part", "key").select("value")

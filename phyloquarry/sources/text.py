@@ -196,3 +196,36 @@ def embedded_background(rows: DataFrame, col: str = "background") -> DataFrame:
     wrong = (F.col("times") > 1) | (F.col("n_reads") < 0) | F.col("n_reads").isNull() | F.col("least").isNull() | (F.col("least") < 0)
     error = F.raise_error(F.concat(F.lit("Negative, repeated or no number of reads: "), F.coalesce(F.col("n_reads").cast("string"), F.lit("none")))).cast("long")
     return whole.select(*keys, "n_reads", F.when(wrong, error).otherwise(F.col("least")).alias("occurrences"))
+
+
+def cached_estimates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``estimates`` (var, kind, value), ``coverage`` (pseudo, kind, category, cov, var) and ``sites`` as of ``site_map``.
+
+    Errors: sites with estimates but no map line, or the other way round; sites with unlike numbers of categories;
+    variables or sites with unlike numbers of kinds.
+    """
+    rows = lines(spark, path)
+    head = lambda text: F.min(F.when(F.col("line").startswith(text), F.col("place")))
+    at = rows.agg(head("#MCMC").alias("mcmc"), head("#Allelic").alias("allelic"))  # one row
+    data = rows.where(~F.col("line").startswith("#") & ~F.col("line").startswith("id\t") & ~F.col("line").startswith("sites\t") & (F.trim("line") != ""))
+    c = F.split("line", "\t")
+    data = data.crossJoin(F.broadcast(at)).withColumns({f"c{i}": F.get(c, F.lit(i)) for i in range(3)})
+    later = F.coalesce(F.col("place") > F.col("allelic"), F.lit(False))
+    estimates = data.where(~later & (F.col("place") > F.col("mcmc"))).select(F.col("c0").alias("var"), F.col("c1").alias("kind"), F.col("c2").cast("double").alias("value"))
+    pair = F.split("x", ",")
+    coverage = data.where(later).select(F.col("c0").alias("pseudo"), F.col("c1").alias("kind"), F.posexplode(F.split("c2", ";")).alias("category", "x"))
+    coverage = coverage.select("pseudo", "kind", "category", F.get(pair, F.lit(0)).cast("double").alias("cov"), F.get(pair, F.lit(1)).cast("double").alias("var"))
+    sites = site_map(spark, path).where(F.col("pseudo").startswith("site"))
+
+    def unlike(counts: DataFrame, what: str) -> None:
+        found = counts.agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
+        if found.low != found.high:
+            raise ValueError(f"Unlike numbers of {what}: {found.low} to {found.high}")
+
+    for left, right, what in ((coverage, sites, "No map line for"), (sites, coverage, "No estimates for")):
+        if missing := left.join(right.select("pseudo"), "pseudo", "left_anti").select("pseudo").take(1):
+            raise ValueError(f"{what} {missing[0].pseudo}")
+    kinds = lambda df, key: df.groupBy(key).agg(F.count_distinct("kind").alias("n")).select("n")
+    unlike(coverage.groupBy("pseudo", "kind").agg(F.count(F.lit(1)).alias("n")), "categories")
+    unlike(kinds(estimates, "var").unionByName(kinds(coverage, "pseudo")), "kinds of estimates")
+    return {"estimates": estimates, "coverage": coverage, "sites": sites}

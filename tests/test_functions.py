@@ -46,3 +46,13 @@ def test_dirichlet_multinomial(spark):
 def test_log_sum_exp_shift(values, shift):
     f = lambda v: max(v) + math.log(sum(math.exp(x - max(v)) for x in v))
     assert f([x + shift for x in values]) == pytest.approx(f(values) + shift, abs=1e-9)
+
+
+def test_error_rate_bound_and_coverage_off(spark):
+    for error in (-0.1, 0.76):
+        with pytest.raises(ValueError, match="Error rate"):
+            distributions.nucleotide_alphas(error, 1.0, 1.0)
+    d, zero = {k: F.lit(-1.0) for k in ("00", "11", "11x", "01")}, {k: F.lit(0.0) for k in range(3)}
+    parts = [F.array(*x) for c in (None, zero) for x in distributions.mixture(d, c, 0.1).values()]
+    row = list(spark.range(1).select(*parts).first())
+    assert row[:4] == row[4:]

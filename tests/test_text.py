@@ -110,3 +110,34 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("est").first().mean == 2.0
+
+
+ESTIMATES = ["#MCMC samples", "id\testimate type\tvalue", "a\tmean\t1.5", "a\tmedian\t2.0", "#", "#Allelic sequencing information", "sites\testimate type\tx\ty"]
+COVERAGES = ["site1\tmean\t3.0,4.0;5.0,6.0", "site1\tmedian\t1.0,2.0;3.0,4.0"]
+
+
+def estimates_from(spark, tmp_path, *more):
+    path = tmp_path / "estimates.txt"
+    path.write_text("\n".join([*ESTIMATES, *more]) + "\n")
+    return text.cached_estimates(spark, str(path))
+
+
+def test_cached_estimates(spark, tmp_path):
+    found = estimates_from(spark, tmp_path, *COVERAGES, "#", "#site1->chr1,7,A,C")
+    assert sorted(map(tuple, found["estimates"].collect())) == [("a", "mean", 1.5), ("a", "median", 2.0)]
+    assert sorted(map(tuple, found["coverage"].where("kind = 'mean'").collect())) == [("site1", "mean", 0, 3.0, 4.0), ("site1", "mean", 1, 5.0, 6.0)]
+    assert [r.pseudo for r in found["sites"].collect()] == ["site1"]
+
+
+@pytest.mark.parametrize(
+    ("more", "said"),
+    [
+        (COVERAGES, "No map line for site1"),
+        ([*COVERAGES, "#site1->chr1,7,A,C", "#site2->chr1,9,A,C"], "No estimates for site2"),
+        ([COVERAGES[0], "#site1->chr1,7,A,C"], "kinds of estimates"),
+        ([COVERAGES[0], "site1\tmedian\t1.0,2.0", "#site1->chr1,7,A,C"], "categories"),
+    ],
+)
+def test_incomplete_estimates_are_errors(spark, tmp_path, more, said):
+    with pytest.raises(ValueError, match=said):
+        estimates_from(spark, tmp_path, *more)
