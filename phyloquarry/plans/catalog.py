@@ -362,7 +362,7 @@ def a27_frequency_set(gt):
     return summaries.frequency_set(gt, ["site"], "genotype")
 
 
-@query("events")
+@query("events", "WITH p AS (SELECT event_type, value AS x, (event_id % 97)::DOUBLE AS y FROM events), e AS (SELECT event_type, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p GROUP BY event_type), g AS (SELECT event_type, least(floor((x - lx) / greatest(hx - lx, 1e-300) * 40), 39) AS i, least(floor((y - ly) / greatest(hy - ly, 1e-300) * 40), 39) AS j, count(*) AS n FROM p JOIN e USING (event_type) GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY n DESC, i, j) - n AS held, sum(n) OVER (PARTITION BY event_type) AS total FROM g) SELECT event_type, min(n) AS level, count(*) AS cells FROM o WHERE held < 0.95::DOUBLE * total GROUP BY event_type")
 def a28_hpd_area(events):
     paired = events.select("event_type", F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
     return summaries.hpd_area_2d(paired, ["event_type"], "x", "y")

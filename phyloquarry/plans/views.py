@@ -71,7 +71,10 @@ def with_views(names: list[str], body: str) -> str:
             order.append(name)
 
     for name in names:
-        add(name)
+        if name not in TABLES:
+            add(name)
+    if not order:
+        return body.strip()
     parts = [f"{x} AS ({VIEWS[x].format(**{y: y for y in (*TABLES, *VIEWS)})})" for x in order]
     body = body.strip()
     if body[:5].upper() == "WITH ":
