@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "context_tree", "conversation_repair", "decontamination", "jaccard_join", "knn_join", "language_id", "phrase_dedup", "pii", "prefix_trie", "sharding", "token_counts")
+MODULES = ("bpe", "context_tree", "conversation_repair", "decontamination", "html_extraction", "jaccard_join", "knn_join", "language_id", "phrase_dedup", "pii", "prefix_trie", "sharding", "token_counts")
 
 
 def registered() -> dict:
