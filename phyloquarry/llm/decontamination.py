@@ -37,6 +37,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What stands for a row: its id with 128 bits of id and text. Rows alike in both are alike in all that follows."""
+    own = [F.col(id_col), F.col(text_col).cast("string")]
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), *own).alias("a"), F.xxhash64(F.lit(2), *own).alias("b"))
+
+
 def shingle_key(parts: list[Column]) -> Column:
     return F.xxhash64(*parts)
 
@@ -77,11 +83,11 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """Occurrences of benchmark windows, verified word by word.
 
     Returns (windows, found): windows as (wid, window, items) and found as (doc, at, len, wid), a row for each
-    occurrence. Null or wordless texts have no windows; repeated rows of a document count once; empty tables
-    give no rows; other columns play no part.
+    occurrence; ``doc`` is the row's ``row_key``. Null or wordless texts have no windows; rows alike in id and text
+    count once; empty tables give no rows; other columns play no part.
     """
     windows = written(benchmark_windows(items, item_col, item_text_col, length))
-    split_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
+    split_docs = docs.select(row_key(id_col, text_col).alias("doc"), words(F.col(text_col)).alias("w"))
     sizes = [r.g for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("g")).distinct().collect()]  # SHINGLE at most
     found = None
     for g in sorted(sizes):
@@ -103,16 +109,16 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         found = exact if found is None else found.unionByName(exact)
     if found is None:
         kind = docs.schema[id_col].dataType.simpleString()
-        found = docs.sparkSession.createDataFrame([], f"doc {kind}, at int, len int, wid string")
+        found = docs.sparkSession.createDataFrame([], f"doc struct<id:{kind}, a:bigint, b:bigint>, at int, len int, wid string")
     return windows, found
 
 
 def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``item_ids`` (sorted strings), ``contaminated``.
 
-    Null has no words, nor has an empty text; long texts are taken whole. Rows that share an id are taken as one
-    document's: each gets the hits of all its rows' texts. A row with a null id is never hit. Repeated rows stay
-    rows; an empty table gives none, an empty benchmark hits nothing; other columns play no part.
+    Null has no words, nor has an empty text; long texts are taken whole. Each row is judged by its own text, whether
+    others share its id and whether it has one or not. Repeated rows stay rows; an empty table gives none, an empty
+    benchmark hits nothing; other columns play no part.
     """
     windows, found = contaminated_words(docs, items, id_col, text_col, item_col, item_text_col, length)
     found = written(found)
@@ -122,12 +128,12 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     covered = covered.groupBy("doc").agg(F.sum(F.greatest(end - F.greatest("at", "reach"), F.lit(0))).cast("long").alias("n_hit"))
     named = found.select("doc", "wid").distinct().join(windows.select("wid", "items"), "wid")
     named = named.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    hit = covered.join(named, "doc")
-    all_docs = docs.select(F.col(id_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    joined = all_docs.join(hit, all_docs[id_col] == hit["doc"], "left")
+    hit = covered.join(named, "doc").select(F.col("doc.a").alias("a"), F.col("doc.b").alias("b"), "n_hit", "item_ids")
+    all_docs = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("doc"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    joined = all_docs.select("id", F.col("doc.a").alias("a"), F.col("doc.b").alias("b"), "n_words").join(hit, ["a", "b"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return joined.select(id_col, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    return joined.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

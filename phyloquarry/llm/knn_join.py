@@ -101,16 +101,17 @@ def summaries(vectors: DataFrame, pivots: np.ndarray, dims: int, radii: np.ndarr
 
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` highest inner products of each query over rows of other ids.
+    """(query_id, query_row, rank, vec_id, score): the ``k`` highest inner products of each query over rows of other ids.
 
     Components become floor(256 x) as double and travel in the smallest type that holds them all; where sums may
     reach 2**53 they are taken over whole numbers (a score beyond 64 bits is an error). Ties go to the smaller id. Rows whose id is null or no 64-bit
     number, a null vector or null or non-finite components take no part; vectors of other lengths are filled up
-    with zeros. Repeated query rows count once, repeated data rows each. Empty tables give no rows; other columns
+    with zeros. Repeated query rows count once, repeated data rows each. Query rows of one id with unlike vectors are
+    separate queries, told apart by ``query_row`` (a 64-bit hash of the vector). Empty tables give no rows; other columns
     play no part.
     """
     spark = data.sparkSession
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    empty = spark.createDataFrame([], "query_id bigint, query_row bigint, rank int, vec_id bigint, score bigint")
     clean = lambda df: df.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows, asked = clean(data), clean(queries).distinct()
     measures = F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("high")
@@ -151,12 +152,12 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
         for batch in batches:
             x = matrix(batch.column(1), dims)
             cell = nearest(x, pivots)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], ["id", "cell", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], ["id", "row", "cell", "q"])
 
-    set_of = asked.mapInArrow(placed, "id bigint, cell int, q binary")
+    set_of = asked.select("id", "v", F.xxhash64("v").alias("row")).mapInArrow(placed, "id bigint, row bigint, cell int, q binary")
     in_cell = set_of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     set_of = set_of.join(in_cell, "cell").withColumn("set", F.pmod(F.xxhash64("id", "q"), F.ceil(F.col("n") / QUERY_SET)))
-    sets = set_of.groupBy("cell", "set").agg(F.collect_list("id").alias("qids"), F.collect_list("q").alias("q"))
+    sets = set_of.groupBy("cell", "set").agg(F.collect_list(F.struct("id", "row", "q")).alias("asked"))
     sets = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def numbers(packed: bytes) -> np.ndarray:
@@ -165,14 +166,14 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
 
     def solve(batches):
         for batch in batches:
-            out = [[], [], []]
-            for qids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = [[], [], [], []]
+            for asked_here, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(ids, np.int64)
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
-                scores = numbers(b"".join(q)) @ numbers(x)[order].T
-                for qid, s in zip(qids, scores, strict=True):
-                    others = np.flatnonzero(ids != qid)
+                scores = numbers(b"".join(a["q"] for a in asked_here)) @ numbers(x)[order].T
+                for a, s in zip(asked_here, scores, strict=True):
+                    others = np.flatnonzero(ids != a["id"])
                     s = s[others]
                     if len(s) > k:
                         least = np.partition(s, -k)[-k]
@@ -181,22 +182,23 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = TOP, id_col: str = "v
                         s = np.concatenate([s[s > least], s[s == least][: k - len(above)]])
                     else:
                         best = others
-                    out[0] += [qid] * len(best)
-                    out[1] += ids[best].tolist()
-                    out[2] += [int(v) for v in s]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                    out[0] += [a["id"]] * len(best)
+                    out[1] += [a["row"]] * len(best)
+                    out[2] += ids[best].tolist()
+                    out[3] += [int(v) for v in s]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "query_row", "vec_id", "score"])
 
     spread = rows.mapInArrow(blocks, "cell int, salt int, ids binary, x binary")
-    met = spread.join(sets, ["cell", "salt"]).select("qids", "q", "ids", "x")
-    local = met.mapInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = spread.join(sets, ["cell", "salt"]).select("asked", "ids", "x")
+    local = met.mapInArrow(solve, "query_id bigint, query_row bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "query_row", "rank", "vec_id", "score")
 
 
 def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``embeddings`` row with an id divisible by 50 against all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return knn_join(rows.where(F.col("vec_id") % 50 == 0), rows)
+    return knn_join(rows.where(F.col("vec_id") % 50 == 0), rows).drop("query_row")
 
 
 ORACLE = """

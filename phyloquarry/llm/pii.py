@@ -12,16 +12,21 @@ document and different values never the same, as each notation is a domain of it
 * dates: the day number within 1800-2199, whose 146,097 days are 189 x 773, in the date's own notation. A date
   with slashes is read as month/day where it can be; the others, day/month with a day above 12, are permuted among
   themselves by walking the cycle until the day is above 12 again;
-* e-mail addresses (the part before @) and secrets (access key ids; values assigned to password, token and the
-  like: after = any of 4 characters or more, after : those with a digit and any of 12 or more): each digit stays a
-  digit, each ASCII letter a letter of its case.
+* e-mail addresses (the part before @) and secrets (access key ids; values assigned to password, token, api-key and
+  the like): each digit stays a digit, each ASCII letter a letter of its case, all else as it is. A quoted value ends at
+  its quote, another at white space, a quote or an angle bracket; it has 4 characters or more. After a colon, unless
+  quoted or a password, it also has a digit or 12 characters, as words follow colons in plain text.
+
+International bank account numbers (IBAN), phone numbers without a country code that aren't in the North American
+form, and names of persons are no candidates.
 
 Values that are not valid, and dates outside the span, stay as they are; no pseudonym is equal to one of those. A
 walk stops after WALK steps, which fewer than one value in 10**25 needs; its last step is taken then, which is
 still different from every other pseudonym of the notation.
 
 Round functions take SHA-512 over key, kind, round and the other half. Whoever holds the key can invert the
-permutation, nobody else can; it has no default.
+permutation, nobody else can; it has no default. The key reaches the tasks as the one row of a table, so that it stands
+in no plan, web page or event log.
 """
 
 from __future__ import annotations
@@ -31,15 +36,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: The setting that holds the key, and what stands in for it where tables hold no real persons.
+#: The setting that holds the key, and the key of the queries over the invented test tables, which is no secret.
 KEY_SETTING, DEMO_KEY = "spark.phyloquarry.pseudonymKey", "a published key protects nobody"
 ROUNDS, WALK = 8, 64
 
 #: Candidates by kind, in order of preference where several begin at one place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-NAME = r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,2}"
-ASSIGNED = NAME + r"(?:=[ ]{0,2}[\"']?[A-Za-z0-9+/_-]{4,}+|:[ ]{0,2}[\"']?(?:[A-Za-z0-9+/_-]{12,}+|(?=[A-Za-z+/_-]{0,10}[0-9])[A-Za-z0-9+/_-]{4,}+))"
+PASSWORD, OTHER_SECRET = r"[Pp]ass(?:word|wd|phrase)|PASS(?:WORD|WD|PHRASE)", r"[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY"
+NAME = r"(?<![A-Za-z0-9])(?:[A-Za-z]{1,16}[_-]){0,2}"
+AFTER_NAME = r"(?:[_-][A-Za-z]{1,16}){0,2}[\"']?[ ]{0,2}"
+QUOTED, BARE = r"(?:\"[^\"\n]{4,}+(?=\")|'[^'\n]{4,}+(?='))", r"[^\s\"'<>]"
+ASSIGNED = (
+    NAME + "(?:(?:" + PASSWORD + ")" + AFTER_NAME + "[=:][ ]{0,2}(?:" + QUOTED + "|" + BARE + "{4,}+)"
+    "|(?:" + OTHER_SECRET + ")" + AFTER_NAME + "(?:=[ ]{0,2}(?:" + QUOTED + "|" + BARE + "{4,}+)"
+    "|:[ ]{0,2}(?:" + QUOTED + "|" + BARE + "{12,}+|(?=[^\\s\"'<>0-9]{0,10}[0-9])" + BARE + "{4,}+)))"
+)
+#: What stands before the value itself.
+BEFORE_SECRET = r"^[^=:]*[=:][ ]{0,2}[\"']?"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 ISO_DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\w/-])"
 DAY_DATE = r"(?<![\w/.-])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])"
@@ -61,9 +75,9 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def draw(key: str, kind: str, turn: Column, half: Column) -> Column:
+def draw(key: Column, kind: str, turn: Column, half: Column) -> Column:
     """128 hexadecimal digits from the keyed round function."""
-    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), turn.cast("string"), F.lit("|"), half.cast("string")), 512)
+    return F.sha2(F.concat(key, F.lit(f"|{kind}|"), turn.cast("string"), F.lit("|"), half.cast("string")), 512)
 
 
 def number(digest: Column, modulus: int) -> Column:
@@ -82,7 +96,7 @@ def shifted(half: Column, digest: Column) -> Column:
     return F.when(F.length(half) > 0, F.array_join(F.transform(F.split(half, ""), one), "")).otherwise(half)
 
 
-def permuted(value: Column, key: str, kind: str) -> Column:
+def permuted(value: Column, key: Column, kind: str) -> Column:
     """The Feistel permutation of strings with the same pattern of classes."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1, F.length(value)).alias("r"))
@@ -90,7 +104,7 @@ def permuted(value: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permuted_pair(a: Column, b: Column, m: int, n: int, key: str, kind: str) -> Column:
+def permuted_pair(a: Column, b: Column, m: int, n: int, key: Column, kind: str) -> Column:
     """The Feistel permutation of pairs (a < m, b < n), as a struct (l, r)."""
     turn = lambda s, i: F.struct(((s["l"] + number(draw(key, kind + "l", i, s["r"]), m)) % m).alias("l"), s["r"].alias("r"))
     back = lambda s, i: F.struct(s["l"].alias("l"), ((s["r"] + number(draw(key, kind + "r", i, s["l"]), n)) % n).alias("r"))
@@ -137,7 +151,7 @@ def possible_ssn(d: Column) -> Column:
     return ~area.isin("000", "666") & (F.substring(d, 1, 1) != "9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of a candidate, or the candidate itself if it is not valid."""
     with_check = lambda body: F.concat(body, check_digit(body))
     new_card = lambda d: let(F.substr(d, F.lit(1), F.length(d) - 1), lambda body: F.when(with_check(body) == d, refilled(value, let(permuted(body, key, "card"), with_check))).otherwise(value))
@@ -162,7 +176,7 @@ def pseudonym(value: Column, key: str) -> Column:
 
     at = F.instr(value, "@")
     email = F.concat(let(F.substr(value, F.lit(1), at - 1), lambda x: permuted(x, key, "email")), F.substr(value, at, F.length(value)))
-    secret = let(F.regexp_extract(value, r"[A-Za-z0-9+/_-]+$", 0), lambda x: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(x)), permuted(x, key, "secret")))
+    secret = let(F.regexp_extract(value, BEFORE_SECRET, 0), lambda x: F.concat(x, let(F.substr(value, F.length(x) + 1, F.length(value)), lambda y: permuted(y, key, "secret"))))
     access = F.concat(F.substring(value, 1, 4), let(F.substr(value, F.lit(5), F.lit(16)), lambda x: permuted(x, key, "access")))
     return (
         F.when(at > 0, email)
@@ -180,8 +194,16 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    """The key in the session's setting KEY_SETTING; without one, DEMO_KEY, which is fit for invented data only."""
-    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+    """The key in the session's setting KEY_SETTING; an error if there is none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"Pseudonyms need a key: set {KEY_SETTING}")
+    return key
+
+
+def query_key(spark: SparkSession) -> str:
+    """The set key or DEMO_KEY: for the queries over the invented test tables, and nothing else."""
+    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -197,7 +219,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(f"own_{text_col}")
     maybe = text.rlike("[0-9@=:]") | text.contains("AKIA") | text.contains("ASIA")
     own = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in names])
-    step = own.withColumn("found", F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    held = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    step = own.withColumn("held_key", held).withColumn("found", F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    step = step.withColumn("new", F.transform("found", lambda m: pseudonym(m, F.col("held_key"))))
     pieces = F.zip_with(F.split(text, ANY, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
     has = F.coalesce(F.size("new"), F.lit(-1)) > 0
@@ -209,7 +233,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with pseudonyms in place of personal data."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), query_key(spark))
 
 
 QUERIES = {"op1_feistel_pseudonyms": (op1_feistel_pseudonyms, None)}

@@ -7,7 +7,8 @@ import re
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) {0,2}(?:= {0,2}[\"']?[A-Za-z0-9+/_-]{4,}|: {0,2}[\"']?(?:[A-Za-z0-9+/_-]{12,}|(?=[A-Za-z+/_-]{0,10}[0-9])[A-Za-z0-9+/_-]{4,}))",
+    "secret": r"""(?<![A-Za-z0-9])(?:[A-Za-z]{1,16}[_-]){0,2}(?:(?P<pw>[Pp]ass(?:word|wd|phrase)|PASS(?:WORD|WD|PHRASE))|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)"""
+    r"""(?:[_-][A-Za-z]{1,16}){0,2}["']? {0,2}(?:= {0,2}|(?P<colon>:) {0,2})(?:"[^"\n]{4,}(?=")|'[^'\n]{4,}(?=')|(?(colon)(?(pw)[^\s"'<>]{4,}|(?:[^\s"'<>]{12,}|(?=[^\s"'<>0-9]{0,10}[0-9])[^\s"'<>]{4,}))|[^\s"'<>]{4,}))""",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",
     "iso": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\w/-])",
     "day": r"(?<![\w/.-])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])",
@@ -95,8 +96,8 @@ def one(kind, value, key):
     if kind == "access":
         return value[:4] + permuted(value[4:], key, "access")
     if kind == "secret":
-        secret = re.search(r"[A-Za-z0-9+/_-]+$", value)[0]
-        return value[: -len(secret)] + permuted(secret, key, "secret")
+        at = re.search("[=:] {0,2}[\"']?", value).end()
+        return value[:at] + permuted(value[at:], key, "secret")
     if kind == "ip":
         o = [int(x) for x in value.split(".")]
         if max(o) > 255 or value != ".".join(map(str, o)):
@@ -136,7 +137,7 @@ def pseudonymised(text, key):
 
     def new(m):
         nonlocal replaced
-        out = one(m.lastgroup, m[0], key)
+        out = one(next(k for k in KINDS if m[k] is not None), m[0], key)
         replaced += out != m[0]
         return out
 
