@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from phyloquarry.llm.bpe import TOKENIZER, bpe_encode, digests, public_path
 from phyloquarry.llm.common import table, written
-from phyloquarry.llm.decontamination import decontamination
+from phyloquarry.llm.decontamination import contaminated_words, row_key
 from phyloquarry.llm.jaccard_join import WORDED, near_duplicates, text_class
 from phyloquarry.llm.language_id import UNKNOWN, fit, identify
-from phyloquarry.llm.pii import pseudonym_key, pseudonymise
+from phyloquarry.llm.pii import pseudonymise, query_key
 
 #: A prediction below this probability is no recognised language.
 CONFIDENT = 0.5
@@ -38,9 +38,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of similar texts: the text of the group's smallest id.
 
-    Decided by id and text together: of rows alike in both one stays, of two unlike texts with one id both. Rows
-    without words and rows with a null id are similar to nothing and stay. Ids all of whose rows go are dropped by
-    id; only rows whose id others share, and of which some stay, are looked at with their text.
+    Decided by id and text together: of rows alike in both one stays, the least by the order of its columns; of two
+    unlike texts with one id both. Rows without words and rows with a null id are similar to nothing and stay. Ids all of
+    whose rows go are dropped by id; only rows whose id others share, and of which some stay, are looked at with their text.
     """
     found = written(near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text_class", "stays"))
     ids = found.groupBy("id").agg(F.bool_or("stays").alias("some"), F.count(F.lit(1)).alias("n"))
@@ -54,21 +54,21 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     digest = F.when(F.col("text").rlike(WORDED), F.hex(text_class("text")))
     rows = own.join(shared, F.col("own_id") == F.col("id")).select("doc", "id", digest.alias("text_class"))
     stay = found.join(shared, "id", "left_semi").where("stays and text_class is not null").select("id", "text_class").distinct()
-    once = rows.join(stay, ["id", "text_class"]).dropDuplicates(["id", "text_class"]).select("doc.*")
+    once = rows.join(stay, ["id", "text_class"]).groupBy("id", "text_class").agg(F.min("doc").alias("doc")).select("doc.*")
     return single.unionByName(once).unionByName(rows.where("text_class is null").select("doc.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents; rows that share an id go together if one of them is. A null id stays."""
-    found = decontamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"))
-    return own.join(hit, F.col("id") == F.col("hit_id"), "left_anti").select("doc.*")
+    """Drops contaminated documents. Each row is judged by its own text, whatever its id, a null one among them."""
+    _, found = contaminated_words(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.select("doc.a", "doc.b").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("doc"))
+    return own.select("row", "doc.a", "doc.b").join(hit.hint("merge"), ["a", "b"], "left_anti").select("row.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data; n_chars follows the text (0 for a null one). All rows stay."""
-    found = pseudonymise(docs, pseudonym_key(spark))
+    """Replaces personal data, under the published key unless one is set; n_chars follows the text (0 for a null one). All rows stay."""
+    found = pseudonymise(docs, query_key(spark))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
