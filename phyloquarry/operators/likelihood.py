@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -102,8 +103,16 @@ class Tree:
     length: tuple[float, ...]
     n_tips: int
 
+    @cached_property
+    def _children(self) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in self.parent]
+        for i, p in enumerate(self.parent):
+            if p >= 0:
+                out[p].append(i)
+        return out
+
     def children(self, node: int) -> list[int]:
-        return [i for i, p in enumerate(self.parent) if p == node]
+        return self._children[node]
 
     @property
     def root(self) -> int:
@@ -111,16 +120,11 @@ class Tree:
 
     def order(self) -> list[int]:
         """Inner nodes, children first."""
-        out: list[int] = []
-
-        def visit(node: int) -> None:
-            for c in self.children(node):
-                visit(c)
-            if node >= self.n_tips:
-                out.append(node)
-
-        visit(self.root)
-        return out
+        out, todo = [], [self.root]
+        while todo:
+            out.append(todo.pop())
+            todo += self.children(out[-1])
+        return [n for n in reversed(out) if n >= self.n_tips]
 
 
 def log_messages(child: np.ndarray, log_p: np.ndarray) -> np.ndarray:

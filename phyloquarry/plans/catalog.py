@@ -486,9 +486,28 @@ def f12_phred_likelihoods(r):
     return r.select("site", "cell", F.array_join(pl, ",").alias("pl"), gq.alias("gq"))
 
 
-@query("reads")
+def _dm_sql(name: str) -> str:
+    alphas, total = distributions.nucleotide_alphas(0.01, 100.0, 2.0)[name]
+    terms = " - ".join(f"CASE WHEN {c} > 0 THEN ln({c}) + lgamma({a!r}) + lgamma({c}) - lgamma({a!r} + {c}) ELSE 0 END" for c, a in zip(("r1", "r2", "r3", "ref_reads"), alphas, strict=True))
+    return f"CASE WHEN cov = 0 THEN 1.0 ELSE ln(cov) + lgamma({total!r}) + lgamma(cov) - lgamma({total!r} + cov) - {terms} END"
+
+
+def _nb_sql(k: int) -> str:
+    m, s = f"(20.0::DOUBLE * ({k} + 1e-6))", f"(20.0::DOUBLE * ({k} + 1e-6) + 30.0 * ({k} + 1e-6) * ({k} + 1e-6))"
+    p, r = f"({m} / {s})", f"({m} * {m} / ({s} - {m}))"
+    return f"lgamma({r} + cov) + ({r} + cov) * ln(1 - {p}) - lgamma(cov + 1.0) - lgamma({r}) - {r} * ln(1 / {p} - 1)"
+
+
+#: (site, cell, lik): each genotype's log likelihood, single dropout of 0.1.
+LEAF_SQL = f"""dm AS (SELECT site, cell, {_dm_sql("00")} AS d00, {_dm_sql("01")} AS d01, {_dm_sql("11")} AS d11, {_dm_sql("11x")} AS d11x, {_nb_sql(1)} AS c1, {_nb_sql(2)} AS c2 FROM reads),
+    parts AS (SELECT site, cell, [[d00 + c2 + ln(0.9), d00 + c1 + ln(0.1)], [d01 + c2 + ln(0.9), greatest(d00, d11) + ln(1 + exp(-abs(d00 - d11))) + c1 + ln(0.1) - ln(2)],
+      [d11 + c2 + ln(0.9), d11 + c1 + ln(0.1)], [d11x + c2 + ln(0.9), d11 + c1 + ln(0.1)]] AS x FROM dm),
+    leaf AS MATERIALIZED (SELECT site, cell, list_transform(x, lambda y: greatest(y[1], y[2]) + ln(1 + exp(-abs(y[1] - y[2])))) AS lik FROM parts)"""
+
+
+@query("reads", f"WITH {LEAF_SQL} SELECT site, cell, round(lik[1], 3) AS g0, round(lik[2], 3) AS g1, round(lik[3], 3) AS g2, round(lik[4], 3) AS g3 FROM leaf")
 def f10_mixture_likelihoods(r):
-    return _leaf_likelihoods(r).select("site", "cell", *[r6(F.col("lik")[i]).alias(f"g{i}") for i in range(4)])
+    return _leaf_likelihoods(r).select("site", "cell", *[F.round(F.col("lik")[i], 3).alias(f"g{i}") for i in range(4)])
 
 
 def _leaf_likelihoods(r):

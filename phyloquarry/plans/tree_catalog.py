@@ -46,12 +46,6 @@ def t10_chosen_assignments(r):
     return found.withColumn("log_likelihood", r6("log_likelihood")).withColumn("node_score", r6("node_score"))
 
 
-@query("pattern_reads", "WITH x AS (SELECT CAST(cov % 4 + 1 AS DOUBLE) AS w, -1.0 - cov / 10.0 AS l, -0.5 - cov / 20.0 AS c FROM pattern_reads) SELECT round(sum(w * l) - sum(w * ln(1 - exp(c))), 3) AS log_likelihood FROM x")
-def m12_calling_log_likelihood(p):
-    rows = p.select((F.col("cov") % 4 + 1).cast("double").alias("weight"), (-1.0 - F.col("cov") / 10).alias("log_likelihood"), (-0.5 - F.col("cov") / 20).alias("constant"))
-    return likelihood.calling_log_likelihood(rows, "lewis").select(F.round("log_likelihood", 3).alias("log_likelihood"))
-
-
 @query("nodes", "SELECT tree, node, round(rate * 0.3, 6) AS branch_rate FROM (SELECT tree, node, 0.5 + length(node) / 4.0 AS rate FROM nodes)")
 def f23_calling_rates(nodes):
     rated = nodes.withColumn("rate", 0.5 + F.length("node") / 4)

@@ -38,6 +38,11 @@ VIEWS = {
           1 + n_nationkey / 100.0 + tree / 1000.0 FROM {nation} CROSS JOIN {tree_ids}
         UNION ALL SELECT tree, concat('s', CAST(s_suppkey AS VARCHAR(12))), concat('n', CAST((s_nationkey + CASE WHEN s_suppkey % 5 = 0 THEN tree ELSE 0 END) % 25 AS VARCHAR(8))), CAST(0 AS DOUBLE)
           FROM {supplier} CROSS JOIN {tree_ids}""",
+    "cell_groups": "SELECT tree, cell, CAST((cell + CASE WHEN cell % 3 = 0 THEN tree ELSE 0 END) % 5 AS INT) AS g FROM {cells} CROSS JOIN {tree_ids}",
+    "cell_nodes": """SELECT tree, concat('c', CAST(cell AS VARCHAR(8))) AS node, concat('g', CAST(g AS VARCHAR(8))) AS parent, CAST(0 AS DOUBLE) AS height FROM {cell_groups}
+        UNION ALL SELECT DISTINCT tree, concat('g', CAST(g AS VARCHAR(8))), concat('m', CAST((g + CASE WHEN g % 2 = 0 THEN tree ELSE 0 END) % 2 AS VARCHAR(8))), CAST(1 + g / 10.0 + tree / 100.0 AS DOUBLE) FROM {cell_groups}
+        UNION ALL SELECT DISTINCT tree, concat('m', CAST((g + CASE WHEN g % 2 = 0 THEN tree ELSE 0 END) % 2 AS VARCHAR(8))), 'trunk', CAST(2 + tree / 50.0 AS DOUBLE) FROM {cell_groups}
+        UNION ALL SELECT tree, 'trunk', 'root', CAST(3 AS DOUBLE) FROM {tree_ids} UNION ALL SELECT tree, 'root', CAST(NULL AS VARCHAR(8)), CAST(4 AS DOUBLE) FROM {tree_ids}""",
     "node_gt": """SELECT s.site, n.node, CASE WHEN n.node IN ('root', 'trunk') THEN '0/0'
           WHEN (s.site + length(n.node) * 7 + ascii(substr(n.node, length(n.node), 1))) % 11 = 0 THEN '1/1'
           WHEN (s.site + length(n.node) * 5 + ascii(substr(n.node, length(n.node), 1))) % 7 = 0 THEN '0/1'
@@ -77,6 +82,8 @@ def with_views(names: list[str], body: str) -> str:
         return body.strip()
     parts = [f"{x} AS ({VIEWS[x].format(**{y: y for y in (*TABLES, *VIEWS)})})" for x in order]
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
