@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import log_sum_exp
+from .consensus import climbed
 from .lineage import kept
 
 #: Levels climbed between two cuts of the lineage.
@@ -45,27 +46,8 @@ def transitions(q: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def levels(nodes: DataFrame) -> DataFrame:
-    """(tree, node, level): 0 at tips, else one above the highest child; an error if there is a cycle.
-
-    Each round puts the nodes all of whose children have a level one above them.
-    """
-    parents = kept(nodes.select("tree", "node", "parent"))
-    most = parents.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    children = parents.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-    waiting = kept(parents.join(children, ["tree", "node"], "left").select("tree", "node", "parent", F.coalesce("children", F.lit(0)).alias("children")))
-    found = None
-    for level in range(most + 1):
-        ready = waiting.where("children = 0")
-        now = ready.select("tree", "node", F.lit(level).alias("level"))
-        found = now if found is None else found.unionByName(now)
-        done = ready.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("done"))
-        left = waiting.where("children > 0").join(done, ["tree", "node"], "left")
-        waiting = kept(left.select("tree", "node", "parent", (F.col("children") - F.coalesce("done", F.lit(0))).alias("children")))
-        if level % CUT == CUT - 1:
-            found = kept(found)
-        if not waiting.take(1):
-            return kept(found)
-    raise ValueError("a tree has a cycle")
+    """(tree, node, level): 0 at tips, else one above the highest child; an error if there is a cycle."""
+    return climbed(nodes.select("tree", "node", "parent", F.lit(0).alias("level")), {"level": "far"})
 
 
 def branches(nodes: DataFrame, q: np.ndarray, rates: list[float]) -> DataFrame:

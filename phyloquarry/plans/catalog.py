@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions, special
-from ..operators import calls, genes, likelihood, reads, summaries, trees
+from ..operators import calls, consensus, genes, likelihood, reads, summaries, trees
 from .views import view, with_views
 
 #: Name to (callable, SQL or None).
@@ -289,13 +289,13 @@ def a16_clade_credibility(nodes):
 
 @clade_query("SELECT tree, round(sum(credibility), 6) AS sum_cred, round(sum(ln(credibility)), 6) AS log_cred FROM (SELECT DISTINCT tree, clade FROM cl) JOIN cred USING (clade) GROUP BY tree")
 def a18_tree_scores(nodes):
-    c = trees.clades(nodes)
+    c = consensus.fingerprints(nodes)
     return trees.tree_scores(c, trees.clade_credibility(c, 5)).select("tree", r6("sum_cred").alias("sum_cred"), r6("log_cred").alias("log_cred"))
 
 
 @clade_query("SELECT tree FROM (SELECT tree, round(sum(ln(credibility)), 9) AS s FROM (SELECT DISTINCT tree, clade FROM cl) JOIN cred USING (clade) GROUP BY tree) ORDER BY s DESC, tree LIMIT 1")
 def a20_best_tree(nodes):
-    c = trees.clades(nodes)
+    c = consensus.fingerprints(nodes)
     scores = trees.tree_scores(c, trees.clade_credibility(c, 5)).withColumn("log_cred", F.round("log_cred", 9))
     return trees.best_tree(scores).select("tree")
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import consensus
 from ..operators.lineage import shared_folder
 from ..sinks import text as sinks
 from ..sources import newick
@@ -156,21 +157,32 @@ def s14_state_samples(c):
     return found.select("sample", F.col("place").cast("long").alias("place"), F.col("cell").cast("long").alias("cell"), "genotype", "ado")
 
 
-@query("nodes", "SELECT n.node AS label, count(*) AS n, round(sum(p.height - n.height), 5) AS length, round(sum(1 + length(n.node) / 4.0), 5) AS rate FROM nodes n JOIN nodes p ON p.tree = n.tree AND p.node = n.parent WHERE n.tree > 0 GROUP BY n.node")
-def s15_tree_set(nodes):
-    from ..operators.summaries import ranked
+TREE_SET_SQL = "SELECT n.node AS label, count(*) AS n, round(sum(p.height - n.height), 5) AS length, round(sum(1 + length(n.node) / 4.0), 5) AS rate FROM nodes n JOIN nodes p ON p.tree = n.tree AND p.node = n.parent WHERE n.tree > 0 GROUP BY n.node"
+
 
-    ids = ranked(nodes, ["tree"], ["node"], "id").select("tree", "node", "height", F.col("id").cast("int").alias("id"), "parent")
-    upper = ids.select("tree", F.col("node").alias("parent"), F.col("id").alias("parent_id"), F.col("height").alias("top"))
+def tree_set(nodes, wrapped: bool):
+    """The trees without burn-in, from a Nexus file of them; ``wrapped`` breaks its lines behind each comma and bracket."""
     meta = F.create_map(F.lit("rate"), (1 + F.length("node") / 4.0).cast("string"))
-    rows = ids.join(upper, ["tree", "parent"], "left")
-    rows = rows.select(F.col("tree").cast("long").alias("tree"), F.col("id").alias("node"), F.col("parent_id").alias("parent"), F.col("node").alias("label"), F.coalesce(F.col("top") - F.col("height"), F.lit(0.0)).alias("length"), meta.alias("meta"))
+    rows = consensus.with_lengths(nodes).select(F.col("tree").cast("long").alias("tree"), "node", "parent", F.col("node").alias("label"), F.coalesce("length", F.lit(0.0)).alias("length"), meta.alias("meta"))
+    texts = newick.to_newick(rows)
+    if wrapped:
+        texts = texts.withColumn("newick", F.regexp_replace("newick", r"([,(\]])", "$1\n  "))
     path = f"{shared_folder(nodes.sparkSession)}/{uuid.uuid4().hex}.trees"
-    sinks.write_lines(newick.nexus(newick.to_newick(rows)), path)
+    sinks.write_lines(newick.nexus(texts), path)
     found = newick.branch_rates(newick.read_trees(nodes.sparkSession, path, 0.2)).where("parent IS NOT NULL")
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 5).alias("length"), F.round(F.sum("rate"), 5).alias("rate"))
 
 
+@query("nodes", TREE_SET_SQL)
+def s15_tree_set(nodes):
+    return tree_set(nodes, wrapped=False)
+
+
+@query("nodes", TREE_SET_SQL)
+def s24_wrapped_trees(nodes):
+    return tree_set(nodes, wrapped=True)
+
+
 @query("sites", "SELECT chrom, pos, ref, concat(alt, ',N') AS alts FROM sites")
 def s19_variant_sites(sites):
     found = sources.variant_sites(sites.sparkSession, put(rows_of(sites, F.concat_ws("\t", *texts("chrom", "pos", "ref", F.concat("alt", F.lit(",N")))), "site")))

@@ -1,4 +1,4 @@
-"""Trees in Newick and Nexus text, to and from node tables. A tree is a line; lines are parsed where they are read."""
+"""Trees in Newick and Nexus text, to and from node tables. Trees are records that end at a semicolon, on any number of lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import records
+
 TOKEN = re.compile(r"\s*(\[&[^\]]*\]|\[[^\]]*\]|'(?:[^']|'')*'|[(),:;]|[^\s(),:;\[\]]+)")
 PAIR = re.compile(r"([^,={}]+)=(\{[^}]*\}|[^,]*)")
 SCHEMA = "tree bigint, node int, parent int, label string, length double, height double, meta map<string,string>"
@@ -17,8 +19,8 @@ def parse(text: str) -> list[dict]:
     """Nodes of one tree, parents before children; ``height`` is the distance above the lowest tip."""
     nodes: list[dict] = [{"node": 0, "parent": None, "label": None, "length": 0.0, "meta": {}}]
     at = 0
-    tokens = TOKEN.findall(text[text.index("(") :] if "(" in text else text)
-    i = 0
+    tokens = TOKEN.findall(text)
+    i = tokens.index("(") if "(" in tokens else 0
     while i < len(tokens):
         t = tokens[i]
         if t == "(" or t == ",":
@@ -49,49 +51,100 @@ def parse(text: str) -> list[dict]:
 
 
 def metadata(text: str) -> dict[str, str]:
-    return {k.strip(): v.strip() for k, v in PAIR.findall(text.strip("[]").lstrip("&"))}
+    return {k.strip(): v.strip() for k, v in PAIR.findall(re.sub(r"[\r\n]", "", text).strip("[]").lstrip("&"))}
 
 
 def translation(lines: list[str]) -> dict[str, str]:
     """Number to label from a Nexus translate block."""
-    text = " ".join(lines)
-    found = re.search(r"translate(.*?);", text, re.I | re.S)
-    return {a: b.strip("'") for a, b in (pair.split(None, 1) for pair in found[1].split(",") if pair.strip())} if found else {}
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text): trimmed lines with numbers that grow along the file, however it is split."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("text"))
-    first = rows.groupBy("block").agg(F.min("row").alias("first"))  # a row for each split
-    return rows.join(first, "block").select((F.col("block") + F.col("row") - F.col("first")).alias("line"), "text")
-
-
-def read_trees(spark: SparkSession, path: str, burn_in: float = 0.0) -> DataFrame:
-    """Node rows of each tree in a Newick or Nexus file, after dropping the first ``burn_in`` share of trees."""
-    rows = numbered_lines(spark, path)
-    nexus = rows.where(F.upper("text").startswith("#NEXUS")).limit(1).count() > 0
-    trees = rows.where(F.col("text").rlike(r"(?i)^tree\s") if nexus else F.col("text").startswith("("))
-    labels = {}
-    if nexus and (start := rows.where(F.col("text").rlike(r"(?i)^translate\b")).agg(F.min("line").alias("line")).first().line) is not None:
-        block = rows.where(F.col("line") >= start)
-        end = block.where(F.col("text").contains(";")).agg(F.min("line").alias("line")).first().line
-        labels = translation([r.text for r in block.where(F.col("line") <= end).orderBy("line").collect()])  # a line for each taxon
-    skip = int(burn_in * trees.count())
-    if skip:
-        first = trees.orderBy("line").limit(skip).agg(F.max("line").alias("m")).first().m
-        trees = trees.where(F.col("line") > first)
+    tokens = TOKEN.findall(" ".join(lines))
+    at = next((i for i, t in enumerate(tokens) if t.lower() == "translate"), len(tokens))
+    out: dict[str, str] = {}
+    pair: list[str] = []
+    for t in tokens[at + 1 :]:
+        if t in ",;":
+            if len(pair) == 2:
+                out[pair[0]] = pair[1].strip("'").replace("''", "'")
+            pair = []
+            if t == ";":
+                break
+        elif not t.startswith("["):
+            pair.append(t)
+    return out
+
+
+#: A record's text without the comments before its first word; a comment that begins with & belongs to what follows.
+LEADING = r"^(?:\s|\[(?!&)[^\]]*\])+"
+
+
+def tree_records(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """(tree, text) of each tree in a Newick or Nexus file, numbered along the file, and the labels that a Nexus file translates.
+
+    Trees, translations and comments may go over any number of lines. A Nexus file begins with #NEXUS.
+    """
+    rows = records(spark, path).select("file", "record", F.regexp_replace("text", LEADING, "").alias("text"))
+    nexus = rows.where(F.col("text").rlike(r"(?i)^#NEXUS")).limit(1).count() > 0
+    trees = rows.where(F.col("text").rlike(r"(?i)^u?tree[\s*]") if nexus else F.col("text").rlike(r"^(?:\[&[^\]]*\]\s*)*\("))
+    labels: dict[str, str] = {}
+    if nexus:
+        for r in rows.where(F.col("text").rlike(r"(?i)^translate\s")).collect():  # one a file, a name for each taxon
+            labels |= translation([r.text + ";"])
+    return trees.select(F.col("record").alias("tree"), "text"), labels
+
+
+def parsed(trees: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Node rows of (tree, text)."""
 
     def nodes(frames):
         for frame in frames:
             out = []
-            for line, text in zip(frame["line"], frame["text"], strict=True):
+            for tree, text in zip(frame["tree"], frame["text"], strict=True):
                 for n in parse(text):
-                    out.append((line, n["node"], n["parent"], labels.get(n["label"], n["label"]), n["length"], n["height"], n["meta"]))
+                    out.append((tree, n["node"], n["parent"], labels.get(n["label"], n["label"]), n["length"], n["height"], n["meta"]))
             yield pd.DataFrame(out, columns=["tree", "node", "parent", "label", "length", "height", "meta"]).astype({"parent": "Int64"})
 
     return trees.mapInPandas(nodes, SCHEMA)
 
 
+def read_trees(spark: SparkSession, path: str, burn_in: float = 0.0) -> DataFrame:
+    """Node rows of each tree in a Newick or Nexus file, after dropping the first ``burn_in`` share of trees."""
+    trees, labels = tree_records(spark, path)
+    if burn_in:
+        number = trees.select("tree")
+        skip = int(burn_in * number.count())
+        if skip:
+            first = number.orderBy("tree").limit(skip).agg(F.max("tree").alias("m")).first().m
+            trees = trees.where(F.col("tree") > first)
+    return parsed(trees, labels)
+
+
+def read_tree(spark: SparkSession, path: str, taxa: list[str] | None = None) -> DataFrame:
+    """Node rows of the one tree in a file; an error if there is none or another.
+
+    With ``taxa`` numbers as labels are places in that list, counted from 0, or from 1 if one is out of range.
+    A root with one child is the tree's trunk; it stays a node.
+    """
+    trees, labels = tree_records(spark, path)
+    if (n := trees.count()) != 1:
+        raise ValueError(f"Only one input tree is expected, but {n} provided")
+    nodes = parsed(trees, labels)
+    if taxa is None:
+        return nodes
+    place = F.when(F.col("label").rlike(r"^\d+$"), F.col("label").cast("int"))
+    most = nodes.agg(F.max(place).alias("most")).first().most
+    offset = 0 if most is None or most < len(taxa) else 1
+    if most is not None and most - offset >= len(taxa):
+        raise ValueError(f"Label {most} is not among {len(taxa)} taxa")
+    named = F.get(F.array(*[F.lit(t) for t in taxa]), place - offset)
+    return nodes.withColumn("label", F.when(place >= offset, named).otherwise(F.col("label")))
+
+
+def has_trunk(nodes: DataFrame) -> DataFrame:
+    """(tree, trunk): whether the root of each tree has one child."""
+    children = nodes.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    roots = nodes.where("parent IS NULL").select("tree", "node").join(children, ["tree", "node"], "left")
+    return roots.select("tree", F.coalesce(F.col("n") == 1, F.lit(False)).alias("trunk"))
+
+
 def branch_rates(nodes: DataFrame, median: bool = False) -> DataFrame:
     """``nodes`` with ``rate`` from the metadata: the median if asked, else the rate, else 1."""
     found = [F.col("meta")["rate_median"]] if median else []
@@ -107,8 +160,8 @@ def with_notes(nodes: DataFrame, notes: DataFrame) -> DataFrame:
     return nodes.join(added, keys, "left").withColumn("meta", F.map_concat(own, F.coalesce("added", empty))).drop("added")
 
 
-def newick(nodes: pd.DataFrame) -> str:
-    """The Newick text of one tree's rows; metadata as ``[&k=v,...]``."""
+def newick(nodes: pd.DataFrame, notes: bool = True) -> str:
+    """The Newick text of one tree's rows; metadata as ``[&k=v,...]`` unless left out. Siblings stand as they come."""
     kids: dict = {}
     rows = {r.node: r for r in nodes.itertuples()}
     root = None
@@ -116,23 +169,26 @@ def newick(nodes: pd.DataFrame) -> str:
         if r.parent is None or r.parent != r.parent or pd.isna(r.parent):
             root = r.node
         else:
-            kids.setdefault(int(r.parent), []).append(r.node)
-
-    def text(node: int) -> str:
+            kids.setdefault(r.parent, []).append(r.node)
+    down, todo = [], [root]
+    while todo:
+        down.append(todo.pop())
+        todo += kids.get(down[-1], [])
+    text: dict = {}
+    for node in reversed(down):  # children first, and no recursion: trees may be of any depth
         r = rows[node]
-        inner = f"({','.join(text(c) for c in kids[node])})" if node in kids else ""
-        meta = dict(r.meta) if r.meta else {}
+        inner = f"({','.join(text.pop(c) for c in kids[node])})" if node in kids else ""
+        meta = dict(r.meta) if notes and r.meta else {}
         note = f"[&{','.join(f'{k}={v}' for k, v in sorted(meta.items()))}]" if meta else ""
-        return f"{inner}{r.label or ''}{note}:{r.length:g}"
-
-    return text(root) + ";"
+        text[node] = f"{inner}{r.label or ''}{note}:{r.length:.12g}"
+    return text[root] + ";"
 
 
-def to_newick(nodes: DataFrame) -> DataFrame:
+def to_newick(nodes: DataFrame, notes: bool = True) -> DataFrame:
     """(tree, newick): one text for each tree."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tree": [frame["tree"].iloc[0]], "newick": [newick(frame)]})
+        return pd.DataFrame({"tree": [frame["tree"].iloc[0]], "newick": [newick(frame.sort_values("node"), notes)]})
 
     return nodes.groupBy("tree").applyInPandas(one, "tree bigint, newick string")
 

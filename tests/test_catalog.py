@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from phyloquarry.plans import file_catalog, forest_catalog, model_catalog, tree_catalog  # noqa: F401
+from phyloquarry.plans import consensus_catalog, file_catalog, forest_catalog, model_catalog, tree_catalog  # noqa: F401
 from phyloquarry.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
