@@ -87,6 +87,28 @@ def s06_site_supports(sites, r):
     return long.select("chrom", "pos", "cell", F.get("reads", F.lit(0)).cast("long").alias("alt_reads"), F.col("ref_reads").cast("long").alias("ref_reads"), F.col("cov").cast("long").alias("cov"))
 
 
+@query("sites reads background", """WITH h AS (SELECT 1 - n_reads % 2 AS k, sum(occurrences) AS times FROM background GROUP BY n_reads % 2)
+    SELECT 'site' AS kind, concat(chrom, ':', pos) AS name, sum(cov)::BIGINT AS n, count(*) AS m FROM sites JOIN reads r USING (site) GROUP BY chrom, pos
+    UNION ALL SELECT CASE n_reads % 2 WHEN 0 THEN 'alt1' ELSE 'coverage' END, n_reads::VARCHAR, (occurrences * times * (SELECT count(*) FROM cells))::BIGINT, 1 FROM background JOIN h ON h.k = n_reads % 2""")
+def s04_read_counts(sites, r, b):
+    """All five sections in one file; each background name is brought to the same number of points."""
+    spark = r.sparkSession
+    cell = F.concat(F.lit("A,C,G;"), F.concat_ws(",", *texts("r1", "r2", "r3", "cov")))
+    cells = joined(r, ["site"], "cell", cell, "\t").join(sites, "site")
+    body = rows_of(cells, F.concat_ws("\t", *texts("chrom", "pos", "ref", "alt", "text")), "site")
+    n = r.agg(F.count_distinct("cell").alias("cells"), F.count_distinct("site").alias("sites")).first()
+    halves = b.groupBy((F.col("n_reads") % 2).alias("k")).agg(F.sum("occurrences").alias("all"))
+    other = halves.select((1 - F.col("k")).alias("k"), F.col("all").alias("times"))
+    even = b.withColumn("k", F.col("n_reads") % 2).join(other, "k").withColumn("points", F.col("occurrences") * F.col("times") * n.cells)
+    points = joined(even, ["k"], "n_reads", F.concat_ws(",", *texts("n_reads", "points")), "\t")
+    n_background = even.where("k = 0").agg(F.sum("points")).first()[0] // n.cells
+    head = line(spark, "=numSamples=", str(n.cells), "=numCandidateMutatedSites=", str(n.sites), "=numBackgroundSites=", str(n_background), "=mutations=")
+    found, background = sources.read_counts(spark, put(head, body, line(spark, "=background="), rows_of(points, F.col("text"), "k")), ["alt1", "coverage"])
+    per_site = found.groupBy("chrom", "pos").agg(F.sum("cov").cast("long").alias("n"), F.count(F.lit(1)).alias("m"))
+    rows = per_site.select(F.lit("site").alias("kind"), F.concat_ws(":", *texts("chrom", "pos")).alias("name"), "n", "m")
+    return rows.unionByName(background.select(F.col("name").alias("kind"), F.col("n_reads").cast("string").alias("name"), F.col("occurrences").alias("n"), F.lit(1).cast("long").alias("m")))
+
+
 @query("background", "SELECT CASE n_reads % 2 WHEN 0 THEN 'alt1' ELSE 'coverage' END AS name, n_reads, occurrences FROM background")
 def s07_background(b):
     pair = F.concat_ws(",", *texts("n_reads", "occurrences"))

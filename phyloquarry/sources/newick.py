@@ -81,7 +81,7 @@ def tree_records(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, s
 
     Trees, translations and comments may go over any number of lines. A Nexus file begins with #NEXUS.
     """
-    rows = records(spark, path).select("file", "record", F.regexp_replace("text", LEADING, "").alias("text"))
+    rows = records(spark, path).select("record", F.regexp_replace("text", LEADING, "").alias("text"))
     nexus = rows.where(F.col("text").rlike(r"(?i)^#NEXUS")).limit(1).count() > 0
     trees = rows.where(F.col("text").rlike(r"(?i)^u?tree[\s*]") if nexus else F.col("text").rlike(r"^(?:\[&[^\]]*\]\s*)*\("))
     labels: dict[str, str] = {}

@@ -55,10 +55,10 @@ def _split_ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def records(spark: SparkSession, path: str, end: str = ";") -> DataFrame:
-    """(file, record, text): the records of a file or folder, numbered from 0 in each file, without their end marks.
+    """(record, text): the records of a file or folder, with numbers that grow along it, without their end marks.
 
     A record ends at an ``end`` outside of '...' and [...]; what stands behind the last one is a record if it is not
-    blank. Quotes or comments that never end reach to the end of the file.
+    blank. Quotes or comments that never end reach to the end of the file. A folder's files follow each other by name.
     """
     text = pieces(spark, path, end)
     ends = text.select("file", "block", "text").mapInPandas(_split_ends, "file string, block long, start int, state int, n long")
@@ -69,7 +69,7 @@ def records(spark: SparkSession, path: str, end: str = ";") -> DataFrame:
     last, state, n = None, OUTSIDE, 0
     for file, block in sorted(ways):
         if file != last:
-            last, state, n = file, OUTSIDE, 0
+            last, state, n = file, OUTSIDE, n + (state != OUTSIDE)
         first[file, block] = (state, n)
         state, more = ways[file, block][state]
         n += more
@@ -80,12 +80,12 @@ def records(spark: SparkSession, path: str, end: str = ";") -> DataFrame:
             out = []
             for file, block, row, piece in zip(frame["file"], frame["block"], frame["row"], frame["text"], strict=True):
                 state, n = now.get((file, block)) or first[file, block]
-                out.append((file, n, block, row, piece))
+                out.append((n, block, row, piece))
                 state = after(piece, state)
                 now[file, block] = (state, n + (state == OUTSIDE))
-            yield pd.DataFrame(out, columns=["file", "record", "block", "row", "text"])
+            yield pd.DataFrame(out, columns=["record", "block", "row", "text"])
 
-    placed = text.mapInPandas(numbered, "file string, record long, block long, row long, text string")
+    placed = text.mapInPandas(numbered, "record long, block long, row long, text string")
     listed = F.array_sort(F.collect_list(F.struct("block", "row", "text")))
-    joined = placed.groupBy("file", "record").agg(F.array_join(F.transform(listed, lambda x: x["text"]), end).alias("text"))
+    joined = placed.groupBy("record").agg(F.array_join(F.transform(listed, lambda x: x["text"]), end).alias("text"))
     return joined.where(F.trim(F.translate("text", "\r\n\t", "   ")) != "")

@@ -1,20 +1,30 @@
 """Readers of the text formats: cell names, read counts, traces, sampled states, gene maps.
 
 All read with Spark's text or CSV source; nothing is parsed on the driver but section headings, of which a file has
-five.
+five. A path may be a file or a folder whose files follow each other by name.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 SECTIONS = ("numSamples", "numCandidateMutatedSites", "numBackgroundSites", "mutations", "background")
 
 
+HEADING = re.compile(r"^=(\w+)=\s*$")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(place, line): a file's lines with a value that grows along the file."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    """(place, line): the lines of a file, or of a folder's files by name, with a value that grows along them."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return spark.read.text(path).select(place.alias("place"), F.col("value").alias("line"))
 
 
@@ -32,22 +42,64 @@ def tumour_cell_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Section name to its lines (place, line); headings look like ``=mutations=``."""
-    rows = lines(spark, path)
-    heads = rows.where(F.col("line").rlike(r"^=\w+=\s*$")).orderBy("place").limit(len(SECTIONS) + 1).collect()
+    """Section name to its lines (place, line); headings look like ``=mutations=``.
+
+    The text is read once and parted by section into a table in the shared folder, so that a section is later one scan of
+    its own rows. A split's lines before its first heading belong to the last section that begins in a split before it.
+    """
+
+    def parted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: dict[tuple, str] = {}
+        for frame in frames:
+            out = []
+            for file, block, row, line in zip(frame["file"], frame["block"], frame["row"], frame["line"], strict=True):
+                if head := HEADING.match(line):
+                    now[file, block] = head[1]
+                    out.append((file, block, row, head[1], "heading"))
+                elif line.strip():
+                    name = now.get((file, block))
+                    out.append((file, block, row, line, f"of {name}" if name else "open"))
+            yield pd.DataFrame(out, columns=["file", "block", "row", "line", "part"])
+
+    kinds = "file string, block long, row long, line string, part string"
+    table = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lines(spark, path).select("place.*", "line").mapInPandas(parted, kinds).write.partitionBy("part").parquet(table)
+    rows = spark.read.schema(kinds).parquet(table)
+    heads = rows.where("part = 'heading'").orderBy("file", "block", "row").limit(len(SECTIONS) + 1).collect()
     if len(heads) > len(SECTIONS):
         raise ValueError(f"More than {len(SECTIONS)} sections in {path}")
-    found = {}
+    split = F.struct("file", "block")
+    at = lambda r: F.struct(F.lit(r.file).alias("file"), F.lit(r.block).cast("long").alias("block"))
+    found: dict[str, DataFrame] = {}
     for here, after in zip(heads, [*heads[1:], None], strict=True):
-        at = lambda r: F.struct(F.lit(r.place.block).cast("long").alias("block"), F.lit(r.place.row).cast("long").alias("row"))
-        own = F.col("place") > at(here)
-        name = here.line.strip().strip("=")
-        if name not in SECTIONS:
-            raise ValueError(f"Unknown section {name}")
-        found[name] = rows.where((own & (F.col("place") < at(after))) if after else own).where(F.trim("line") != "")
+        if here.line not in SECTIONS or here.line in found:
+            raise ValueError(f"Unknown or repeated section {here.line}")
+        later = split > at(here)
+        inherited = (F.col("part") == "open") & (later & (split <= at(after)) if after else later)
+        own = rows.where((F.col("part") == f"of {here.line}") | inherited)
+        found[here.line] = own.select(F.struct("file", "block", "row").alias("place"), "line")
     return found
 
 
+def read_counts(spark: SparkSession, path: str, names: list[str], supports: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(reads, background) of a sectioned file: ``cell_reads`` and ``background_rows``, with every declared number checked.
+
+    Samples and candidate sites must be as many as declared, and each background name must have a point for every
+    background site and sample. A section that isn't there declares nothing and has no rows.
+    """
+    parts = sections(spark, path)
+    none = spark.createDataFrame([], "place struct<file:string,block:bigint,row:bigint>, line string")
+    sites = site_rows(parts.get("mutations", none), supports)
+    sizes = sites.agg(F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("most"), F.coalesce(F.min(F.size("cells")), F.lit(0)).alias("least"), F.count(F.lit(1)).alias("n")).first()
+    if sizes.most != sizes.least:
+        raise ValueError(f"Sites have {sizes.least} to {sizes.most} cells")
+    check_numbers(parts, sizes.most, sizes.n)
+    background = background_rows(parts.get("background", none), names, supports)
+    if "numBackgroundSites" in parts:
+        check_background(background, number(parts["numBackgroundSites"]) * sizes.most)
+    return cell_reads(sites, supports), background
+
+
 def number(section: DataFrame) -> int:
     """The one integer of a section."""
     return int(section.select(F.trim("line").cast("long").alias("n")).first().n)
@@ -84,7 +136,10 @@ def cell_reads(sites: DataFrame, supports: bool = False) -> DataFrame:
     coverage is missing.
     """
     long = sites.select("chrom", "pos", "ref", "alts", F.posexplode("cells").alias("cell", "x"))
+    states = 2 if supports else 4
     t = F.split("x", "[,;]")
+    wrong = F.raise_error(F.concat(F.lit(f"Not {states} read states: "), F.col("x"))).cast("array<string>")
+    t = F.when(F.size(t) == (2 if supports else 7), t).otherwise(wrong)
     if supports:
         cov, reads, nucs = F.get(t, F.lit(0)).cast("int"), F.array(F.get(t, F.lit(1)).cast("int")), F.array(F.lit("N"))
     else:
@@ -96,7 +151,7 @@ def cell_reads(sites: DataFrame, supports: bool = False) -> DataFrame:
 def background_rows(section: DataFrame, names: list[str], supports: bool = False) -> DataFrame:
     """(name, n_reads, occurrences) from one line for each name, in order."""
     first = {r.place: n for r, n in zip(section.select("place").orderBy("place").limit(len(names)).collect(), names, strict=False)}
-    label = F.coalesce(*[F.when((F.col("place.block") == p.block) & (F.col("place.row") == p.row), F.lit(n)) for p, n in first.items()]) if first else F.lit(None).cast("string")
+    label = F.coalesce(*[F.when((F.col("place.file") == p.file) & (F.col("place.block") == p.block) & (F.col("place.row") == p.row), F.lit(n)) for p, n in first.items()]) if first else F.lit(None).cast("string")
     t = F.split(F.trim("line"), r"\t")
     if supports:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest((F.size(t) / 2).cast("int"), F.lit(1))), lambda i: F.concat_ws(",", F.get(t, 2 * i - 2), F.get(t, 2 * i - 1)))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from phyloquarry.sources import newick, records
+from phyloquarry.sources import newick, records, text
 
 NEXUS = """#NEXUS
 [a comment; with a mark]
@@ -61,6 +61,44 @@ def test_splits_cut_no_record(spark, tmp_path, size):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+FILE = ["=numSamples=", "2", "=numCandidateMutatedSites=", "{sites}", "=numBackgroundSites=", "{background}", "=mutations=", *[f"chr1\t{{i}}\tA\tC\tA,C,G;1,{{i}},0,9\tA,C,G;0,0,0,{{i}}".format(i=i) for i in range(40)], "", "=background=", "0,30\t1,50", "2,79\t9,1"]
+
+
+@pytest.mark.parametrize("size", [64, 300, 10**8])
+def test_sections_over_splits_and_files(spark, tmp_path, size):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = [x.format(sites=40, background=40) if x.startswith("{") else x for x in FILE]
+    path = put(tmp_path, "one.tsv", "\n".join(lines) + "\n")
+    (tmp_path / "many").mkdir()
+    for k in range(0, len(lines), 7):
+        put(tmp_path / "many", f"part-{k:05d}", "\n".join(lines[k : k + 7]) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        for where in (path, str(tmp_path / "many")):
+            assert {k: v.count() for k, v in text.sections(spark, where).items()} == {"numSamples": 1, "numCandidateMutatedSites": 1, "numBackgroundSites": 1, "mutations": 40, "background": 2}
+            reads, background = text.read_counts(spark, where, ["alt1", "coverage"])
+            assert sorted((r.pos, r.cell, r.cov) for r in reads.collect()) == sorted([(i, 0, 9) for i in range(40)] + [(i, 1, i) for i in range(40)])
+            assert sorted(tuple(r) for r in background.collect()) == [("alt1", 0, 30), ("alt1", 1, 50), ("coverage", 2, 79), ("coverage", 9, 1)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("change", "says"), [(("{sites}", "41"), "numCandidate"), (("{background}", "39"), "Background of"), (("2", "3"), "numSamples"), (("=background=", "=other="), "section"), (("=background=", "=mutations="), "section")])
+def test_declared_numbers_are_checked(spark, tmp_path, change, says):
+    lines = [change[1] if x == change[0] else x.format(sites=40, background=40) if x.startswith("{") else x for x in FILE]
+    with pytest.raises(ValueError, match=says):
+        text.read_counts(spark, put(tmp_path, "bad.tsv", "\n".join(lines)), ["alt1", "coverage"])
+
+
+def test_read_states(spark, tmp_path):
+    for cell, supports in (("A,C,G;1,2,3", False), ("A,C,G;1,2,3,4,5", False)):
+        path = put(tmp_path, f"s{len(cell)}.tsv", f"=mutations=\nchr1\t5\tA\tC\t{cell}\n")
+        with pytest.raises(Exception, match="read states"):
+            text.read_counts(spark, path, [], supports)[0].collect()
+
+
 def test_states():
     assert [records.after(t, s) for t, s in (("a'b", 0), ("a'b'", 0), ("it''s'", 1), ("[x'", 0), ("'] y", 2), ("", 2), ("'[", 0), ("]", 0))] == [1, 0, 0, 2, 0, 2, 1, 0]
 
