@@ -73,12 +73,18 @@ def cell_fields(cells: DataFrame) -> DataFrame:
     return staged.select("site", "cell", "alts", "gt", "cov", F.concat_ws(":", *[x.cast("string") for x in text]).alias("fields"))
 
 
+def _sums(fields: DataFrame) -> DataFrame:
+    """(site, alts, cells, an, dp, ac, af) from ``cell_fields``, in one aggregate: ``cells`` are the sorted fields."""
+    listed = F.array_sort(F.collect_list(F.struct("cell", "fields", "gt")))
+    each = fields.groupBy("site").agg(F.first("alts").alias("alts"), listed.alias("cells"), F.sum("cov").alias("dp"))
+    each = each.withColumn("g", F.flatten(F.transform("cells", lambda x: F.split(x["gt"], "/"))))
+    counted = each.withColumn("ac", F.transform("alts", lambda x, i: F.size(F.filter("g", lambda y: y == (i + 1).cast("string"))))).withColumn("an", F.size("g"))
+    return counted.select("site", "alts", F.transform("cells", lambda x: x["fields"]).alias("cells"), F.col("an").cast("long").alias("an"), "dp", "ac", F.transform("ac", lambda x: x / F.col("an")).alias("af"))
+
+
 def record_totals(fields: DataFrame) -> DataFrame:
     """(site, alts, ac, an, dp, af) from ``cell_fields``: ac and af hold a number for each alternative."""
-    alleles = fields.select("site", "alts", "cov", F.split("gt", "/").alias("g"))
-    sums = alleles.groupBy("site", "alts").agg(F.flatten(F.collect_list("g")).alias("g"), F.sum(F.size("g")).alias("an"), F.sum("cov").alias("dp"))
-    counted = sums.withColumn("ac", F.transform("alts", lambda x, i: F.size(F.filter("g", lambda y: y == (i + 1).cast("string")))))
-    return counted.select("site", "alts", "ac", "an", "dp", F.transform("ac", lambda x: x / F.col("an")).alias("af"))
+    return _sums(fields).select("site", "alts", "ac", "an", "dp", "af")
 
 
 def records(cells: DataFrame, sites: DataFrame) -> DataFrame:
@@ -87,13 +93,11 @@ def records(cells: DataFrame, sites: DataFrame) -> DataFrame:
     ``sites`` has site, chrom, pos, ref and, if it is known, ``constant``, the log likelihood of no change, from which
     the quality is taken.
     """
-    fields = cell_fields(cells)
-    in_order = F.array_sort(F.collect_list(F.struct("cell", "fields")))
-    lines = fields.groupBy("site").agg(F.array_join(F.transform(in_order, lambda x: x["fields"]), "\t").alias("cells")).join(record_totals(fields), "site").join(sites, "site")
+    lines = _sums(cell_fields(cells)).join(sites, "site")
     listed = lambda c, form: F.array_join(F.transform(c, lambda x: F.format_string(form, x)), ",")
     info = F.concat(F.lit("AC="), listed("ac", "%d"), F.lit(";AF="), listed("af", "%.3f"), F.format_string(";AN=%d;DP=%d", "an", "dp"))
     quality = phred(F.col("constant"), rounded=True).cast("string") if "constant" in sites.columns else F.lit(".")
-    fixed = ["chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), quality, F.lit("PASS"), info, F.lit(FIELDS), "cells"]
+    fixed = ["chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), quality, F.lit("PASS"), info, F.lit(FIELDS), F.array_join("cells", "\t")]
     return lines.select("chrom", "pos", F.concat_ws("\t", *fixed).alias("record"))
 
 

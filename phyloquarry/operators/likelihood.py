@@ -150,8 +150,8 @@ def sum_product(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray]) -> n
     return all_partials(leaves, tree, matrices)[tree.root]
 
 
-def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0) -> Iterator[tuple[float, Iterator[tuple[int, ...]]]]:
-    """For each pattern the best log likelihood and, one at a time, all assignments of genotypes to nodes that reach it."""
+def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0, slack: float = 1e-12) -> Iterator[tuple[float, Iterator[tuple[int, ...]]]]:
+    """For each pattern the best log likelihood and, one at a time, all assignments of genotypes to nodes that reach it to ``slack``."""
     with np.errstate(divide="ignore"):
         log_p = [np.log(m) for m in matrices]
     best = {i: leaves[i] for i in range(tree.n_tips)}
@@ -161,7 +161,7 @@ def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray],
         for c in tree.children(node):
             both = best[c][:, None, :] + log_p[c][None]
             top = both.max(2)
-            ties[c] = both >= top[..., None] - 1e-12
+            ties[c] = both >= top[..., None] - slack
             total = total + top
         best[node] = total
     down, todo = [], [tree.root]

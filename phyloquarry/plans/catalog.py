@@ -510,7 +510,8 @@ def f10_mixture_likelihoods(r):
     return _leaf_likelihoods(r).select("site", "cell", *[F.round(F.col("lik")[i], 3).alias(f"g{i}") for i in range(4)])
 
 
-def _leaf_likelihoods(r):
+def _leaf_components(r):
+    """(site, cell, lik, parts): genotype log likelihoods, and the components of each by dropout state."""
     counts = [F.col(c).cast("double") for c in ("r1", "r2", "r3", "ref_reads")]
     cov = F.col("cov").cast("double")
     nuc = distributions.nucleotide_log_likelihoods(counts, cov, 0.01, 100.0, 2.0)
@@ -520,7 +521,12 @@ def _leaf_likelihoods(r):
         depth[k] = distributions.negative_binomial(cov, p, size)
     staged = r.select("site", "cell", *[c.alias(f"d{n}") for n, c in nuc.items()], *[c.alias(f"c{k}") for k, c in depth.items()])
     mixed = distributions.mixture({n: F.col(f"d{n}") for n in nuc}, {k: F.col(f"c{k}") for k in depth}, 0.1)
-    return staged.select("site", "cell", F.array(*[special.log_sum_exp(F.array(*parts)) for parts in mixed.values()]).alias("lik"))
+    parts = staged.select("site", "cell", F.array(*[F.array(*x) for x in mixed.values()]).alias("parts"))
+    return parts.withColumn("lik", F.transform("parts", special.log_sum_exp))
+
+
+def _leaf_likelihoods(r):
+    return _leaf_components(r).select("site", "cell", "lik")
 
 
 def cell_tree(n: int) -> likelihood.Tree:

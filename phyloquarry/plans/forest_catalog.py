@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forest, likelihood, reads
-from .catalog import LEAF_SQL, _leaf_likelihoods, query
+from ..operators import calling, calls, consensus, forest, likelihood, reads
+from .catalog import LEAF_SQL, _leaf_components, _leaf_likelihoods, query
 
 #: Rate categories: rates and shares.
 RATES, SHARES = [0.5, 1.5], [0.4, 0.6]
@@ -102,3 +102,90 @@ def m12_calling_log_likelihood(nodes, r):
 def m14_best_categories(nodes, r):
     _, roots = _roots(nodes, r)
     return forest.best_categories(roots, SHARES)
+
+
+def peak_sql(name: str, below: str, prefix: str) -> str:
+    """One level of the best assignment: the largest message of each node, added over children."""
+    return f"""{name} AS MATERIALIZED (SELECT category, pattern, parent AS node, g AS h, sum(m) AS x FROM (
+      SELECT category, pattern, node, parent, g, max(lp + x) AS m FROM {below} JOIN step USING (category, node, h) WHERE tree = 0 AND starts_with(parent, '{prefix}') GROUP BY category, pattern, node, parent, g)
+      GROUP BY category, pattern, parent, g)"""
+
+
+def tied_sql() -> str:
+    """The best states of each node given its parent's, from the values of the levels."""
+    levels = " UNION ALL ".join(f"SELECT category, pattern, node, h, x FROM {v}" for v in ("p0", "p1", "p2", "p3"))
+    return f"""tied AS MATERIALIZED (SELECT pattern, category, c.i, p.i AS above, g, h FROM (SELECT *, max(lp + x) OVER (PARTITION BY category, pattern, node, g) AS most
+      FROM ({levels}) v JOIN step USING (category, node, h) WHERE tree = 0) s JOIN places c USING (node) JOIN places p ON p.node = s.parent WHERE lp + x >= most - 1e-9)"""
+
+
+#: The calls of tree 0: best categories, every most likely assignment from the root down, the ones of the largest score, and
+#: each cell's likelihoods given its parent's genotype.
+CALL_SQL = ",\n    ".join(
+    [
+        LIKELIHOOD_SQL,
+        "top AS MATERIALIZED (SELECT pattern, category, y FROM l4 JOIN cat USING (category) WHERE tree = 0 AND h = 0 QUALIFY rank() OVER (PARTITION BY pattern ORDER BY round(ln(share) + x, 9) DESC) = 1)",
+        "p0 AS MATERIALIZED (SELECT category, pattern, node, h, x FROM l0 JOIN top USING (category, pattern) WHERE tree = 0)",
+        peak_sql("p1", "p0", "g"),
+        peak_sql("p2", "p1", "m"),
+        peak_sql("p3", "p2", "trunk"),
+        "places AS MATERIALIZED (SELECT node, parent, row_number() OVER (ORDER BY height DESC, node) AS i FROM cell_nodes WHERE tree = 0)",
+        tied_sql(),
+        """walk(pattern, category, i, states) AS (SELECT pattern, category, 1, [0] FROM top
+      UNION ALL SELECT w.pattern, w.category, w.i + 1, list_append(states, h) FROM walk w JOIN tied t ON t.pattern = w.pattern AND t.category = w.category AND t.i = w.i + 1 AND t.g = w.states[t.above])""",
+        "whole AS MATERIALIZED (SELECT pattern, category, states FROM walk WHERE i = (SELECT max(i) FROM places))",
+        """sums AS MATERIALIZED (SELECT category, pattern, node, h, x FROM (SELECT * FROM l0 UNION ALL SELECT tree, category, pattern, node, h, x, y FROM l1 UNION ALL SELECT tree, category, pattern, node, h, x, y FROM l2
+      UNION ALL SELECT tree, category, pattern, node, h, x, y FROM l3 UNION ALL SELECT tree, category, pattern, node, h, x, y FROM l4) WHERE tree = 0)""",
+        """scored AS (SELECT pattern, category, states, max(x) + ln(sum(exp(x - mx))) AS score FROM (SELECT w.*, x, max(x) OVER (PARTITION BY w.pattern, w.category, w.states) AS mx
+      FROM (SELECT *, unnest(range(1, len(states) + 1)) AS i FROM whole) w JOIN places USING (i) JOIN sums s ON s.category = w.category AND s.pattern = w.pattern AND s.node = places.node AND s.h = w.states[w.i]) GROUP BY pattern, category, states)""",
+        "chosen AS MATERIALIZED (SELECT pattern, category, states, row_number() OVER (PARTITION BY pattern ORDER BY category, states) AS option FROM (SELECT *, max(score) OVER (PARTITION BY pattern) AS most FROM scored) WHERE score >= most - 1e-9)",
+        "d0 AS MATERIALIZED (SELECT pattern, category, option, c.node, states[c.i] AS h, states[p.i] AS g FROM chosen, places c JOIN places p ON p.node = c.parent WHERE starts_with(c.node, 'c'))",
+        "site_of AS (SELECT site, min(site) OVER (PARTITION BY columns) AS pattern FROM columns_of)",
+        f"""told AS MATERIALIZED (SELECT s.site, option, r.cell, d0.h AS genotype, list_transform(range(4), lambda i: leaf.lik[i + 1] + lps[i + 1]) AS liks, parts.x[d0.h + 1] AS ado_liks, y AS constant, r.r1, r.r2, r.ref_reads, r.cov
+      FROM site_of s JOIN d0 USING (pattern) JOIN top USING (pattern, category) JOIN reads r ON r.site = s.site AND concat('c', r.cell::VARCHAR) = d0.node JOIN leaf ON leaf.site = r.site AND leaf.cell = r.cell
+      JOIN parts ON parts.site = r.site AND parts.cell = r.cell JOIN (SELECT tree, category, node, g, list(lp ORDER BY h) AS lps FROM step GROUP BY tree, category, node, g) st ON st.tree = 0 AND st.category = d0.category AND st.node = d0.node AND st.g = d0.g)""",
+    ]
+)
+
+
+def _called(nodes, r):
+    """Calls of tree 0 for all sites: (cells, per cell) of ``calling.called_cells``, with the cells' components."""
+    cells = sorted(x.cell for x in r.select("cell").distinct().collect())  # one a cell
+    own = consensus.with_lengths(nodes.where("tree = 0")).select("node", "parent", "length").collect()  # the nodes of one tree
+    tree = calling.tree_of([tuple(x) for x in own], [f"c{c}" for c in cells])
+    matrices = [[likelihood.transition(Q4, rate * t) for t in tree.length] for rate in RATES]
+    columns = reads.site_patterns(r, ["r1", "r2", "r3", "ref_reads"])
+    firsts = columns.groupBy("pattern").agg(F.min("site").alias("first"))
+    site_of = columns.join(firsts, "pattern").select("site", F.col("first").alias("pattern"))
+    places = r.sparkSession.createDataFrame(list(zip(cells, range(len(cells)), strict=True)), "cell long, place int")
+    leaves = _leaf_components(r).join(F.broadcast(places), "cell")  # one row a cell of the tree
+    partials = leaves.join(site_of.where("site = pattern"), "site").select("pattern", F.col("place").alias("cell"), "lik")
+    return calling.called_cells(calling.called(partials, tree, matrices, SHARES), site_of, leaves)
+
+
+@query("cell_nodes reads", f"{CALL_SQL} SELECT site, cell, genotype, round(liks[1], 4) AS l0, round(liks[2], 4) AS l1, round(liks[3], 4) AS l2, round(liks[4], 4) AS l3, CASE WHEN ado_liks[2] > ado_liks[1] THEN 1 ELSE 0 END AS ado, round(constant, 4) AS constant FROM told")
+def t10_called_cells(nodes, r):
+    found = _called(nodes, r)
+    return found.select("site", "cell", "genotype", *[F.round(F.get("liks", F.lit(i)), 4).alias(f"l{i}") for i in range(4)], "ado", F.round("constant", 4).alias("constant"))
+
+
+PHRED = "floor(-10 / ln(10) * x + 0.5)::BIGINT"
+
+
+@query("cell_nodes sites reads", f"""{CALL_SQL}, ph AS (SELECT told.*, alt, list_transform(liks, lambda x: {PHRED}) AS q, list_transform(ado_liks, lambda x: {PHRED}) AS a FROM told JOIN sites USING (site)),
+    tot AS (SELECT site, option, max(CASE WHEN genotype = 3 THEN 1 ELSE 0 END) AS two, sum(CASE genotype WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END)::BIGINT AS a1, sum(CASE genotype WHEN 3 THEN 1 ELSE 0 END)::BIGINT AS a2, 2 * count(*) AS an, sum(cov)::BIGINT AS dp FROM told GROUP BY site, option),
+    f AS (SELECT site, option, cell, constant, concat_ws(':', CASE genotype WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE '1/2' END, concat_ws(',', ref_reads, r1, CASE WHEN two = 1 THEN r2 END), cov,
+      least(list_sort(list_transform(q, lambda x: x - list_min(q)))[2], 99), array_to_string(list_transform(q, lambda x: x - list_min(q)), ','), CASE WHEN ado_liks[2] > ado_liks[1] THEN 1 ELSE 0 END,
+      least(list_sort(list_transform(a, lambda x: x - list_min(a)))[2], 99), array_to_string(list_transform(a, lambda x: x - list_min(a)), ',')) AS fields FROM ph JOIN tot USING (site, option)),
+    lines AS (SELECT site, option, max(constant) AS x, string_agg(fields, chr(9) ORDER BY cell) AS cells FROM f GROUP BY site, option)
+    SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, CASE WHEN two = 1 THEN alt || ',' || substr('GTAC', CAST(site % 4 AS INT) + 1, 1) ELSE alt END, {PHRED}, 'PASS', 'AC=' || CASE WHEN two = 1 THEN concat_ws(',', a1, a2) ELSE a1::VARCHAR END ||
+      ';AF=' || CASE WHEN two = 1 THEN printf('%.3f,%.3f', a1 / an + 1e-9, a2 / an + 1e-9) ELSE printf('%.3f', a1 / an + 1e-9) END || ';AN=' || an || ';DP=' || dp, 'GT:AD:DP:GQ:PL:ADO:ADOQ:ADOP', cells) AS record
+    FROM lines JOIN tot USING (site, option) JOIN sites USING (site)""")
+def k05_called_records(nodes, sites, r):
+    """VCF lines of a likelihood run, from reads and a tree: a line for each of a site's calls."""
+    found = _called(nodes, r)
+    key = F.struct("site", "option").alias("site")
+    third = F.substr(F.lit("GTAC"), (F.col("site") % 4 + 1).cast("int"), F.lit(1))
+    named = found.drop("constant").join(F.broadcast(calls.genotype_table(r.sparkSession)), "genotype").join(r, ["site", "cell"]).join(sites.select("site", F.array("alt").alias("alts"), F.array("alt", third).alias("nucs")), "site")
+    cells = named.select(key, "cell", "alts", "alphabet", "nucs", F.array("r1", "r2").alias("reads"), "ref_reads", "cov", "liks", "ado_liks", "ado")
+    lines = found.groupBy("site", "option").agg(F.first("constant").alias("constant")).join(sites, "site")
+    return calls.records(cells, lines.select(key, "chrom", "pos", "ref", "constant"))
