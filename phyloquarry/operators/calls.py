@@ -112,6 +112,33 @@ def allele_index(cells: DataFrame) -> DataFrame:
     return placed.select("site", "nuc", F.row_number().over(Window.partitionBy("site").orderBy("turn", "at", "nuc")).alias("allele"))
 
 
+def adapted_genotypes(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(genotypes, alternatives): genotypes in the site's alleles, and the alternatives in order with their counts.
+
+    ``cells`` has site, cell, ``alts`` (the site's alternatives), ``alphabet`` (two alleles of 0, 1, 2 parted by /) and
+    ``nucs``, the cell's alternative nucleotides by falling reads. 1 stands for the first and 2 for the second of
+    them. Taken cell by cell and allele by allele, a nucleotide that isn't among the site's alternatives joins them at the
+    end; so an alternative's number follows from where it is first seen, and no site's cells need to meet. A missing nucleotide (or N)
+    is 1 and counts for none. Genotypes are (site, cell, genotype), alternatives (site, nuc, allele, n, n_cells).
+    """
+    letters = F.posexplode(F.split("alphabet", "/")).alias("k", "letter")
+    each = cells.select("site", "cell", "nucs", letters)
+    place = F.when(F.col("letter") == "1", 0).when(F.col("letter") == "2", 1)
+    bad = F.raise_error(F.concat(F.lit("Not an allele: "), F.col("letter"))).cast("string")
+    nuc = F.when(F.col("letter") == "0", F.lit("0")).when(place.isNotNull(), F.upper(F.coalesce(F.get("nucs", place), F.lit("N")))).otherwise(bad)
+    alleles = each.select("site", "cell", "k", nuc.alias("nuc"))
+    own = cells.select("site", F.posexplode("alts").alias("at", "nuc")).groupBy("site", F.upper("nuc").alias("nuc")).agg(F.min("at").alias("at"))
+    seen = alleles.where("nuc NOT IN ('0', 'N')").groupBy("site", "nuc").agg(F.min(F.struct("cell", "k")).alias("first"), F.count(F.lit(1)).alias("n"), F.count_distinct("cell").alias("n_cells"))
+    met = own.join(seen, ["site", "nuc"], "full")
+    order = Window.partitionBy("site").orderBy(F.col("at").asc_nulls_last(), "first")  # a row for each nucleotide
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    alternatives = met.select("site", "nuc", F.row_number().over(order).alias("allele"), zero("n"), zero("n_cells"))
+    shown = alleles.join(alternatives.select("site", "nuc", "allele"), ["site", "nuc"], "left")
+    digit = F.when(F.col("nuc") == "0", "0").otherwise(F.coalesce(F.col("allele").cast("string"), F.lit("1")))
+    pair = [F.max(F.when(F.col("k") == k, digit)) for k in (0, 1)]
+    return shown.groupBy("site", "cell").agg(F.concat_ws("/", *pair).alias("genotype")), alternatives
+
+
 def allele_counts(cells: DataFrame) -> DataFrame:
     """(site, nuc, n_reads, n_cells) for each alternative with reads."""
     return cells.where("reads > 0").groupBy("site", "nuc").agg(F.sum("reads").alias("n_reads"), F.count_distinct("cell").alias("n_cells"))

@@ -42,6 +42,68 @@ def branch_events(nodes: DataFrame, genotypes: DataFrame, events: DataFrame) ->
     return both.join(F.broadcast(events), ["parent_gt", "child_gt"]).select("site", "node", "parent", "event")  # 12 events
 
 
+def pair_events(parent: str, child: str) -> str:
+    """The events that turn a genotype into another, as sorted codes joined by commas; empty if there are none.
+
+    Alleles are 0 and 1, anything else counts as a missing one; chromosomes are parted by / and hold one allele or, with
+    insertions, more. Without insertions all alleles are compared at once, with them chromosome by chromosome: crosswise
+    where only the first allele of the one with insertions is like the second chromosome of the other. Alleles that both have cancel;
+    what is left is paired in order: 0 to 1 is a mutation (SM), 1 to 0 a back mutation (SB), an allele without partner is
+    lost (D) or gained (I). A chromosome that grows to unlike alleles has also mutated from the one it begins with. A missing allele
+    that comes back is an error.
+    """
+    if parent == child:
+        return ""
+    old, new = parent.split("/"), child.split("/")
+    grown, grows = len(parent) > 3, len(child) > 3
+    if grown != grows:
+        more, less = (old, new) if grown else (new, old)
+        if more[0][0] != less[0][0] and more[0][0] == less[1][0]:
+            new = new[::-1]
+    elif not grown:
+        old, new = ["".join(old)], ["".join(new)]
+    codes = []
+    for a, b in zip(old, new, strict=True):
+        gone, come = [], list(b)
+        for x in a:
+            if x in come:
+                come.remove(x)
+            elif not x.isdigit():
+                raise ValueError(f"Not a possible transition: {parent} -> {child}")
+            else:
+                gone.append(x)
+        if len(a) < len(b) and b[0] != b[1]:
+            first = ("0", "1") if a[0] == b[0] else ("1", "0")
+            gone, come = [first[0], *gone], [first[1], *come]
+        for i in range(max(len(gone), len(come))):
+            x, y = (v[i] if i < len(v) and v[i] in "01" else "?" for v in (gone, come))
+            if x != y:
+                codes.append({"01": "SM", "10": "SB"}.get(x + y) or ("D" if y == "?" else "I"))
+    return ",".join(sorted(codes))
+
+
+def branch_pairs(nodes: DataFrame, genotypes: DataFrame) -> DataFrame:
+    """(site, node, parent, parent_gt, child_gt) of each branch at whose ends the genotypes differ."""
+    child = genotypes.select("site", "node", F.col("genotype").alias("child_gt"))
+    parent = genotypes.select("site", F.col("node").alias("parent"), F.col("genotype").alias("parent_gt"))
+    edges = nodes.where("parent IS NOT NULL").select("node", "parent")
+    return child.join(edges, "node").join(parent, ["site", "parent"]).where("parent_gt <> child_gt").select("site", "node", "parent", "parent_gt", "child_gt")
+
+
+def difference_events(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``events``, by ``pair_events`` of each distinct pair of genotypes that occurs.
+
+    There are as many such pairs as genotypes squared; the table of them is joined back.
+    """
+
+    def told(frames):
+        for frame in frames:
+            yield frame.assign(events=[pair_events(p, c) for p, c in zip(frame["parent_gt"], frame["child_gt"], strict=True)])
+
+    distinct = pairs.select("parent_gt", "child_gt").distinct()
+    return pairs.join(distinct.mapInPandas(told, "parent_gt string, child_gt string, events string"), ["parent_gt", "child_gt"])
+
+
 def event_table(spark) -> DataFrame:
     return spark.createDataFrame(EVENTS, "parent_gt string, child_gt string, event string")
 

@@ -180,6 +180,27 @@ def background_totals(background: DataFrame, n_cells: int) -> DataFrame:
     return background.groupBy("name").agg(F.sum("occurrences").alias("n_points")).withColumn("n_sites", F.when(F.col("n_points") % n_cells == 0, F.expr(f"n_points div {n_cells}")))
 
 
+def array_key(counts: Column) -> Column:
+    """A binary key that orders arrays of whole numbers as the arrays are ordered, number by number, the shorter first."""
+    flipped = F.transform(counts, lambda x: F.lpad(F.hex(x.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.unhex(F.array_join(flipped, ""))
+
+
+def count_vectors(reads: DataFrame, values: list[str]) -> DataFrame:
+    """(site, counts): each site's counts in cell order, as one array. Sites with unlike numbers of cells are an error."""
+    cells = F.array_sort(F.collect_list(F.struct("cell", F.array(*[F.col(v).cast("long") for v in values]).alias("x"))))
+    found = reads.groupBy("site").agg(F.flatten(F.transform(cells, lambda c: c["x"])).alias("counts"))
+    sizes = found.agg(F.min(F.size("counts")).alias("least"), F.max(F.size("counts")).alias("most")).first()
+    if sizes.least != sizes.most:
+        raise ValueError(f"Arrays of {sizes.least} to {sizes.most} numbers have no order")
+    return found
+
+
+def vector_ids(vectors: DataFrame) -> DataFrame:
+    """(site, pattern_id): 1, 2, ... over the distinct vectors of (site, counts) in their numeric order."""
+    return pattern_ids(vectors.select("site", array_key(F.col("counts")).alias("pattern")))
+
+
 def pattern_ids(patterns: DataFrame) -> DataFrame:
     """(site, pattern_id): 1, 2, ... over the distinct patterns of (site, pattern) in their order.
 

@@ -129,6 +129,11 @@ def j02_cell_permutation(cells):
     return summaries.ranked(named.withColumn("_one", F.lit(1)), ["_one"], ["name"], "ix").select("cell", F.col("ix").cast("long"))
 
 
+@query("reads", "WITH v AS (SELECT site, flatten(list([r1, r2, r3, cov] ORDER BY cell)) AS counts FROM reads GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY counts) AS pattern_id FROM v")
+def o11_array_order(r):
+    return reads.vector_ids(reads.count_vectors(r, ["r1", "r2", "r3", "cov"]))
+
+
 @query("pattern_reads", "WITH p AS (SELECT site, string_agg(CAST(cov AS VARCHAR), ';' ORDER BY cell) AS pattern FROM pattern_reads GROUP BY site), w AS (SELECT pattern, count(*) AS weight FROM p GROUP BY pattern) SELECT site, pattern, weight FROM p JOIN w USING (pattern)")
 def j03_site_patterns(p):
     return reads.site_patterns(p, ["cov"]).join(reads.patterns(p, ["cov"]), "pattern").select("site", "pattern", "weight")
@@ -187,11 +192,21 @@ def j06_site_map(r):
 # Aggregations
 
 
+@query("reads", "WITH v AS (SELECT site, flatten(list([r1, r2, r3, cov] ORDER BY cell)) AS counts FROM reads GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY counts) AS pattern_id FROM v")
+def o11_array_order(r):
+    return reads.vector_ids(reads.count_vectors(r, ["r1", "r2", "r3", "cov"]))
+
+
 @query("pattern_reads", "WITH p AS (SELECT site, string_agg(CAST(cov AS VARCHAR), ';' ORDER BY cell) AS pattern FROM pattern_reads GROUP BY site) SELECT pattern, count(*) AS weight FROM p GROUP BY pattern")
 def a01_site_patterns(p):
     return reads.patterns(p, ["cov"])
 
 
+@query("reads", "WITH v AS (SELECT site, flatten(list([r1, r2, r3, cov] ORDER BY cell)) AS counts FROM reads GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY counts) AS pattern_id FROM v")
+def o11_array_order(r):
+    return reads.vector_ids(reads.count_vectors(r, ["r1", "r2", "r3", "cov"]))
+
+
 @query("pattern_reads", "WITH p AS (SELECT site, string_agg(CAST(cov AS VARCHAR), ';' ORDER BY cell) AS pattern FROM pattern_reads WHERE site % 3 = 0 GROUP BY site) SELECT pattern, count(*) AS weight FROM p GROUP BY pattern")
 def a02_filtered_patterns(p):
     return reads.patterns(p.where("site % 3 = 0"), ["cov"])
@@ -607,6 +622,11 @@ def o10_sample_order(gt):
     return summaries.ranked(gt, ["site", "cell"], ["sample", "genotype", "ado"], "place").select("sample", F.col("place").cast("long").alias("place"))
 
 
+@query("reads", "WITH v AS (SELECT site, flatten(list([r1, r2, r3, cov] ORDER BY cell)) AS counts FROM reads GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY counts) AS pattern_id FROM v")
+def o11_array_order(r):
+    return reads.vector_ids(reads.count_vectors(r, ["r1", "r2", "r3", "cov"]))
+
+
 @query("pattern_reads", "WITH p AS (SELECT site, string_agg(CAST(cov AS VARCHAR), ';' ORDER BY cell) AS pattern FROM pattern_reads GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY pattern) AS pattern_id FROM p")
 def w03_pattern_ids(p):
     return reads.pattern_ids(reads.site_patterns(p, ["cov"]))
@@ -639,9 +659,11 @@ def u08_without_target(nodes):
 # Scalars
 
 
-@query("node_gt", f"SELECT DISTINCT p, c, event FROM ({EVENT_SQL})")
-def f16_event_table(gt):
-    return genes.event_table(gt.sparkSession).select(F.col("parent_gt").alias("p"), F.col("child_gt").alias("c"), "event")
+@query("nodes node_gt", f"SELECT p, c, event, count(*) AS n FROM node_gt k JOIN nodes n ON n.tree = 0 AND n.node = k.node JOIN node_gt u ON u.site = k.site AND u.node = n.parent JOIN ({EVENT_SQL}) e ON e.p = u.genotype AND e.c = k.genotype GROUP BY p, c, event")
+def f16_event_table(nodes, gt):
+    """How often each change of genotype occurs on the branches, with its event."""
+    pairs = genes.branch_pairs(nodes.where("tree = 0"), gt).groupBy("parent_gt", "child_gt").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(F.broadcast(genes.event_table(gt.sparkSession)), ["parent_gt", "child_gt"]).select(F.col("parent_gt").alias("p"), F.col("child_gt").alias("c"), "event", "n")  # 12 events
 
 
 @query("genes", "SELECT gene, replace(replace(concat('\"', gene, ';', 'x\"'), '\"', ''), ';', '/') AS clean FROM genes")

@@ -115,13 +115,48 @@ def a47_clock_scale(nodes):
     return _clock(nodes).groupBy("tree").agg(r6(F.max(F.col("rate") / F.col("unscaled"))).alias("scale"))
 
 
-GENOTYPE_PAIRS = [(a, b) for a in ("0/0", "0/1", "1/1", "0/-", "1/-") for b in ("0/0", "0/1", "1/1", "0/-", "1/-") if a != b]
+#: Genotypes with insertions at inner nodes and deletions at tips, from those of the tree.
+COPY_SQL = "CASE WHEN genotype = '1/2' AND site % 3 = 0 AND node NOT LIKE 's%' THEN '0/01' WHEN genotype = '1/2' AND site % 3 = 1 AND node NOT LIKE 's%' THEN '01/1' WHEN genotype = '1/2' THEN '1/1' WHEN genotype = '1/1' AND site % 2 = 0 AND node LIKE 's%' THEN '1/-' ELSE genotype END"
+#: All transitions between those genotypes, worked out by hand.
+DIFFERENCES = {
+    ("0/0", "0/1"): "SM", ("0/0", "1/1"): "SM,SM", ("0/0", "0/01"): "I,SM", ("0/0", "01/1"): "I,SM,SM", ("0/0", "1/-"): "D,SM",
+    ("0/1", "0/0"): "SB", ("0/1", "1/1"): "SM", ("0/1", "0/01"): "I,SB", ("0/1", "01/1"): "I,SM", ("0/1", "1/-"): "D",
+    ("1/1", "0/0"): "SB,SB", ("1/1", "0/1"): "SB", ("1/1", "0/01"): "I,SB,SB", ("1/1", "01/1"): "I,SB", ("1/1", "1/-"): "D",
+    ("0/01", "0/0"): "D", ("0/01", "0/1"): "D", ("0/01", "1/1"): "D,SM", ("0/01", "01/1"): "D,I,SM", ("0/01", "1/-"): "D,D,SM",
+    ("01/1", "0/0"): "D,SB", ("01/1", "0/1"): "D", ("01/1", "1/1"): "D", ("01/1", "0/01"): "D,I,SB", ("01/1", "1/-"): "D,D",
+}
 
 
-@query("reads")
-def f17_events_by_difference(r):
-    pairs = r.sparkSession.createDataFrame([(a, b) for a, b in GENOTYPE_PAIRS], "parent string, child string")
-    return pairs.select("parent", "child", messages.events_between(F.replace("parent", F.lit("-"), F.lit("")), F.replace("child", F.lit("-"), F.lit(""))).alias("events"))
+@query("nodes node_gt", f"WITH g AS (SELECT site, node, {COPY_SQL} AS gt FROM node_gt), e(p, c, events) AS (VALUES {', '.join(f'({p!r}, {c!r}, {e!r})' for (p, c), e in DIFFERENCES.items())}) SELECT k.site, k.node, events FROM g k JOIN nodes n ON n.tree = 0 AND n.node = k.node JOIN g u ON u.site = k.site AND u.node = n.parent LEFT JOIN e ON p = u.gt AND c = k.gt WHERE u.gt <> k.gt")
+def f17_events_by_difference(nodes, gt):
+    copies = gt.select("site", "node", F.expr(COPY_SQL).alias("genotype"))
+    return genes.difference_events(genes.branch_pairs(nodes.where("tree = 0"), copies)).select("site", "node", "events")
+
+
+ADAPT_SQL = """c AS (SELECT site, cell, alt, CASE genotype WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' ELSE CASE WHEN cell % 5 = 0 THEN '1/2' ELSE '1/1' END END AS g,
+    list_transform(list_reverse_sort(list_filter([{'n': r1, 'o': 3, 'x': 'A'}, {'n': r2, 'o': 2, 'x': 'C'}, {'n': r3, 'o': 1, 'x': 'G'}], lambda z: z.n > 0)), lambda z: z.x) AS nucs FROM calls JOIN sites USING (site) JOIN reads USING (site, cell)),
+  a AS (SELECT site, cell, k, alt, CASE substr(g, 2 * k + 1, 1) WHEN '0' THEN '0' WHEN '1' THEN coalesce(nucs[1], 'N') ELSE coalesce(nucs[2], 'N') END AS nuc, row_number() OVER (PARTITION BY site ORDER BY cell, k) AS i FROM c, (VALUES (0), (1)) v(k)),
+  f(site, i, alts, cell, k, digit) AS (SELECT DISTINCT site, 0, [alt], NULL::BIGINT, NULL::INT, NULL::BIGINT FROM a
+    UNION ALL SELECT f.site, f.i + 1, CASE WHEN nuc IN ('0', 'N') OR list_contains(alts, nuc) THEN alts ELSE list_append(alts, nuc) END, a.cell, a.k::INT,
+      CASE nuc WHEN '0' THEN 0 WHEN 'N' THEN 1 ELSE coalesce(list_position(alts, nuc), len(alts) + 1) END FROM f JOIN a ON a.site = f.site AND a.i = f.i + 1)"""
+
+
+def _adapted(sites, c, r):
+    told = F.when(F.col("genotype") == 0, "0/0").when(F.col("genotype") == 1, "0/1").when(F.col("cell") % 5 == 0, "1/2").otherwise("1/1")
+    counts = F.array(*[F.struct(F.col(x).alias("n"), F.lit(o).alias("o"), F.lit(y).alias("x")) for x, o, y in (("r1", 3, "A"), ("r2", 2, "C"), ("r3", 1, "G"))])
+    nucs = F.transform(F.sort_array(F.filter(counts, lambda z: z["n"] > 0), asc=False), lambda z: z["x"])
+    met = c.select("site", "cell", "genotype").join(r, ["site", "cell"]).join(sites.select("site", "alt"), "site")
+    return calls.adapted_genotypes(met.select("site", "cell", F.array("alt").alias("alts"), told.alias("alphabet"), nucs.alias("nucs")))
+
+
+@query("sites calls reads", f"WITH RECURSIVE {ADAPT_SQL} SELECT site, cell, concat_ws('/', max(digit) FILTER (k = 0), max(digit) FILTER (k = 1)) AS genotype FROM f WHERE i > 0 GROUP BY site, cell")
+def f15_adapted_genotypes(sites, c, r):
+    return _adapted(sites, c, r)[0]
+
+
+@query("sites calls reads", f"WITH RECURSIVE {ADAPT_SQL}, l AS (SELECT site, max_by(alts, i) AS alts FROM f GROUP BY site), u AS (SELECT site, unnest(alts) AS nuc, unnest(range(1, len(alts) + 1)) AS allele FROM l) SELECT site, nuc, allele, count(a.cell) AS n, count(DISTINCT a.cell) AS n_cells FROM u LEFT JOIN a USING (site, nuc) GROUP BY site, nuc, allele")
+def f15_alternatives(sites, c, r):
+    return _adapted(sites, c, r)[1]
 
 
 @query("reads", "WITH l AS (SELECT site, cell, [-(r1 / 9.0), -(r2 / 9.0), -(ref_reads / 9.0)] AS x FROM reads), s AS (SELECT *, list_sum(list_transform(x, lambda y: exp(y - list_max(x)))) AS t FROM l) SELECT site, cell, round(exp(x[1] - list_max(x)) / t, 6) AS p1, round(exp(x[2] - list_max(x)) / t, 6) AS p2, round(exp(x[3] - list_max(x)) / t, 6) AS p3 FROM s")

@@ -43,11 +43,14 @@ VIEWS = {
         UNION ALL SELECT DISTINCT tree, concat('g', CAST(g AS VARCHAR(8))), concat('m', CAST((g + CASE WHEN g % 2 = 0 THEN tree ELSE 0 END) % 2 AS VARCHAR(8))), CAST(1 + g / 10.0 + tree / 100.0 AS DOUBLE) FROM {cell_groups}
         UNION ALL SELECT DISTINCT tree, concat('m', CAST((g + CASE WHEN g % 2 = 0 THEN tree ELSE 0 END) % 2 AS VARCHAR(8))), 'trunk', CAST(2 + tree / 50.0 AS DOUBLE) FROM {cell_groups}
         UNION ALL SELECT tree, 'trunk', 'root', CAST(3 AS DOUBLE) FROM {tree_ids} UNION ALL SELECT tree, 'root', CAST(NULL AS VARCHAR(8)), CAST(4 AS DOUBLE) FROM {tree_ids}""",
-    "node_gt": """SELECT s.site, n.node, CASE WHEN n.node IN ('root', 'trunk') THEN '0/0'
-          WHEN (s.site + length(n.node) * 7 + ascii(substr(n.node, length(n.node), 1))) % 11 = 0 THEN '1/1'
-          WHEN (s.site + length(n.node) * 5 + ascii(substr(n.node, length(n.node), 1))) % 7 = 0 THEN '0/1'
-          WHEN (s.site + length(n.node) + ascii(substr(n.node, length(n.node), 1))) % 17 = 0 THEN '1/2' ELSE '0/0' END AS genotype
-        FROM {sites} s CROSS JOIN {nodes} n WHERE n.tree = 0 AND substr(n.node, 1, 1) <> 's'""",
+    # Inner nodes have a genotype at every site, tips where they have reads.
+    "tip_sites": "SELECT DISTINCT l_partkey AS site, concat('s', CAST(l_suppkey AS VARCHAR(12))) AS node FROM {lineitem}",
+    "node_gt": """SELECT site, node, CASE WHEN node IN ('root', 'trunk') THEN '0/0'
+          WHEN (site + length(node) * 7 + ascii(substr(node, length(node), 1))) % 11 = 0 THEN '1/1'
+          WHEN (site + length(node) * 5 + ascii(substr(node, length(node), 1))) % 7 = 0 THEN '0/1'
+          WHEN (site + length(node) + ascii(substr(node, length(node), 1))) % 17 = 0 THEN '1/2' ELSE '0/0' END AS genotype
+        FROM (SELECT s.site, n.node FROM {sites} s CROSS JOIN {nodes} n WHERE n.tree = 0 AND substr(n.node, 1, 1) <> 's'
+          UNION ALL SELECT t.site, t.node FROM {tip_sites} t JOIN {nodes} n ON n.node = t.node AND n.tree = 0) g""",
     "calls": """SELECT site, cell, cov, CASE WHEN cov = 0 THEN 0 WHEN (r1 + r2) * 3 < cov THEN 0 WHEN ref_reads * 3 < cov THEN 2 ELSE 1 END AS genotype FROM {reads}""",
 }
 
