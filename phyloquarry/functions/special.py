@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of the steps by which exponentials are summed: exp of a step is far from overflowing.
+STEP = 500.0
+
+
 def log_gamma(x: Column) -> Column:
     """ln gamma(x) for x > 0: Stirling's series at x + 8, brought back by the recurrence; about 1e-13 relative."""
     y = x + 8.0
@@ -31,9 +35,21 @@ def log_sum_exp(values: Column) -> Column:
 
 
 def grouped_log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str = "lse") -> DataFrame:
-    """ln(sum(exp(value))) of each group, with the group's maximum taken out first."""
-    peak = df.withColumn("_most", F.max(value).over(Window.partitionBy(*keys)))
-    return peak.groupBy(*keys).agg((F.first("_most") + F.log(F.sum(F.exp(F.col(value) - F.col("_most"))))).alias(name))
+    """ln(sum(exp(value))) of each group; -inf adds nothing, NaN makes NaN, null is left out.
+
+    Values are summed by steps of STEP, inside which exponentials are in range, so that sums are combined before any row is
+    shuffled; a group then has a row for each step, not for each value.
+    """
+    x = F.col(value).cast("double")
+    within = F.floor(F.greatest(F.least(x / STEP, F.lit(9e15)), F.lit(-9e15)))
+    step = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), within)
+    part = F.when(step.isNotNull(), F.exp(x - within * STEP)).when(x == float("-inf"), F.lit(0.0)).otherwise(x)
+    sums = df.where(x.isNotNull()).groupBy(*keys, step.alias("_step")).agg(F.sum(part).alias("_sum"))
+    top = sums.withColumn("_top", F.coalesce(F.max("_step").over(Window.partitionBy(*keys)), F.lit(0)))  # a row for each step
+    scaled = F.col("_sum") * F.exp((F.coalesce("_step", F.col("_top")) - F.col("_top")) * STEP)
+    total = F.sum(scaled)
+    found = top.groupBy(*keys).agg(F.first("_top").alias("_top"), total.alias("_total"))
+    return found.select(*keys, F.when(F.col("_total") > 0, F.col("_top") * STEP + F.log("_total")).when(F.col("_total") == 0, F.lit(float("-inf"))).otherwise(F.col("_total")).alias(name))
 
 
 def geometric_mean(x: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import trees
 from .lineage import kept
-from .ranks import middle, numbered
+from .ranks import medians
 from .summaries import hpd
 
 
@@ -79,8 +79,7 @@ def clade_values(target: DataFrame, prints: DataFrame, nodes: DataFrame, attribu
 def summarised(values: DataFrame, mass: float = 0.95) -> DataFrame:
     """(node, name, n, mean, median, low, high, hpd_low, hpd_high); but for the mean null where nothing varies."""
     keys = ["node", "name"]
-    rows = numbered(values, keys, ["value"])
-    each = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), middle("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    each = medians(values, keys, "value").join(values.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high")), keys)
     varying = each.where("low < high").select(*keys)
     ends = hpd(values.join(varying, keys, "left_semi"), keys, mass, tie="tree")
     met = each.join(ends, keys, "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import kept
 
 PLACE, ALL = "_rank", "_all"
+#: Tasks that the rows of one key are spread over where they meet a value of their key.
+SALTS = 16
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,8 +36,38 @@ def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return met(inside, before, [*keys, "_part"]).withColumn(PLACE, F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
 
 
-def middle(value: Column | str) -> Column:
-    """The median of each key as an aggregate over ``numbered`` rows: the mean of the one or two in the middle."""
-    value = F.col(value) if isinstance(value, str) else value
-    at = F.col(PLACE).between(F.floor((F.col(ALL) + 1) / 2), F.ceil((F.col(ALL) + 1) / 2))
-    return F.avg(F.when(at, value))
+def running(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """``df`` with the sums over the key's earlier rows (``_before_x``) and over all of them (``_all_x``).
+
+    Parted as in ``numbered``: sums are taken inside ranges and, a row for each key and range, between them.
+    """
+    parted = kept(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    parts = parted.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    whole = Window.partitionBy(*keys)
+    up = whole.orderBy("_part")
+    before = parts.select(*keys, "_part", *[(F.sum(f"_sum_{c}").over(up) - F.col(f"_sum_{c}")).alias(f"_until_{c}") for c in sums], *[F.sum(f"_sum_{c}").over(whole).alias(f"_all_{c}") for c in sums])
+    earlier = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parted
+    for c in sums:
+        inside = inside.withColumn(f"_in_{c}", F.coalesce(F.sum(c).over(earlier), F.lit(0)))
+    out = met(inside, before, [*keys, "_part"])
+    for c in sums:
+        out = out.withColumn(f"_before_{c}", F.col(f"_until_{c}") + F.col(f"_in_{c}"))
+    return out.drop("_part", *[f"_{x}_{c}" for c in sums for x in ("until", "in")])
+
+
+def with_key_values(df: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the one row of ``values`` for its key. Rows of a key are spread over SALTS tasks and more of its values sent there."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return met(salted, copies, [*keys, "_salt"]).drop("_salt")
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean, median) of finite values. Equal values are counted first, so one that many rows share is one row."""
+    finite = df.where(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
+    counted = finite.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counted, keys, [value], ["_n"])
+    at = lambda place: F.max(F.when((place > F.col("_before__n")) & (place <= F.col("_before__n") + F.col("_n")), F.col(value)))
+    low, high = at(F.floor((F.col("_all__n") + 1) / 2)), at(F.ceil((F.col("_all__n") + 1) / 2))
+    return placed.groupBy(*keys).agg(F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"), ((low + high) / 2).alias("median"))

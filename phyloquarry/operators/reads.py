@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import geometric_mean
 from .lineage import kept
-from .ranks import middle, numbered
+from .ranks import ALL, PLACE, medians, numbered, running, with_key_values
 
 #: Chromosome labels: any prefix, then a number from 1 to 22, X, Y or MT.
 LABEL = r"^(.*?)(1[0-9]|2[0-2]|[1-9]|[XYxy]|[Mm][Tt])$"
@@ -34,14 +34,13 @@ def site_order() -> list[Column]:
 
 
 def numbered_sites(df: DataFrame) -> DataFrame:
-    """``df`` with ``site_rank``, 1 on; the chromosome is the partition, so offsets are added per chromosome."""
-    labelled = chromosome(df)
-    within = Window.partitionBy("chrom_key").orderBy("pos", F.upper("alt"))
+    """``df`` with ``site_rank``, 1 on. Sites are parted by ranges of position, so a chromosome is as many tasks as it fills."""
+    labelled = chromosome(df).withColumn("_alt", F.upper("alt"))
     sizes = labelled.groupBy("chrom_key", "chrom_num").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy(F.col("chrom_num").asc_nulls_last(), "chrom_key")
     offsets = sizes.select("chrom_key", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
-    ranked = labelled.withColumn("_in", F.row_number().over(within)).join(F.broadcast(offsets), "chrom_key")  # 25 keys at most
-    return ranked.withColumn("site_rank", F.col("_before") + F.col("_in")).drop("_before", "_in")
+    ranked = numbered(labelled, ["chrom_key"], ["pos", "_alt"]).join(F.broadcast(offsets), "chrom_key")  # 25 keys at most
+    return ranked.withColumn("site_rank", F.col("_before") + F.col(PLACE)).drop("_before", PLACE, ALL, "_alt")
 
 
 def acgt(alts: Column) -> Column:
@@ -86,8 +85,8 @@ def below_missing(reads: DataFrame, most: float) -> DataFrame:
     """Sites left after removing those with most missing cells until the missing share is at most ``most``.
 
     The order is missing cells downwards, then site. Nothing goes if the share is met at first. Running totals
-    are taken over groups of equal counts first (at most one group for each possible count), then inside them, so no
-    task sees all sites in one run.
+    are taken over groups of equal counts first (at most one group for each possible count), then over ranges of sites
+    inside them, so a count that most sites have is spread over tasks as well.
     """
     sites = missing_per_site(reads)
     groups = sites.groupBy("n_missing").agg(F.sum("n_entries").alias("entries"), F.sum("n_missing").alias("missing"))
@@ -100,10 +99,9 @@ def below_missing(reads: DataFrame, most: float) -> DataFrame:
         F.sum("entries").over(whole).alias("all_entries"),
         F.sum("missing").over(whole).alias("all_missing"),
     )
-    inside = Window.partitionBy("n_missing").orderBy("site").rowsBetween(Window.unboundedPreceding, -1)
-    run = sites.join(groups, "n_missing")
-    run = run.withColumn("e", F.col("entries_left") - F.coalesce(F.sum("n_entries").over(inside), F.lit(0)))
-    run = run.withColumn("m", F.col("missing_left") - F.coalesce(F.sum("n_missing").over(inside), F.lit(0)))
+    run = running(sites.withColumn("missing", F.col("n_missing")), ["n_missing"], ["site"], ["n_entries", "missing"])
+    run = with_key_values(run, groups, ["n_missing"])
+    run = run.withColumn("e", F.col("entries_left") - F.col("_before_n_entries")).withColumn("m", F.col("missing_left") - F.col("_before_missing"))
     # e and m are what is left before this site goes; a site stays from the first place on where the share is met
     return run.where((F.col("all_missing") <= most * F.col("all_entries")) | (F.col("m") <= most * F.col("e"))).select("site", "n_missing")
 
@@ -146,7 +144,7 @@ def size_factors(reads: DataFrame, zero_counts: bool = False) -> DataFrame:
     geo = reads.groupBy("site").agg(geometric_mean(F.col("cov")).alias("geo"))
     ratios = reads.join(geo, "site").where("geo > 0" if zero_counts else "cov > 0 AND geo > 0")
     ratios = ratios.select("cell", (F.col("cov") / F.col("geo")).alias("ratio"))
-    return numbered(ratios, ["cell"], ["ratio"]).groupBy("cell").agg(middle("ratio").alias("size_factor"))
+    return medians(ratios, ["cell"], "ratio").select("cell", F.col("median").alias("size_factor"))
 
 
 def start_values(reads: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ALL, PLACE, met, middle, numbered
+from .ranks import ALL, PLACE, medians, met, numbered, with_key_values
 
 RANKED = "_rank"
 #: Values in a block of ``kde_mode``, blocks of a bin that meet others together, and bandwidths in a bin; a kernel is 0 as
@@ -27,8 +27,7 @@ def after_burn_in(trace: DataFrame, share: float, keys: list[str], order: str =
 
 def estimates(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, n, mean, median) over finite values."""
-    finite = trace.where(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    return numbered(finite, keys, [value]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), middle(value).alias("median"))
+    return medians(trace, keys, value)
 
 
 def value_range(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -68,9 +67,9 @@ def frequency_set(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def best_with_ties(df: DataFrame, keys: list[str], score: str, largest: bool = True) -> DataFrame:
-    """All rows that share the best score of their key."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score) if largest else F.asc(score))
-    return df.withColumn(RANKED, F.rank().over(order)).where(f"{RANKED} = 1").drop(RANKED)
+    """All rows that share the best score of their key; the score is found by an aggregate, so no key meets in one task."""
+    best = df.groupBy(*keys).agg((F.max if largest else F.min)(score).alias("_best"))
+    return with_key_values(df, best, keys).where(F.col(score).eqNullSafe(F.col("_best"))).select(*df.columns)
 
 
 def kde_mode(trace: DataFrame, keys: list[str], value: str = "value", order: str = "sample") -> DataFrame:
