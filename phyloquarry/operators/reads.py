@@ -76,6 +76,34 @@ def known_names(cells: DataFrame, names: DataFrame, col: str = "cell") -> DataFr
     return met.select(F.when(F.col("known"), F.col(col)).otherwise(unknown).alias(col))
 
 
+def taxon_places(taxa: DataFrame) -> DataFrame:
+    """(taxon, place): distinct names, bare of quotes, with their places from 0 in order; a repeated name is an error."""
+    bare = taxa.select(F.regexp_replace("taxon", "^[\"']|[\"']$", "").alias("taxon"))
+    twice = bare.groupBy("taxon").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"Repeated name {twice[0].taxon}")
+    return numbered(bare, [], ["taxon"]).select("taxon", (F.col(PLACE) - 1).cast("long").alias("place"))
+
+
+def matched_taxa(rows: DataFrame, places: DataFrame, col: str = "name") -> DataFrame:
+    """``rows`` with the ``place`` of their name, quoted or not; a name that isn't among the taxa is an error."""
+    bare = F.regexp_replace(col, "^[\"']|[\"']$", "")
+    met = rows.withColumn("_bare", bare).join(places.withColumnRenamed("taxon", "_bare"), "_bare", "left")
+    unknown = F.raise_error(F.concat(F.lit("Not a taxon: "), F.col(col))).cast("long")
+    return met.withColumn("place", F.coalesce("place", unknown)).drop("_bare")
+
+
+# The names of background histograms in their order, of full counts and of coverage with support.
+BACKGROUND_NAMES = {True: ["variant1", "variant2", "variant3", "coverage"], False: ["variant1", "coverage"]}
+
+
+def ordered_background(rows: DataFrame, full: bool) -> DataFrame:
+    """``rows`` (name, ...) with ``place``, that of the name in its kind of data; an unknown name is an error."""
+    names = BACKGROUND_NAMES[full]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("name")) - 1
+    return rows.withColumn("place", F.when(place >= 0, place.cast("int")).otherwise(F.raise_error(F.concat(F.lit("Not a background: "), F.col("name"))).cast("int")))
+
+
 def missing_per_site(reads: DataFrame) -> DataFrame:
     """(site, n_missing, n_entries)."""
     return reads.groupBy("site").agg(F.count_if(F.col("cov") == 0).alias("n_missing"), F.count(F.lit(1)).alias("n_entries"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions, special
-from ..operators import calls, consensus, genes, likelihood, reads, summaries, trees
+from ..operators import calls, consensus, contours, genes, likelihood, reads, summaries, trees
 from .views import view, with_views
 
 #: Name to (callable, SQL or None).
@@ -383,6 +383,23 @@ def a28_hpd_area(events):
     return summaries.hpd_area_2d(paired, ["event_type"], "x", "y")
 
 
+DENSITY_SQL = f"""WITH p AS (SELECT event_type, value AS x, (event_id % 97)::DOUBLE AS y FROM events),
+    s AS (SELECT event_type, count(*) AS n, stddev_samp(x) * pow(count(*), -1 / 6.0) AS wx, stddev_samp(y) * pow(count(*), -1 / 6.0) AS wy, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p GROUP BY event_type),
+    g AS (SELECT *, lx - 3 * wx AS x0, (hx - lx + 6 * wx) / {contours.GRID - 1} AS dx, ly - 3 * wy AS y0, (hy - ly + 6 * wy) / {contours.GRID - 1} AS dy FROM s),
+    c AS (SELECT event_type, floor((x - x0) / dx + 0.5)::INT AS i, floor((y - y0) / dy + 0.5)::INT AS j, count(*) AS m FROM p JOIN g USING (event_type) GROUP BY ALL),
+    t AS (SELECT event_type, u.i, j, sum(m * exp(-0.5 * pow((u.i - c.i) * dx / wx, 2)) / (wx * sqrt(2 * pi()))) AS v FROM c JOIN g USING (event_type), range({contours.GRID}) u(i) GROUP BY event_type, u.i, j),
+    d AS (SELECT event_type, i, u.j, sum(v * exp(-0.5 * pow((u.j - t.j) * dy / wy, 2)) / (wy * sqrt(2 * pi()))) / any_value(n) AS d FROM t JOIN g USING (event_type), range({contours.GRID}) u(j) GROUP BY event_type, i, u.j),
+    r AS (SELECT event_type, d, sum(d) OVER (PARTITION BY event_type ORDER BY d DESC, i, j ROWS UNBOUNDED PRECEDING) - d AS before, sum(d) OVER (PARTITION BY event_type) AS total FROM d)
+    SELECT event_type, round(min(d) * 1e6, 4) AS level, count(*) AS cells FROM r WHERE before < 0.9 * total * (1 - 1e-12) GROUP BY event_type"""
+
+
+@query("events", DENSITY_SQL)
+def a28_density_levels(events):
+    paired = events.select("event_type", F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
+    found = contours.density_levels(paired, ["event_type"], "x", "y", 0.9)
+    return found.select("event_type", F.round(F.col("level") * 1e6, 4).alias("level"), "cells")
+
+
 VCF_SQL = """c AS (SELECT s.site, r.cell, s.alt, substr('GTAC', CAST(s.site % 4 AS INT) + 1, 1) AS third, r.r1, r.r2, r.ref_reads, r.cov,
     CASE WHEN k.genotype = 2 AND r.cell % 5 = 0 THEN 3 ELSE k.genotype END AS g,
     list_transform([-r.r1 / 9.0, -r.r2 / 9.0, -r.r3 / 9.0, -r.ref_reads / 9.0], lambda x: floor(-10 / ln(10) * x + 0.5)::BIGINT) AS q,

@@ -12,6 +12,7 @@ from ..operators.lineage import shared_folder
 from ..sinks import text as sinks
 from ..sources import newick
 from ..sources import text as sources
+from ..streaming import samples
 from .catalog import query, r6
 
 
@@ -171,6 +172,33 @@ def s13_cached_estimates(trace, r, sites):
     return named.unionByName(found["estimates"].select(F.col("var").alias("name"), "kind", F.lit(None).cast("long").alias("category"), r6("value").alias("value"), F.lit(None).cast("double").alias("var")))
 
 
+def streamed(rows, start):
+    """What ``start`` has appended to a table from log lines (place, value) that come in two lots of files, after three starts."""
+    spark = rows.sparkSession
+    folder, table, checkpoint = (f"{shared_folder(spark)}/{uuid.uuid4().hex}" for _ in range(3))
+    for lot in (0, 1):
+        lines = rows.where(F.col("place") % 2 == lot).select("value")
+        lines.repartition(2).write.mode("append").text(folder)
+        start(spark, folder, table, checkpoint, 1).awaitTermination()
+    start(spark, folder, table, checkpoint, 1).awaitTermination()
+    return samples.samples(spark, table)
+
+
+@query("calls", "SELECT site AS sample, cell // 8 AS place, cell % 8 AS cell, genotype, (cell % 2)::INT AS ado FROM calls")
+def k14_genotype_log(c):
+    rows = c.select(F.col("site").alias("sample"), F.expr("cell div 8").alias("site"), "cell", "genotype", (F.col("cell") % 2).cast("int").alias("ado"))
+    found = streamed(sinks.sampled_line(rows).select(F.col("sample").alias("place"), "value"), samples.genotype_log)
+    return found.select("sample", F.col("place").cast("long").alias("place"), F.col("cell").cast("long").alias("cell"), "genotype", "ado")
+
+
+@query("reads", "SELECT site AS sample, cell // 4 AS place, cell % 4 AS category, cov::DOUBLE AS cov, r1 / 2.0 AS var FROM reads")
+def k15_coverage_log(r):
+    pair = F.concat_ws(",", *texts("cov", F.col("r1").cast("double") / 2))
+    places = joined(r, ["site", F.expr("cell div 4").alias("place")], "cell", pair, ";")
+    found = streamed(rows_of(joined(places, ["site"], "place", F.col("text"), "\t"), F.concat_ws("\t", *texts("site", "text")), "site"), samples.coverage_log)
+    return found.select("sample", F.col("place").cast("long").alias("place"), F.col("category").cast("long").alias("category"), "cov", "var")
+
+
 @query("calls", "SELECT site AS sample, 0::BIGINT AS place, cell, genotype, (cell % 2)::INT AS ado FROM calls")
 def s14_state_samples(c):
     rows = c.select(F.col("site").alias("sample"), F.lit(0).alias("site"), "cell", "genotype", (F.col("cell") % 2).cast("int").alias("ado"))

@@ -159,11 +159,10 @@ def f15_alternatives(sites, c, r):
     return _adapted(sites, c, r)[1]
 
 
-@query("reads", "WITH l AS (SELECT site, cell, [-(r1 / 9.0), -(r2 / 9.0), -(ref_reads / 9.0)] AS x FROM reads), s AS (SELECT *, list_sum(list_transform(x, lambda y: exp(y - list_max(x)))) AS t FROM l) SELECT site, cell, round(exp(x[1] - list_max(x)) / t, 6) AS p1, round(exp(x[2] - list_max(x)) / t, 6) AS p2, round(exp(x[3] - list_max(x)) / t, 6) AS p3 FROM s")
+@query("reads", "WITH l AS (SELECT site, cell, [-(r1 / 9.0), -(r2 / 9.0), -(ref_reads / 9.0)] AS x FROM reads), s AS (SELECT *, list_sum(list_transform(x, lambda y: exp(y - list_max(x)))) AS t FROM l) SELECT site, cell, array_to_string(list_transform(x, lambda y: printf('%.3f', exp(y - list_max(x)) / t + 1e-12)), ',') AS p FROM s")
 def f13_genotype_probabilities(r):
     x = F.array(*[-F.col(c) / 9.0 for c in ("r1", "r2", "ref_reads")])
-    total = special.log_sum_exp(x)
-    return r.select("site", "cell", *[r6(F.exp(F.get(x, F.lit(i)) - total)).alias(f"p{i + 1}") for i in range(3)])
+    return r.select("site", "cell", calls.genotype_probabilities(x).alias("p"))
 
 
 @query("sites calls", "SELECT site, cell, CASE genotype WHEN 0 THEN '0/0' WHEN 1 THEN '0/' || CASE WHEN cell % 2 = 0 THEN '1' ELSE '2' END ELSE CASE WHEN cell % 2 = 0 THEN '1/1' ELSE '2/2' END END AS gt FROM calls JOIN sites USING (site)")
@@ -174,17 +173,24 @@ def f14_vcf_genotypes(sites, c):
     return coded.select("site", "cell", messages.vcf_genotype(F.col("alphabet"), table, nucs).alias("gt"))
 
 
-@query("cells", "SELECT cell, cell AS matched FROM cells")
-def j04_quoted_names(cells):
-    quoted = cells.select(F.concat(F.lit("'"), F.col("cell").cast("string"), F.lit("'")).alias("name"))
-    bare = quoted.select(F.regexp_replace("name", "^[\"']|[\"']$", "").cast("long").alias("matched"))
-    return cells.join(bare, F.col("cell") == F.col("matched")).select("cell", "matched")
+@query("cells reads", "SELECT site, cell, row_number() OVER (PARTITION BY site ORDER BY cell::VARCHAR) - 1 AS taxon, cov FROM reads")
+def j04_quoted_names(cells, r):
+    """Reads of quoted names, brought to the places of the bare taxa in order of name."""
+    taxa = reads.taxon_places(cells.select(F.col("cell").cast("string").alias("taxon")))
+    quote = F.when(F.col("cell") % 2 == 0, "'").otherwise('"')
+    quoted = r.select("site", "cell", "cov", F.concat(quote, F.col("cell").cast("string"), quote).alias("name"))
+    return reads.matched_taxa(quoted, taxa).select("site", "cell", F.col("place").alias("taxon"), "cov")
 
 
-@query("background", "SELECT name, n_reads, occurrences, 1 AS place FROM background")
-def j05_background_order(b):
-    order = b.sparkSession.createDataFrame([("variant1", 0), ("coverage", 1)], "name string, place int")
-    return b.join(F.broadcast(order), "name").select("name", "n_reads", "occurrences", "place")
+HISTOGRAM_SQL = "WITH l AS (SELECT * FROM (VALUES ('variant1', 0), ('variant2', 1), ('variant3', 2), ('coverage', 3)) v(name, place)), h AS (SELECT 'variant1' AS name, r1 AS n_reads FROM reads UNION ALL SELECT 'variant2', r2 FROM reads UNION ALL SELECT 'variant3', r3 FROM reads UNION ALL SELECT 'coverage', cov FROM reads) SELECT place, n_reads, count(*) AS occurrences FROM h JOIN l USING (name) GROUP BY place, n_reads"
+
+
+@query("reads", HISTOGRAM_SQL)
+def j05_background_order(r):
+    """Histograms of the reads by name, put in the order that full read counts have them in."""
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("n_reads")) for n, c in (("variant1", "r1"), ("variant2", "r2"), ("variant3", "r3"), ("coverage", "cov"))])
+    histograms = r.select(F.inline(named)).groupBy("name", "n_reads").agg(F.count(F.lit(1)).alias("occurrences"))
+    return reads.ordered_background(histograms, full=True).select("place", "n_reads", "occurrences")
 
 
 @query("nodes", "SELECT node, row_number() OVER (ORDER BY node) AS tip FROM nodes WHERE tree = 0 AND node LIKE 's%'")
@@ -276,10 +282,15 @@ def k05_probability_lines(sites, r, c):
     return sinks.per_site(_variant_cells(sites, r, c), calls.genotype_probabilities(F.col("liks")))
 
 
-@query("sites", "SELECT * FROM (SELECT 5 AS place, '##INFO=<ID=AC,Number=1,Type=Integer,Description=\"Allele count in genotypes, for each ALT allele, in the same order as listed\">' AS value UNION ALL SELECT 1, '##fileformat=VCFv4.3' UNION ALL SELECT 17, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO', chr(9), 'FORMAT', chr(9), 'c1', chr(9), 'c2'))")
-def k04_vcf_header(sites):
-    head = sinks.vcf_header(["c1", "c2"], [g for _, g, _, _ in calls.GENOTYPES], "20260101 00:00:00", "caller")
-    return sites.sparkSession.createDataFrame(list(enumerate(head, 1)), "place int, value string").where("place IN (1, 5, 17)")
+HEADER_SQL = " UNION ALL ".join(f"SELECT {i} AS place, '{line.replace(chr(39), chr(39) * 2)}' AS value" for i, line in enumerate(sinks.vcf_header([], [g for _, g, _, _ in calls.GENOTYPES], "", "caller"), 1) if i not in (2, 17))
+
+
+@query("cells", f"{HEADER_SQL} UNION ALL SELECT 17, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', string_agg('cell' || cell, chr(9) ORDER BY cell)) FROM cells")
+def k04_vcf_header(cells):
+    """All lines but that of the date; the last names the table's cells."""
+    names = [f"cell{r.cell}" for r in cells.orderBy("cell").collect()]  # one a cell, in one line
+    head = sinks.vcf_header(names, [g for _, g, _, _ in calls.GENOTYPES], "20260101 00:00:00", "caller")
+    return cells.sparkSession.createDataFrame(list(enumerate(head, 1)), "place int, value string").where("place <> 2")
 
 
 @query("reads", "WITH g AS (SELECT site, exp(avg(ln(cov))) AS geo FROM reads WHERE cov > 0 GROUP BY site), f AS (SELECT cell, round(quantile_cont(cov / geo, 0.5), 4) AS s FROM reads JOIN g USING (site) WHERE cov > 0 GROUP BY cell) SELECT cell, round(20.0 * s, 4) AS coverage, round(30.0 * s * s, 4) AS variance FROM f")
@@ -288,9 +299,9 @@ def k07_allelic_info(r):
     return reads.size_factors(r).select("cell", F.round(20.0 * s, 4).alias("coverage"), F.round(30.0 * s * s, 4).alias("variance"))
 
 
-@query("gt_trace", "WITH c AS (SELECT DISTINCT sample % 10 AS sample, site, cell, ado FROM gt_trace WHERE ado = 1), s AS (SELECT sample, site, string_agg('1,' || ado, ';' ORDER BY cell) AS x FROM c GROUP BY sample, site) SELECT sample, sample || chr(9) || string_agg(x, chr(9) ORDER BY site) AS value FROM s GROUP BY sample")
-def k16_sampled_lines(gt):
-    rows = gt.where("ado = 1").select((F.col("sample") % 10).alias("sample"), "site", "cell", F.lit(1).alias("genotype"), "ado").distinct()
+@query("calls", "WITH s AS (SELECT site AS sample, cell // 8 AS place, string_agg(genotype || ',' || cell % 2, ';' ORDER BY cell) AS x FROM calls GROUP BY site, cell // 8) SELECT sample, sample || chr(9) || string_agg(x, chr(9) ORDER BY place) AS value FROM s GROUP BY sample")
+def k16_sampled_lines(c):
+    rows = c.select(F.col("site").alias("sample"), F.expr("cell div 8").alias("site"), "cell", "genotype", (F.col("cell") % 2).alias("ado"))
     return sinks.sampled_line(rows)
 
 

@@ -181,9 +181,9 @@ def site_map(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.get("s", F.lit(0)).alias("pseudo"), F.get(t, F.lit(0)).alias("chrom"), F.get(t, F.lit(1)).cast("long").alias("pos"), F.get(t, F.lit(2)).alias("ref"), F.slice(t, 4, F.size(t)).alias("alts"))
 
 
-def coverage_samples(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, place, category, cov, var): sites by tabs, categories by semicolons, ``cov,var`` in each."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & ~F.col("value").startswith("Sample") & (F.trim("value") != ""))
+def coverage_rows(lines: DataFrame) -> DataFrame:
+    """(sample, place, category, cov, var) of (value) lines: sites by tabs, categories by semicolons, ``cov,var`` in each."""
+    rows = lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("Sample") & (F.trim("value") != ""))
     c = rows.select(F.split(F.rtrim(F.regexp_replace("value", r"\t+$", "")), "\t").alias("c"))
     sites = c.select(F.get("c", F.lit(0)).cast("long").alias("sample"), F.posexplode(F.slice("c", 2, F.size("c"))).alias("place", "x"))
     cats = sites.select("sample", "place", F.posexplode(F.split(F.regexp_replace("x", ";+$", ""), ";")).alias("category", "y"))
@@ -191,12 +191,22 @@ def coverage_samples(spark: SparkSession, path: str) -> DataFrame:
     return cats.select("sample", "place", "category", F.get(pair, F.lit(0)).cast("double").alias("cov"), F.get(pair, F.lit(1)).cast("double").alias("var"))
 
 
-def state_samples(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, place, cell, genotype, ado): sites by tabs, cells by semicolons, ``genotype,ado`` in each."""
-    found = coverage_samples(spark, path)
+def coverage_samples(spark: SparkSession, path: str) -> DataFrame:
+    """``coverage_rows`` of a log."""
+    return coverage_rows(spark.read.text(path))
+
+
+def state_rows(lines: DataFrame) -> DataFrame:
+    """(sample, place, cell, genotype, ado) of (value) lines: sites by tabs, cells by semicolons, ``genotype,ado`` in each."""
+    found = coverage_rows(lines)
     return found.select("sample", "place", F.col("category").alias("cell"), F.col("cov").cast("int").alias("genotype"), F.col("var").cast("int").alias("ado"))
 
 
+def state_samples(spark: SparkSession, path: str) -> DataFrame:
+    """``state_rows`` of a log."""
+    return state_rows(spark.read.text(path))
+
+
 def loci(text: Column) -> Column:
     """An array of (chrom, pos, ref, alts) from ``chr,pos,ref,alt[,alt];...``; fewer than four fields are an error."""
 
