@@ -100,12 +100,13 @@ def notes(summaries: DataFrame, credibility: DataFrame, mass: float = 0.95) -> D
     return own.unionByName(credibility.select("node", F.lit("posterior").alias("key"), text("credibility").alias("value")))
 
 
-def annotated_tree(nodes: DataFrame, attributes: list[str], heights: str = "keep", mass: float = 0.95, name: str = "node") -> DataFrame:
+def annotated_tree(nodes: DataFrame, attributes: list[str], heights: str = "keep", mass: float = 0.95, name: str = "node", limit: float = 0.0) -> DataFrame:
     """The best tree's (tree, node, parent, label, height, length, meta): the one of the most credible clades, annotated.
 
     ``nodes`` has tree, node, parent, height and the ``attributes``; of these ``length`` is the height to the parent. The
     tips' ``name`` tells which are alike. ``heights`` says whether a node keeps its height or shows the ``mean`` or
-    ``median`` of the samples. Clades that a tree holds twice, at a trunk, are matched from below.
+    ``median`` of the samples. Clades that a tree holds twice, at a trunk, are matched from below. A clade whose
+    credibility is below ``limit`` is given that and nothing else.
     """
     full = kept(with_lengths(nodes))
     n_trees = full.select("tree").distinct().count()
@@ -118,6 +119,7 @@ def annotated_tree(nodes: DataFrame, attributes: list[str], heights: str = "keep
     target = prints.where(F.col("tree") == F.lit(best))
     summaries = kept(summarised(clade_values(target, prints, full, list(dict.fromkeys(["height", *attributes]))), mass))
     inner = target.where("size > 1").join(credibility, "clade").select("node", "credibility")
+    summaries = summaries.join(inner.where(F.col("credibility") < limit).select("node"), "node", "left_anti")
     added = notes(summaries, inner, mass)
     own = full.where(F.col("tree") == F.lit(best)).select("tree", "node", "parent", F.col(name).cast("string").alias("label"), "height")
     shown = summaries.where("name = 'height'").select("node", "mean", "median")

@@ -24,6 +24,8 @@ from .lineage import kept
 
 #: Levels climbed between two cuts of the lineage.
 CUT = 8
+#: Branches (of all trees and categories, about 200 bytes each) up to which their table is broadcast.
+MOST_BROADCAST = 20_000
 #: ln of the smallest positive double, which stands for an impossible transition.
 LEAST = math.log(5e-324)
 
@@ -97,9 +99,12 @@ def root_partials(leaves: DataFrame, branch: DataFrame, states: int = 4, constan
     at = lambda i: F.get("lik", F.lit(i))
     given = [at(i).alias(x) for i, x in enumerate(p)]
     fixed = [(at(i) if i == constant_state else F.lit(2 * LEAST)).alias(x) for i, x in enumerate(c)]
+    tips = F.broadcast(tips) if tips.count() <= MOST_BROADCAST else tips
     rows = leaves.select("pattern", "label", *given, *fixed).join(tips, "label").select("tree", "category", "pattern", "node", *p, *c)
     top = branch.agg(F.max("level").alias("m")).first().m or 0
     up = branch.where("parent IS NOT NULL").select("tree", "category", "node", "parent", "parent_level", "log_p")
+    if branch.count() <= MOST_BROADCAST:  # else both sides are shuffled, which gives the same
+        up = F.broadcast(up)
     rows = rows.repartition("tree", "category", "pattern")
     for level in range(1, top + 1):
         met = rows.join(up, ["tree", "category", "node"], "left")

@@ -108,6 +108,13 @@ def event_table(spark) -> DataFrame:
     return spark.createDataFrame(EVENTS, "parent_gt string, child_gt string, event string")
 
 
+def listed_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, listed): the events of each key by code, as ``code:number`` joined by commas."""
+    each = events.groupBy(*keys, "event").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("event", "n")))  # a row for each code
+    return each.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["event"], x["n"].cast("string"))), ",").alias("listed"))
+
+
 def violates_infinite_sites(events: Column) -> Column:
     """More than one event, or one that is no single mutation."""
     return (F.size(events) > 1) | (F.element_at(events, 1) != "SM")

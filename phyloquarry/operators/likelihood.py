@@ -36,6 +36,13 @@ def rate_matrix(states: int = 4) -> np.ndarray:
     return (q - np.diag(exits)) / exits.sum()
 
 
+def rate_table(spark, states: int = 4) -> DataFrame:
+    """(p, c, rate): the generator's rates between unlike genotypes, by name."""
+    q = rate_matrix(states)
+    names = ["0/0", "0/1", "1/1", "1/2"][:states]
+    return spark.createDataFrame([(a, b, float(q[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i != j], "p string, c string, rate double")
+
+
 def transition(q: np.ndarray, time: float) -> np.ndarray:
     """exp(q time) by scaling and squaring of the Taylor series."""
     a = q * time
@@ -57,6 +64,18 @@ def gamma_rates(shape: float, categories: int) -> np.ndarray:
     return points * categories / points.sum()
 
 
+def sampled_rates(shapes: DataFrame, categories: int) -> DataFrame:
+    """``shapes`` (.., shape) with ``category`` and ``rate``; each distinct shape is worked out once and joined back."""
+
+    def rows(frames):
+        for frame in frames:
+            found = [(s, k, float(r)) for s in frame["shape"] for k, r in enumerate(gamma_rates(s, categories))]
+            yield pd.DataFrame(found, columns=["shape", "category", "rate"])
+
+    distinct = shapes.select(F.col("shape").cast("double").alias("shape")).where("shape IS NOT NULL").distinct()
+    return shapes.join(distinct.mapInPandas(rows, "shape double, category int, rate double"), "shape")
+
+
 def quantile(p: float, shape: float) -> float:
     """The gamma(shape, 1) quantile, by bisection on the regularised incomplete gamma function."""
     low, high = 0.0, max(shape * 4 + 50, 10.0)

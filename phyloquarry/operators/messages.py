@@ -43,11 +43,6 @@ def allele_patterns(cells: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "alleles").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def modelled_alleles(most: int = 2, locus_dropout: bool = False) -> list[int]:
-    """The allele counts a genotype may show: all, one lost, and both lost if whole loci can drop out."""
-    return sorted({most, most - 1, *([most - 2] if locus_dropout else [])})
-
-
 def transfer(children: DataFrame, parents: DataFrame, branches: DataFrame) -> DataFrame:
     """(pattern, node, state, transfer): a tip's log likelihood plus the branch's, given the parent's chosen genotype."""
     given = children.join(branches.select("node", "parent", "from_state", "state", "log_p"), ["node", "state"])

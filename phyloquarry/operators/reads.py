@@ -104,6 +104,18 @@ def ordered_background(rows: DataFrame, full: bool) -> DataFrame:
     return rows.withColumn("place", F.when(place >= 0, place.cast("int")).otherwise(F.raise_error(F.concat(F.lit("Not a background: "), F.col("name"))).cast("int")))
 
 
+def first_cells(rows: DataFrame, n: int) -> DataFrame:
+    """The rows of the first ``n`` cells in order."""
+    return rows.join(rows.select("cell").distinct().orderBy("cell").limit(n), "cell", "left_semi")
+
+
+def zero_coverage(rows: DataFrame, mode: int) -> DataFrame:
+    """``rows`` with coverages as they are (mode 0), or with one added to each (mode 1), so that none is zero."""
+    if mode not in (0, 1):
+        raise ValueError(f"No such mode: {mode}")
+    return rows.withColumn("cov", F.col("cov") + mode)
+
+
 def missing_per_site(reads: DataFrame) -> DataFrame:
     """(site, n_missing, n_entries)."""
     return reads.groupBy("site").agg(F.count_if(F.col("cov") == 0).alias("n_missing"), F.count(F.lit(1)).alias("n_entries"))

@@ -72,6 +72,19 @@ def best_with_ties(df: DataFrame, keys: list[str], score: str, largest: bool = T
     return with_key_values(df, best, keys).where(F.col(score).eqNullSafe(F.col("_best"))).select(*df.columns)
 
 
+def best_configurations(runs: DataFrame, keys: list[str], config: str, posterior: str) -> DataFrame:
+    """(keys, config, posterior): the configurations whose largest log posterior is the key's largest, ties kept."""
+    each = runs.groupBy(*keys, config).agg(F.max(posterior).alias(posterior))
+    return best_with_ties(each, keys, posterior)
+
+
+def first_seen(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, seen): the distinct values of each key in the order of their first rows, equal ones by value."""
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("_first"))
+    listed = F.array_sort(F.collect_list(F.struct("_first", F.col(value).alias("v"))))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias("seen"))
+
+
 def kde_mode(trace: DataFrame, keys: list[str], value: str = "value", order: str = "sample") -> DataFrame:
     """(keys, mode): the sample with the highest Gaussian kernel density, the first of equals (to 13 digits).
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions, special
-from ..operators import calls, consensus, contours, genes, likelihood, reads, summaries, trees
+from ..operators import calls, consensus, contours, genes, leaves, likelihood, reads, summaries, trees
 from .views import view, with_views
 
 #: Name to (callable, SQL or None).
@@ -43,9 +43,9 @@ def p02_autosomes(sites):
     return reads.autosomes(sites).select("site", "chrom")
 
 
-@query("reads", "SELECT site, cell, cov FROM reads WHERE cell < 5")
+@query("reads", "SELECT site, cell, cov FROM reads WHERE cell IN (SELECT cell FROM cells ORDER BY cell LIMIT 5)")
 def p03_first_cells(r):
-    return r.where("cell < 5").select("site", "cell", "cov")
+    return reads.first_cells(r, 5).select("site", "cell", "cov")
 
 
 @query("sites", "SELECT site FROM (SELECT site, row_number() OVER (ORDER BY site) AS ix FROM sites) WHERE ix <= 100")
@@ -93,11 +93,6 @@ def p12_first_ambiguous_call(gt):
     return calls.ambiguous(gt.select("site", "cell", "genotype").distinct())
 
 
-@query("trace", "SELECT sample, var, CASE WHEN value >= 50 THEN round(value, 6) END AS shown FROM trace")
-def p13_posterior_limit(trace):
-    return trace.select("sample", "var", F.when(F.col("value") >= 50, r6("value")).alias("shown"))
-
-
 @query("sites", "SELECT site, array_to_string(list_filter([alt, 'N', lower(ref)], lambda x: upper(x) IN ('A', 'C', 'G', 'T')), ',') AS alts FROM sites")
 def p14_acgt_alternatives(sites):
     return sites.select("site", F.array_join(reads.acgt(F.array("alt", F.lit("N"), F.lower("ref"))), ",").alias("alts"))
@@ -115,9 +110,10 @@ def p23_genotype_codes(c):
     return c.join(F.broadcast(dim), "genotype").select("site", "cell", "alphabet", "ternary", "n_alt", "is_variant")
 
 
-@query("reads", "SELECT site, cell, cov + 1 AS cov FROM reads")
+@query("reads", "WITH o AS (SELECT site, cell, cov + 1 AS cov FROM reads), g AS (SELECT site, exp(avg(ln(cov))) AS geo FROM o GROUP BY site) SELECT cell, round(quantile_cont(cov / geo, 0.5), 6) AS size_factor FROM o JOIN g USING (site) GROUP BY cell")
 def p25_zero_coverage_mode(r):
-    return r.select("site", "cell", (F.col("cov") + 1).alias("cov"))
+    """Size factors where one is added to every coverage, so that none is zero."""
+    return reads.size_factors(reads.zero_coverage(r, 1)).select("cell", r6("size_factor").alias("size_factor"))
 
 
 # Joins
@@ -177,11 +173,6 @@ def a34_genes_by_branch(sites, g, nodes, gt):
     return genes.genes_by_branch(_branch_genes(sites, g, nodes, gt))
 
 
-@query("nodes", "SELECT node, event FROM (SELECT DISTINCT node, concat(parent, '>', node) AS event FROM nodes WHERE tree = 0 AND parent IS NOT NULL)")
-def t00_branches(nodes):
-    return nodes.where("tree = 0 AND parent IS NOT NULL").select("node", F.concat_ws(">", "parent", "node").alias("event")).distinct()
-
-
 @query("reads", "SELECT * FROM (SELECT concat('site', lpad(CAST(site AS VARCHAR), 6, '0')) AS pseudo, sum(cov) AS cov FROM reads GROUP BY site)")
 def j06_site_map(r):
     named = F.concat(F.lit("site"), F.lpad(F.col("site").cast("string"), 6, "0"))
@@ -441,10 +432,11 @@ def k05_vcf_records(sites, r, c):
     return calls.records(_variant_cells(sites, r, c), sites.withColumn("constant", -(F.col("site") % 90) / 3.0))
 
 
-@query("trace", "SELECT var, sample, round(value, 6) AS value FROM (SELECT *, rank() OVER (PARTITION BY var ORDER BY round(value, 1) DESC) AS k FROM trace) WHERE k = 1")
+@query("trace", "WITH m AS (SELECT var, sample % 20 AS config, max(floor(value / 5)) AS posterior FROM trace GROUP BY ALL) SELECT var, config, posterior FROM (SELECT *, rank() OVER (PARTITION BY var ORDER BY posterior DESC) AS k FROM m) WHERE k = 1")
 def a35_best_models(trace):
-    scored = trace.withColumn("score", F.round("value", 1))
-    return summaries.best_with_ties(scored, ["var"], "score").select("var", "sample", r6("value").alias("value"))
+    """For each model all of twenty configurations whose best sample has the largest log posterior."""
+    runs = trace.select("var", (F.col("sample") % 20).alias("config"), F.floor(F.col("value") / 5).cast("double").alias("posterior"))
+    return summaries.best_configurations(runs, ["var"], "config", "posterior").select("var", "config", "posterior")
 
 
 PATTERN_C = "c AS (SELECT pattern, count(*) AS weight, -1.0 - length(pattern) / 7.0 AS constant FROM (SELECT site, string_agg(CAST(cov AS VARCHAR), ';' ORDER BY cell) AS pattern FROM pattern_reads GROUP BY site) GROUP BY pattern)"
@@ -542,19 +534,23 @@ def f10_mixture_likelihoods(r):
     return _leaf_likelihoods(r).select("site", "cell", *[F.round(F.col("lik")[i], 3).alias(f"g{i}") for i in range(4)])
 
 
-def _leaf_components(r):
-    """(site, cell, lik, parts): genotype log likelihoods, and the components of each by dropout state."""
-    counts = [F.col(c).cast("double") for c in ("r1", "r2", "r3", "ref_reads")]
-    cov = F.col("cov").cast("double")
-    nuc = distributions.nucleotide_log_likelihoods(counts, cov, 0.01, 100.0, 2.0)
-    depth = {}
-    for k in (0, 1, 2):
-        p, size = distributions.coverage_moments(F.lit(float(k)), F.lit(20.0), F.lit(30.0), F.lit(1.0))
-        depth[k] = distributions.negative_binomial(cov, p, size)
-    staged = r.select("site", "cell", *[c.alias(f"d{n}") for n, c in nuc.items()], *[c.alias(f"c{k}") for k, c in depth.items()])
-    mixed = distributions.mixture({n: F.col(f"d{n}") for n in nuc}, {k: F.col(f"c{k}") for k in depth}, 0.1)
-    parts = staged.select("site", "cell", F.array(*[F.array(*x) for x in mixed.values()]).alias("parts"))
-    return parts.withColumn("lik", F.transform("parts", special.log_sum_exp))
+def _leaf_components(r, locus_dropout: bool = False):
+    return leaves.genotype_likelihoods(r, 0.01, 100.0, 2.0, 20.0, 30.0, 0.1, single=not locus_dropout)
+
+
+#: Components no, single and locus dropout of each genotype, dropout 0.1.
+LOCUS_SQL = f"""dm AS (SELECT site, cell, {_dm_sql("00")} AS d00, {_dm_sql("01")} AS d01, {_dm_sql("11")} AS d11, {_dm_sql("11x")} AS d11x, {_nb_sql(0)} AS c0, {_nb_sql(1)} AS c1, {_nb_sql(2)} AS c2 FROM reads),
+    one AS (SELECT *, greatest(d00, d11) + ln(1 + exp(-abs(d00 - d11))) AS het FROM dm),
+    parts AS (SELECT site, cell, unnest(range(4)) AS g, unnest([[d00 + c2 + 2 * ln(0.9), d00 + c1 + ln(0.9) + ln(0.1) + ln(2), c0 + 2 * ln(0.1)], [d01 + c2 + 2 * ln(0.9), het + c1 + ln(0.9) + ln(0.1), c0 + 2 * ln(0.1)],
+      [d11 + c2 + 2 * ln(0.9), d11 + c1 + ln(0.9) + ln(0.1) + ln(2), c0 + 2 * ln(0.1)], [d11x + c2 + 2 * ln(0.9), d11 + c1 + ln(0.9) + ln(0.1) + ln(2), c0 + 2 * ln(0.1)]]) AS x FROM one)"""
+
+
+@query("reads", f"WITH {LOCUS_SQL} SELECT site, cell, g, round(list_max(x) + ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))), 3) AS loglik, list_position(x, list_max(x)) - 1 AS dropped FROM parts")
+def f10_locus_dropout(r):
+    """Genotype likelihoods where both alleles may drop out, and the most likely number of dropped ones."""
+    rows = _leaf_components(r, locus_dropout=True).select("site", "cell", F.posexplode("parts").alias("g", "x"))
+    most = F.array_position("x", F.array_max("x")) - 1
+    return rows.select("site", "cell", F.col("g").cast("long").alias("g"), F.round(special.log_sum_exp(F.col("x")), 3).alias("loglik"), most.alias("dropped"))
 
 
 def _leaf_likelihoods(r):

@@ -40,3 +40,10 @@ def k11_annotated_tree(nodes):
         end("height_95%_HPD", 0).alias("hpd_low"), end("height_95%_HPD", 1).alias("hpd_high"), end("height_range", 0).alias("range_low"), end("height_range", 1).alias("range_high"),
         r6_at(meta("length")).alias("length_mean"),
     )
+
+
+@clade_query(VALUE_SQL.replace("SELECT label, round(h, 5) AS height, CASE", "SELECT label, CASE WHEN size = 1 OR credibility >= 0.9 THEN round(h, 5) END AS height_mean, CASE", 1).split(", round(h, 5) AS height_mean, CASE WHEN varies")[0] + " FROM e JOIN cred USING (clade)")
+def p13_posterior_limit(nodes):
+    """Clades below the limit tell their credibility alone."""
+    found = consensus.annotated_tree(nodes, ["height", "length"], limit=0.9)
+    return found.select("label", F.round(F.col("meta")["height"].cast("double"), 5).alias("height_mean"), F.round(F.col("meta")["posterior"].cast("double"), 5).alias("posterior"))

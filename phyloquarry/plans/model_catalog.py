@@ -7,7 +7,7 @@ from math import log
 from pyspark.sql import functions as F
 
 from ..functions import distributions, special
-from ..operators import calls, genes, likelihood, messages, reads, summaries, trees
+from ..operators import calls, consensus, genes, likelihood, messages, reads, summaries, trees
 from ..sinks import text as sinks
 from ..sources import text as sources
 from .catalog import BRANCH_SQL, VCF_SQL, _variant_cells, all_cells, cell_tree, clade_query, query, r6
@@ -15,16 +15,23 @@ from .catalog import BRANCH_SQL, VCF_SQL, _variant_cells, all_cells, cell_tree,
 Q4 = likelihood.rate_matrix(4)
 
 
-@query("reads")
-def f19_rate_matrix(r):
-    rows = [(i, j, float(Q4[i, j])) for i in range(4) for j in range(4)]
-    return r.sparkSession.createDataFrame(rows, "i int, j int, rate double").withColumn("rate", r6("rate"))
+RATE_SQL = ", ".join(f"('{p}', '{c}', {float(Q4[i, j])!r}::DOUBLE)" for i, p in enumerate(("0/0", "0/1", "1/1", "1/2")) for j, c in enumerate(("0/0", "0/1", "1/1", "1/2")) if i != j)
 
 
-@query("reads")
-def f22_gamma_rates(r):
-    rows = [(s, k, float(x)) for s in (0.3, 1.0, 4.0) for k, x in enumerate(likelihood.gamma_rates(s, 4))]
-    return r.sparkSession.createDataFrame(rows, "shape double, category int, rate double").withColumn("rate", r6("rate"))
+@query("nodes node_gt", f"WITH q(p, c, rate) AS (VALUES {RATE_SQL}), b AS (SELECT u.genotype AS p, k.genotype AS c, sum(m.height - n.height) AS time, count(*) AS n FROM node_gt k JOIN nodes n ON n.tree = 0 AND n.node = k.node JOIN nodes m ON m.tree = 0 AND m.node = n.parent JOIN node_gt u ON u.site = k.site AND u.node = n.parent WHERE u.genotype <> k.genotype GROUP BY ALL) SELECT p, c, n, round(rate * time, 4) AS expected FROM b JOIN q USING (p, c)")
+def f19_rate_matrix(nodes, gt):
+    """For each change of genotype how often it occurs, and the rate matrix's expectation over the branches it occurs on."""
+    own = consensus.with_lengths(nodes.where("tree = 0"))
+    pairs = genes.branch_pairs(own, gt).join(own.select("node", "length"), "node")
+    sums = pairs.groupBy(F.col("parent_gt").alias("p"), F.col("child_gt").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("time"))
+    return sums.join(F.broadcast(likelihood.rate_table(gt.sparkSession, 4)), ["p", "c"]).select("p", "c", "n", F.round(F.col("rate") * F.col("time"), 4).alias("expected"))  # 12 rates
+
+
+@query("trace")
+def f22_gamma_rates(trace):
+    """Rates of four categories for each sampled shape."""
+    shapes = trace.select("sample", "var", F.round(F.abs("value") / 20 + 0.05, 2).alias("shape"))
+    return likelihood.sampled_rates(shapes, 4).select("sample", "var", "category", r6("rate").alias("rate"))
 
 
 def branch_rows(tree):
@@ -204,24 +211,22 @@ def o05_background_order(b):
     return summaries.ranked(b, ["name"], ["n_reads", "occurrences"], "place").select("n_reads", F.col("place").cast("long").alias("place"))
 
 
-EVENT_COUNTS = "WITH e AS (SELECT site, genotype, count(*) AS n FROM calls GROUP BY site, genotype) SELECT site, string_agg(genotype::VARCHAR || ':' || n, ',' ORDER BY genotype) AS listed FROM e GROUP BY site"
-
-
-@query("calls", EVENT_COUNTS)
-def o08_sorted_codes(c):
-    each = c.groupBy("site", "genotype").agg(F.count(F.lit(1)).alias("n"))
-    text = F.concat_ws(":", F.col("genotype").cast("string"), F.col("n").cast("string"))
-    return each.groupBy("site").agg(F.array_join(F.sort_array(F.collect_list(text)), ",").alias("listed"))
+@query("nodes node_gt", f"WITH {BRANCH_SQL}, e AS (SELECT site, event, count(*) AS n FROM b GROUP BY site, event) SELECT site, string_agg(event || ':' || n, ',' ORDER BY event) AS listed FROM e GROUP BY site")
+def o08_sorted_codes(nodes, gt):
+    """The events of each site's branches by code, with their numbers."""
+    return genes.listed_events(genes.branch_events(nodes.where("tree = 0"), gt, genes.event_table(gt.sparkSession)), ["site"])
 
 
-@query("gt_trace", "SELECT DISTINCT site, genotype FROM gt_trace")
+@query("gt_trace", "WITH f AS (SELECT site, genotype, min(sample) AS first FROM gt_trace GROUP BY site, genotype) SELECT site, string_agg(genotype, ',' ORDER BY first, genotype) AS seen FROM f GROUP BY site")
 def u02_distinct_append(gt):
-    return gt.select("site", "genotype").distinct()
+    """Each site's genotypes in the order in which the samples bring them."""
+    return summaries.first_seen(gt, ["site"], "genotype", "sample").select("site", F.array_join("seen", ",").alias("seen"))
 
 
-@query("calls", "SELECT DISTINCT site FROM (SELECT site FROM calls WHERE genotype = 1 AND cell = 0 UNION SELECT site FROM calls WHERE genotype = 2 AND cell = 1)")
-def u03_changed_patterns(c):
-    return c.where("genotype = 1 AND cell = 0").select("site").unionByName(c.where("genotype = 2 AND cell = 1").select("site")).distinct()
+@query("nodes node_gt", "SELECT DISTINCT n.parent AS node, k.site FROM node_gt k JOIN nodes n ON n.tree = 0 AND n.node = k.node JOIN node_gt u ON u.site = k.site AND u.node = n.parent WHERE u.genotype <> k.genotype")
+def u03_changed_patterns(nodes, gt):
+    """The sites that change on any branch below each node."""
+    return genes.branch_pairs(nodes.where("tree = 0"), gt).select(F.col("parent").alias("node"), "site").distinct()
 
 
 @clade_query("SELECT a.clade AS part, b.clade AS whole FROM (SELECT DISTINCT clade, size FROM cl WHERE tree = 0 AND size > 1) a JOIN (SELECT DISTINCT clade, size FROM cl WHERE tree = 1 AND size > 1) b ON a.size < b.size AND list_has_all(string_split(b.clade, ','), string_split(a.clade, ','))")
