@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed now and read again from the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, now, and read again as a table in the shared folder.
+
+    Unlike a checkpoint it is computed a single time, and its size is known to the plans that read it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
