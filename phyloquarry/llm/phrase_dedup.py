@@ -2,20 +2,21 @@
 
 A window of WINDOW consecutive words is removed from a document if it also starts in one with a smaller id.
 
-1. Confirm recurring phrases: of every window the phrase of PHRASE words with the least hash is an anchor, so two
-   equal windows always share one. Anchors are grouped over all documents; those of two documents or more recur.
-2. Documents are dealt into shards of bounded size. A recurring phrase is sent to each shard that holds it as an
-   anchor, as a reference to one place in the shard's documents. A shard reads its phrases there, compiles them
-   into one Aho-Corasick automaton and streams all its documents through it; what the automaton finds, in whichever
-   document, are the phrases' occurrences. Windows whose anchor it found are grouped over all documents by the
-   BLAKE2b digest (128 bits) of their words, which stands for the words: the smallest document is a window's owner.
-   Only such windows are shuffled, combined before the shuffle.
-3. Owners are sent back to their shards, which stream their documents again and remove the words of each located
-   window that the document does not own.
-
-Automata, like shards, stay of one size however large the corpus; a phrase in a third of all documents is one
-entry in each automaton. Each group is handled by partial aggregation, never gathered. Rows without an id are
-left out of all this; their words are only joined.
+1. Confirm: of every window the phrase of PHRASE words with the least hash is an anchor, so two equal windows always
+   share one. Anchors are grouped over all documents; those of two documents or more recur. The smallest document
+   that has one is its home. Documents without any are done.
+2. Recurring phrases are dealt into shards by their homes, where their words are read. A document goes to each shard
+   that one of its anchors names, once; a shard that more than SHARD_BYTES of documents go to is split into parts,
+   with the same phrases in each. A part compiles its phrases into one Aho-Corasick automaton and streams its
+   documents through it whole. A window in which the automaton found a phrase, whichever one, is a candidate; no
+   hashes of words are looked at here. Candidates are grouped over all documents by the BLAKE2b digest (128 bits) of
+   their words, which stands for the words: the smallest document is a window's owner.
+3. Each document is told the runs of its candidates and the digests of those it owns; the words of all other
+   candidates go.
+
+Automata and parts stay of one size however large the corpus. A phrase, or a shard, that a large share of all documents
+holds is joined by a broadcast of such phrases or shards, of which there can only be few. Rows without an id are left
+out of all this; their words are only joined.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from .wordhash import U, Words, mix, parts
 WINDOW, PHRASE = 50, 12
 SHARD_BYTES = 2_000_000
 MOST = np.iinfo(np.uint64).max
+#: A key of more than one in HOT_SHARES of a shuffle partition's share of the rows is broadcast.
+HOT_SHARES = 4
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -85,60 +88,61 @@ class Windows:
         high = sliding(np.concatenate([edge, np.where(self.valid, self.least, U(0)), edge]), self.width, np.maximum)
         return (high == self.phrases) & (high > 0)
 
-    def at_places(self, rows: list[int], at: np.ndarray, width: int) -> np.ndarray:
-        """The word positions of the places ``at`` of ``rows`` that leave room for ``width`` words."""
-        rows = np.asarray(rows, np.int64)
-        row = self.words.row
-        fits = at + width <= row[rows + 1] - row[rows]
-        return (row[rows] + at)[fits]
-
-    def located(self, phrases: np.ndarray) -> np.ndarray:
-        """Where the automaton of the phrases that begin at the words ``phrases`` matches, as a flag for each word."""
-        flags = np.zeros(len(self.phrases), bool)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for text in {self.words.text(i, self.phrase) for i in phrases.tolist()}:
-            automaton.add_word(f" {text.decode('latin-1')} ")
-        if not len(automaton):
-            return flags
-        automaton.make_automaton()
-        row = self.words.row.tolist()
+
+class Phrases:
+    """One automaton of phrases, which are words joined by one space."""
+
+    def __init__(self, phrases: list[bytes], phrase: int) -> None:
+        self.phrase, self.automaton = phrase, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for text in phrases:
+            self.automaton.add_word(f" {text.decode('latin-1')} ")
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def starts(self, words: Words) -> np.ndarray:
+        """The words at which a phrase begins, in whichever row."""
+        row, out = words.row.tolist(), [np.zeros(0, np.int64)]
+        if not len(self.automaton):
+            return out[0]
         for i, (a, b) in enumerate(zip(row[:-1], row[1:], strict=True)):
             if b - a < self.phrase:
                 continue
-            line = b" ".join(self.words.of_row(i)).decode("latin-1")
-            ends = [e for e, _ in automaton.iter(f" {line} ")]
+            line = b" ".join(words.of_row(i)).decode("latin-1")
+            ends = [e for e, _ in self.automaton.iter(f" {line} ")]
             if ends:
-                sizes = self.words.end[a:b] - self.words.start[a:b] + 1
-                flags[a + np.searchsorted(np.cumsum(sizes), ends) + 1 - self.phrase] = True
-        return flags
-
-    def candidates(self, phrases: np.ndarray) -> np.ndarray:
-        """Windows (word positions) that have a located anchor."""
-        if not len(self.least) or not len(phrases):
-            return np.zeros(0, np.int64)
-        found = sliding(np.where(self.located(phrases), self.phrases, MOST), self.width, np.minimum)
-        return np.flatnonzero(self.valid & (found == self.least) & (found < MOST))
-
-    def in_row(self, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes by which the windows ``at`` of one row are told apart."""
-        if not len(at):
-            return np.zeros(0, U)
-        return keyed(self.row_of[at], self.words.runs(self.window)[at])
-
-    def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two halves of the digest of the words of each of the windows ``at``, which are in order."""
-        row_of, row, starts, n = self.row_of[at], self.words.row, self.words.start, self.window
-        out, last, text, ends = [], -1, b"", []
-        for i, r in zip(at.tolist(), row_of.tolist(), strict=True):
-            if r != last:
-                a, b = row[r], row[r + 1]
-                text, last = b" ".join(self.words.of_row(r)), r
-                ends = np.concatenate(([0], np.cumsum(self.words.end[a:b] - starts[a:b] + 1))).tolist()
-                view = memoryview(text)
-            k = i - a
-            out.append(blake2b(view[ends[k] : ends[k + n] - 1], digest_size=16).digest())
-        both = np.frombuffer(b"".join(out) or bytearray(), np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+                sizes = words.end[a:b] - words.start[a:b] + 1
+                out.append(a + np.searchsorted(np.cumsum(sizes), np.array(ends)) + 1 - self.phrase)
+        return np.concatenate(out)
+
+
+def rows_of_words(words: Words) -> np.ndarray:
+    """The row of each word."""
+    return np.repeat(np.arange(len(words.row) - 1), np.diff(words.row))
+
+
+def windows_over(words: Words, starts: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Windows of one row (their first words) that hold a phrase which begins at one of ``starts``."""
+    if len(words) < window or not len(starts):
+        return np.zeros(0, np.int64)
+    flags = np.zeros(len(words) - phrase + 1, bool)
+    flags[starts] = True
+    row = rows_of_words(words)
+    return np.flatnonzero(sliding(flags, window - phrase + 1, np.logical_or) & (row[: len(row) - window + 1] == row[window - 1 :]))
+
+
+def digests(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the digest of the words of each of the windows ``at``, which are in order."""
+    row_of, row, starts = rows_of_words(words)[at], words.row, words.start
+    out, last, ends = [], -1, []
+    for i, r in zip(at.tolist(), row_of.tolist(), strict=True):
+        if r != last:
+            a, b = row[r], row[r + 1]
+            view, last = memoryview(b" ".join(words.of_row(r))), r
+            ends = np.concatenate(([0], np.cumsum(words.end[a:b] - starts[a:b] + 1))).tolist()
+        k = i - a
+        out.append(blake2b(view[ends[k] : ends[k + window] - 1], digest_size=16).digest())
+    both = np.frombuffer(b"".join(out) or bytearray(), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def keyed(row: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -146,81 +150,122 @@ def keyed(row: np.ndarray, x: np.ndarray) -> np.ndarray:
     return mix(x ^ mix(row.astype(U) + U(1)))
 
 
+def of_shares(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, one a key, where ``n`` adds up to ``total`` at most over all keys.
+
+    Keys with more than one in HOT_SHARES of a shuffle partition's share are joined by a broadcast: there are fewer
+    than HOT_SHARES a partition. The others can't fill a task.
+    """
+    hot = F.col(n) * (HOT_SHARES * partitions(rows.sparkSession)) > total
+    return rows.join(F.broadcast(facts.where(hot)), key).unionByName(rows.join(facts.where(~hot), key))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(id, ``n_words``, ``n_removed``, ``kept``) for each row; ``kept`` joins the words left by one space.
 
     Windows are judged on the input. A null text has no words. Rows with a null id neither lose words nor make
-    others lose them; rows that share an id do not affect each other, and meet in one shard: ids are meant to be
-    keys. Empty tables give no rows; other columns are not carried.
+    others lose them; rows that share an id do not affect each other, whatever their texts, and meet in one shard:
+    ids are meant to be keys. Empty tables give no rows; other columns are not carried.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     arrow_kind, name = to_arrow_type(kind), kind.simpleString()
     size = docs.agg(F.coalesce(F.sum(utf8_bytes(F.col(text_col))), F.lit(0)).alias("n")).first().n
     shards = max(ceil(size / SHARD_BYTES), 4 * partitions(spark))
-    named = docs.where(F.col(id_col).isNotNull())
-    dealt = named.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shard_of = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named = rows.where("id is not null")
 
     def anchors(batches):
         for whole in batches:
-            for batch in parts(whole, 2):
-                found = Windows(batch.column(2), window, phrase)
+            for batch in parts(whole, 1):
+                found = Windows(batch.column(1), window, phrase)
                 at = np.flatnonzero(found.anchors())
                 if len(at):
                     at = at[np.unique(keyed(found.row_of[at], found.phrases[at]), return_index=True)[1]]
                     row = found.row_of[at]
                     inner = pa.array((at - found.words.row[row]).astype(np.int32))
-                    row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(found.phrases[at].view(np.int64)), inner], ["shard", "id", "anchor", "at"])
-
-    rows = written(dealt.where("text is not null").mapInArrow(anchors, f"shard int, id {name}, anchor bigint, at int"))
-    recurring = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    places = rows.groupBy("shard", "anchor").agg(F.min(F.struct("id", "at")).alias("p"))
-    routed = written(places.join(recurring, "anchor").select("shard", "anchor", "p.id", "p.at"))
-
-    def rows_of(ids: pa.Array, wanted: pa.Table) -> tuple[list[int], np.ndarray]:
-        """The rows of each wanted id, and the wanted place in each."""
-        by: dict = {}
-        for i, x in enumerate(ids.to_pylist()):
-            by.setdefault(x, []).append(i)
-        pairs = [(i, a) for x, a in zip(wanted.column("id").to_pylist(), wanted.column("at").to_pylist(), strict=True) for i in by.get(x, ())]
-        return [i for i, _ in pairs], np.array([a for _, a in pairs], np.int64)
-
-    def confirmed(found: Windows, ids: pa.Array, wanted: pa.Table) -> np.ndarray:
-        """Where the phrases sent to this shard stand in its documents (rows that share an id may hold other words)."""
-        at = found.at_places(*rows_of(ids, wanted), phrase)
-        known = np.asarray(wanted.column("anchor"), np.int64).view(U)
-        return at[among(found.phrases[at], known)]
-
-    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, text = left.column("id").combine_chunks(), left.column("text").combine_chunks()
-        known = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("id", arrow_kind), ("shard", pa.int32()), ("at", pa.int32())])
+                    sizes = pa.array(np.diff(found.words.offsets)[row])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(found.phrases[at].view(np.int64)), inner, sizes], ["id", "anchor", "at", "size"])
+
+    held = written(named.where("text is not null").mapInArrow(anchors, f"id {name}, anchor bigint, at int, size bigint"))
+    homes = held.groupBy("anchor").agg(F.min(F.struct("id", "at")).alias("home"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    homes = written(homes.where("home.id < last").select("anchor", "home.id", "home.at", "n"))
+    total = held.count()
+    routes = of_shares(held.select("id", "anchor", "size"), homes.select("anchor", shard_of.alias("shard"), "n"), "anchor", "n", total)
+    routes = written(routes.groupBy("id", "shard").agg(F.max("size").alias("size")))
+    loads = written(routes.groupBy("shard").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("parts"), F.count(F.lit(1)).alias("n")))
+    routes = of_shares(routes, loads, "shard", "n", routes.count()).select("id", "shard", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part"))
+    ids = routes.select("id").distinct()
+    involved = written(named.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("tag"), "text"))
+
+    def texts(batches):
+        for whole in batches:
+            for batch in parts(whole, 0):
+                found = Windows(batch.column(0), window, phrase)
+                row, out = found.words.row, set()
+                for i, wanted in enumerate(batch.column(1).to_pylist()):
+                    for x in wanted:  # rows that share an id may hold other words at this place
+                        k = int(row[i]) + x["at"]
+                        if k + phrase <= row[i + 1] and found.phrases[k].view(np.int64) == x["anchor"]:
+                            out.add((batch.column(2)[i].as_py(), found.words.text(k, phrase)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([t for _, t in out], pa.binary())], ["shard", "phrase"])
+
+    wanted = homes.groupBy("id").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))  # fewer than the document's words
+    phrases = written(involved.join(wanted, "id").select("text", "wanted", shard_of.alias("shard")).mapInArrow(texts, "shard int, phrase binary"))
+    phrases = phrases.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "phrase")
+
+    known = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("id", arrow_kind), ("tag", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The digests of candidates, and the runs of them (``high`` is null)."""
         if not left.num_rows or not right.num_rows:
             return known.empty_table()
-        found = Windows(text, window, phrase)
-        at = found.candidates(confirmed(found, ids, right))
+        ids_, tags = left.column("id").combine_chunks(), left.column("tag").combine_chunks()
+        words = Words(left.column("text").combine_chunks())
+        at = windows_over(words, Phrases(right.column("phrase").to_pylist(), phrase).starts(words), window, phrase)
         if not len(at):
             return known.empty_table()
-        at = np.sort(at[np.unique(found.in_row(at), return_index=True)[1]])
-        high, low = found.digests(at)
-        row = found.row_of[at]
-        inner = (at - found.words.row[row]).astype(np.int32)
-        shard = pa.array(np.full(len(at), left.column("shard")[0].as_py(), np.int32))
-        return pa.Table.from_arrays([pa.array(high), pa.array(low), ids.take(pa.array(row)), shard, pa.array(inner)], schema=known)
+        row = rows_of_words(words)[at]
+        breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(row) != 0)) + 1
+        first, last = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(at)])) - 1
+        inner = (at - words.row[row]).astype(np.int32)
+        there = pa.array(row[first])
+        none = pa.nulls(len(first), pa.int64())
+        runs = pa.Table.from_arrays([none, none, ids_.take(there), tags.take(there), pa.array(inner[first]), pa.array(inner[last])], schema=known)
+        high, low = digests(words, at, window)
+        one = np.sort(np.unique(keyed(row, high.view(U) ^ mix(low.view(U))), return_index=True)[1])
+        none = pa.nulls(len(one), pa.int32())
+        marks = pa.Table.from_arrays([pa.array(high[one]), pa.array(low[one]), ids_.take(pa.array(row[one])), pa.nulls(len(one), pa.int64()), none, none], schema=known)
+        return pa.concat_tables([runs, marks])
+
+    kept_as = pa.schema([("id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, text = left.column("id").combine_chunks(), left.column("text").combine_chunks()
-        shape = pa.schema([("id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         if not left.num_rows:
-            return shape.empty_table()
-        found = Windows(text, window, phrase)
-        words, row = found.words, found.words.row
+            return kept_as.empty_table()
+        ids_ = left.column("id").combine_chunks()
+        words = Words(left.column("text").combine_chunks())
+        row = words.row
         gone = np.zeros(len(words) + 1, np.int64)
-        is_owner = right.column("anchor").is_null()
-        at = found.candidates(confirmed(found, ids, right.filter(pc.invert(is_owner))))
+        is_run = right.column("high").is_null()
+        runs, owned = right.filter(is_run), right.filter(pc.invert(is_run))
+        where: dict = {}
+        for i, x in enumerate(zip(ids_.to_pylist(), left.column("tag").to_pylist(), strict=True)):
+            where.setdefault(x, []).append(i)
+        at = [np.zeros(0, np.int64)]
+        for x, t, a, b in zip(*(runs.column(c).to_pylist() for c in ("id", "tag", "first", "last")), strict=True):
+            at += [np.arange(a, b + 1) + row[i] for i in where.get((x, t), ())]
+        at = np.unique(np.concatenate(at))
         if len(at):
-            place = found.at_places(*rows_of(ids, right.filter(is_owner)), window)
-            at = at[~among(found.in_row(at), found.in_row(place))]
+            names = pc.unique(ids_)
+            code = np.asarray(pc.index_in(ids_, value_set=names), np.int64)
+            high, low = digests(words, at, window)
+            mine = keyed(code[rows_of_words(words)[at]], high.view(U) ^ mix(low.view(U)))
+            own = pc.index_in(owned.column("id").combine_chunks(), value_set=names).fill_null(-1)
+            high, low = (np.asarray(owned.column(c).combine_chunks(), np.int64).view(U) for c in ("high", "low"))
+            at = at[~among(mine, keyed(np.asarray(own, np.int64), high ^ mix(low)))]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone[:-1]) > 0
@@ -231,22 +276,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if removed[b] > removed[a]:
                 stay = compress(stay, (~gone[a:b]).tolist())
             kept.append(b" ".join(stay).decode())
-        return pa.Table.from_arrays([ids, pa.array(np.diff(row).astype(np.int64)), pa.array(removed[row[1:]] - removed[row[:-1]]), pa.array(kept, pa.string())], schema=shape)
+        return pa.Table.from_arrays([ids_, pa.array(np.diff(row).astype(np.int64)), pa.array(removed[row[1:]] - removed[row[:-1]]), pa.array(kept, pa.string())], schema=kept_as)
 
-    by_shard = dealt.groupBy("shard")
-    found = by_shard.cogroup(routed.groupBy("shard")).applyInArrow(windows, f"high bigint, low bigint, id {name}, shard int, at int")
-    owner = found.groupBy("high", "low").agg(F.min(F.struct("id", "shard", "at")).alias("o"))
-    owned = owner.select("o.shard", F.lit(None).cast("bigint").alias("anchor"), "o.id", "o.at")
-    kept = by_shard.cogroup(routed.unionByName(owned).groupBy("shard")).applyInArrow(strip, f"id {name}, n_words bigint, n_removed bigint, kept string")
+    dealt = involved.join(routes, "id").groupBy("shard", "part")
+    found = written(dealt.cogroup(phrases.groupBy("shard", "part")).applyInArrow(locate, f"high bigint, low bigint, id {name}, tag bigint, first int, last int"))
+    owners = found.where("high is not null").groupBy("high", "low").agg(F.min("id").alias("id"))
+    marks = found.where("high is null").unionByName(owners, allowMissingColumns=True)
+    by_shard = involved.withColumn("shard", shard_of).groupBy("shard")
+    changed = by_shard.cogroup(marks.withColumn("shard", shard_of).groupBy("shard")).applyInArrow(strip, f"id {name}, n_words bigint, n_removed bigint, kept string")
 
     def joined(batches):
         for batch in batches:
             words = [(x or "").encode().split() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = nameless.mapInArrow(joined, f"id {name}, n_words bigint, n_removed bigint, kept string")
-    return kept.unionByName(whole).withColumnRenamed("id", id_col)
+    same = named.join(ids, "id", "left_anti").unionByName(rows.where("id is null"))
+    whole = same.mapInArrow(joined, f"id {name}, n_words bigint, n_removed bigint, kept string")
+    return changed.unionByName(whole).withColumnRenamed("id", id_col)
 
 
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

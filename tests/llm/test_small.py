@@ -230,11 +230,50 @@ def test_automaton_finds_phrases_wherever_they_stand():
 
     base = words(40, 60)
     phrase = " ".join(base.split()[20:32])
-    short = f"before {phrase}\tafter"  # no window, so no anchor of its own
-    found = phrase_dedup.Windows(pa.array([base, short, None, words(41, 80)]), 50, 12)
-    flags = found.located(np.array([20]))
-    assert np.flatnonzero(flags).tolist() == [20, 61]
-    assert not found.anchors()[60:74].any()
+    texts = pa.array([base, f"before {phrase}\tafter", None, words(41, 30) + f"\n{phrase} " + words(42, 40)])
+    found = phrase_dedup.Windows(texts, 50, 12)
+    at = phrase_dedup.Phrases([phrase.encode()], 12).starts(found.words)
+    assert at.tolist() == [20, 61, 104]
+    assert found.phrases[104] == found.phrases[20]
+    candidates = phrase_dedup.windows_over(found.words, at, 50, 12)
+    assert candidates.tolist() == [*range(0, 11), *range(74, 105)]  # each window that holds it; none over two rows
+    # of the last row, windows whose own anchor is another phrase are candidates by what was found alone
+    assert (found.least[candidates] != found.phrases[20]).any()
+
+
+def test_phrases_come_from_the_automaton_alone(spark, monkeypatch):
+    data = [(i, words(60 + i, 20) + " " + words(8, 120) + " " + words(80 + i, 20)) for i in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    removed = lambda: {r.doc_id: r.n_removed for r in phrase_dedup.remove_repeats(docs).collect()}
+    assert removed() == {i: n for i, _, n, _ in removed_brute(data)} == {0: 0, 1: 120, 2: 120, 3: 120}
+
+    class Deaf(phrase_dedup.Phrases):
+        def starts(self, words):
+            return np.zeros(0, np.int64)
+
+    monkeypatch.setattr(phrase_dedup, "Phrases", Deaf)
+    assert set(removed().values()) == {0}
+
+
+def test_phrases_of_rows_that_share_an_id(spark):
+    passage = words(8, 60)
+    data = [(2, passage + " " + words(90, 70)), (2, words(91, 55) + " " + passage), (2, passage + " " + words(90, 70)), (1, words(92, 80)), (3, words(93, 9) + " " + passage)]
+    got = phrase_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(removed_brute(data))
+
+
+def test_phrases_of_a_hot_passage(spark):
+    passage = words(8, 70).split()
+    data = [(i, " ".join([*words(1000 + i, 30, 5000).split(), *(passage[i % 9 : 52 + i % 19] if i % 3 == 0 else []), *words(3000 + i, 30, 5000).split()])) for i in range(300)]
+    data += [(1000 + i, " ".join(words(1000 + i, 30, 5000).split() + passage)) for i in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    had = phrase_dedup.SHARD_BYTES
+    try:
+        phrase_dedup.SHARD_BYTES = 4_000  # the passage's shard falls into many parts
+        got = phrase_dedup.remove_repeats(frame).collect()
+    finally:
+        phrase_dedup.SHARD_BYTES = had
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(removed_brute(data))
 
 
 def test_phrases_without_ids(spark):
