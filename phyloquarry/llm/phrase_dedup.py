@@ -10,7 +10,8 @@ A window of WINDOW consecutive words is removed from a document if it also start
    with the same phrases in each. A part compiles its phrases into one Aho-Corasick automaton and streams its
    documents through it whole. A window in which the automaton found a phrase, whichever one, is a candidate; no
    hashes of words are looked at here. Candidates are grouped over all documents by the BLAKE2b digest (128 bits) of
-   their words, which stands for the words: the smallest document is a window's owner.
+   their words, which stands for the words: the smallest document is a window's owner. Only the smallest document of
+   a part leaves it.
 3. Each document is told the runs of its candidates and the digests of those it owns; the words of all other
    candidates go.
 
@@ -195,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     routes = of_shares(held.select("id", "anchor", "size"), homes.select("anchor", shard_of.alias("shard"), "n"), "anchor", "n", total)
     routes = written(routes.groupBy("id", "shard").agg(F.max("size").alias("size")))
     loads = written(routes.groupBy("shard").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("parts"), F.count(F.lit(1)).alias("n")))
-    routes = of_shares(routes, loads, "shard", "n", routes.count()).select("id", "shard", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part"))
+    routes = written(of_shares(routes, loads, "shard", "n", routes.count()).select("id", "shard", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part")))
     ids = routes.select("id").distinct()
     involved = written(named.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("tag"), "text"))
 
@@ -216,29 +217,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = written(involved.join(wanted, "id").select("text", "wanted", shard_of.alias("shard")).mapInArrow(texts, "shard int, phrase binary"))
     phrases = phrases.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "phrase")
 
-    known = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("id", arrow_kind), ("tag", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    def candidates(left: pa.Table, right: pa.Table) -> tuple[Words, np.ndarray]:
+        words = Words(left.column("text").combine_chunks())
+        return words, windows_over(words, Phrases(right.column("phrase").to_pylist(), phrase).starts(words), window, phrase)
+
+    seen_as = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("id", arrow_kind)])
 
-    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The digests of candidates, and the runs of them (``high`` is null)."""
+    def seen(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The digest of each candidate with the least of the part's ids that have it."""
         if not left.num_rows or not right.num_rows:
-            return known.empty_table()
-        ids_, tags = left.column("id").combine_chunks(), left.column("tag").combine_chunks()
-        words = Words(left.column("text").combine_chunks())
-        at = windows_over(words, Phrases(right.column("phrase").to_pylist(), phrase).starts(words), window, phrase)
+            return seen_as.empty_table()
+        words, at = candidates(left, right)
+        high, low = digests(words, at, window)
+        ids_ = left.column("id").combine_chunks()
+        rank = np.asarray(pc.rank(ids_, tiebreaker="dense")).astype(np.int64)
+        row = rows_of_words(words)[at]
+        order = np.lexsort((rank[row], low, high))
+        high, low, row = high[order], low[order], row[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        return pa.Table.from_arrays([pa.array(high[first]), pa.array(low[first]), ids_.take(pa.array(row[first]))], schema=seen_as)
+
+    run_as = pa.schema([("id", arrow_kind), ("tag", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def located(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The runs of candidates of each row, by the places of their first and last."""
+        if not left.num_rows or not right.num_rows:
+            return run_as.empty_table()
+        words, at = candidates(left, right)
         if not len(at):
-            return known.empty_table()
+            return run_as.empty_table()
         row = rows_of_words(words)[at]
         breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(row) != 0)) + 1
         first, last = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(at)])) - 1
         inner = (at - words.row[row]).astype(np.int32)
         there = pa.array(row[first])
-        none = pa.nulls(len(first), pa.int64())
-        runs = pa.Table.from_arrays([none, none, ids_.take(there), tags.take(there), pa.array(inner[first]), pa.array(inner[last])], schema=known)
-        high, low = digests(words, at, window)
-        one = np.sort(np.unique(keyed(row, high.view(U) ^ mix(low.view(U))), return_index=True)[1])
-        none = pa.nulls(len(one), pa.int32())
-        marks = pa.Table.from_arrays([pa.array(high[one]), pa.array(low[one]), ids_.take(pa.array(row[one])), pa.nulls(len(one), pa.int64()), none, none], schema=known)
-        return pa.concat_tables([runs, marks])
+        return pa.Table.from_arrays([left.column("id").combine_chunks().take(there), left.column("tag").combine_chunks().take(there), pa.array(inner[first]), pa.array(inner[last])], schema=run_as)
 
     kept_as = pa.schema([("id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -249,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         words = Words(left.column("text").combine_chunks())
         row = words.row
         gone = np.zeros(len(words) + 1, np.int64)
-        is_run = right.column("high").is_null()
+        is_run = right.column("owned").is_null()
         runs, owned = right.filter(is_run), right.filter(pc.invert(is_run))
         where: dict = {}
         for i, x in enumerate(zip(ids_.to_pylist(), left.column("tag").to_pylist(), strict=True)):
@@ -261,11 +275,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(at):
             names = pc.unique(ids_)
             code = np.asarray(pc.index_in(ids_, value_set=names), np.int64)
-            high, low = digests(words, at, window)
-            mine = keyed(code[rows_of_words(words)[at]], high.view(U) ^ mix(low.view(U)))
+            mine = keyed(code[rows_of_words(words)[at]], digests(words, at, window)[0].view(U))
             own = pc.index_in(owned.column("id").combine_chunks(), value_set=names).fill_null(-1)
-            high, low = (np.asarray(owned.column(c).combine_chunks(), np.int64).view(U) for c in ("high", "low"))
-            at = at[~among(mine, keyed(np.asarray(own, np.int64), high ^ mix(low)))]
+            at = at[~among(mine, keyed(np.asarray(own, np.int64), np.asarray(owned.column("owned").combine_chunks(), np.int64).view(U)))]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone[:-1]) > 0
@@ -278,10 +290,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join(stay).decode())
         return pa.Table.from_arrays([ids_, pa.array(np.diff(row).astype(np.int64)), pa.array(removed[row[1:]] - removed[row[:-1]]), pa.array(kept, pa.string())], schema=kept_as)
 
-    dealt = involved.join(routes, "id").groupBy("shard", "part")
-    found = written(dealt.cogroup(phrases.groupBy("shard", "part")).applyInArrow(locate, f"high bigint, low bigint, id {name}, tag bigint, first int, last int"))
-    owners = found.where("high is not null").groupBy("high", "low").agg(F.min("id").alias("id"))
-    marks = found.where("high is null").unionByName(owners, allowMissingColumns=True)
+    streams = involved.join(routes, "id").groupBy("shard", "part").cogroup(phrases.groupBy("shard", "part"))
+    owners = streams.applyInArrow(seen, f"high bigint, low bigint, id {name}").groupBy("high", "low").agg(F.min("id").alias("id"))
+    owned = owners.select("id", F.col("high").alias("owned"))  # inside one document, half a digest tells windows apart
+    marks = streams.applyInArrow(located, f"id {name}, tag bigint, first int, last int").unionByName(owned, allowMissingColumns=True)
     by_shard = involved.withColumn("shard", shard_of).groupBy("shard")
     changed = by_shard.cogroup(marks.withColumn("shard", shard_of).groupBy("shard")).applyInArrow(strip, f"id {name}, n_words bigint, n_removed bigint, kept string")
 
