@@ -4,7 +4,7 @@ A window of WINDOW consecutive words is removed from a document if it also start
 
 1. Confirm: of every window the phrase of PHRASE words with the least hash is an anchor, so two equal windows always
    share one. Anchors are grouped over all documents; those of two documents or more recur. The smallest document
-   that has one is its home. Documents without any are done.
+   that has one is its home.
 2. Recurring phrases are dealt into shards by their homes, where their words are read. A document goes to each shard
    that one of its anchors names, once; a shard that more than SHARD_BYTES of documents go to is split into parts,
    with the same phrases in each. A part compiles its phrases into one Aho-Corasick automaton and streams its
@@ -165,8 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, ``n_words``, ``n_removed``, ``kept``) for each row; ``kept`` joins the words left by one space.
 
     Windows are judged on the input. A null text has no words. Rows with a null id neither lose words nor make
-    others lose them; rows that share an id do not affect each other, whatever their texts, and meet in one shard:
-    ids are meant to be keys. Empty tables give no rows; other columns are not carried.
+    others lose them; rows that share an id do not affect each other, whatever their texts. Empty tables give no rows; other columns are not carried.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
@@ -197,9 +196,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     routes = written(routes.groupBy("id", "shard").agg(F.max("size").alias("size")))
     loads = written(routes.groupBy("shard").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("parts"), F.count(F.lit(1)).alias("n")))
     routes = written(of_shares(routes, loads, "shard", "n", routes.count()).select("id", "shard", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part")))
-    ids = routes.select("id").distinct()
-    involved = written(named.join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("tag"), "text"))
-
     def texts(batches):
         for whole in batches:
             for batch in parts(whole, 0):
@@ -213,8 +209,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([t for _, t in out], pa.binary())], ["shard", "phrase"])
 
+    # Texts are shuffled by id once: all three joins below read the same exchange, at every size.
     wanted = homes.groupBy("id").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))  # fewer than the document's words
-    phrases = written(involved.join(wanted, "id").select("text", "wanted", shard_of.alias("shard")).mapInArrow(texts, "shard int, phrase binary"))
+    phrases = named.join(wanted.hint("merge"), "id").select("text", "wanted", shard_of.alias("shard")).mapInArrow(texts, "shard int, phrase binary")
     phrases = phrases.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "phrase")
 
     def candidates(left: pa.Table, right: pa.Table) -> tuple[Words, np.ndarray]:
@@ -254,56 +251,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         there = pa.array(row[first])
         return pa.Table.from_arrays([left.column("id").combine_chunks().take(there), left.column("tag").combine_chunks().take(there), pa.array(inner[first]), pa.array(inner[last])], schema=run_as)
 
-    kept_as = pa.schema([("id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-
-    def strip(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return kept_as.empty_table()
-        ids_ = left.column("id").combine_chunks()
-        words = Words(left.column("text").combine_chunks())
-        row = words.row
-        gone = np.zeros(len(words) + 1, np.int64)
-        is_run = right.column("owned").is_null()
-        runs, owned = right.filter(is_run), right.filter(pc.invert(is_run))
-        where: dict = {}
-        for i, x in enumerate(zip(ids_.to_pylist(), left.column("tag").to_pylist(), strict=True)):
-            where.setdefault(x, []).append(i)
-        at = [np.zeros(0, np.int64)]
-        for x, t, a, b in zip(*(runs.column(c).to_pylist() for c in ("id", "tag", "first", "last")), strict=True):
-            at += [np.arange(a, b + 1) + row[i] for i in where.get((x, t), ())]
-        at = np.unique(np.concatenate(at))
-        if len(at):
-            names = pc.unique(ids_)
-            code = np.asarray(pc.index_in(ids_, value_set=names), np.int64)
-            mine = keyed(code[rows_of_words(words)[at]], digests(words, at, window)[0].view(U))
-            own = pc.index_in(owned.column("id").combine_chunks(), value_set=names).fill_null(-1)
-            at = at[~among(mine, keyed(np.asarray(own, np.int64), np.asarray(owned.column("owned").combine_chunks(), np.int64).view(U)))]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + window, -1)
-        gone = np.cumsum(gone[:-1]) > 0
-        kept = []
-        removed = np.concatenate(([0], np.cumsum(gone)))
-        for i, (a, b) in enumerate(zip(row[:-1], row[1:], strict=True)):
-            stay = words.of_row(i)
-            if removed[b] > removed[a]:
-                stay = compress(stay, (~gone[a:b]).tolist())
-            kept.append(b" ".join(stay).decode())
-        return pa.Table.from_arrays([ids_, pa.array(np.diff(row).astype(np.int64)), pa.array(removed[row[1:]] - removed[row[:-1]]), pa.array(kept, pa.string())], schema=kept_as)
-
-    streams = involved.join(routes, "id").groupBy("shard", "part").cogroup(phrases.groupBy("shard", "part"))
+    def strip(batches):
+        for whole in batches:
+            for batch in parts(whole, 1):
+                ids_, words = batch.column(0), Words(batch.column(1))
+                row = words.row
+                gone = np.zeros(len(words) + 1, np.int64)
+                spots, protected = [np.zeros(0, np.int64)], []
+                for i, (tag, runs, owned) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
+                    runs = [np.arange(x["first"], x["last"] + 1) for x in runs or () if x["tag"] == tag]
+                    spots.append(row[i] + np.unique(np.concatenate(runs)) if runs else spots[0])
+                    protected.append(np.array(owned or [], np.int64))
+                high = digests(words, np.concatenate(spots), window)[0]
+                for at, owned, mine in zip(spots[1:], protected, np.split(high, np.cumsum([len(x) for x in spots[1:-1]])), strict=True):
+                    if len(at):
+                        at = at[~among(mine, owned)]
+                        np.add.at(gone, at, 1)
+                        np.add.at(gone, at + window, -1)
+                gone = np.cumsum(gone[:-1]) > 0
+                kept = []
+                removed = np.concatenate(([0], np.cumsum(gone)))
+                for i, (a, b) in enumerate(zip(row[:-1], row[1:], strict=True)):
+                    stay = words.of_row(i)
+                    if removed[b] > removed[a]:
+                        stay = compress(stay, (~gone[a:b]).tolist())
+                    kept.append(b" ".join(stay).decode())
+                yield pa.RecordBatch.from_arrays([ids_, pa.array(np.diff(row).astype(np.int64)), pa.array((removed[row[1:]] - removed[row[:-1]]).astype(np.int64)), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+
+    routed = named.join(routes.hint("merge"), "id").select("id", F.xxhash64("text").alias("tag"), "text", "shard", "part")
+    streams = routed.groupBy("shard", "part").cogroup(phrases.groupBy("shard", "part"))
     owners = streams.applyInArrow(seen, f"high bigint, low bigint, id {name}").groupBy("high", "low").agg(F.min("id").alias("id"))
     owned = owners.select("id", F.col("high").alias("owned"))  # inside one document, half a digest tells windows apart
-    marks = streams.applyInArrow(located, f"id {name}, tag bigint, first int, last int").unionByName(owned, allowMissingColumns=True)
-    by_shard = involved.withColumn("shard", shard_of).groupBy("shard")
-    changed = by_shard.cogroup(marks.withColumn("shard", shard_of).groupBy("shard")).applyInArrow(strip, f"id {name}, n_words bigint, n_removed bigint, kept string")
+    runs = streams.applyInArrow(located, f"id {name}, tag bigint, first int, last int")
+    run = F.when(F.col("tag").isNotNull(), F.struct("tag", "first", "last"))
+    marks = runs.unionByName(owned, allowMissingColumns=True).groupBy("id").agg(F.collect_list(run).alias("runs"), F.collect_list("owned").alias("owned"))  # no more than words, in each
+    marked = named.join(marks.hint("merge"), "id", "left").select("id", "text", F.xxhash64("text").alias("tag"), "runs", "owned")
+    schema = f"id {name}, n_words bigint, n_removed bigint, kept string"
+    changed = marked.mapInArrow(strip, schema)
 
     def joined(batches):
         for batch in batches:
             words = [(x or "").encode().split() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    same = named.join(ids, "id", "left_anti").unionByName(rows.where("id is null"))
-    whole = same.mapInArrow(joined, f"id {name}, n_words bigint, n_removed bigint, kept string")
+    whole = rows.where("id is null").mapInArrow(joined, schema)
     return changed.unionByName(whole).withColumnRenamed("id", id_col)
 
 
