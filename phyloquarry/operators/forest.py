@@ -3,8 +3,8 @@
 Trees are rows (tree, node, parent, length); a node's level is 0 at tips and one above its highest child elsewhere. A
 row of partials belongs to a node, a rate category and a pattern. At level L every row whose parent is of that level
 becomes a message to it, all others stay; one sum over (tree, category, pattern, node) then makes the partials of
-the new nodes. So there are as many steps as levels, whatever the number of trees, nodes and patterns; rows are dealt by
-(tree, category, pattern) once and only the table of branches is joined. Beside each partial climbs that of a constant
+the new nodes. So there are as many steps as levels, whatever the number of trees, nodes and patterns; rows are dealt once, by
+pattern, or by (tree, category, pattern) where patterns are few, and only the table of branches is joined. Beside each partial climbs that of a constant
 site, whose tips all have the root's genotype.
 """
 
@@ -28,6 +28,8 @@ CUT = 8
 MOST_BROADCAST = 20_000
 #: ln of the smallest positive double, which stands for an impossible transition.
 LEAST = math.log(5e-324)
+#: What the largest of a node's exponentials is raised by: four of them are still far below the largest double.
+SHIFT = 600.0
 
 
 def transitions(q: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -78,13 +80,22 @@ def branches(nodes: DataFrame, q: np.ndarray, rates: list[float]) -> DataFrame:
     return kept(inner.unionByName(root))
 
 
+def _scaled(partial: list[str]) -> list[Column]:
+    """exp(partial[h] - top + SHIFT) of each h as e_<name>, and top as t_<name of the first>."""
+    top = F.greatest(*partial)
+    return [F.exp(F.col(x) - top + SHIFT).alias(f"e_{x}") for x in partial] + [top.alias(f"t_{partial[0]}")]
+
+
 def _message(partial: list[str], states: int) -> list[Column]:
-    """ln sum_h P(g -> h) exp(partial[h]) for each g, from the columns of a child's partials and ``log_p``."""
+    """ln sum_h P(g -> h) exp(partial[h]) for each g, from the scaled columns and the transitions m0, m1, ..
+
+    The exponentials stand SHIFT above the largest one, so that a term underflows only where an impossible transition
+    (exp(LEAST)) of the largest one outweighs it.
+    """
     out = []
     for g in range(states):
-        terms = [F.get("log_p", F.lit(g * states + h)) + F.col(c) for h, c in enumerate(partial)]
-        top = F.greatest(*terms)
-        out.append(top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top))))
+        terms = [F.col(f"m{g * states + h}") * F.col(f"e_{x}") for h, x in enumerate(partial)]
+        out.append(F.col(f"t_{partial[0]}") - SHIFT + F.log(sum(terms[1:], terms[0])))
     return out
 
 
@@ -95,23 +106,31 @@ def root_partials(leaves: DataFrame, branch: DataFrame, states: int = 4, constan
     pattern leave it open. A pattern without any data in a tree gives no row.
     """
     p, c = ([f"{x}{i}" for i in range(states)] for x in "pc")
+    keys = ["tree", "category", "pattern"]
     tips = branch.where("level = 0 AND parent IS NOT NULL").select("tree", "category", "node", "label")
     at = lambda i: F.get("lik", F.lit(i))
     given = [at(i).alias(x) for i, x in enumerate(p)]
     fixed = [(at(i) if i == constant_state else F.lit(2 * LEAST)).alias(x) for i, x in enumerate(c)]
-    tips = F.broadcast(tips) if tips.count() <= MOST_BROADCAST else tips
-    rows = leaves.select("pattern", "label", *given, *fixed).join(tips, "label").select("tree", "category", "pattern", "node", *p, *c)
+    small = branch.count() <= MOST_BROADCAST  # else both sides are shuffled, which gives the same
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = kept(leaves.select("pattern", "label", "lik")).select("pattern", "label", *given, *fixed)
+    many = small and own.select("pattern").distinct().limit(4 * parts).count() == 4 * parts
+    if many:  # a pattern's tips are dealt once, before trees and categories multiply them
+        own = own.repartition(parts, "pattern")
+    rows = own.join(F.broadcast(tips) if small else tips, "label").select(*keys, "node", *p, *c)
+    if not many:
+        rows = rows.repartition(parts, *keys)
     top = branch.agg(F.max("level").alias("m")).first().m or 0
-    up = branch.where("parent IS NOT NULL").select("tree", "category", "node", "parent", "parent_level", "log_p")
-    if branch.count() <= MOST_BROADCAST:  # else both sides are shuffled, which gives the same
-        up = F.broadcast(up)
-    rows = rows.repartition("tree", "category", "pattern")
+    moves = [F.exp(F.get("log_p", F.lit(i))).alias(f"m{i}") for i in range(states * states)]
+    up = branch.where("parent IS NOT NULL").select("tree", "category", "node", "parent", "parent_level", *moves)
     for level in range(1, top + 1):
-        met = rows.join(up, ["tree", "category", "node"], "left")
-        climbs = F.coalesce(F.col("parent_level") == level, F.lit(False))
+        ahead = up.where(F.col("parent_level") == level).drop("parent_level")
+        met = rows.join(F.broadcast(ahead) if small else ahead, ["tree", "category", "node"], "left")
+        met = met.select("*", *_scaled(p), *_scaled(c))
+        climbs = F.col("parent").isNotNull()
         moved = [F.when(climbs, m).otherwise(F.col(x)).alias(x) for x, m in zip([*p, *c], [*_message(p, states), *_message(c, states)], strict=True)]
-        met = met.select("tree", "category", "pattern", F.when(climbs, F.col("parent")).otherwise(F.col("node")).alias("node"), *moved)
-        rows = met.groupBy("tree", "category", "pattern", "node").agg(*[F.sum(x).alias(x) for x in [*p, *c]])
+        met = met.select(*keys, F.coalesce("parent", "node").alias("node"), *moved)
+        rows = met.groupBy(*keys, "node").agg(*[F.sum(x).alias(x) for x in [*p, *c]])
         if level % CUT == 0:
             rows = kept(rows)
     roots = branch.where("parent IS NULL").select("tree", "category", "node")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calling, calls, consensus, forest, likelihood, reads
+from ..operators.lineage import kept
 from .catalog import LEAF_SQL, _leaf_components, _leaf_likelihoods, query
 
 #: Rate categories: rates and shares.
@@ -66,7 +67,8 @@ def _branch_table(nodes):
 
 
 def _roots(nodes, r):
-    weights = _patterns(r)
+    r = kept(r)
+    weights = kept(_patterns(r))
     rows = r.join(weights.select(F.col("pattern").alias("site")), "site", "left_semi")
     leaves = _leaf_likelihoods(rows).select(F.col("site").alias("pattern"), F.concat(F.lit("c"), F.col("cell").cast("string")).alias("label"), "lik")
     return weights, forest.root_partials(leaves, _branch_table(nodes))

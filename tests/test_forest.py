@@ -106,3 +106,27 @@ def test_transitions_and_deep_trees():
     assert len(ladder.order()) == n - 1
     leaves = np.zeros((n, 1, 4))
     assert np.allclose(likelihood.sum_product(leaves, ladder, [likelihood.transition(Q, 0.1)] * (2 * n - 1)), 0, atol=1e-6)
+
+
+def test_many_patterns_are_dealt_before_trees_multiply_them(given, spark):
+    trees, _, nodes, _ = given
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rng = np.random.default_rng(5)
+    leaves = {p: rng.normal(-3, 2, (6, 4)) for p in range(n)}
+    rows = [(f"p{p}", f"cell{c}", x[c].tolist()) for p, x in leaves.items() for c in range(6)]
+    roots = forest.root_partials(spark.createDataFrame(rows, "pattern string, label string, lik array<double>"), forest.branches(nodes, Q, [0.5, 2.0]))
+    assert "hashpartitioning(tree" not in roots._jdf.queryExecution().executedPlan().toString()
+    want = expected(trees, leaves, [0.5, 2.0], [0.5, 0.5])
+    found = forest.pattern_log_likelihoods(roots, [0.5, 0.5]).collect()
+    assert {(r.tree, r.pattern): r.log_likelihood for r in found} == pytest.approx(want, abs=1e-9)
+
+
+def test_messages_keep_far_apart_partials(spark):
+    rows = [(-1e4, -1.0, -9e3, -700.0), (-2.0, -1400.0, -740.0, -3.0), (0.0, 2 * forest.LEAST, 2 * forest.LEAST, 2 * forest.LEAST)]
+    p = ["p0", "p1", "p2", "p3"]
+    moves = np.where(np.eye(4) > 0, 1 - 1e-9, [[0, 1e-9, 0, 0]] * 4)
+    log_p = np.where(moves > 0, np.log(np.maximum(moves, 5e-324)), forest.LEAST)
+    table = spark.createDataFrame(rows, "p0 double, p1 double, p2 double, p3 double").withColumn("log_p", F.array(*map(F.lit, log_p.ravel().tolist())))
+    table = table.select("*", *[F.exp(F.get("log_p", F.lit(i))).alias(f"m{i}") for i in range(16)], *forest._scaled(p))
+    for r in table.select(*p, F.array(*forest._message(p, 4)).alias("x")).collect():
+        assert r.x == pytest.approx(np.logaddexp.reduce(log_p + np.array(r[:4]), axis=1).tolist(), rel=1e-12)
