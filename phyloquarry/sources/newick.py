@@ -45,8 +45,9 @@ def parse(text: str) -> list[dict]:
     depth = [0.0] * len(nodes)
     for n in nodes[1:]:
         depth[n["node"]] = depth[n["parent"]] + n["length"]
+    top = max(depth)
     for n in nodes:
-        n["height"] = max(depth) - depth[n["node"]]
+        n["height"] = top - depth[n["node"]]
     return nodes
 
 
@@ -94,13 +95,13 @@ def tree_records(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, s
 def parsed(trees: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Node rows of (tree, text)."""
 
+    columns = ["tree", "node", "parent", "label", "length", "height", "meta"]
+
     def nodes(frames):
         for frame in frames:
-            out = []
             for tree, text in zip(frame["tree"], frame["text"], strict=True):
-                for n in parse(text):
-                    out.append((tree, n["node"], n["parent"], labels.get(n["label"], n["label"]), n["length"], n["height"], n["meta"]))
-            yield pd.DataFrame(out, columns=["tree", "node", "parent", "label", "length", "height", "meta"]).astype({"parent": "Int64"})
+                out = [(tree, n["node"], n["parent"], labels.get(n["label"], n["label"]), n["length"], n["height"], n["meta"]) for n in parse(text)]
+                yield pd.DataFrame(out, columns=columns).astype({"parent": "Int64"})
 
     return trees.mapInPandas(nodes, SCHEMA)
 
