@@ -57,9 +57,9 @@ def loci_info(sites: DataFrame) -> DataFrame:
 
 
 def site_headers(sites: DataFrame, width: int) -> DataFrame:
-    """(pseudo, value): zero-padded pseudo names and the map line of each site."""
+    """(site, pseudo, value): each site with its zero-padded pseudo name and its map line; longer numbers are cut to ``width``."""
     name = F.concat(F.lit("site"), F.lpad(F.col("site").cast("string"), width, "0"))
-    return sites.select(name.alias("pseudo"), F.concat(F.lit("#"), name, F.lit("->"), F.concat_ws(",", "chrom", F.col("pos").cast("string"), "ref", "alt")).alias("value"))
+    return sites.select("site", name.alias("pseudo"), F.concat(F.lit("#"), name, F.lit("->"), F.concat_ws(",", "chrom", F.col("pos").cast("string"), "ref", "alt")).alias("value"))
 
 
 def metadata_text(meta: Column) -> Column:

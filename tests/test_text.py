@@ -1,5 +1,6 @@
 import pytest
 
+from phyloquarry.plans import model_catalog
 from phyloquarry.sinks import text as sinks
 from phyloquarry.sources import newick, text
 
@@ -151,3 +152,8 @@ def test_heights_of_a_wide_tree_take_linear_time():
     nodes = newick.parse(text)
     assert process_time() - start < 2  # a maximum over all nodes for each node takes 16 seconds
     assert nodes[0]["height"] == 3 and nodes[3]["height"] == 0 and nodes[1]["height"] == 2
+
+
+def test_site_headers_keep_numbers_longer_than_the_name(spark):
+    sites = spark.createDataFrame([(1234567, "chr1", 10, "A", "C")], "site long, chrom string, pos long, ref string, alt string")
+    assert model_catalog.k17_site_headers(sites).first().site == 1234567
