@@ -43,7 +43,8 @@ def clades(nodes: DataFrame) -> DataFrame:
     """(tree, node, clade, size): the tips below each node, in order, joined by commas."""
     tips = nodes.select("tree", "node").join(nodes.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     below = ancestors(nodes).join(tips, ["tree", "node"]).select("tree", F.col("ancestor").alias("node"), F.col("node").alias("tip"))
-    return below.groupBy("tree", "node").agg(F.array_join(F.sort_array(F.collect_set("tip")), ",").alias("clade"), F.count_distinct("tip").alias("size"))
+    found = below.groupBy("tree", "node").agg(F.sort_array(F.collect_set("tip")).alias("tips"))
+    return found.select("tree", "node", F.array_join("tips", ",").alias("clade"), F.size("tips").cast("long").alias("size"))
 
 
 def clade_credibility(clade_rows: DataFrame, n_trees: int) -> DataFrame:
@@ -69,18 +70,36 @@ def clade_heights(target: DataFrame, sampled: DataFrame, heights: DataFrame) ->
     return sampled.join(wanted, "clade").join(heights.select("tree", "node", "height"), ["tree", "node"]).select("clade", "tree", "height")
 
 
+def numbered_clades(clade_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct clades by number, (number, clade), and their tips, (number, size, tip).
+
+    A clade's text lists all its tips: rows of single tips carry the number, the text is met again at the end.
+    """
+    numbered = kept(clade_rows.select("clade", "size").distinct().withColumn("number", F.monotonically_increasing_id()))
+    return numbered.select("number", "clade"), numbered.select("number", "size", F.explode(F.split("clade", ",")).alias("tip"))
+
+
 def common_ancestors(target: DataFrame, nodes: DataFrame) -> DataFrame:
     """(clade, tree, node, height): in every tree the most recent node above all tips of each target clade.
 
     Tips of a clade are joined with their ancestors; a node above all of them is counted once for each tip.
     """
-    wanted = target.select("clade", "size").distinct()
-    tips = wanted.withColumn("tip", F.explode(F.split("clade", ",")))
+    texts, tips = numbered_clades(target)
     above = ancestors(nodes).select("tree", F.col("node").alias("tip"), F.col("ancestor").alias("node"))
-    met = tips.join(above, "tip").groupBy("clade", "size", "tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n = size")
+    met = tips.join(above, "tip").groupBy("number", "size", "tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n = size")
     placed = met.join(nodes.select("tree", "node", "height"), ["tree", "node"])
-    lowest = placed.groupBy("clade", "tree").agg(F.min(F.struct("height", "node")).alias("m"))
-    return lowest.select("clade", "tree", F.col("m.node").alias("node"), F.col("m.height").alias("height"))
+    lowest = placed.groupBy("number", "tree").agg(F.min(F.struct("height", "node")).alias("m"))
+    return lowest.join(texts, "number").select("clade", "tree", F.col("m.node").alias("node"), F.col("m.height").alias("height"))
+
+
+def subsets(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole): the clades of ``parts`` that lie inside a larger one of ``wholes``, both of (clade, size)."""
+    part, tips = numbered_clades(parts)
+    whole, wide = numbered_clades(wholes)
+    met = tips.join(wide.select(F.col("number").alias("other"), F.col("size").alias("m"), "tip"), "tip").where("size < m")
+    inside = met.groupBy("number", "other", "size").agg(F.count(F.lit(1)).alias("k")).where("k = size")
+    named = inside.join(part.withColumnRenamed("clade", "part"), "number")
+    return named.join(whole.select(F.col("number").alias("other"), F.col("clade").alias("whole")), "other").select("part", "whole")
 
 
 def coalescent_intervals(nodes: DataFrame) -> DataFrame:

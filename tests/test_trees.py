@@ -26,3 +26,16 @@ def test_cycles_are_errors(spark):
     nodes = spark.createDataFrame([(0, "a", "c"), (0, "b", "a"), (0, "c", "b")], "tree int, node string, parent string")
     with pytest.raises(ValueError, match="cycle"):
         trees.ancestors(nodes)
+
+
+def test_texts_of_clades_are_no_keys_of_single_tips(spark):
+    rows = [(t, x, p, h) for t in (0, 1) for x, p, h in [("r", None, 3.0), ("g", "r", 2.0), ("h", "r", 1.0), ("a", "g", 0.0), ("b", "g", 0.0), ("c", ("h", "g")[t], 0.0), ("d", "h", 0.0)]]
+    nodes = spark.createDataFrame(rows, "tree int, node string, parent string, height double")
+    clades = trees.clades(nodes).where("size > 1")
+    first, second = (clades.where(f"tree = {t}") for t in (0, 1))
+    common, inside = trees.common_ancestors(first, nodes), trees.subsets(first, second)
+    assert sorted((r.clade, r.tree, r.node) for r in common.collect()) == sorted([("a,b,c,d", 0, "r"), ("a,b,c,d", 1, "r"), ("a,b", 0, "g"), ("a,b", 1, "g"), ("c,d", 0, "h"), ("c,d", 1, "r")])
+    assert sorted(map(tuple, inside.collect())) == [("a,b", "a,b,c"), ("a,b", "a,b,c,d"), ("c,d", "a,b,c,d")]
+    for found in (common, inside):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [x for x in plan if "Aggregate [" in x and any(c in x.split("]")[0] for c in ("clade#", "part#", "whole#"))]
