@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding of whole texts with a published vocabulary file.
 
 The vocabulary file is read once on the driver (its path is a parameter) and broadcast: its size is fixed by
-the file, a few MB. Tasks encode Arrow batches. Words are merged with a priority queue of merge ranks over a
-doubly linked symbol list; entries whose pair has changed since they were queued are stale and skipped.
+the file, a few MB. Tasks encode Arrow batches. Words are merged with a priority queue of merge ranks: of up to SHORT
+symbols a list of the ranks, of more a heap over a doubly linked symbol list; entries whose pair has changed since they were
+queued are stale and skipped.
 Results are kept in a bounded table for each worker, so that a common word is merged once.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 from functools import lru_cache
 from unicodedata import is_normalized, normalize
 
@@ -24,6 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = "</w>"
 #: Chunks kept by a worker, at most; longer chunks are not kept.
 KEPT_CHUNKS, KEPT_CHARS = 300_000, 64
+#: Symbols of a pre-token up to which the least rank is found by a scan, not by a heap; and what stands for no merge.
+SHORT, NONE = 32, 1 << 62
 #: Texts' characters encoded at a time.
 STRIDE = 2_000_000
 
@@ -54,6 +58,7 @@ class Bpe:
         self.first = [vocab[x] for x in letters]
         self.last = [vocab[x + END] for x in letters]
         self.merges = {vocab[a] * self.base + vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.packed = {pair: rank << 32 | new for pair, (rank, new) in self.merges.items()}
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.byte_of = {x: b for b, x in enumerate(letters)}
 
@@ -65,7 +70,25 @@ class Bpe:
         end = len(ids)
         if end == 1:
             return ids
-        merges, base = self.merges, self.base
+        return self.merge_short(ids) if end <= SHORT else self.merge_long(ids)
+
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """The merges of few symbols: the queue is the list of the pairs' ranks, the first of the least is taken by a scan."""
+        packed, base = self.packed, self.base
+        queue = [packed.get(a * base + b, NONE) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while queue and (least := min(queue)) != NONE:
+            i = queue.index(least)
+            del queue[i], ids[i + 1]
+            new = ids[i] = least & 0xFFFFFFFF
+            if i < len(queue):
+                queue[i] = packed.get(new * base + ids[i + 1], NONE)
+            if i:
+                queue[i - 1] = packed.get(ids[i - 1] * base + new, NONE)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The merges of any number of symbols, by a heap and a linked list."""
+        merges, base, end = self.merges, self.base, len(ids)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         queue = [(found[0] << 40) | i for i in range(end - 1) if (found := merges.get(ids[i] * base + ids[i + 1]))]
         heapq.heapify(queue)
@@ -100,6 +123,8 @@ class Bpe:
         return text.split()
 
     def pre_tokens(self, chunk: str) -> list[str]:
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk]
         return (PRE_TOKEN_ODD if ODD_WHITE.search(chunk) else PRE_TOKEN).findall(chunk)
 
     def parts(self, text: str):
@@ -158,7 +183,7 @@ class Codec(Bpe):
 
 
 def pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(4)

@@ -693,3 +693,14 @@ def test_near_duplicates_on_both_sides_of_the_hot_limit(spark, monkeypatch):
     assert all((got[i].class_id, got[i].n_links) == (0, 39) for i in range(40))
     assert [(got[i].class_id, got[i].copy_of, got[i].n_links, got[i].stays) for i in (107, 200, 201, 300, 301)] == [(107, 107, 2, True), (107, 107, 2, False), (107, 201, 2, False), (300, 300, 0, True), (301, 301, 0, True)]
     assert (got[None].n_links, got[None].stays) == (0, True)
+
+
+def test_bpe_short_words_merge_by_their_list_of_ranks():
+    codec = bpe.Codec(bpe.tokenizer_source(bpe.public_path(bpe.TOKENIZER)))
+    draw = random.Random(2)
+    words = ["".join(draw.choice("aaabeéstñ漢") for _ in range(draw.randrange(1, 60))) for _ in range(2000)]
+    for word in [*words, "a", "the", "international", "x" * 32, "x" * 33]:
+        raw = word.encode()
+        ids = [codec.first[b] for b in raw[:-1]] + [codec.last[raw[-1]]]
+        assert codec.merge_short(list(ids)) == codec.merge_long(list(ids)) == codec.merge(word)
+    assert bpe.pack([1, 65536]) == b"\x01\0\0\0\0\0\x01\0" and bpe.pack([]) == b""
