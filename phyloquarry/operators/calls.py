@@ -54,6 +54,47 @@ def site_alternatives(cells: DataFrame) -> DataFrame:
     return cells.groupBy("site").agg(F.array_distinct(F.concat(F.first("alts"), brought)).alias("alts"))
 
 
+#: What is taken of a cell for its fields.
+CELL = ["cell", "alphabet", "nucs", "reads", "ref_reads", "cov", "liks", "ado_liks", "ado"]
+
+
+def _met(cells: DataFrame) -> DataFrame:
+    """(site, alts, cells): a site's rows of ``cells`` in one, in cell order."""
+    return cells.groupBy("site").agg(F.first("alts").alias("alts"), F.array_sort(F.collect_list(F.struct(*CELL))).alias("cells"))
+
+
+def _fielded(met: DataFrame) -> DataFrame:
+    """``met`` (site, alts, cells, ..) with all alternatives as ``alts``, and (cell, gt, cov, fields) as ``cells``.
+
+    Each step gives arrays that the next one reads, so that no score is found more than once.
+    """
+    uses = lambda c, digit, i: F.when(F.instr(c["alphabet"], digit) > 0, F.get(c["nucs"], F.lit(i)))
+    brought = F.filter(F.flatten(F.transform("cells", lambda c: F.array(uses(c, "1", 0), uses(c, "2", 1)))), lambda x: x.isNotNull() & (x != "N"))
+    alts = met.withColumn("alts", F.array_distinct(F.concat("alts", brought)))
+    placed = alts.withColumn("_of", F.map_from_entries(F.transform("alts", lambda x, i: F.struct(x, i + 1))))
+    depth = lambda c, alt: F.coalesce(F.get(c["reads"], F.array_position(c["nucs"], alt).cast("int") - 1), F.lit(0)).cast("long")
+
+    def scored(c: Column) -> Column:
+        ad = F.concat(F.array(c["ref_reads"].cast("long")), F.transform("alts", lambda x: depth(c, x)))
+        scores = [F.transform(c[x], lambda y: phred(y, rounded=True)).alias(x) for x in ("liks", "ado_liks")]
+        return F.struct(c["cell"].alias("cell"), vcf_genotype(c["alphabet"], F.col("_of"), c["nucs"]).alias("gt"), ad.alias("ad"), c["cov"].alias("cov"), c["ado"].alias("ado"), *scores)
+
+    carried = ["cell", "gt", "ad", "cov", "ado"]
+    found = placed.withColumn("cells", F.transform("cells", scored)).drop("_of")
+    least = lambda c: F.struct(*[c[x].alias(x) for x in [*carried, "liks", "ado_liks"]], *[F.array_min(c[x]).alias(f"least_{x}") for x in ("liks", "ado_liks")])
+    found = found.withColumn("cells", F.transform("cells", least))
+    above = lambda c, x: F.transform(c[x], lambda y: y - c[f"least_{x}"]).alias(x)
+    found = found.withColumn("cells", F.transform("cells", lambda c: F.struct(*[c[x].alias(x) for x in carried], above(c, "liks"), above(c, "ado_liks"))))
+    listed = lambda x: F.array_join(x.cast("array<string>"), ",")
+    second = lambda x: F.least(F.element_at(F.array_sort(x), 2), F.lit(99))
+
+    def text(c: Column) -> Column:
+        parts = [c["gt"], listed(c["ad"]), c["cov"], second(c["liks"]), listed(c["liks"]), c["ado"], second(c["ado_liks"]), listed(c["ado_liks"])]
+        return F.struct(c["cell"].alias("cell"), c["gt"].alias("gt"), c["cov"].alias("cov"), F.concat_ws(":", *[x.cast("string") for x in parts]).alias("fields"))
+
+    return found.withColumn("cells", F.transform("cells", text))
+
+
 def cell_fields(cells: DataFrame) -> DataFrame:
     """(site, cell, alts, gt, cov, fields) from a row for each site and cell.
 
@@ -61,30 +102,21 @@ def cell_fields(cells: DataFrame) -> DataFrame:
     cell's nucleotides in order and their reads), ``ref_reads``, ``cov``, ``liks`` and ``ado_liks`` (log likelihoods of
     genotypes and dropout states) and ``ado`` (the chosen state).
     """
-    met = cells.drop("alts").join(site_alternatives(cells), "site")
-    allele_of = F.map_from_entries(F.transform("alts", lambda x, i: F.struct(x, i + 1)))
-    depth = lambda alt: F.coalesce(F.get("reads", F.array_position("nucs", alt).cast("int") - 1), F.lit(0))
-    ad = F.concat(F.array(F.col("ref_reads").cast("long")), F.transform("alts", lambda x: depth(x).cast("long")))
-    pl, gq = phred_likelihoods(F.col("liks"))
-    ado_pl, ado_q = phred_likelihoods(F.col("ado_liks"))
-    staged = met.select("site", "cell", "alts", "cov", "ado", vcf_genotype(F.col("alphabet"), allele_of, F.col("nucs")).alias("gt"), ad.alias("ad"), pl.alias("pl"), gq.alias("gq"), ado_pl.alias("ado_pl"), ado_q.alias("ado_q"))
-    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    text = [F.col("gt"), listed("ad"), F.col("cov"), F.col("gq"), listed("pl"), F.col("ado"), F.col("ado_q"), listed("ado_pl")]
-    return staged.select("site", "cell", "alts", "gt", "cov", F.concat_ws(":", *[x.cast("string") for x in text]).alias("fields"))
-
-
-def _sums(fields: DataFrame) -> DataFrame:
-    """(site, alts, cells, an, dp, ac, af) from ``cell_fields``, in one aggregate: ``cells`` are the sorted fields."""
-    listed = F.array_sort(F.collect_list(F.struct("cell", "fields", "gt")))
-    each = fields.groupBy("site").agg(F.first("alts").alias("alts"), listed.alias("cells"), F.sum("cov").alias("dp"))
-    each = each.withColumn("g", F.flatten(F.transform("cells", lambda x: F.split(x["gt"], "/"))))
-    counted = each.withColumn("ac", F.transform("alts", lambda x, i: F.size(F.filter("g", lambda y: y == (i + 1).cast("string"))))).withColumn("an", F.size("g"))
-    return counted.select("site", "alts", F.transform("cells", lambda x: x["fields"]).alias("cells"), F.col("an").cast("long").alias("an"), "dp", "ac", F.transform("ac", lambda x: x / F.col("an")).alias("af"))
+    return _fielded(_met(cells)).select("site", "alts", F.explode("cells").alias("c")).select("site", "c.cell", "alts", "c.gt", "c.cov", "c.fields")
+
+
+def _totalled(sites: DataFrame) -> DataFrame:
+    """(site, alts, cells, an, dp, ac, af, ..) from ``_fielded`` sites: ``cells`` are the fields."""
+    each = sites.withColumn("dp", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + c["cov"].cast("long")))
+    each = each.withColumn("_g", F.flatten(F.transform("cells", lambda x: F.split(x["gt"], "/")))).withColumn("cells", F.transform("cells", lambda x: x["fields"]))
+    each = each.withColumn("ac", F.transform("alts", lambda x, i: F.size(F.filter("_g", lambda y: y == (i + 1).cast("string"))))).withColumn("an", F.size("_g").cast("long"))
+    return each.withColumn("af", F.transform("ac", lambda x: x / F.col("an"))).drop("_g")
 
 
 def record_totals(fields: DataFrame) -> DataFrame:
     """(site, alts, ac, an, dp, af) from ``cell_fields``: ac and af hold a number for each alternative."""
-    return _sums(fields).select("site", "alts", "ac", "an", "dp", "af")
+    met = fields.groupBy("site").agg(F.first("alts").alias("alts"), F.collect_list(F.struct("gt", "cov", "fields")).alias("cells"))
+    return _totalled(met).select("site", "alts", "ac", "an", "dp", "af")
 
 
 def records(cells: DataFrame, sites: DataFrame) -> DataFrame:
@@ -93,7 +125,12 @@ def records(cells: DataFrame, sites: DataFrame) -> DataFrame:
     ``sites`` has site, chrom, pos, ref and, if it is known, ``constant``, the log likelihood of no change, from which
     the quality is taken.
     """
-    lines = _sums(cell_fields(cells)).join(sites, "site")
+    return site_records(_met(cells).join(sites.drop("alts"), "site"))
+
+
+def site_records(sites: DataFrame) -> DataFrame:
+    """``records`` of sites with their cells: a row for each, with ``cells`` (an array of CELL in order), ``alts``, chrom, pos, ref and, if known, constant."""
+    lines = _totalled(_fielded(sites))
     listed = lambda c, form: F.array_join(F.transform(c, lambda x: F.format_string(form, x)), ",")
     info = F.concat(F.lit("AC="), listed("ac", "%d"), F.lit(";AF="), listed("af", "%.3f"), F.format_string(";AN=%d;DP=%d", "an", "dp"))
     quality = phred(F.col("constant"), rounded=True).cast("string") if "constant" in sites.columns else F.lit(".")

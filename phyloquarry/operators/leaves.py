@@ -68,6 +68,12 @@ def components(counts: np.ndarray, total: np.ndarray, error: float, w1: float, w
     return np.moveaxis(np.array(out), 2, 0)
 
 
+def totalled(parts: np.ndarray) -> np.ndarray:
+    """The log-sum over dropout states of components (rows x genotypes x dropout states)."""
+    top = parts.max(2, keepdims=True)
+    return top[..., 0] + np.log(np.exp(parts - top).sum(2))
+
+
 def genotype_likelihoods(reads: DataFrame, error: float, w1: float, w2: float, coverage: float, variance: float, dropout: float, single: bool = True) -> DataFrame:
     """(site, cell, lik, parts): each genotype's log likelihood, and its components by number of dropped alleles.
 
@@ -79,8 +85,7 @@ def genotype_likelihoods(reads: DataFrame, error: float, w1: float, w2: float, c
         for frame in frames:
             distinct, place = np.unique(frame[columns].to_numpy(float), axis=0, return_inverse=True)
             parts = components(distinct[:, :4], distinct[:, 4], error, w1, w2, coverage, variance, dropout, single)
-            top = parts.max(2, keepdims=True)
-            lik = (top[..., 0] + np.log(np.exp(parts - top).sum(2))).tolist()
+            lik = totalled(parts).tolist()
             rows = parts.tolist()
             place = place.ravel().tolist()
             yield pd.DataFrame({"site": frame["site"], "cell": frame["cell"], "lik": [lik[i] for i in place], "parts": [rows[i] for i in place]})

@@ -169,8 +169,8 @@ def sum_product(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray]) -> n
     return all_partials(leaves, tree, matrices)[tree.root]
 
 
-def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0, slack: float = 1e-12) -> Iterator[tuple[float, Iterator[tuple[int, ...]]]]:
-    """For each pattern the best log likelihood and, one at a time, all assignments of genotypes to nodes that reach it to ``slack``."""
+def tied_choices(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], slack: float) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The best log likelihoods (patterns x genotypes) at the root, and of each node below it (patterns x parent's x own genotypes) which reach the best to ``slack``."""
     with np.errstate(divide="ignore"):
         log_p = [np.log(m) for m in matrices]
     best = {i: leaves[i] for i in range(tree.n_tips)}
@@ -183,10 +183,32 @@ def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray],
             ties[c] = both >= top[..., None] - slack
             total = total + top
         best[node] = total
+    return best[tree.root], ties
+
+
+def downward(tree: Tree) -> list[int]:
+    """Nodes, parents first."""
     down, todo = [], [tree.root]
     while todo:
         down.append(todo.pop())
         todo += reversed(tree.children(down[-1]))
+    return down
+
+
+def first_assignments(tree: Tree, ties: dict[int, np.ndarray], n: int, root_state: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` patterns the first of the assignments that ``tied_choices`` leaves (patterns x nodes), and whether it is the only one."""
+    states, only, each = np.full((n, len(tree.parent)), root_state), np.ones(n, bool), np.arange(n)
+    for node in downward(tree)[1:]:
+        choice = ties[node][each, states[:, tree.parent[node]]]
+        states[:, node] = choice.argmax(1)
+        only &= choice.sum(1) == 1
+    return states, only
+
+
+def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0, slack: float = 1e-12) -> Iterator[tuple[float, Iterator[tuple[int, ...]]]]:
+    """For each pattern the best log likelihood and, one at a time, all assignments of genotypes to nodes that reach it to ``slack``."""
+    best, ties = tied_choices(leaves, tree, matrices, slack)
+    down = downward(tree)
 
     def walk(k: int) -> Iterator[tuple[int, ...]]:
         """Every choice at a node goes on to at least one below, so nothing but the path is held."""
@@ -205,7 +227,7 @@ def tied_assignments(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray],
                 choices.append(iter(np.flatnonzero(ties[below][k, state[tree.parent[below]]]).tolist()))
 
     for k in range(leaves.shape[1]):
-        yield float(best[tree.root][k, root_state]), walk(k)
+        yield float(best[k, root_state]), walk(k)
 
 
 def max_sum(leaves: np.ndarray, tree: Tree, matrices: list[np.ndarray], root_state: int = 0, most: int | None = None) -> list[tuple[float, list[tuple[int, ...]]]]:

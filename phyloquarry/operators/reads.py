@@ -224,10 +224,15 @@ def array_key(counts: Column) -> Column:
     return F.unhex(F.array_join(flipped, ""))
 
 
+def columns(reads: DataFrame, values: list[str]) -> DataFrame:
+    """(site, counts): each site's values in cell order, as one array."""
+    cells = F.array_sort(F.collect_list(F.struct("cell", F.array(*[F.col(v).cast("long") for v in values]).alias("x"))))
+    return reads.groupBy("site").agg(F.flatten(F.transform(cells, lambda c: c["x"])).alias("counts"))
+
+
 def count_vectors(reads: DataFrame, values: list[str]) -> DataFrame:
     """(site, counts): each site's counts in cell order, as one array. Sites with unlike numbers of cells are an error."""
-    cells = F.array_sort(F.collect_list(F.struct("cell", F.array(*[F.col(v).cast("long") for v in values]).alias("x"))))
-    found = reads.groupBy("site").agg(F.flatten(F.transform(cells, lambda c: c["x"])).alias("counts"))
+    found = columns(reads, values)
     sizes = found.agg(F.min(F.size("counts")).alias("least"), F.max(F.size("counts")).alias("most")).first()
     if sizes.least != sizes.most:
         raise ValueError(f"Arrays of {sizes.least} to {sizes.most} numbers have no order")

@@ -534,8 +534,12 @@ def f10_mixture_likelihoods(r):
     return _leaf_likelihoods(r).select("site", "cell", *[F.round(F.col("lik")[i], 3).alias(f"g{i}") for i in range(4)])
 
 
+#: Error, two weights, coverage, raw variance and dropout.
+LEAF_MODEL = (0.01, 100.0, 2.0, 20.0, 30.0, 0.1)
+
+
 def _leaf_components(r, locus_dropout: bool = False):
-    return leaves.genotype_likelihoods(r, 0.01, 100.0, 2.0, 20.0, 30.0, 0.1, single=not locus_dropout)
+    return leaves.genotype_likelihoods(r, *LEAF_MODEL, single=not locus_dropout)
 
 
 #: Components no, single and locus dropout of each genotype, dropout 0.1.

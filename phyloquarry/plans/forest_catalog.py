@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calling, calls, consensus, forest, likelihood, reads
+from ..operators import calling, calls, consensus, forest, leaves, likelihood, reads
 from ..operators.lineage import kept
-from .catalog import LEAF_SQL, _leaf_components, _leaf_likelihoods, query
+from .catalog import LEAF_MODEL, LEAF_SQL, _leaf_likelihoods, query
 
 #: Rate categories: rates and shares.
 RATES, SHARES = [0.5, 1.5], [0.4, 0.6]
@@ -60,6 +60,12 @@ def _patterns(r):
     return columns.groupBy("pattern").agg(F.min("site").alias("site"), F.count(F.lit(1)).alias("weight")).select(F.col("site").alias("pattern"), "weight")
 
 
+def _components(counts):
+    """Genotype log likelihoods and their components of rows of COUNTS."""
+    parts = leaves.components(counts[:, :4].astype(float), counts[:, 4].astype(float), *LEAF_MODEL, single=True)
+    return leaves.totalled(parts), parts
+
+
 def _branch_table(nodes):
     upper = nodes.select("tree", F.col("node").alias("parent"), F.col("height").alias("top"))
     lengths = nodes.join(upper, ["tree", "parent"], "left").select("tree", "node", "parent", (F.col("top") - F.col("height")).alias("length"), F.col("node").alias("label"))
@@ -70,8 +76,8 @@ def _roots(nodes, r):
     r = kept(r)
     weights = kept(_patterns(r))
     rows = r.join(weights.select(F.col("pattern").alias("site")), "site", "left_semi")
-    leaves = _leaf_likelihoods(rows).select(F.col("site").alias("pattern"), F.concat(F.lit("c"), F.col("cell").cast("string")).alias("label"), "lik")
-    return weights, forest.root_partials(leaves, _branch_table(nodes))
+    tips = _leaf_likelihoods(rows).select(F.col("site").alias("pattern"), F.concat(F.lit("c"), F.col("cell").cast("string")).alias("label"), "lik")
+    return weights, forest.root_partials(tips, _branch_table(nodes))
 
 
 @query("cell_nodes reads", f"{LIKELIHOOD_SQL} SELECT tree, pattern, round(log_likelihood, 4) AS log_likelihood, round(constant, 4) AS constant FROM ll")
@@ -149,25 +155,29 @@ CALL_SQL = ",\n    ".join(
 )
 
 
-def _called(nodes, r):
-    """Calls of tree 0 for all sites: (cells, per cell) of ``calling.called_cells``, with the cells' components."""
+#: The counts of a cell in a site's column, in order.
+COUNTS = ["r1", "r2", "r3", "ref_reads", "cov"]
+
+
+def _called(nodes, r, *others):
+    """Calls of tree 0 for all sites, and the cells: ``calling.called_columns`` of each site, with the columns of ``others`` (site, ..)."""
     cells = sorted(x.cell for x in r.select("cell").distinct().collect())  # one a cell
     own = consensus.with_lengths(nodes.where("tree = 0")).select("node", "parent", "length").collect()  # the nodes of one tree
     tree = calling.tree_of([tuple(x) for x in own], [f"c{c}" for c in cells])
     matrices = [[likelihood.transition(Q4, rate * t) for t in tree.length] for rate in RATES]
-    columns = reads.site_patterns(r, ["r1", "r2", "r3", "ref_reads"])
-    firsts = columns.groupBy("pattern").agg(F.min("site").alias("first"))
-    site_of = columns.join(firsts, "pattern").select("site", F.col("first").alias("pattern"))
-    places = r.sparkSession.createDataFrame(list(zip(cells, range(len(cells)), strict=True)), "cell long, place int")
-    leaves = _leaf_components(r).join(F.broadcast(places), "cell")  # one row a cell of the tree
-    partials = leaves.join(site_of.where("site = pattern"), "site").select("pattern", F.col("place").alias("cell"), "lik")
-    return calling.called_cells(calling.called(partials, tree, matrices, SHARES), site_of, leaves)
+    columns = reads.columns(r, COUNTS)
+    for other in others:
+        columns = columns.join(other, "site")
+    return calling.called_columns(columns, len(COUNTS), _components, tree, matrices, SHARES), cells
 
 
 @query("cell_nodes reads", f"{CALL_SQL} SELECT site, cell, genotype, round(liks[1], 4) AS l0, round(liks[2], 4) AS l1, round(liks[3], 4) AS l2, round(liks[4], 4) AS l3, CASE WHEN ado_liks[2] > ado_liks[1] THEN 1 ELSE 0 END AS ado, round(constant, 4) AS constant FROM told")
 def t10_called_cells(nodes, r):
-    found = _called(nodes, r)
-    return found.select("site", "cell", "genotype", *[F.round(F.get("liks", F.lit(i)), 4).alias(f"l{i}") for i in range(4)], "ado", F.round("constant", 4).alias("constant"))
+    found, cells = _called(nodes, r)
+    each = found.select("site", "liks", "ado", "constant", F.posexplode("genotypes").alias("place", "genotype"))
+    liks = [F.round(F.get("liks", F.col("place") * 4 + i), 4).alias(f"l{i}") for i in range(4)]
+    cell = F.get(F.array(*[F.lit(c).cast("long") for c in cells]), F.col("place")).alias("cell")
+    return each.select("site", cell, "genotype", *liks, F.get("ado", F.col("place")).alias("ado"), F.round("constant", 4).alias("constant"))
 
 
 PHRED = "floor(-10 / ln(10) * x + 0.5)::BIGINT"
@@ -184,10 +194,16 @@ PHRED = "floor(-10 / ln(10) * x + 0.5)::BIGINT"
     FROM lines JOIN tot USING (site, option) JOIN sites USING (site)""")
 def k05_called_records(nodes, sites, r):
     """VCF lines of a likelihood run, from reads and a tree: a line for each of a site's calls."""
-    found = _called(nodes, r)
-    key = F.struct("site", "option").alias("site")
+    found, cells = _called(nodes, r, sites)
     third = F.substr(F.lit("GTAC"), (F.col("site") % 4 + 1).cast("int"), F.lit(1))
-    named = found.drop("constant").join(F.broadcast(calls.genotype_table(r.sparkSession)), "genotype").join(r, ["site", "cell"]).join(sites.select("site", F.array("alt").alias("alts"), F.array("alt", third).alias("nucs")), "site")
-    cells = named.select(key, "cell", "alts", "alphabet", "nucs", F.array("r1", "r2").alias("reads"), "ref_reads", "cov", "liks", "ado_liks", "ado")
-    lines = found.groupBy("site", "option").agg(F.first("constant").alias("constant")).join(sites, "site")
-    return calls.records(cells, lines.select(key, "chrom", "pos", "ref", "constant"))
+    named = found.withColumns({"alts": F.array("alt"), "nucs": F.array("alt", third), "_cells": F.array(*[F.lit(c).cast("long") for c in cells]), "_forms": F.array(*[F.lit(g) for _, g, _, _ in calls.GENOTYPES])})
+
+    def cell(g, i):
+        n = {c: F.get("counts", i * len(COUNTS) + k) for k, c in enumerate(COUNTS)}
+        dropouts = F.size("ado_liks") / F.size("genotypes")
+        ado_liks = F.slice("ado_liks", (i * dropouts + 1).cast("int"), dropouts.cast("int"))
+        given = {"cell": F.get("_cells", i), "alphabet": F.get("_forms", g), "nucs": F.col("nucs"), "reads": F.array(n["r1"], n["r2"]), "ref_reads": n["ref_reads"], "cov": n["cov"]}
+        given |= {"liks": F.slice("liks", i * 4 + 1, F.lit(4)), "ado_liks": ado_liks, "ado": F.get("ado", i)}
+        return F.struct(*[given[x].alias(x) for x in calls.CELL])
+
+    return calls.site_records(named.select("site", "chrom", "pos", "ref", "alts", "constant", F.transform("genotypes", cell).alias("cells")))
