@@ -30,6 +30,19 @@ def estimates(trace: DataFrame, keys: list[str], value: str = "value") -> DataFr
     return medians(trace, keys, value)
 
 
+def short_estimates(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, mean_x, median_x for each of ``values``) over finite values, null where there are none.
+
+    For keys of few rows, such as the cells of a site: a key's values meet in one row. ``estimates`` has keys of any size.
+    """
+    finite = [F.when(~F.isnan(F.col(v).cast("double")) & (F.abs(F.col(v).cast("double")) < float("inf")), F.col(v).cast("double")) for v in values]
+    aggregates = [f(x).alias(f"{name}_{v}") for name, f in (("mean", F.avg), ("_all", F.collect_list)) for v, x in zip(values, finite, strict=True)]
+    ordered = rows.groupBy(*keys).agg(*aggregates).select(*keys, *[f"mean_{v}" for v in values], *[F.sort_array(f"_all_{v}").alias(f"_all_{v}") for v in values])
+    middle = lambda v, shift: F.get(f"_all_{v}", F.floor((F.size(f"_all_{v}") - 1 + shift) / 2).cast("int"))
+    medians = [((middle(v, 0) + middle(v, 1)) / 2).alias(f"median_{v}") for v in values]
+    return ordered.select(*keys, *[x for v, m in zip(values, medians, strict=True) for x in (f"mean_{v}", m)])
+
+
 def value_range(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return trace.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
 

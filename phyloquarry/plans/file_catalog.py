@@ -154,17 +154,16 @@ S13_SQL = """WITH long AS (SELECT site, cell % 4 AS category, unnest(['cov', 'va
 @query("trace reads sites", S13_SQL)
 def s13_cached_estimates(trace, r, sites):
     """The estimates of a trace and of each site's coverages, written as an estimates file and read back."""
-    from ..operators.summaries import estimates
+    from ..operators.summaries import estimates, short_estimates
 
     spark = trace.sparkSession
     kinds = F.explode(F.create_map(F.lit("mean"), "mean", F.lit("median"), "median")).alias("kind", "value")
     own = estimates(trace, ["var"]).select("var", kinds)
-    both = F.explode(F.create_map(F.lit("cov"), F.col("cov").cast("double"), F.lit("var"), F.col("r1").cast("double"))).alias("part", "value")
-    long = estimates(r.select("site", (F.col("cell") % 4).alias("category"), both), ["site", "category", "part"]).select("site", "category", "part", kinds)
+    each = short_estimates(r.select("site", (F.col("cell") % 4).alias("category"), "cov", F.col("r1").alias("var")), ["site", "category"], ["cov", "var"])
+    both = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_cov").alias("cov"), F.col(f"{k}_var").alias("var")) for k in ("mean", "median")]))
     headers = sinks.site_headers(sites, 9)
     of = F.concat(F.lit("site"), F.lpad(F.col("site").cast("string"), 9, "0")).alias("pseudo")
-    parts = [F.max(F.when(F.col("part") == p, F.col("value"))).alias(p) for p in ("cov", "var")]
-    coverage = long.groupBy(of, "kind", "category").agg(*parts)
+    coverage = each.select(of, "category", both)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.txt"
     sinks.write_lines(sinks.estimate_lines(own, coverage, headers), path)
     found = sources.cached_estimates(spark, path)

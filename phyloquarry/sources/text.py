@@ -271,26 +271,35 @@ def cached_estimates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """
     rows = lines(spark, path)
     head = lambda text: F.min(F.when(F.col("line").startswith(text), F.col("place")))
-    at = rows.agg(head("#MCMC").alias("mcmc"), head("#Allelic").alias("allelic"))  # one row
+    at = rows.agg(head("#MCMC").alias("mcmc"), head("#Allelic").alias("allelic")).first()  # two places
+    place = lambda x: F.struct(F.lit(x.file).alias("file"), F.lit(x.block).cast("long").alias("block"), F.lit(x.row).cast("long").alias("row"))
+    after = lambda x: F.lit(False) if x is None else F.col("place") > place(x)
     data = rows.where(~F.col("line").startswith("#") & ~F.col("line").startswith("id\t") & ~F.col("line").startswith("sites\t") & (F.trim("line") != ""))
     c = F.split("line", "\t")
-    data = data.crossJoin(F.broadcast(at)).withColumns({f"c{i}": F.get(c, F.lit(i)) for i in range(3)})
-    later = F.coalesce(F.col("place") > F.col("allelic"), F.lit(False))
-    estimates = data.where(~later & (F.col("place") > F.col("mcmc"))).select(F.col("c0").alias("var"), F.col("c1").alias("kind"), F.col("c2").cast("double").alias("value"))
+    data = data.withColumns({f"c{i}": F.get(c, F.lit(i)) for i in range(3)})
+    later = after(at.allelic)
+    estimates = data.where(~later & after(at.mcmc)).select(F.col("c0").alias("var"), F.col("c1").alias("kind"), F.col("c2").cast("double").alias("value"))
     pair = F.split("x", ",")
     coverage = data.where(later).select(F.col("c0").alias("pseudo"), F.col("c1").alias("kind"), F.posexplode(F.split("c2", ";")).alias("category", "x"))
     coverage = coverage.select("pseudo", "kind", "category", F.get(pair, F.lit(0)).cast("double").alias("cov"), F.get(pair, F.lit(1)).cast("double").alias("var"))
     sites = site_map(spark, path).where(F.col("pseudo").startswith("site"))
 
-    def unlike(counts: DataFrame, what: str) -> None:
-        found = counts.agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
-        if found.low != found.high:
-            raise ValueError(f"Unlike numbers of {what}: {found.low} to {found.high}")
-
-    for left, right, what in ((coverage, sites, "No map line for"), (sites, coverage, "No estimates for")):
-        if missing := left.join(right.select("pseudo"), "pseudo", "left_anti").select("pseudo").take(1):
-            raise ValueError(f"{what} {missing[0].pseudo}")
-    kinds = lambda df, key: df.groupBy(key).agg(F.count_distinct("kind").alias("n")).select("n")
-    unlike(coverage.groupBy("pseudo", "kind").agg(F.count(F.lit(1)).alias("n")), "categories")
-    unlike(kinds(estimates, "var").unionByName(kinds(coverage, "pseudo")), "kinds of estimates")
+    given = data.where(later & F.col("c2").isNotNull()).select(F.col("c0").alias("pseudo"), F.col("c1").alias("kind"), F.size(F.split("c2", ";")).alias("n"), F.lit(False).alias("mapped"))
+    mapped = sites.select("pseudo", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("n"), F.lit(True).alias("mapped"))
+    both = given.unionByName(mapped).repartition("pseudo")  # dealt once for what follows
+    kinds = both.groupBy("pseudo", "kind").agg(F.sum("n").alias("n"), F.bool_or("mapped").alias("mapped"))
+    each = kinds.groupBy("pseudo").agg(F.count("kind").alias("kinds"), F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or("mapped").alias("mapped"))
+    some = F.col("kinds") > 0
+    named = {"No map line for": some & ~F.col("mapped"), "No estimates for": ~some}
+    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(some, F.col("kinds"))).alias("least"), F.max(F.when(some, F.col("kinds"))).alias("most")]
+    found = each.agg(*ends, *[F.min(F.when(wrong, F.col("pseudo"))).alias(what) for what, wrong in named.items()]).first()
+    for what in named:
+        if found[what] is not None:
+            raise ValueError(f"{what} {found[what]}")
+    if found.low != found.high:
+        raise ValueError(f"Unlike numbers of categories: {found.low} to {found.high}")
+    own = estimates.groupBy("var").agg(F.count_distinct("kind").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    numbers = [x for x in (found.least, found.most, own.least, own.most) if x is not None]
+    if len(set(numbers)) > 1:
+        raise ValueError(f"Unlike numbers of kinds of estimates: {min(numbers)} to {max(numbers)}")
     return {"estimates": estimates, "coverage": coverage, "sites": sites}
