@@ -181,6 +181,19 @@ def allele_counts(cells: DataFrame) -> DataFrame:
     return cells.where("reads > 0").groupBy("site", "nuc").agg(F.sum("reads").alias("n_reads"), F.count_distinct("cell").alias("n_cells"))
 
 
+def allele_columns(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``allele_counts`` of rows (site, cell, ..) that have the reads of each nucleotide in a column of its own (``columns``).
+
+    No row is multiplied, and a site is one group: its cells, as many as it has in a row, are told apart in it.
+    """
+    with_reads = lambda c: F.col(c) > 0
+    sums = [F.sum(F.when(with_reads(c), F.col(c))).alias(f"_n_{i}") for i, c in enumerate(columns.values())]
+    seen = [F.collect_set(F.when(with_reads(c), F.col("cell"))).alias(f"_cells_{i}") for i, c in enumerate(columns.values())]
+    each = cells.groupBy("site").agg(*sums, *seen)
+    listed = [F.struct(F.lit(nuc).alias("nuc"), F.col(f"_n_{i}").alias("n_reads"), F.size(f"_cells_{i}").cast("long").alias("n_cells")) for i, nuc in enumerate(columns)]
+    return each.select("site", F.inline(F.array(*listed))).where("n_reads IS NOT NULL")
+
+
 def sampled_states(samples: DataFrame, keys: list[str], state: str) -> DataFrame:
     """(keys, state, n, share) of sampled genotypes or dropout states."""
     counts = samples.groupBy(*keys, state).agg(F.count(F.lit(1)).alias("n"))

@@ -617,8 +617,7 @@ def j13_allele_index(sites, r):
 
 @query("reads", "SELECT site, nuc, sum(n)::BIGINT AS n_reads, count(DISTINCT cell) AS n_cells FROM (SELECT site, cell, 'A' AS nuc, r1 AS n FROM reads UNION ALL SELECT site, cell, 'C', r2 FROM reads UNION ALL SELECT site, cell, 'G', r3 FROM reads) WHERE n > 0 GROUP BY site, nuc")
 def a50_allele_counts(r):
-    long = r.select("site", "cell", F.inline(F.array(*[F.struct(F.lit(n).alias("nuc"), F.col(c).alias("reads")) for n, c in (("A", "r1"), ("C", "r2"), ("G", "r3"))])))
-    return calls.allele_counts(long)
+    return calls.allele_columns(r, {"A": "r1", "C": "r2", "G": "r3"})
 
 
 # Orders and windows
