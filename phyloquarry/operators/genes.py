@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,23 +87,27 @@ def pair_events(parent: str, child: str) -> str:
 def branch_pairs(nodes: DataFrame, genotypes: DataFrame) -> DataFrame:
     """(site, node, parent, parent_gt, child_gt) of each branch at whose ends the genotypes differ."""
     child = genotypes.select("site", "node", F.col("genotype").alias("child_gt"))
-    parent = genotypes.select("site", F.col("node").alias("parent"), F.col("genotype").alias("parent_gt"))
     edges = nodes.where("parent IS NOT NULL").select("node", "parent")
+    inner = edges.select(F.col("parent").alias("node")).distinct()  # tips are nobody's parents and needn't meet children
+    parent = genotypes.join(inner, "node", "left_semi").select("site", F.col("node").alias("parent"), F.col("genotype").alias("parent_gt"))
     return child.join(edges, "node").join(parent, ["site", "parent"]).where("parent_gt <> child_gt").select("site", "node", "parent", "parent_gt", "child_gt")
 
 
 def difference_events(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``events``, by ``pair_events`` of each distinct pair of genotypes that occurs.
+    """``pairs`` with ``events``, by ``pair_events`` of each distinct pair of genotypes that occurs in a batch.
 
-    There are as many such pairs as genotypes squared; the table of them is joined back.
+    The pairs themselves are made once: no table of those that occur is needed.
     """
 
-    def told(frames):
-        for frame in frames:
-            yield frame.assign(events=[pair_events(p, c) for p, c in zip(frame["parent_gt"], frame["child_gt"], strict=True)])
+    @F.arrow_udf("string")
+    def told(parents: pa.Array, children: pa.Array) -> pa.Array:
+        a, b = parents.dictionary_encode(), children.dictionary_encode()
+        both, place = np.unique(a.indices.to_numpy() * np.int64(max(len(b.dictionary), 1)) + b.indices.to_numpy(), return_inverse=True)
+        found = [pair_events(a.dictionary[i].as_py(), b.dictionary[j].as_py()) for i, j in (divmod(int(x), len(b.dictionary)) for x in both)]
+        return pa.array(found, pa.string()).take(pa.array(place))
 
-    distinct = pairs.select("parent_gt", "child_gt").distinct()
-    return pairs.join(distinct.mapInPandas(told, "parent_gt string, child_gt string, events string"), ["parent_gt", "child_gt"])
+    met = pairs.where("parent_gt IS NOT NULL AND child_gt IS NOT NULL")
+    return met.withColumn("events", told("parent_gt", "child_gt"))
 
 
 def event_table(spark) -> DataFrame:
